@@ -7,11 +7,20 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, exact, mixing, sharding, urls
+from . import bpe, chat, exact, mixing, sharding, sstable, urls
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
+VOCABULARY = "byte_bpe_50k.json"
+
+
+def vocabulary_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(VOCABULARY)
+
+
 URL_RULES = [
     (urls.ALLOW, "com", "/"),
     (urls.BLOCK, "example.com", "/en/"),
@@ -73,6 +82,10 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -104,6 +117,10 @@ FROM r
 """
 
 
+def op8_token_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sstable.read_tokens(spark, sstable.write_tokens(table(spark, sf_dir, "documents"), vocabulary_path()))
+
+
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -112,8 +129,10 @@ def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
         "op2_exact_dedup": op2_exact_dedup,
+        "op3_bpe": op3_bpe,
         "op6_sharding": op6_sharding,
         "op7_url_filter": op7_url_filter,
+        "op8_token_table": op8_token_table,
         "op9_mixing": op9_mixing,
     }
 
