@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, sharding, sstable, urls
+from . import bpe, chat, exact, mixing, ngram, sharding, sstable, urls
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -125,6 +125,10 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -134,6 +138,7 @@ def queries() -> dict[str, Query]:
         "op7_url_filter": op7_url_filter,
         "op8_token_table": op8_token_table,
         "op9_mixing": op9_mixing,
+        "op10_ngram_jaccard": op10_ngram_jaccard,
     }
 
 
