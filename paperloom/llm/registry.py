@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, ngram, sharding, sstable, urls
+from . import bpe, chat, exact, mixing, ngram, sharding, sstable, urls, vectors
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,10 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -134,6 +138,7 @@ def queries() -> dict[str, Query]:
         "op1_chat_format": op1_chat_format,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_bpe": op3_bpe,
+        "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_sharding": op6_sharding,
         "op7_url_filter": op7_url_filter,
         "op8_token_table": op8_token_table,
