@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, ngram, sharding, sstable, urls, vectors
+from . import bpe, chat, exact, mixing, ngram, quality, sharding, sstable, urls, vectors
 from .shared import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -86,6 +86,11 @@ def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), vocabulary_path())
 
 
+def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.fit(docs))
+
+
 def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
@@ -138,6 +143,7 @@ def queries() -> dict[str, Query]:
         "op1_chat_format": op1_chat_format,
         "op2_exact_dedup": op2_exact_dedup,
         "op3_bpe": op3_bpe,
+        "op4_quality": op4_quality,
         "op5_embedding_near_dedup": op5_embedding_near_dedup,
         "op6_sharding": op6_sharding,
         "op7_url_filter": op7_url_filter,
