@@ -22,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .pretoken import gather_spans, span_hashes, split_words
+from .shared import cut
 
 LEXICON_WORDS = 50_000
 #: Characters of text that a worker splits at once; a longer text is split alone.
@@ -363,10 +364,25 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     return docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
+def frequent_words(docs: DataFrame, most: int, text_col: str = "text") -> list[bytes]:
+    """At most ``most`` words: all those that occur at least as often as some bound, which is as low as that allows.
+
+    The bound comes from the words' counts in bins of equal ratio, of which there are at most a few hundred; so no task hands the
+    driver more than its part of the words that are taken. Words that occur once are not taken.
+    """
+    counts = cut(count_words(docs, text_col).where((F.col("n") > 1) & (F.length("word") <= TABLE_BYTES[-1])).withColumn("bin", F.floor(F.log2("n") * 8).cast("int")), "words")
+    taken, lowest = 0, None
+    for r in counts.groupBy("bin").agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect():
+        taken += r["words"]
+        if taken > most:
+            break
+        lowest = r["bin"]
+    return [] if lowest is None else [bytes(r[0]) for r in counts.where(F.col("bin") >= lowest).select("word").collect()]
+
+
 def compile_lexicon(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, text_col: str = "text") -> bytes:
     """The automaton of the most frequent words of all texts; words is the bound on what reaches the driver."""
-    top = count_words(docs, text_col).where(F.length("word") <= TABLE_BYTES[-1]).orderBy(F.desc("n"), "word").limit(words).select("word").collect()
-    data = Transducer.compile((bytes(r[0]) for r in top), Vocabulary(vocabulary_path)).to_bytes()
+    data = Transducer.compile(frequent_words(docs, words, text_col), Vocabulary(vocabulary_path)).to_bytes()
     if len(data) > MAX_LEXICON_BYTES:
         raise ValueError(f"{len(data)} bytes of lexicon: lower the number of words")
     return data
