@@ -22,6 +22,7 @@ from .shared import cut
 
 MAX_EPOCHS = 3
 BINS = 4096
+BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
 
@@ -46,20 +47,17 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int =
     return clamped.select("source", "skey", "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 23, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken.
+def _keyed(docs: DataFrame, seed: int, id_col: str, source_col: str) -> DataFrame:
+    """docs with _skey, the source as a key that is never null, and _u, the document's uniform hash."""
+    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(2**40)) / float(2**40)
+    return docs.withColumns({"_skey": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), "_u": u})
 
-    size: words of the text (null: 0). The budget is the sum of all sizes. Sources whose words are none have target 0. A null
-    source is a source of its own. Rows that repeat one another draw alike except in the bin where a target ends. Empty tables
-    give empty tables; other columns are ignored, whatever their names.
-    """
-    source = F.col(source_col)
-    rows = docs.select(
-        F.col(id_col).alias("doc_id"),
-        source.alias("source"),
-        F.coalesce(F.concat(F.lit("="), source), F.lit("")).alias("skey"),
-        word_count(F.col(text_col)).alias("size"),
-        (F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(2**40)) / float(2**40)).alias("u"),
+
+def _planned(docs: DataFrame, weights: Sequence[float], seed: int, max_epochs: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
+    """(plan, planned): per source whole passes, the last bin that is taken once more, and the bin where the target ends; per row
+    its size, bin and plan."""
+    rows = _keyed(docs.select(id_col, text_col, source_col), seed, id_col, source_col).select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("_skey").alias("skey"), word_count(F.col(text_col)).alias("size"), F.col("_u").alias("u")
     )
     sizes = cut(rows.withColumn("bin", F.floor(F.col("u") * BINS).cast("int")), "sizes")
     targets = source_targets(sizes, weights, max_epochs)
@@ -69,18 +67,49 @@ def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 23, m
     plan = targets.withColumn("whole", whole).withColumn("more", F.col("target") - F.col("whole") * F.col("source_size"))
     filled = bins.withColumn("through", through).join(plan.select("skey", "more"), "skey")
     ends = filled.where(F.col("through") <= F.col("more")).groupBy("skey").agg(F.max("bin").alias("last_bin"), F.max("through").alias("spent"))
-    plan = plan.join(ends, "skey", "left").select(
-        "skey", "source_size", "target", "whole", F.coalesce("last_bin", F.lit(-1)).alias("last_bin"), (F.col("more") - F.coalesce("spent", F.lit(0))).alias("rest")
-    )
-    # The bin where the target ends is the next one of that source that has words.
+    # The bin where the target ends is the next one of that source.
     edge = filled.where(F.col("through") > F.col("more")).groupBy("skey").agg(F.min("bin").alias("edge"))
-    plan = cut(plan.join(edge, "skey", "left"), "plan")
-    planned = cut(sizes.join(plan, "skey"), "planned")
-    at_edge = planned.where(F.col("bin") == F.col("edge"))
+    plan = plan.join(ends, "skey", "left").join(edge, "skey", "left")
+    plan = plan.select("skey", "source_size", "target", "whole", F.coalesce("last_bin", F.lit(-1)).alias("last_bin"), (F.col("more") - F.coalesce("spent", F.lit(0))).alias("rest"), "edge")
+    plan = cut(plan, "plan")
+    return plan, cut(sizes.join(plan, "skey"), "planned")
+
+
+def _at_edge(planned: DataFrame, max_epochs: int) -> DataFrame:
+    """The rows of the bins where targets end, with extra: whether the row is taken once more."""
     run = F.sum("size").over(Window.partitionBy("skey").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    extra_edge = at_edge.withColumn("extra", ((run - F.col("size") / 2) <= F.col("rest")) & (F.col("whole") < max_epochs))
-    extra_rest = planned.where(F.col("edge").isNull() | (F.col("bin") != F.col("edge"))).withColumn("extra", (F.col("bin") <= F.col("last_bin")) & (F.col("whole") < max_epochs))
+    return planned.where(F.col("bin") == F.col("edge")).withColumn("extra", ((run - F.col("size") / 2) <= F.col("rest")) & (F.col("whole") < max_epochs))
+
+
+def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 23, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """One row per row of docs: doc_id, source, size, source_size, target, copies, taken.
+
+    size: words of the text (null: 0). The budget is the sum of all sizes. Sources whose words are none have target 0. A null
+    source is a source of its own. Rows that repeat one another draw alike except in the bin where a target ends. Empty tables
+    give empty tables; other columns are ignored, whatever their names.
+    """
+    _, planned = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
+    within = planned.where(F.col("edge").isNull() | (F.col("bin") != F.col("edge"))).withColumn("extra", (F.col("bin") <= F.col("last_bin")) & (F.col("whole") < max_epochs))
     copies = (F.col("whole") + F.col("extra").cast("long")).cast("long")
-    return extra_rest.unionByName(extra_edge).select(
+    return within.unionByName(_at_edge(planned, max_epochs)).select(
         "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
     )
+
+
+def repeat_docs(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 23, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The mix itself: each row of docs as often as ``mix`` takes it, with all its columns.
+
+    The texts don't move: a row's copies follow from its source's plan, and the few rows that are taken once more where a target
+    ends are looked up by id. Both tables are broadcast up to BROADCAST_ROWS rows, else joined. Rows with a null id aren't
+    looked up.
+    """
+    plan, planned = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
+    taken = cut(_at_edge(planned, max_epochs).where("extra").select(F.col("doc_id").alias("_taken"), F.lit(1).alias("_more")).distinct(), "edge")
+    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+    own = plan.select(F.col("skey").alias("_plan"), F.col("whole").alias("_whole"), F.col("last_bin").alias("_last"), F.col("edge").alias("_edge"))
+    rows = _keyed(docs, seed, id_col, source_col)
+    rows = rows.join(small(own), F.col("_skey") == F.col("_plan")).join(small(taken), F.col(id_col) == F.col("_taken"), "left")
+    at = F.floor(F.col("_u") * BINS)
+    extra = F.when(at == F.col("_edge"), F.coalesce("_more", F.lit(0))).when((at <= F.col("_last")) & (F.col("_whole") < max_epochs), 1).otherwise(0)
+    copies = (F.col("_whole") + extra).cast("int")
+    return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)

@@ -349,3 +349,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = profile.select("doc_id", "n", "s1", "s2")
     same = (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & F.col("doc_id").isNotNull()
     return rows.join(told, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """docs without the rows whose component has a smaller doc_id; rows that link with nothing stay, as do null ids."""
+    found = cut(ngram_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
+    return pick(docs, id_col, found, "left_anti")
