@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: One of these is dropped from the front of a DOI.
@@ -82,9 +82,10 @@ def redact(c: Column, limit: int = 300) -> Column:
     return F.when(F.length(line) > limit, F.concat(F.substring(line, 1, limit - 3), F.lit("..."))).otherwise(line)
 
 
-def rebuild_abstract(index: Column) -> Column:
-    """The text of an inverted index {word: [positions]}; where words share a position the last entry's stands."""
-    spots = F.flatten(F.transform(F.map_entries(index), lambda e, i: F.transform(e["value"], lambda p: F.struct(p.alias("p"), i.alias("i"), e["key"].alias("w")))))
-    ordered = F.array_sort(spots)
-    last = F.filter(ordered, lambda s, i: F.coalesce(F.get(ordered, i + 1)["p"] != s["p"], F.lit(True)))
-    return F.array_join(F.transform(last, lambda s: s["w"]), " ")
+def rebuild_abstracts(df: DataFrame, key: str, index: str, out: str = "abstract") -> DataFrame:
+    """(key, out): the texts of inverted indexes {word: [positions]}; gaps are ignored, and where words share a position the last
+    entry's stands. Rows without an index, or with an empty one, give the empty text."""
+    entries = df.select(key, F.posexplode(F.map_entries(index)).alias("i", "e")).select(key, "i", F.col("e.key").alias("w"), F.explode("e.value").alias("p"))
+    spots = entries.groupBy(key, "p").agg(F.max_by("w", "i").alias("w"))
+    texts = spots.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("p", "w"))).alias("ws"))
+    return df.select(key).join(texts, key, "left").select(key, F.coalesce(F.array_join(F.transform("ws", lambda s: s["w"]), " "), F.lit("")).alias(out))

@@ -1,9 +1,14 @@
 """The queries of the library and their SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from . import dedup_queries, eval_queries, field_queries, rank_queries, rule_queries  # noqa: F401
+from .views import QUERIES, SQL, Query
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
