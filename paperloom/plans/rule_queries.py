@@ -1 +1,144 @@
+"""Contracts and the data-quality gate."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from paperloom.operators import checks
+
+from .views import query, table
+
+
+@query("SELECT 'value_not_allowed' AS rule, CAST(o_orderkey AS VARCHAR) AS key, o_orderstatus AS detail FROM orders WHERE o_orderstatus NOT IN ('F', 'O')")
+def label_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.allowed(table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O"], "o_orderkey")
+
+
+@query("SELECT 'out_of_range' AS rule, CAST(l_orderkey AS VARCHAR) AS key, CAST(CAST(l_quantity AS INTEGER) AS VARCHAR) AS detail FROM lineitem WHERE CAST(l_quantity AS INTEGER) < 2 OR CAST(l_quantity AS INTEGER) > 49")
+def range_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_quantity").cast("int").alias("q"))
+    return checks.in_range(rows, "q", 2, 49, "l_orderkey")
+
+
+@query("SELECT doc_id FROM documents WHERE doc_id % 9 = 0")
+def json_invalid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records whose JSON doesn't parse: every ninth lacks its closing brace."""
+    text = F.concat(F.to_json(F.struct("source", "lang")), F.lit(""))
+    broken = F.when(F.col("doc_id") % 9 == 0, F.substring(text, 1, 8)).otherwise(text)
+    return table(spark, sf_dir, "documents").select("doc_id", broken.alias("j")).where(F.try_parse_json("j").isNull()).select("doc_id")
+
+
+@query(
+    r"""WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, 'href="(/[^"#?]*)"', 1)) AS target FROM pages), known AS (SELECT DISTINCT regexp_extract(url, '^https?://[^/?#]*(/[^?#]*)', 1) AS path FROM pages)
+SELECT target, count(*) AS n FROM l WHERE target NOT IN (SELECT path FROM known WHERE path IS NOT NULL) GROUP BY target"""
+)
+def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Local links to paths that no page has, counted before they are looked up."""
+    p = table(spark, sf_dir, "pages")
+    links = p.select(F.explode(F.regexp_extract_all("html", F.lit(r'href="(/[^"#?]*)"'), 1)).alias("target")).groupBy("target").agg(F.count("*").alias("n"))
+    known = p.select(F.regexp_extract("url", r"^https?://[^/?#]*(/[^?#]*)", 1).alias("path")).distinct()
+    return links.join(known, F.col("target") == F.col("path"), "left_anti")
+
+
+SECRET_SQL = r"regexp_matches(text, 'sk-[A-Za-z0-9_-]{20,}') OR regexp_matches(text, 'gh[pousr]_[A-Za-z0-9]{20,}') OR regexp_matches(text, 'AKIA[0-9A-Z]{16}') OR regexp_matches(text, '(?i)(?:api[_-]?key|token|password)\s*[:=]\s*[''" + '"' + r"][A-Za-z0-9_./+-]{16,}[''" + '"' + r"]')"
+
+
+@query(f"SELECT doc_id FROM documents WHERE {SECRET_SQL}")
+def secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").where(checks.has_secret(F.col("text"))).select("doc_id")
+
+
+@query(
+    f"""WITH v AS (SELECT 'secrets' AS check_name, 'error' AS severity, count(*) AS violations FROM documents WHERE {SECRET_SQL}
+UNION ALL SELECT 'order_status', 'warning', count(*) FROM orders WHERE o_orderstatus NOT IN ('F', 'O')
+UNION ALL SELECT 'customer_ids', 'error', count(*) FROM (SELECT c_custkey FROM customer GROUP BY 1 HAVING count(*) > 1))
+SELECT check_name, severity, violations, CASE WHEN violations > 0 AND severity = 'error' THEN 'failed' WHEN violations > 0 THEN 'warning' ELSE 'passed' END AS status FROM v"""
+)
+def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gate: each check's violations, and whether they fail it or only warn."""
+    docs = table(spark, sf_dir, "documents")
+    found = checks.summary(
+        [
+            ("secrets", "error", checks.violations(docs, "secret", checks.has_secret(F.col("text")), F.col("doc_id"))),
+            ("order_status", "warning", checks.allowed(table(spark, sf_dir, "orders"), "o_orderstatus", ["F", "O"], "o_orderkey")),
+            ("customer_ids", "error", checks.duplicates(table(spark, sf_dir, "customer"), "c_custkey")),
+        ]
+    )
+    some = F.col("violations") > 0
+    return found.withColumn("status", F.when(some & (F.col("severity") == "error"), "failed").when(some, "warning").otherwise("passed"))
+
+
+@query("SELECT lang AS rq, count(*) AS n, CASE WHEN count(*) <> 20 THEN 'wrong_size' ELSE 'ok' END AS rule FROM documents GROUP BY lang")
+def pool_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    g = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("rq")).agg(F.count("*").alias("n"))
+    return g.withColumn("rule", F.when(F.col("n") != 20, "wrong_size").otherwise("ok"))
+
+
+@query(
+    """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE CAST(quality AS VARCHAR) END AS label, CASE WHEN doc_id % 7 = 0 THEN 'A' ELSE 'B' END AS evidence, CASE WHEN toxic = 1 THEN '' ELSE 'https://example.org/1' END AS url FROM labels)
+SELECT doc_id, unnest(list_filter([CASE WHEN label NOT IN ('0', '1', '2', '?') THEN 'label' END, CASE WHEN evidence = 'A' AND url = '' THEN 'url_needed' END], lambda e: e IS NOT NULL)) AS rule FROM a"""
+)
+def annotation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """An annotation file's rules, as an array for each row: labels of the vocabulary, and a link where the evidence needs one."""
+    label = F.when(F.col("doc_id") % 13 == 0, "x").otherwise(F.col("quality").cast("string"))
+    needs = F.col("doc_id") % 7 == 0
+    found = F.array(F.when(~label.isin("0", "1", "2", "?"), "label"), F.when(needs & (F.col("toxic") == 1), "url_needed"))
+    return table(spark, sf_dir, "labels").select("doc_id", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("rule"))
+
+
+@query(
+    """WITH j AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'pending' ELSE 'adjudicated' END AS state, CASE WHEN quality = 1 THEN 'agreement' ELSE 'disagreement' END AS kind, CASE WHEN toxic = 1 THEN '' ELSE '2' END AS final_label FROM labels)
+SELECT doc_id, unnest(list_filter([CASE WHEN state = 'ready' AND kind = 'disagreement' THEN 'ready_without_agreement' END, CASE WHEN state = 'pending' AND final_label <> '' THEN 'pending_with_label' END, CASE WHEN state = 'adjudicated' AND kind = 'agreement' THEN 'adjudicated_agreement' END, CASE WHEN state <> 'pending' AND final_label = '' THEN 'label_needed' END], lambda e: e IS NOT NULL)) AS rule FROM j"""
+)
+def judgement_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """States that a judgement may not be in."""
+    k = F.col("doc_id") % 3
+    state, agreed, empty = F.when(k == 0, "ready").when(k == 1, "pending").otherwise("adjudicated"), F.col("quality") == 1, F.col("toxic") == 1
+    found = F.array(
+        F.when((state == "ready") & ~agreed, "ready_without_agreement"),
+        F.when((state == "pending") & ~empty, "pending_with_label"),
+        F.when((state == "adjudicated") & agreed, "adjudicated_agreement"),
+        F.when((state != "pending") & empty, "label_needed"),
+    )
+    return table(spark, sf_dir, "labels").select("doc_id", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("rule"))
+
+
+@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'approve_changes_label' ELSE 'modify_keeps_label' END AS rule FROM labels WHERE (quality = 1 AND toxic = 1) OR (quality = 0 AND toxic = 0)")
+def proposal_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Proposals: approval keeps the label that was proposed, modification changes it."""
+    approve, changed = F.col("quality") == 1, F.col("toxic") == 1
+    return table(spark, sf_dir, "labels").where((approve & changed) | (~approve & ~changed)).select("doc_id", F.when(approve, "approve_changes_label").otherwise("modify_keeps_label").alias("rule"))
+
+
+@query("SELECT doc_id FROM documents WHERE concat('a', doc_id % 6) = concat('a', n_chars % 6)")
+def reviewer_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Judgements that their own annotator reviewed."""
+    name = lambda c: F.concat(F.lit("a"), (F.col(c) % 6).cast("string"))
+    return table(spark, sf_dir, "documents").where(name("doc_id") == name("n_chars")).select("doc_id")
+
+
+@query(
+    """WITH r AS (SELECT doc_id AS pair_id, lang AS rq, CAST(n_chars % 100 AS DOUBLE) / 100 AS score, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars % 100 DESC, doc_id) AS INTEGER) + CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS rank FROM documents)
+SELECT 'rank_not_by_score' AS rule, CAST(pair_id AS VARCHAR) AS key FROM (SELECT *, row_number() OVER (PARTITION BY rq ORDER BY score DESC, pair_id) AS due FROM r) WHERE rank <> due"""
+)
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Ranks that don't follow the scores: every fiftieth is off by one."""
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("rq"), ((F.col("n_chars") % 100).cast("double") / 100).alias("score"))
+    due = d.withColumn("due", F.row_number().over(Window.partitionBy("rq").orderBy(F.desc("score"), "pair_id")))
+    given = due.withColumn("rank", F.col("due") + (F.col("pair_id") % 50 == 0).cast("int"))
+    return checks.violations(given, "rank_not_by_score", F.col("rank") != F.col("due"), F.col("pair_id")).select("rule", "key")
+
+
+@query()
+def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The files of a package with their size and digest."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/nation.parquet")
+    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+
+
+@query()
+def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines of a delimited text with more fields than its header."""
+    lines = table(spark, sf_dir, "nation").select("n_nationkey", F.concat_ws(",", F.col("n_name"), F.col("n_regionkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 0, "extra")).alias("line"))
+    return lines.where(F.size(F.split("line", ",", -1)) > 2).select("n_nationkey", "line")
