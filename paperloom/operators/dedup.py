@@ -11,6 +11,7 @@ from difflib import SequenceMatcher
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from paperloom.functions import norm
 from paperloom.operators.rank import with_checkpoints
@@ -150,7 +151,7 @@ def _fields(papers: DataFrame) -> DataFrame:
     ).where("title <> ''")
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
     """Matching-blocks similarity of (earlier, later) titles; it isn't symmetric."""
     for left, right in batches:
