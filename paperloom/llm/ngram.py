@@ -7,14 +7,17 @@ Documents are compared by their sets of hashed 5-word shingles; two link when 10
 2. Filter. Linked sets of sizes n and m share at least min(slack(n), slack(m)) shingles of their prefixes, and m >= 0.8 n. The
    prefixes are dealt over ranges of shingles, which tell how many of a document's shingles occur elsewhere; a document with too
    few links with nothing. Passages that many documents share don't suffice, so hardly any pair is ever formed for them.
-3. Groups. Each of ROUNDS rounds hashes the remaining sets to their least shingle under another order, and compares every set
-   with the first of those that agree. A set that links with it joins its group and leaves; its group's first set goes on. So a
-   group is a star of verified links, and copies of a text by the thousand cost one comparison each.
-4. Matrix. Which groups hold a shingle is the token-group matrix; a group's column is its members' token union. Shingles are
-   counted by groups, and a set's shingles are ordered by that count: unless one of the first n - 0.8 n + 1 is in another group,
-   no link leads out of the group. For the other sets the matrix gives the groups they may reach; a group is opened only if its
-   token union holds 0.8 n of the set's shingles, and then those of its members are compared that share such a rare shingle.
-5. Components of the links. Every step but the choice of groups is exact, and links that the groups miss are found in step 4.
+3. Stars. ROUNDS times, sets are hashed to their least shingle under another order, and those that no link has reached yet are
+   compared with the most central of the sets that agree, the one whose shingles occur most elsewhere. The links found so far
+   make stars; copies of a text by the thousand cost a few comparisons each.
+4. Families. Shingles are counted by the stars that hold them, and a set's shingles are ordered by that count: unless one of the
+   first n - 0.8 n + 1 is in another star, no link leads out of the star. Sets that share such a rare shingle are a family, and no
+   link joins two families.
+5. Matrix. Each family is partitioned into groups of at most GROUP sets, and a group's row of the token-group matrix is its
+   members' token union. The sets outside the family's largest star query all its groups: a group is opened to a set only if its
+   union holds 0.8 n of the set's shingles, and what an opened group holds is compared exactly. Of the links only the pairs of
+   stars that they join are kept.
+6. Components of those links. Steps 2, 4 and 5 lose nothing, whatever the stars missed.
 """
 
 from __future__ import annotations
@@ -22,17 +25,20 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import _texts, small_batches
 from .components import components
-from .pretoken import gather_spans, mix64, span_hashes
+from .pretoken import mix64, span_hashes
 from .shared import cut
 
 WORDS, PERCENT = 5, 80
 ROUNDS = 4
+#: Sets of a group, and of the queries that it meets in one task.
+GROUP = 96
 #: Shingles of one partition in which they are counted.
 RANGE_TOKENS = 4_000_000
 #: Ids up to this number are broadcast to pick rows by; more are joined.
@@ -172,32 +178,36 @@ def _runs(ordered: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def survivors(classes: DataFrame, parts: int) -> DataFrame:
-    """rep of each class whose prefix is shared enough to link with anything."""
+    """(rep, central) of each class whose prefix is shared enough to link with anything; central grows with the sharing."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (rep, n), tokens, row = _gather(batches, 2, TOKEN_BYTES)
         if len(tokens):
             order = np.argsort(tokens)
             _, length = _runs(tokens[order])
+            more = np.where(length > 1, length, 0)
+            held_by = np.bincount(row[order], weights=more, minlength=len(rep)).astype(np.int64)
             shared = np.bincount(row[order[length > 1]], minlength=len(rep))
             hit = shared > 0
-            yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(n[hit]), pa.array(shared[hit].astype(np.int64))], names=["rep", "n", "shared"])
+            yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(n[hit]), pa.array(shared[hit].astype(np.int64)), pa.array(held_by[hit])], names=["rep", "n", "shared", "held_by"])
 
-    counted = _deal(classes, "prefix", TOKEN_BYTES, parts, ["rep", "n"]).mapInArrow(run, "rep long, n long, shared long")
+    counted = _deal(classes, "prefix", TOKEN_BYTES, parts, ["rep", "n"]).mapInArrow(run, "rep long, n long, shared long, held_by long")
     smallest = F.floor((F.col("n") * PERCENT + 99) / 100)
-    return counted.groupBy("rep", "n").agg(F.sum("shared").alias("shared")).where(F.col("shared") >= F.greatest(F.lit(1), F.floor(smallest * 15 / 100))).select("rep")
+    summed = counted.groupBy("rep", "n").agg(F.sum("shared").alias("shared"), F.sum("held_by").alias("held_by"))
+    return summed.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(smallest * 15 / 100))).select("rep", F.floor(F.col("held_by") * 1000 / F.col("n")).alias("central"))
 
 
 def pick(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of df whose key is in the one column of ids: by broadcast where their number is small, else by a join."""
-    name = ids.columns[0]
+    """df joined with ids on its first column: by broadcast where their number is small, else by a join of both sides."""
+    first, *more = ids.columns
     ids = cut(ids, "ids")
     ids = F.broadcast(ids) if ids.count() <= PICK_BROADCAST else ids
-    return df.join(ids.withColumnRenamed(name, "_picked"), F.col(key) == F.col("_picked"), how)
+    out = df.join(ids.withColumnRenamed(first, "_picked"), F.col(key) == F.col("_picked"), how)
+    return out.select(*df.columns, *more) if how == "inner" else out
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """rep, n, the set, and its least shingle under each of ROUNDS other orders."""
+def full_sets(docs: DataFrame) -> DataFrame:
+    """rep, central, n, the set, and its least shingle under each of ROUNDS other orders, of rows (doc_id, text, central)."""
     names = [f"k{r}" for r in range(ROUNDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -206,10 +216,9 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             n = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
             keys = [pa.array([int(mix64(s ^ mix64(np.array([r + 1], np.uint64))).min().view(np.int64)) if len(s) else 0 for s in sets], pa.int64()) for r in range(ROUNDS)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), *keys, _binary(flat, n, 8)], names=["rep", "n", *names, "tokens"])
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), *keys, _binary(flat, n, 8)], names=["rep", "central", "n", *names, "tokens"])
 
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "rep long, n long, " + ", ".join(f"{k} long" for k in names) + ", tokens binary")
+    return docs.mapInArrow(run, "rep long, central long, n long, " + ", ".join(f"{k} long" for k in names) + ", tokens binary")
 
 
 def linked(pairs: DataFrame) -> DataFrame:
@@ -229,28 +238,25 @@ def linked(pairs: DataFrame) -> DataFrame:
     return pairs.where(sizes).select("a", "a_tokens", "b", "b_tokens").mapInArrow(run, "a long, b long")
 
 
-def star_groups(sets: DataFrame) -> DataFrame:
-    """rep, grp: sets that joined a group by a verified link, with the group's first set; the others are groups of their own."""
-    active, joined = sets, None
+def stars(sets: DataFrame) -> DataFrame:
+    """(rep, grp) for the sets that a verified link has joined to others; the others are groups of their own."""
+    active, found = sets, None
     for r in range(ROUNDS):
         key = f"k{r}"
-        leaders = active.groupBy(key).agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1")
-        leaders = cut(leaders.select(F.col(key).alias("lk"), "b"), "leaders")
-        led = cut(pick(active, "rep", leaders.select("b").distinct()).select(F.col(key).alias("lk"), F.col("rep").alias("b"), F.col("tokens").alias("b_tokens")), "led")
+        small = sets.select("rep", "central", key)
+        centres = small.groupBy(key).agg(F.max_by("rep", F.struct(F.col("central"), -F.col("rep"))).alias("b"), F.count("*").alias("c")).where("c > 1")
+        centres = cut(centres.select(F.col(key).alias("lk"), "b"), "centres")
+        led = pick(sets, "rep", centres.select("b").distinct()).select(F.col(key).alias("lk"), F.col("rep").alias("b"), F.col("tokens").alias("b_tokens"))
+        led = cut(led, "led")
         pairs = active.select(key, F.col("rep").alias("a"), F.col("tokens").alias("a_tokens")).join(led, (F.col(key) == F.col("lk")) & (F.col("a") != F.col("b")))
         links = cut(linked(pairs), "links")
-        joined = links if joined is None else cut(joined.unionByName(links), "joined")
-        active = pick(active, "rep", links.select("a"), "left_anti")
-    # Each set joined once, and its group's first set was still there in the next round: at most ROUNDS steps up.
-    for _ in range(ROUNDS - 1):
-        up = joined.select(F.col("a").alias("x"), F.col("b").alias("y"))
-        joined = cut(joined.join(up, F.col("b") == F.col("x"), "left").select("a", F.coalesce("y", "b").alias("b")), "joined")
-    return joined.select(F.col("a").alias("rep"), F.col("b").alias("grp"))
+        found = links if found is None else cut(found.unionByName(links), "found")
+        active = pick(active, "rep", links.select("a").distinct(), "left_anti")
+    return components(found).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
 
 
-def outside_links(sets: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
-    """(a, b): links between sets of different groups that the matrix lets through."""
-    members = cut(sets.select("rep", "n", "tokens").join(groups.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left").select("rep", "n", F.coalesce("grp", "rep").alias("grp"), "tokens"), "members")
+def families(members: DataFrame, parts: int) -> DataFrame:
+    """(rep, family) of the sets that may link with a set of another star."""
 
     def count_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (rep, n, grp), tokens, row = _gather(batches, 3, 8)
@@ -266,56 +272,89 @@ def outside_links(sets: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
         by_row = np.argsort(row[order], kind="stable")
         order, held_by = order[by_row], held_by[by_row]
         which, counts = np.unique(row[order], return_counts=True)
-        yield pa.RecordBatch.from_arrays([pa.array(rep[which]), pa.array(n[which]), pa.array(grp[which]), _binary(tokens[order], counts, 8), _binary(held_by, counts, 8)], names=["rep", "n", "grp", "tokens", "held_by"])
+        yield pa.RecordBatch.from_arrays([pa.array(rep[which]), pa.array(n[which]), _binary(tokens[order], counts, 8), _binary(held_by, counts, 8)], names=["rep", "n", "tokens", "held_by"])
 
-    schema = "rep long, n long, grp long, tokens binary, held_by binary"
-    shared = _deal(members, "tokens", 8, parts, ["rep", "n", "grp"]).mapInArrow(count_groups, schema)
-    shared = shared.groupBy("rep", "n", "grp").agg(F.collect_list(F.struct("tokens", "held_by")).alias("pieces"))
+    shared = _deal(members, "tokens", 8, parts, ["rep", "n", "grp"]).mapInArrow(count_groups, "rep long, n long, tokens binary, held_by binary")
+    shared = shared.groupBy("rep", "n").agg(F.collect_list(F.struct("tokens", "held_by")).alias("pieces"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            out: list[tuple] = []
-            for rep, n, grp, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
+        for b in small_batches(batches, 256):
+            reps, found = [], []
+            for rep, n, pieces in zip(*(c.to_pylist() for c in b.columns), strict=True):
                 tokens = np.concatenate([np.frombuffer(p["tokens"], "<u8") for p in pieces])
                 held_by = np.concatenate([np.frombuffer(p["held_by"], "<u8") for p in pieces])
-                left = n - least_overlap(n) + 1 - (n - len(tokens))
+                left = int(n - least_overlap(n) + 1 - (n - len(tokens)))
                 if left > 0:
-                    first = np.lexsort((tokens, held_by))[:left]
-                    out.append((rep, n, grp, tokens[first].view(np.int64), tokens.view(np.int64)))
-            columns = [pa.array([o[i] for o in out], kind) for i, kind in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.list_(pa.int64())))]
-            yield pa.RecordBatch.from_arrays(columns, names=["rep", "n", "grp", "rare", "shared"])
-
-    open_sets = cut(shared.mapInArrow(rare, "rep long, n long, grp long, rare array<long>, shared array<long>"), "open")
-    rare_rows = cut(open_sets.select("rep", "n", "grp", F.explode("rare").alias("token")), "rare")
-    one, two = rare_rows.alias("x"), rare_rows.alias("y")
-    pairs = one.join(two, (F.col("x.token") == F.col("y.token")) & (F.col("x.grp") < F.col("y.grp")) & (F.col("x.n") * 100 >= F.col("y.n") * PERCENT) & (F.col("y.n") * 100 >= F.col("x.n") * PERCENT))
-    pairs = cut(pairs.select(F.col("x.rep").alias("a"), F.col("x.grp").alias("a_grp"), F.col("y.rep").alias("b"), F.col("y.grp").alias("b_grp")).distinct(), "pairs")
-    # The matrix: which of the groups in question hold a token; and how many of a set's tokens a group's union holds.
-    asked = pairs.select(F.col("a").alias("q"), F.col("b_grp").alias("to")).unionByName(pairs.select(F.col("b").alias("q"), F.col("a_grp").alias("to"))).distinct()
-    asked = cut(asked, "asked")
-    asking = pick(open_sets, "rep", asked.select("q").distinct()).select(F.col("rep").alias("q"), "n", F.explode("shared").alias("token"))
-    # All members of those groups stand in the union, those with no rare token too.
-    in_question = pick(members, "grp", asked.select("to").distinct())
-    matrix = cut(_token_rows(in_question).distinct(), "matrix")
-    wanted = asking.join(asked, "q").join(matrix, ["token", "to"])
-    opened = cut(wanted.groupBy("q", "to", "n").agg(F.count("*").alias("held")).where(F.col("held") >= F.floor((F.col("n") * PERCENT + 99) / 100)).select("q", "to"), "opened")
-    pairs = pairs.join(opened.withColumnsRenamed({"q": "a", "to": "b_grp"}), ["a", "b_grp"], "left_semi").join(opened.withColumnsRenamed({"q": "b", "to": "a_grp"}), ["b", "a_grp"], "left_semi")
-    pairs = cut(pairs.select("a", "b"), "pairs")
-    own = cut(pick(members, "rep", pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct()).select("rep", "tokens"), "own")
-    with_a = pairs.join(own.withColumnsRenamed({"rep": "ra", "tokens": "a_tokens"}), F.col("a") == F.col("ra"))
-    return linked(with_a.join(own.withColumnsRenamed({"rep": "rb", "tokens": "b_tokens"}), F.col("b") == F.col("rb")))
-
-
-def _token_rows(members: DataFrame) -> DataFrame:
-    """token, to: the tokens of the members' groups."""
+                    first = tokens[np.lexsort((tokens, held_by))[:left]]
+                    reps.append(np.full(len(first), rep, np.int64))
+                    found.append(first.view(np.int64))
+            columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (reps, found)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "token"])
+
+    rows = cut(shared.mapInArrow(rare, "rep long, token long"), "rare")
+    first = cut(rows.groupBy("token").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"), "b"), "first")
+    edges = rows.join(first, F.col("token") == F.col("t")).select(F.col("rep").alias("a"), "b").distinct()
+    return components(edges).select("node", F.col("component").alias("family"))
+
+
+def _open_groups(block: pd.DataFrame) -> pd.DataFrame:
+    """The pairs of stars that links join between the queries of a block and the group that it holds."""
+    none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
+    q, g = block[block["asks"]], block[~block["asks"]]
+    if not len(q) or not len(g):
+        return none
+    q_sets, g_sets = ([np.frombuffer(t, "<u8") for t in side["tokens"]] for side in (q, g))
+    union = np.unique(np.concatenate(g_sets))
+    at = [np.minimum(np.searchsorted(union, s), len(union) - 1) for s in q_sets]
+    held = [u[union[u] == s] for u, s in zip(at, q_sets, strict=True)]
+    q_n = np.array([len(s) for s in q_sets])
+    opened = np.flatnonzero(np.array([len(h) for h in held]) >= least_overlap(q_n))
+    if not len(opened):
+        return none
+    g_n = np.array([len(s) for s in g_sets])
+    asked = np.zeros(len(union), bool)
+    for i in opened:
+        asked[held[i]] = True
+    column = np.cumsum(asked) - 1
+    g_at = [np.searchsorted(union, s) for s in g_sets]
+    g_at = [column[u[asked[u]]] for u in g_at]
+    both = np.zeros((len(opened), len(g_sets)), np.float32)
+    width = 1 << 15
+    for low in range(0, int(asked.sum()), width):
+        left, right = np.zeros((len(opened), width), np.float32), np.zeros((len(g_sets), width), np.float32)
+        for row, i in enumerate(opened):
+            c = column[held[i]] - low
+            left[row, c[(c >= 0) & (c < width)]] = 1
+        for row, c in enumerate(g_at):
+            c = c - low
+            right[row, c[(c >= 0) & (c < width)]] = 1
+        both += left @ right.T
+    both = both.astype(np.int64)
+    q_grp, g_grp = q["grp"].to_numpy()[opened], g["grp"].to_numpy()
+    ok = (100 * both >= PERCENT * (q_n[opened][:, None] + g_n[None, :] - both)) & (q_grp[:, None] != g_grp[None, :])
+    x, y = np.nonzero(ok)
+    if not len(x):
+        return none
+    pairs = np.unique(np.stack([np.maximum(q_grp[x], g_grp[y]), np.minimum(q_grp[x], g_grp[y])]), axis=1)
+    return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in small_batches(batches, 256):
-            flat, lengths = _numbers(b.column(1), 8)
-            pairs = np.unique(np.stack([np.repeat(b.column(0).to_numpy(zero_copy_only=False), lengths), flat.view(np.int64)]), axis=1) if len(flat) else np.zeros((2, 0), np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(pairs[1]), pa.array(pairs[0])], names=["token", "to"])
 
-    return members.select("grp", "tokens").mapInArrow(run, "token long, to long")
+def outside_links(sets: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
+    """(a, b): stars, and sets without one, that links join."""
+    members = sets.select("rep", "n", "tokens").join(groups.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left")
+    members = cut(members.select("rep", "n", F.coalesce("grp", "rep").alias("grp"), "tokens"), "members")
+    of_family = cut(families(members, parts), "families")
+    related = cut(pick(members, "rep", of_family, "inner"), "related")
+    sizes = related.groupBy("family", "grp").agg(F.count("*").alias("c"))
+    sizes = sizes.groupBy("family").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.sum("c").alias("held"), F.max("c").alias("largest"))
+    count = lambda c: F.ceil(c / GROUP).cast("int")
+    sizes = cut(sizes.select(F.col("family").alias("f"), "main", count(F.col("held")).alias("gs"), F.greatest(F.lit(1), count(F.col("held") - F.col("largest"))).alias("qs")), "sizes")
+    known = related.join(sizes, F.col("family") == F.col("f"))
+    own = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
+    upto = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
+    asks = known.where("grp <> main").select("family", own("qs").alias("q"), upto("gs").alias("g"), "grp", "tokens", F.lit(True).alias("asks"))
+    holds = known.select("family", upto("qs").alias("q"), own("gs").alias("g"), "grp", "tokens", F.lit(False).alias("asks"))
+    return asks.unionByName(holds).groupBy("family", "q", "g").applyInPandas(_open_groups, "a long, b long")
 
 
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -333,14 +372,11 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     parts = lambda total: max(min(parts_least, 12), -(-total // RANGE_TOKENS))
     tokens = classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // TOKEN_BYTES
     left = survivors(classes, parts(tokens))
-    sets = cut(full_sets(pick(docs, id_col, left).dropDuplicates([id_col]), id_col, text_col), "sets")
-    groups = cut(star_groups(sets), "groups")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    sets = cut(full_sets(pick(rows, "doc_id", left, "inner").dropDuplicates(["doc_id"])), "sets")
+    groups = cut(stars(sets), "stars")
     tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    links = cut(outside_links(sets, groups, parts(tokens)), "links")
-    root = groups.withColumnsRenamed({"rep": "x", "grp": "y"})
-    ends = links.join(root, F.col("a") == F.col("x"), "left").select(F.coalesce("y", "a").alias("a"), "b")
-    ends = ends.join(root, F.col("b") == F.col("x"), "left").select("a", F.coalesce("y", "b").alias("b"))
-    joined = cut(components(ends), "components")
+    joined = cut(components(cut(outside_links(sets, groups, parts(tokens)), "links")), "components")
     of_group = groups.join(joined, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("component"))
     alone = joined.join(groups.withColumnRenamed("rep", "r"), F.col("node") == F.col("r"), "left_anti").select(F.col("node").alias("rep"), "component")
     found = cut(of_group.unionByName(alone), "found")
