@@ -121,9 +121,10 @@ def read_strict_csv(spark: SparkSession, path: str, required: Iterable[str] = ()
     schema = T.StructType([T.StructField(h, T.StringType()) for h in [*header, bad]])
     df = spark.read.schema(schema).option("header", True).option("multiLine", True).option("escape", '"').option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", bad).csv(path)
     width = len(header)
-    too_long = df.where(F.col(bad).isNotNull()).select(bad).toLocalIterator()
-    for r in too_long:
-        if len(next(csv.reader(io.StringIO(r[0])), [])) > width:
+    # Spark doesn't read that column alone.
+    suspects = df.where(F.col(bad).isNotNull()).select(header[0], bad).toLocalIterator()
+    for r in suspects:
+        if len(next(csv.reader(io.StringIO(r[1])), [])) > width:
             raise ValueError(f"{path}: a row has more fields than the header")
     return df.drop(bad)
 
