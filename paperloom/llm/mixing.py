@@ -48,8 +48,10 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int =
 
 
 def _keyed(docs: DataFrame, seed: int, id_col: str, source_col: str) -> DataFrame:
-    """docs with _skey, the source as a key that is never null, and _u, the document's uniform hash."""
-    u = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(2**40)) / float(2**40)
+    """docs with _skey, the source as a key that is never null, and _u, the document's uniform hash: 40 bits of an MD5, which any
+    engine can tell."""
+    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
+    u = F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") / float(2**40)
     return docs.withColumns({"_skey": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), "_u": u})
 
 

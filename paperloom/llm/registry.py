@@ -95,6 +95,17 @@ def op5_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vectors.near_vectors(table(spark, sf_dir, "embeddings")).select("vec_id", "n_links", "component_id", "kept")
 
 
+#: By brute force, which the index equals where it finds every pair.
+OP5_SQL = """
+WITH RECURSIVE v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+l AS (SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_cosine_similarity(a.e, b.e) >= 0.95),
+r(vec_id, reached) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON l.a = r.reached),
+c AS (SELECT vec_id, min(reached) AS component_id FROM r GROUP BY vec_id)
+SELECT vec_id, (SELECT count(*) FROM l WHERE l.a = c.vec_id) AS n_links, component_id, vec_id = component_id AS kept FROM c
+"""
+
+
 def op6_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_by_bytes(table(spark, sf_dir, "documents"), SHARDS)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
@@ -134,10 +145,44 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+OP9_SQL = r"""
+WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
+    ('0x' || substr(md5('23:' || CAST(doc_id AS VARCHAR)), 1, 10))::BIGINT / 1099511627776.0::DOUBLE AS u FROM documents),
+b AS (SELECT *, CAST(floor(u * 4096) AS INTEGER) AS bin, coalesce('=' || source, '') AS skey FROM s),
+t AS (SELECT skey, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY skey),
+w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM t),
+o AS (SELECT *, coalesce(sum(cap) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before,
+    sum(weight) OVER (ORDER BY cap / weight, source NULLS LAST ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS after FROM w),
+c AS (SELECT *, cap * after <= (total - before) * weight AS clamped FROM o),
+g AS (SELECT skey, source_size, CASE WHEN clamped THEN CAST(cap AS DOUBLE) ELSE (total - coalesce(sum(cap) FILTER (clamped) OVER (), 0)) * weight / sum(weight) FILTER (NOT clamped) OVER () END AS target FROM c),
+p AS (SELECT *, CASE WHEN source_size > 0 THEN CAST(floor(target / source_size) AS BIGINT) ELSE 0 END AS whole FROM g),
+m AS (SELECT *, target - whole * source_size AS more FROM p),
+f AS (SELECT skey, bin, sum(words) OVER (PARTITION BY skey ORDER BY bin) AS through FROM (SELECT skey, bin, sum(size) AS words FROM b GROUP BY skey, bin)),
+a AS (SELECT skey, max(bin) FILTER (through <= more) AS last_bin, max(through) FILTER (through <= more) AS spent, min(bin) FILTER (through > more) AS edge FROM m JOIN f USING (skey) GROUP BY skey),
+e AS (SELECT m.skey, source_size, target, whole, coalesce(last_bin, -1) AS last_bin, more - coalesce(spent, 0) AS rest, edge FROM m LEFT JOIN a USING (skey)),
+j AS (SELECT b.doc_id, b.size, b.bin, e.*, sum(b.size) OVER (PARTITION BY b.skey, b.bin ORDER BY b.u, b.doc_id ROWS UNBOUNDED PRECEDING) AS run FROM b JOIN e USING (skey))
+SELECT doc_id, size, source_size, target,
+  CAST(size * (whole + CASE WHEN whole < 3 AND (CASE WHEN edge IS NOT NULL AND bin = edge THEN run - size / 2.0 <= rest ELSE bin <= last_bin END) THEN 1 ELSE 0 END) AS BIGINT) AS taken
+FROM j
+"""
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram.ngram_components(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id")
 
 
+OP10_SQL = r"""
+WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' ')) WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS shingle FROM d),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * shared >= 80 * (x.n + y.n - shared)),
+e AS (SELECT a, b FROM l UNION SELECT b, a FROM l),
+r(doc_id, reached) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.reached)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS component_id FROM r LEFT JOIN n USING (doc_id) GROUP BY r.doc_id
+"""
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -154,4 +199,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op7_url_filter": OP7_SQL}
+    return {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_url_filter": OP7_SQL, "op9_mixing": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
