@@ -362,7 +362,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Words are what stands between ASCII white space, with A-Z lower-cased; texts with fewer than five words have their whole
     sequence as one shingle, null, empty and blank texts have none and link with nothing. component_id is the smallest doc_id that
-    links reach. Rows that repeat a doc_id are one node; rows with a null doc_id link with nothing. An empty table gives an empty
+    links reach. Rows that repeat a doc_id are one node, for which the first of its texts in their order speaks; rows with a null doc_id
+    link with nothing. An empty table gives an empty
     table, other columns are ignored.
     """
     spark = docs.sparkSession
@@ -373,7 +374,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     tokens = classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // TOKEN_BYTES
     left = survivors(classes, parts(tokens))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    sets = cut(full_sets(pick(rows, "doc_id", left, "inner").dropDuplicates(["doc_id"])), "sets")
+    picked = pick(rows, "doc_id", left, "inner").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("central").alias("central"))
+    sets = cut(full_sets(picked), "sets")
     groups = cut(stars(sets), "stars")
     tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     joined = cut(components(cut(outside_links(sets, groups, parts(tokens)), "links")), "components")
