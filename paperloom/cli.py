@@ -13,8 +13,7 @@ from pyspark.sql import functions as F
 from paperloom.operators import checks, dedup
 from paperloom.plans import package, runs
 from paperloom.session import local_session
-from paperloom.sources import files
-from paperloom.sources.rest import WorksSource
+from paperloom.sources import files, rest
 
 
 def parser() -> argparse.ArgumentParser:
@@ -65,7 +64,7 @@ def _offline(path: str):
 
 def _remote(url: str):
     def fetch(spark, q):
-        spark.dataSource.register(WorksSource)
+        rest.register(spark)
         raw = spark.read.format("scholarly_works").option("url", url).option("queries", json.dumps({q["query_id"]: q["keyword"]})).option("max_results", q["limit"]).load()
         works = raw.select(F.col("at").cast("long").alias("pos"), F.from_json("work", files.WORK).alias("w")).select("pos", "w.*")
         return files.clean(files.project_works(works, q["keyword"]), q["keyword"], runs.now())

@@ -14,6 +14,7 @@ import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
+from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 #: What is asked of the service, and answers that are worth another try.
@@ -199,3 +200,9 @@ class WorksSource(DataSource):
 
     def reader(self, schema) -> DataSourceReader:
         return WorksReader(self.options)
+
+
+def register(spark: SparkSession) -> None:
+    """Make the source known to the session, with filters handed to it."""
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(WorksSource)

@@ -166,3 +166,34 @@ def test_streams(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert sorted((r["event_type"], r["n"]) for r in spark.sql("SELECT * FROM counted").collect()) == [("a", 2), ("b", 1)]
+
+
+def test_rest_source_reads_each_query_to_its_end(spark):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+    from urllib.parse import parse_qs, urlsplit
+
+    class Service(BaseHTTPRequestHandler):
+        def do_GET(self):  # noqa: N802
+            q = {k: v[0] for k, v in parse_qs(urlsplit(self.path).query).items()}
+            first = q["cursor"] == "*"
+            ids = ["W1", "W2"] if first else ["W2", "W3"]
+            works = [{"id": f"{q['search']}-{i}", "publication_year": 2020, "display_name": q.get("filter", "")} for i in ids]
+            data = json.dumps({"meta": {"next_cursor": "c" if first else None}, "results": works}).encode()
+            self.send_response(200)
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *a):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Service)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        rest.register(spark)
+        df = spark.read.format("scholarly_works").option("url", f"http://127.0.0.1:{server.server_port}/").option("queries", json.dumps({"a": "deep", "b": "sea"})).load().where("publication_year >= 2000")
+        rows = [(r["query_id"], json.loads(r["work"])) for r in df.collect()]
+    finally:
+        server.shutdown()
+    assert sorted(w["id"] for _, w in rows) == ["deep-W1", "deep-W2", "deep-W3", "sea-W1", "sea-W2", "sea-W3"]
+    assert {w["display_name"] for _, w in rows} == {"from_publication_date:2000-01-01"}
