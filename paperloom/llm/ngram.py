@@ -362,9 +362,8 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
     Words are what stands between ASCII white space, with A-Z lower-cased; texts with fewer than five words have their whole
     sequence as one shingle, null, empty and blank texts have none and link with nothing. component_id is the smallest doc_id that
-    links reach. Rows that repeat a doc_id are one node, for which the first of its texts in their order speaks; rows with a null doc_id
-    link with nothing. An empty table gives an empty
-    table, other columns are ignored.
+    links reach. Rows that repeat a doc_id are one node, for which the first of its texts in their order speaks; rows with a null
+    doc_id link with nothing. An empty table gives an empty table, other columns are ignored.
     """
     spark = docs.sparkSession
     parts_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
