@@ -8,6 +8,8 @@ distinct words walk the automaton together, one byte at a time; those that it do
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import hashlib
 import heapq
 import json
@@ -18,6 +20,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,7 +29,7 @@ from .shared import cut
 
 LEXICON_WORDS = 50_000
 #: Characters of text that a worker splits at once; a longer text is split alone.
-CHUNK_CHARS = 1_500_000
+CHUNK_CHARS = 1_000_000
 #: Words up to so many bytes are merged together; longer ones are merged one by one.
 TABLE_BYTES = (4, 8, 12, 16, 24, 32, 64)
 #: The automaton is refused beyond this size, as it goes to every executor.
@@ -339,10 +342,27 @@ def _texts(column: pa.Array) -> list[str]:
     return [t or "" for t in column.to_pylist()]
 
 
-def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, rows):
-            yield b.slice(at, rows)
+def release() -> None:
+    """Give memory that arrays have left behind back to the machine; a worker lives on after its task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
+def small_batches(batches: Iterator[pa.RecordBatch], rows: int = 1024, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and of so many bytes in their largest column unless a single row has more."""
+    try:
+        for b in batches:
+            sizes = [pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in b.columns if pa.types.is_binary(c.type) or pa.types.is_string(c.type)]
+            through = np.cumsum(np.max(sizes, axis=0)) if sizes else np.zeros(b.num_rows, np.int64)
+            at = 0
+            while at < b.num_rows:
+                before = through[at - 1] if at else 0
+                end = min(at + rows, b.num_rows, max(at + 1, int(np.searchsorted(through, before + most, side="right"))))
+                yield b.slice(at, end - at)
+                at = end
+    finally:
+        release()
 
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:

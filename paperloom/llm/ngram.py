@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import _texts, small_batches
+from .bpe import _texts, release, small_batches
 from .components import components
 from .pretoken import mix64, span_hashes
 from .shared import cut
@@ -40,7 +40,7 @@ ROUNDS = 4
 #: Sets of a group, and of the queries that it meets in one task.
 GROUP = 96
 #: Shingles of one partition in which they are counted.
-RANGE_TOKENS = 4_000_000
+RANGE_TOKENS = 2_000_000
 #: Ids up to this number are broadcast to pick rows by; more are joined.
 PICK_BROADCAST = 1_000_000
 TOKEN_BYTES = 6
@@ -189,6 +189,8 @@ def survivors(classes: DataFrame, parts: int) -> DataFrame:
             held_by = np.bincount(row[order], weights=more, minlength=len(rep)).astype(np.int64)
             shared = np.bincount(row[order[length > 1]], minlength=len(rep))
             hit = shared > 0
+            del tokens, row, order, length, more
+            release()
             yield pa.RecordBatch.from_arrays([pa.array(rep[hit]), pa.array(n[hit]), pa.array(shared[hit].astype(np.int64)), pa.array(held_by[hit])], names=["rep", "n", "shared", "held_by"])
 
     counted = _deal(classes, "prefix", TOKEN_BYTES, parts, ["rep", "n"]).mapInArrow(run, "rep long, n long, shared long, held_by long")

@@ -75,8 +75,11 @@ def split_words(texts: list[str]) -> Words:
     return Words(buf, edges[:-1], edges[1:], np.searchsorted(where, text_at))
 
 
-@cache
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+#: Powers are kept for texts of so many bytes; for longer ones they are computed each time.
+KEPT_POWERS = 1 << 21
+
+
+def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(BASE), -1, 1 << 64))
     out = []
     for base in (BASE, inverse):
@@ -86,11 +89,15 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return tuple(out)
 
 
+@cache
+def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
+    return _power_tables(KEPT_POWERS)
+
+
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of each span's bytes: a polynomial by prefix sums, then mixed with the length."""
     n = len(buf)
-    size = 1 << max(16, int(n).bit_length())
-    up, down = _powers(size) if size <= 1 << 23 else _powers.__wrapped__(size)
+    up, down = _kept_powers() if n < KEPT_POWERS else _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
     np.cumsum((buf.astype(np.uint64) + np.uint64(1)) * up[:n], out=sums[1:])
     h = (sums[ends] - sums[starts]) * down[starts]
