@@ -3,7 +3,8 @@
 Each half of a vector has a codebook of its own, and the pairs of codewords form the grid's cells. Every distinct vector is listed
 in its own cell and visits the cells nearest to it, in the order of the multi-sequence traversal, as many as reach TARGET_RECALL
 for pairs just at the threshold; a pair is found if either vector visits the other's cell. What is found is verified by cosine
-in double precision. Codebooks and the number of visits are fitted on a bounded sample; the index and the visits take all rows.
+in double precision. Codebooks are fitted on a sample that grows with the codewords, the number of visits on other rows, which no
+codebook has seen, and up to all cells; the index and the visits take all rows.
 
 Equal vectors are counted before they move and take part once. A cell with many vectors is cut into blocks, and so are its
 visitors, so the comparisons of a hot cell are even pieces; a block hands on counts and a spanning forest, never its pairs.
@@ -20,12 +21,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .bpe import small_batches
 from .components import components
 from .shared import cut
 
 THRESHOLD = 0.95
-#: Rows on which codebooks and visits are fitted, at most about so many.
-SAMPLE_ROWS = 8192
+#: Rows on which codebooks are fitted: about so many, or so many a codeword of a half if that is more.
+SAMPLE_ROWS, WORD_ROWS = 8192, 64
+#: Rows held out from them, about, on which visits are fitted; with fewer than the least every cell is visited.
+HELD_ROWS, LEAST_HELD = 4096, 64
 #: Vectors that a cell holds on average; codewords of a half at least and at most.
 CELL_ROWS, LEAST_WORDS, MOST_WORDS = 128, 4, 1024
 TARGET_RECALL = 0.995
@@ -51,13 +55,17 @@ class MultiIndex:
 
     @staticmethod
     def _means(rows: np.ndarray, words: int, rounds: int) -> np.ndarray:
+        if not rows.shape[1]:
+            return rows[:1]
         centres = rows[np.linspace(0, len(rows) - 1, words).astype(int)].copy()
-        for _ in range(rounds if rows.shape[1] else 0):
-            near = ((centres * centres).sum(axis=1) - 2 * rows @ centres.T).argmin(axis=1)
-            size = np.bincount(near, minlength=words)
+        for _ in range(rounds):
+            at = range(0, len(rows), 4096)
+            near = np.concatenate([((centres * centres).sum(axis=1) - 2 * rows[k : k + 4096] @ centres.T).argmin(axis=1) for k in at])
+            size = np.bincount(near, minlength=len(centres))
             sums = np.zeros_like(centres)
             np.add.at(sums, near, rows)
-            centres[size > 0] = sums[size > 0] / size[size > 0, None]
+            # A codeword without rows, such as a second one at the same place, would only add empty cells.
+            centres = sums[size > 0] / size[size > 0, None]
         return centres
 
     def visits(self, rows: np.ndarray, n: int) -> np.ndarray:
@@ -80,21 +88,38 @@ class MultiIndex:
                         heapq.heappush(heap, (d1[a] + d2[b], a, b))
         return out
 
-    def visits_for(self, sample: np.ndarray, threshold: float, recall: float, seed: int = 5) -> tuple[int, float]:
-        """(visits, recall) on pairs of the sample's rows with rows that are exactly ``threshold`` away from them."""
+    def cells(self) -> int:
+        return len(self.books[0]) * len(self.books[1])
+
+    def _met(self, rows: np.ndarray, other: np.ndarray) -> np.ndarray:
+        """The visits after which each of the rows has met the home cell of its ``other``."""
+        parts = (rows[:, : self.half], other[:, : self.half]), (rows[:, self.half :], other[:, self.half :])
+        far, home = [], []
+        for (r, o), b in zip(parts, self.books, strict=True):
+            norm = (b * b).sum(axis=1)
+            f = norm - 2 * r @ b.T
+            home.append(f[np.arange(len(f)), (norm - 2 * o @ b.T).argmin(axis=1)])
+            far.append(np.sort(f, axis=1))
+        # Ties, and sums that differ by rounding, count as visited before.
+        limit = home[0] + home[1] + 1e-12
+        return np.array([np.searchsorted(far[1][k], limit[k] - far[0][k], side="right").sum() for k in range(len(rows))])
+
+    def visits_for(self, held: np.ndarray, threshold: float, recall: float, seed: int = 5) -> int:
+        """The visits that find ``recall`` of the pairs of held rows with rows exactly ``threshold`` away; all cells find any pair."""
+        if len(held) < LEAST_HELD:
+            return self.cells()
         rng = np.random.default_rng(seed)
-        rows = sample[:2000]
+        rows = np.resize(held, (max(len(held), HELD_ROWS), held.shape[1]))
         noise = rng.normal(size=rows.shape)
         noise -= (noise * rows).sum(axis=1)[:, None] * rows
         length = np.sqrt((noise * noise).sum(axis=1))
         other = threshold * rows + np.sqrt(1 - threshold**2) * noise / np.where(length > 0, length, 1)[:, None]
-        most = min(64, len(self.books[0]) * len(self.books[1]))
-        a, b = self.visits(rows, most), self.visits(other, most)
-        met = np.minimum(np.where((a == b[:, :1]).any(1), (a == b[:, :1]).argmax(1), most), np.where((b == a[:, :1]).any(1), (b == a[:, :1]).argmax(1), most))
-        for n in range(1, most + 1):
-            if (met < n).mean() >= recall:
-                break
-        return n, float((met < n).mean())
+        met = []
+        for k in range(0, len(rows), 1024):
+            a, b = rows[k : k + 1024], other[k : k + 1024]
+            met.append(np.minimum(self._met(a, b), self._met(b, a)))
+        met = np.sort(np.concatenate(met))
+        return int(min(met[int(np.ceil(recall * len(met))) - 1], self.cells()))
 
 
 def _block_links(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -136,6 +161,25 @@ def _block_links(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "links": links, "reached": ids[low]})
 
 
+def fitted(classes: DataFrame, n: int, threshold: float) -> tuple[MultiIndex, int]:
+    """The index for the n vectors of classes, which are of one length, and how many cells each of them visits."""
+    words = int(min(max(LEAST_WORDS, round((n / CELL_ROWS) ** 0.5)), MOST_WORDS))
+    share = min(1.0, (max(SAMPLE_ROWS, WORD_ROWS * words) + HELD_ROWS) / n)
+    out = min(HELD_ROWS / n, share / 5)
+    drawn = classes.select("embedding", (F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2**30)) / 2**30).alias("draw")).where(F.col("draw") < share)
+    sample = drawn.toArrow()
+    apart = sample.column("draw").to_numpy() < out
+    if apart.all():
+        sample, apart = classes.select("embedding", F.lit(1.0).alias("draw")).limit(SAMPLE_ROWS).toArrow(), np.zeros(min(n, SAMPLE_ROWS), bool)
+    points = unit(sample.column("embedding").combine_chunks().flatten().to_numpy().reshape(len(apart), -1))
+    # In an order that is the same on each run.
+    order = np.lexsort((points[:, 0], sample.column("draw").to_numpy()))
+    points, apart = points[order], apart[order]
+    held, points = points[apart], points[~apart]
+    index = MultiIndex.fit(points, min(words, len(points)))
+    return index, index.visits_for(held, threshold, TARGET_RECALL)
+
+
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links (other vectors linked directly), component_id, kept.
 
@@ -155,15 +199,10 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     classes = good.where("good").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("node", F.coalesce("vec_id", F.xxhash64("embedding"))).select("node", "copies", "embedding"), "classes")
     n = classes.count()
-    share = min(1.0, SAMPLE_ROWS / n)
-    sample = classes.where(F.pmod(F.xxhash64("node", F.lit(3)), F.lit(2**30)) < share * 2**30).select("embedding").collect() or classes.select("embedding").limit(SAMPLE_ROWS).collect()
-    points = unit(np.array([r[0] for r in sample]))
-    words = int(min(max(LEAST_WORDS, round((n / CELL_ROWS) ** 0.5)), MOST_WORDS, len(points)))
-    index = MultiIndex.fit(points, words)
-    n_visits, _ = index.visits_for(points, threshold, TARGET_RECALL)
+    index, n_visits = fitted(classes, n, threshold)
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in small_batches(batches, 1024):
             if b.num_rows:
                 cells = index.visits(unit(np.array(b.column(2).to_pylist())), n_visits)
                 yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells[:, 0].copy()), pa.array(list(cells), pa.list_(pa.int64()))], names=["node", "copies", "embedding", "home", "cells"])

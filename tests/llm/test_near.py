@@ -106,6 +106,32 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert [r["n_links"] for r in vectors.near_vectors(df.where("vec_id = 1")).collect()] == [0]
 
 
+def test_links_near_the_threshold_in_a_fine_grid(spark, monkeypatch):
+    """100 codewords a half on a sample of two rows for each: visits fitted on the rows that trained them are too few."""
+    monkeypatch.setattr(vectors, "CELL_ROWS", 0.4)
+    monkeypatch.setattr(vectors, "SAMPLE_ROWS", 200)
+    x, noise = points(2000, 64, 4), points(2000, 64, 5)
+    noise -= (noise * x).sum(axis=1)[:, None] * x
+    y = 0.9501 * x + (1 - 0.9501**2) ** 0.5 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    rows = np.concatenate([x, y])
+    df = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(rows)], "vec_id long, embedding array<double>").repartition(4)
+    found = sum(r["n_links"] for r in vectors.near_vectors(df).collect())
+    u = vectors.unit(rows)
+    all_links = (u @ u.T >= 0.95).sum() - len(u)
+    print("links", found, "of", all_links)
+    assert all_links >= 4000 and 0.99 * all_links <= found <= all_links
+
+
+def test_visits_reach_the_recall_on_rows_no_codebook_has_seen():
+    index = vectors.MultiIndex.fit(points(4096, 64, 6), 512)
+    n = index.visits_for(points(2000, 64, 7), 0.95, 0.995)
+    x, noise = points(2000, 64, 8), points(2000, 64, 9)
+    noise -= (noise * x).sum(axis=1)[:, None] * x
+    y = 0.95 * x + (1 - 0.95**2) ** 0.5 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    a, b = index.visits(x, n), index.visits(y, n)
+    assert n > 64 and ((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)).mean() >= 0.99
+
+
 def test_traversal_visits_the_nearest_cells():
     x = points(500, 16, 3)
     index = vectors.MultiIndex.fit(x, 6)
