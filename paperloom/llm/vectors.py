@@ -183,32 +183,44 @@ def fitted(classes: DataFrame, n: int, threshold: float) -> tuple[MultiIndex, in
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """One row per row of vectors: vec_id, n_links (other vectors linked directly), component_id, kept.
 
-    Vectors that are null, zero or empty, hold a null or a non-finite component, or have not the most frequent length link with
-    nothing, and so are components of their own. Rows that repeat a vector count as vectors of their own, rows that repeat an id
+    Vectors that are null, zero or empty, or hold a null or a non-finite component link with nothing, and so are components of
+    their own; vectors of different lengths never link. The most frequent length, and each with more than BLOCK_ROWS vectors, has
+    an index of its own; a length with fewer is one cell, in which all pairs are compared. Rows that repeat a vector count as vectors of their own, rows that repeat an id
     too; a null id has links but takes the component of its links' ids. Few rows, and none, work as many do. Other columns,
     labels too, are ignored.
     """
     e = F.col(vector_col)
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")), "vectors")
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
-    # Minus zero groups with zero; F.size of a null array is not a length of any vector.
-    lengths = rows.where(F.coalesce(sound, F.lit(False))).groupBy(F.size("embedding").alias("d")).count().orderBy(F.desc("count"), "d").limit(1).collect()
-    if not lengths:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    good = rows.withColumn("good", F.coalesce(sound & (F.size("embedding") == lengths[0]["d"]), F.lit(False)))
+    # Minus zero groups with zero.
+    good = rows.withColumn("good", F.coalesce(sound, F.lit(False)))
     classes = good.where("good").groupBy("embedding").agg(F.min("vec_id").alias("vec_id"), F.count("*").alias("copies"))
     classes = cut(classes.withColumn("node", F.coalesce("vec_id", F.xxhash64("embedding"))).select("node", "copies", "embedding"), "classes")
-    n = classes.count()
-    index, n_visits = fitted(classes, n, threshold)
+    lengths = cut(classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")), "lengths")
+    first = lengths.orderBy(F.desc("n"), "d").limit(1).collect()
+    if not first:
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+    large = {r["d"]: r["n"] for r in [*first, *lengths.where(F.col("n") > BLOCK_ROWS).collect()]}
+    # Cells of an index start at a number of its own; the cell of a length without one is minus the length.
+    indexes = {d: (*fitted(classes.where(F.size("embedding") == d), large[d], threshold), k * MOST_WORDS**2) for k, d in enumerate(sorted(large))}
 
     def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 1024):
-            if b.num_rows:
-                cells = index.visits(unit(np.array(b.column(2).to_pylist())), n_visits)
-                yield pa.RecordBatch.from_arrays([*b.columns, pa.array(cells[:, 0].copy()), pa.array(list(cells), pa.list_(pa.int64()))], names=["node", "copies", "embedding", "home", "cells"])
+            vectors = b.column(2).to_pylist()
+            of_length: dict[int, list[int]] = {}
+            for at, v in enumerate(vectors):
+                of_length.setdefault(len(v), []).append(at)
+            cells = [np.zeros(0, np.int64)] * len(vectors)
+            for d, ats in of_length.items():
+                index, n_visits, base = indexes.get(d, (None, 1, -d))
+                visited = index.visits(unit(np.array([vectors[at] for at in ats])), n_visits) if index else np.zeros((len(ats), 1), np.int64)
+                for at, row in zip(ats, visited + base, strict=True):
+                    cells[at] = row
+            home = pa.array([c[0] for c in cells], pa.int64())
+            yield pa.RecordBatch.from_arrays([*b.columns, home, pa.array(cells, pa.list_(pa.int64()))], names=["node", "copies", "embedding", "home", "cells"])
 
     placed = cut(classes.mapInArrow(visit, "node long, copies long, embedding array<double>, home long, cells array<long>"), "placed")
-    # At most one row per cell of the grid, and the grid is bounded by MOST_WORDS.
+    # At most one row per cell of a grid, and a grid is bounded by MOST_WORDS.
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
     held = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("members"))
     came = placed.select(F.explode("cells").alias("cell")).groupBy("cell").agg(F.count("*").alias("visitors"))

@@ -106,6 +106,24 @@ def test_vectors_against_all_pairs(spark, monkeypatch):
     assert [r["n_links"] for r in vectors.near_vectors(df.where("vec_id = 1")).collect()] == [0]
 
 
+def test_vectors_of_rarer_lengths_link_too(spark, monkeypatch):
+    monkeypatch.setattr(vectors, "BLOCK_ROWS", 40)
+    rng = np.random.default_rng(3)
+    rows = []
+    # The most frequent length, one with an index of its own, two that are a cell each, and single numbers.
+    for n, d in ((200, 8), (60, 6), (15, 5), (1, 3)):
+        x = points(n, d, d)
+        rows += [r.tolist() for r in [*x, *(x[: n // 3] + 0.05 * rng.normal(size=(n // 3, d))), *(2 * x[:2])]]
+    rows += [[3.0], [-2.0], [3.0], rows[-1], rows[0]]
+    order = rng.permutation(len(rows)).tolist()
+    rows = [rows[i] for i in order]
+    df = spark.createDataFrame(list(enumerate(rows)), "vec_id long, embedding array<double>").repartition(3)
+    got = {r["vec_id"]: (r["n_links"], r["component_id"], r["kept"]) for r in vectors.near_vectors(df).collect()}
+    alike = lambda a, b: len(rows[a]) == len(rows[b]) and np.dot(rows[a], rows[b]) >= 0.95 * np.linalg.norm(rows[a]) * np.linalg.norm(rows[b])
+    want = parts(range(len(rows)), alike)
+    assert got == {i: (sum(alike(i, j) for j in range(len(rows)) if j != i), want[i], want[i] == i) for i in range(len(rows))}
+
+
 def test_links_near_the_threshold_in_a_fine_grid(spark, monkeypatch):
     """100 codewords a half on a sample of two rows for each: visits fitted on the rows that trained them are too few."""
     monkeypatch.setattr(vectors, "CELL_ROWS", 0.4)
