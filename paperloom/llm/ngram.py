@@ -121,7 +121,7 @@ def _numbers(column: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, n, s1, s2 and the prefix of every row."""
+    """doc_id, n, s1, s2, the prefix and a hash of id and text of every row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 512):
@@ -131,10 +131,10 @@ def profiles(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             s2 = [int(mix64(s ^ _FACTORS[1]).sum(dtype=np.uint64).view(np.int64)) for s in sets]
             lengths = prefix_length(n)
             flat = np.concatenate([s[:k] for s, k in zip(sets, lengths, strict=True)]) if len(sets) else np.zeros(0, np.uint64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _binary(flat, lengths, TOKEN_BYTES)], names=["doc_id", "n", "s1", "s2", "prefix"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n), pa.array(s1, pa.int64()), pa.array(s2, pa.int64()), _binary(flat, lengths, TOKEN_BYTES), b.column(2)], names=["doc_id", "n", "s1", "s2", "prefix", "row_key"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary")
+    return rows.withColumn("row_key", F.xxhash64("doc_id", "text")).mapInArrow(run, "doc_id long, n long, s1 long, s2 long, prefix binary, row_key long")
 
 
 def _deal(table: DataFrame, tokens: str, width: int, parts: int, keep: list[str]) -> DataFrame:
@@ -359,23 +359,60 @@ def outside_links(sets: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
     return asks.unionByName(holds).groupBy("family", "q", "g").applyInPandas(_open_groups, "a long, b long")
 
 
+def joined_by_ids(named: DataFrame, classes: DataFrame, several: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rep, component) when the classes of one id are joined too, and (known, of_id), the component of each of these ids.
+
+    A component is named by its smallest doc_id, since the numbers of classes may be none.
+    """
+    rows = named.where("n > 0").join(several.select(F.col("doc_id").alias("s")), F.col("doc_id") == F.col("s"), "left_semi").select("doc_id", F.col("n").alias("rn"), F.col("s1").alias("r1"), F.col("s2").alias("r2")).distinct()
+    of_class = rows.join(classes, (F.col("n") == F.col("rn")) & (F.col("s1") == F.col("r1")) & (F.col("s2") == F.col("r2")))
+    members = cut(of_class.select("doc_id", "rep"), "members-of-ids")
+    # The id speaks as the node of one of its classes: the number of an id may be a class's own.
+    meeting = members.groupBy("doc_id").agg(F.min("rep").alias("b"))
+    edges = members.join(meeting.withColumnRenamed("doc_id", "m"), F.col("doc_id") == F.col("m")).select(F.col("rep").alias("a"), "b")
+    whole = cut(components(edges.unionByName(found.select(F.col("rep").alias("a"), F.col("component").alias("b")))), "joined")
+    firsts = classes.select("rep", "first").join(whole, F.col("rep") == F.col("node"), "left").select("rep", "first", F.coalesce("component", "rep").alias("at"))
+    firsts = cut(firsts, "firsts")
+    least = firsts.groupBy("at").agg(F.min("first").alias("component")).withColumnRenamed("at", "l")
+    told = cut(firsts.join(least, F.col("at") == F.col("l")).select("rep", "component"), "of-classes")
+    of_id = members.join(told.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r")).groupBy(F.col("doc_id").alias("known")).agg(F.min("component").alias("of_id"))
+    return told, of_id
+
+
 def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id.
 
     Words are what stands between ASCII white space, with A-Z lower-cased; texts with fewer than five words have their whole
     sequence as one shingle, null, empty and blank texts have none and link with nothing. component_id is the smallest doc_id that
-    links reach. Rows that repeat a doc_id are one node, for which the first of its texts in their order speaks; rows with a null
-    doc_id link with nothing. An empty table gives an empty table, other columns are ignored.
+    links reach. Rows that repeat a doc_id are one node, which has the links of all its texts; n_shingles is that of the row's own.
+    Rows with a null doc_id link with nothing. An empty table gives an empty table, other columns are ignored.
     """
     spark = docs.sparkSession
     parts_least = int(spark.conf.get("spark.sql.shuffle.partitions"))
     profile = cut(profiles(docs, id_col, text_col), "profiles")
-    classes = cut(profile.where("n > 0 AND doc_id IS NOT NULL").groupBy("n", "s1", "s2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("size"), F.first("prefix").alias("prefix")), "classes")
+    named = profile.where("doc_id IS NOT NULL")
+    key = ["n", "s1", "s2"]
+    classes = named.where("n > 0").groupBy(*key).agg(F.min(F.struct("doc_id", "row_key")).alias("row"), F.count("*").alias("size"), F.first("prefix").alias("prefix"))
+    classes = cut(classes.select(F.col("row.doc_id").alias("rep"), F.col("row.doc_id").alias("first"), F.col("row.row_key").alias("row_key"), *key, "size", "prefix"), "classes")
+    # Ids that stand on rows with different sets.
+    several = named.groupBy("doc_id").agg(F.min(F.struct(*key)).alias("least"), F.max(F.struct(*key)).alias("most")).where("least <> most")
+    several = cut(several.select("doc_id"), "several")
+    repeated = bool(several.take(1))
+    if repeated:
+        # A class that such an id is the first of takes a number of its own.
+        shared = several.select(F.col("doc_id").alias("s"))
+        classes = classes.join(shared, F.col("first") == F.col("s"), "left").withColumn("rep", F.when(F.col("s").isNull(), F.col("first")).otherwise(F.xxhash64("first", *key))).drop("s")
+        classes = cut(classes, "numbered")
     parts = lambda total: max(min(parts_least, 12), -(-total // RANGE_TOKENS))
     tokens = classes.agg(F.coalesce(F.sum(F.octet_length("prefix")), F.lit(0))).first()[0] // TOKEN_BYTES
     left = survivors(classes, parts(tokens))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    picked = pick(rows, "doc_id", left, "inner").groupBy("doc_id").agg(F.min("text").alias("text"), F.min("central").alias("central"))
+    if repeated:
+        own = left.join(classes.select(F.col("rep").alias("r"), "first", "row_key"), F.col("rep") == F.col("r")).select("row_key", "first", "rep", "central")
+        picked = pick(rows.withColumn("key", F.xxhash64("doc_id", "text")), "key", own, "inner").where("doc_id = first").withColumn("doc_id", F.col("rep"))
+    else:
+        picked = pick(rows, "doc_id", left, "inner")
+    picked = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("central").alias("central"))
     sets = cut(full_sets(picked), "sets")
     groups = cut(stars(sets), "stars")
     tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
@@ -383,11 +420,17 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     of_group = groups.join(joined, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("component"))
     alone = joined.join(groups.withColumnRenamed("rep", "r"), F.col("node") == F.col("r"), "left_anti").select(F.col("node").alias("rep"), "component")
     found = cut(of_group.unionByName(alone), "found")
+    if repeated:
+        found, of_id = joined_by_ids(named, classes, several, found)
     told = classes.drop("prefix").join(found.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left").where("size > 1 OR component IS NOT NULL")
-    told = cut(told.select(F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component", "rep").alias("component")), "told")
-    rows = profile.select("doc_id", "n", "s1", "s2")
+    told = cut(told.select(F.col("n").alias("cn"), F.col("s1").alias("c1"), F.col("s2").alias("c2"), F.coalesce("component", "first").alias("component")), "told")
+    rows = profile.select("doc_id", *key)
     same = (F.col("n") == F.col("cn")) & (F.col("s1") == F.col("c1")) & (F.col("s2") == F.col("c2")) & F.col("doc_id").isNotNull()
-    return rows.join(told, same, "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    out = rows.join(told, same, "left")
+    if repeated:
+        # An id's rows without shingles go where its other rows go.
+        out = out.join(of_id, F.col("doc_id") == F.col("known"), "left").withColumn("component", F.coalesce("component", "of_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
 
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

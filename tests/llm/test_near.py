@@ -75,6 +75,30 @@ def test_no_rows_and_repeated_ids(spark):
     assert sorted(r["doc_id"] or 0 for r in ngram.keep_one_of_each(frame(spark, rows)).collect()) == [0, 0, 1, 1]
 
 
+def test_repeated_ids_with_different_texts(spark):
+    """Every text of an id is compared, and its rows are one node."""
+    rng = random.Random(9)
+    a, b, c, d = (text(rng, 60) for _ in range(4))
+    near = edited(rng, b, 1)
+    assert a < b or (a := "a " + a) < b
+    got = lambda rows: sorted((r["doc_id"], r["component_id"]) for r in ngram.ngram_components(frame(spark, [(i, t, "", "", 0) for i, t in rows])).collect())
+    # 6 and 7 are near copies, 6 stands on one row only, and the class of 6 begins with the 5 that is also another text's.
+    assert got([(5, a), (5, b), (6, b), (7, near), (8, d)]) == [(5, 5), (5, 5), (6, 5), (7, 5), (8, 8)]
+    assert sorted(r["doc_id"] for r in ngram.keep_one_of_each(frame(spark, [(i, t, "", "", 0) for i, t in [(5, a), (5, b), (6, b), (7, near)]])).collect()) == [5, 5]
+    # Links that meet in an id alone, a blank row of such an id, and a smaller id behind it.
+    rows = [(9, c), (9, ""), (9, near), (4, c), (2, b), (2, d), (11, d), (12, a), (3, a), (None, a)]
+    assert got(rows[:-1]) == [(2, 2), (2, 2), (3, 3), (4, 2), (9, 2), (9, 2), (9, 2), (11, 2), (12, 3)]
+    # Many texts of many ids, against plain code.
+    texts = [text(rng, 40) for _ in range(12)]
+    texts += [edited(rng, rng.choice(texts), rng.choice([1, 1, 4])) for _ in range(30)]
+    rows = [(rng.randrange(40), t) for t in texts for _ in range(rng.choice([1, 2]))]
+    sets = list(sets_of(enumerate(t for _, t in rows)).values())
+    like = lambda i, j: rows[i][0] == rows[j][0] or 100 * len(sets[i] & sets[j]) >= 80 * len(sets[i] | sets[j])
+    of_row = parts(range(len(rows)), like)
+    least = {p: min(rows[i][0] for i in of_row if of_row[i] == p) for p in set(of_row.values())}
+    assert got(rows) == sorted((rows[i][0], least[of_row[i]]) for i in of_row)
+
+
 def points(n, d, seed):
     rng = np.random.default_rng(seed)
     x = rng.normal(size=(n, d))
