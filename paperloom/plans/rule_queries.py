@@ -132,13 +132,14 @@ def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query()
 def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The files of a package with their size and digest."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").load(f"{sf_dir}/nation.parquet")
-    return f.select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    """The files of a package, of all its tables, with their size and digest; a table's part files are named by the table too."""
+    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(sf_dir)
+    return f.select(F.regexp_extract("path", r"[^/]+\.parquet(?:/.*)?$", 0).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 @query()
 def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a delimited text with more fields than its header."""
-    lines = table(spark, sf_dir, "nation").select("n_nationkey", F.concat_ws(",", F.col("n_name"), F.col("n_regionkey").cast("string"), F.when(F.col("n_nationkey") % 5 == 0, "extra")).alias("line"))
-    return lines.where(F.size(F.split("line", ",", -1)) > 2).select("n_nationkey", "line")
+    extra = F.when(F.col("o_orderkey") % 5 == 0, "extra")
+    lines = table(spark, sf_dir, "orders").select("o_orderkey", F.concat_ws(",", F.col("o_orderstatus"), F.col("o_custkey").cast("string"), extra).alias("line"))
+    return lines.where(F.size(F.split("line", ",", -1)) > 2).select("o_orderkey", "line")

@@ -1,6 +1,8 @@
 """Every query with SQL against that SQL, on the smallest tables."""
 
+import hashlib
 import math
+import shutil
 from pathlib import Path
 
 import duckdb
@@ -37,3 +39,20 @@ def test_query(spark, db, name):
     names = [d[0] for d in found.description]
     assert sorted(names) == columns
     assert got == sorted(tuple(plain(r[names.index(c)]) for c in columns) for r in found.fetchall())
+
+
+def test_files_of_all_tables(spark, tmp_path):
+    if not SF.is_dir():
+        pytest.skip("no test tables")
+    for n, to in (("nation", "nation.parquet"), ("region", "region.parquet"), ("labels", "labels.parquet/part-0.parquet"), ("pages", "pages.parquet/part-0.parquet")):
+        (tmp_path / to).parent.mkdir(exist_ok=True)
+        shutil.copy(SF / f"{n}.parquet", tmp_path / to)
+    want = {str(p.relative_to(tmp_path)): p.read_bytes() for p in tmp_path.rglob("*.parquet") if p.is_file()}
+    got = registry.queries()["file_sha256"](spark, str(tmp_path)).collect()
+    assert sorted(map(tuple, got)) == sorted((f, len(b), hashlib.sha256(b).hexdigest()) for f, b in want.items())
+
+
+def test_ragged_lines_of_orders(spark, db):
+    got = [tuple(r) for r in registry.queries()["csv_ragged"](spark, str(SF)).collect()]
+    want = db.execute("SELECT o_orderkey, concat_ws(',', o_orderstatus, o_custkey, 'extra') FROM orders WHERE o_orderkey % 5 = 0").fetchall()
+    assert got and sorted(got) == sorted(want)
