@@ -1,4 +1,4 @@
-"""Exact dedup over an extendible-hash index in the shared folder, with DataFrame operations only.
+"""Exact dedup by a grouping, with an extendible-hash index of its groups in the shared folder; DataFrame operations only.
 
 1. Heap file: every row's doc_id, 64-bit hash, SHA-256 and normalised text are written to the shared folder.
 2. Chains: equal texts meet in a grouping on (hash, text), which compares the bytes; copies are counted before they move, so a
@@ -6,7 +6,7 @@
 3. Directory: the hashes' leading bits are counted, and a directory of depth 0 doubles until no bucket that can be split is
    overfull. Its depth, and so what the driver and the broadcast hold, is bounded by MAX_DEPTH; fuller buckets chain on.
 4. Index files: every entry is written under its bucket by the task that owns the bucket's range of keys.
-5. Probe: rows of texts that occur once need none; the others are joined with the index by (bucket, hash, SHA-256).
+5. Rows are joined with the entries of groups by (hash, SHA-256). Buckets and chain numbers take no part in that.
 """
 
 from __future__ import annotations
