@@ -15,6 +15,7 @@ import heapq
 import json
 import mmap
 import os
+import re
 import tempfile
 from collections.abc import Iterable, Iterator
 
@@ -24,14 +25,18 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .pretoken import gather_spans, span_hashes, split_words
+from .pretoken import CHUNK_CHARS, distinct_spans, gather_spans, segments, split_words
 from .shared import cut
 
 LEXICON_WORDS = 50_000
-#: Characters of text that a worker splits at once; a longer text is split alone.
-CHUNK_CHARS = 1_000_000
+#: Slices of the words with like counts of which only a part enters the lexicon.
+SLICES = 1024
+#: Bytes of a word of the lexicon, at most.
+LEXICON_WORD = 64
 #: Words up to so many bytes are merged together; longer ones are merged one by one.
-TABLE_BYTES = (4, 8, 12, 16, 24, 32, 64)
+TABLE_BYTES = (4, 8, 12, 16, 24, 32, 64, 96, 128, 192, 256)
+#: Ids that are decoded at once.
+DECODE_IDS = 1 << 18
 #: The automaton is refused beyond this size, as it goes to every executor.
 MAX_LEXICON_BYTES = 64 << 20
 NONE, PAD = np.int32(2**31 - 1), 0xFFFF
@@ -55,6 +60,7 @@ class Vocabulary:
             raise ValueError("a plain byte-level BPE vocabulary is needed")
         ids, chars = model["vocab"], byte_chars()
         self.special = {t["content"]: t["id"] for t in spec["added_tokens"]}
+        self.special_split = re.compile("(" + ("|".join(map(re.escape, sorted(self.special, key=len, reverse=True))) or r"(?!)") + ")")
         to_byte = {c: b for b, c in enumerate(chars)}
         n = max([*ids.values(), *self.special.values()]) + 1
         if n > PAD:
@@ -166,7 +172,8 @@ class Vocabulary:
             ranks[right, best[right]] = self.ranks(ids[right, best[right]], ids[right, best[right] + 1])
 
     def decode(self, ids: np.ndarray) -> str:
-        return gather_spans(self.flat, self.flat_at[ids], self.flat_len[ids]).tobytes().decode("utf-8", "replace")
+        pieces = (ids[i : i + DECODE_IDS] for i in range(0, len(ids), DECODE_IDS))
+        return b"".join(gather_spans(self.flat, self.flat_at[p], self.flat_len[p]).tobytes() for p in pieces).decode("utf-8", "replace")
 
 
 class Transducer:
@@ -279,7 +286,7 @@ class Encoder:
         self.vocabulary, self.transducer = vocabulary, transducer
 
     def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, in pieces that no character of CHUNK_CHARS crosses unless the text is longer."""
+        """The ids of each text; texts go together up to CHUNK_CHARS characters, and longer ones in segments."""
         out: list[np.ndarray] = []
         chunk: list[str] = []
         size = 0
@@ -305,20 +312,18 @@ class Encoder:
         return [np.concatenate(arrays[a:b]) if b > a else np.zeros(0, np.uint16) for a, b in zip([0, *ends], ends, strict=False)]
 
     def _pieces(self, text: str) -> list[str | int]:
-        out: list[str | int] = []
-        while text:
-            at, token = min(((text.find(s), s) for s in self.vocabulary.special if s in text), default=(-1, ""))
-            if at < 0:
-                return [*out, text]
-            if at:
-                out.append(text[:at])
-            out.append(self.vocabulary.special[token])
-            text = text[at + len(token) :]
-        return out
+        special = self.vocabulary.special
+        return [special.get(p, p) for p in self.vocabulary.special_split.split(text) if p]
 
     def _plain(self, texts: list[str]) -> list[np.ndarray]:
+        if len(texts) == 1 and len(texts[0]) > CHUNK_CHARS:
+            pieces = list(segments(texts[0]))
+            if len(pieces) > 1:
+                return [np.concatenate([self._plain([p])[0] for p in pieces])]
+        elif max(map(len, texts), default=0) > CHUNK_CHARS:
+            return [self._plain([t])[0] for t in texts]
         words = split_words(texts)
-        _, first, inverse = np.unique(span_hashes(words.buf, words.starts, words.ends), return_index=True, return_inverse=True)
+        first, inverse = distinct_spans(words.buf, words.starts, words.ends)
         starts, lengths = words.starts[first], (words.ends - words.starts)[first]
         counts, at, flat = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64), np.zeros(0, np.uint16)
         unseen = np.arange(len(first))
@@ -370,34 +375,46 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches):
-            w = split_words(_texts(b.column(0)))
-            if not len(w.starts):
-                continue
-            _, first, n = np.unique(span_hashes(w.buf, w.starts, w.ends), return_index=True, return_counts=True)
-            lengths = (w.ends - w.starts)[first]
-            offsets = np.zeros(len(first) + 1, np.int32)
-            np.cumsum(lengths, out=offsets[1:])
-            data = gather_spans(w.buf, w.starts[first], lengths)
-            words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
-            yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n"])
+            texts = _texts(b.column(0))
+            for piece in segments(texts[0]) if len(texts) == 1 else [texts]:
+                w = split_words([piece] if isinstance(piece, str) else piece)
+                if not len(w.starts):
+                    continue
+                first, inverse = distinct_spans(w.buf, w.starts, w.ends)
+                n, lengths = np.bincount(inverse), (w.ends - w.starts)[first]
+                offsets = np.zeros(len(first) + 1, np.int32)
+                np.cumsum(lengths, out=offsets[1:])
+                data = gather_spans(w.buf, w.starts[first], lengths)
+                words = pa.Array.from_buffers(pa.binary(), len(first), [None, pa.py_buffer(offsets), pa.py_buffer(np.ascontiguousarray(data))])
+                yield pa.RecordBatch.from_arrays([words, pa.array(n, pa.int64())], names=["word", "n"])
 
     return docs.select(text_col).mapInArrow(count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def frequent_words(docs: DataFrame, most: int, text_col: str = "text") -> list[bytes]:
-    """At most ``most`` words: all those that occur at least as often as some bound, which is as low as that allows.
+    """At most ``most`` words, the most frequent in front.
 
-    The bound comes from the words' counts in bins of equal ratio, of which there are at most a few hundred; so no task hands the
+    Words are counted in bins of equal ratio of their counts, of which there are at most a few hundred, and bins are taken from the
+    top while they fit. Of the first one that does not, slices by the words' hash are taken while they fit. So no task hands the
     driver more than its part of the words that are taken. Words that occur once are not taken.
     """
-    counts = cut(count_words(docs, text_col).where((F.col("n") > 1) & (F.length("word") <= TABLE_BYTES[-1])).withColumn("bin", F.floor(F.log2("n") * 8).cast("int")), "words")
-    taken, lowest = 0, None
+    counts = count_words(docs, text_col).where((F.col("n") > 1) & (F.length("word") <= LEXICON_WORD))
+    counts = cut(counts.select("word", F.floor(F.log2("n") * 8).cast("int").alias("bin"), F.pmod(F.xxhash64("word"), F.lit(SLICES)).cast("int").alias("slice")), "words")
+    taken, lowest, partly = 0, None, None
     for r in counts.groupBy("bin").agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect():
-        taken += r["words"]
-        if taken > most:
+        if taken + r["words"] > most:
+            partly = r["bin"]
             break
-        lowest = r["bin"]
-    return [] if lowest is None else [bytes(r[0]) for r in counts.where(F.col("bin") >= lowest).select("word").collect()]
+        taken, lowest = taken + r["words"], r["bin"]
+    wanted = F.lit(False) if lowest is None else F.col("bin") >= lowest
+    if partly is not None:
+        upto = 0
+        for r in counts.where(F.col("bin") == partly).groupBy("slice").agg(F.count("*").alias("words")).orderBy("slice").collect():
+            if taken + r["words"] > most:
+                break
+            taken, upto = taken + r["words"], r["slice"] + 1
+        wanted = wanted | ((F.col("bin") == partly) & (F.col("slice") < upto))
+    return [bytes(r[0]) for r in counts.where(wanted).select("word").collect()]
 
 
 def compile_lexicon(docs: DataFrame, vocabulary_path: str, words: int = LEXICON_WORDS, text_col: str = "text") -> bytes:

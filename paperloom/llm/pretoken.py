@@ -6,6 +6,7 @@ The split is that of the pattern of public byte-level vocabularies:
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import cache
 from typing import NamedTuple
 
@@ -13,6 +14,9 @@ import numpy as np
 import regex
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
+#: Characters of a text that are split at once; a longer one is cut where a run of white space begins.
+CHUNK_CHARS = 1_000_000
+_GAP = regex.compile(r"(?<=\P{White_Space})\p{White_Space}")
 #: Odd, so that its powers have inverses modulo 2**64.
 BASE = np.uint64(0x9E3779B97F4A7C15)
 
@@ -29,6 +33,22 @@ def char_classes() -> np.ndarray:
     return table
 
 
+def segments(text: str, size: int = CHUNK_CHARS) -> Iterator[str]:
+    """Pieces of text of about ``size`` characters whose words are together the text's.
+
+    No word goes on from another character into white space, so a cut before white space divides none. Only a run of ``size``
+    characters without any makes a longer piece.
+    """
+    at = 0
+    while len(text) - at > size:
+        gap = _GAP.search(text, at + size)
+        if gap is None:
+            break
+        yield text[at : gap.start()]
+        at = gap.start()
+    yield text[at:]
+
+
 class Words(NamedTuple):
     """Pre-tokens: bytes buf[starts[i]:ends[i]], in order; text t has the words from first[t] up to first[t + 1]."""
 
@@ -95,7 +115,10 @@ def _kept_powers() -> tuple[np.ndarray, np.ndarray]:
 
 
 def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span's bytes: a polynomial by prefix sums, then mixed with the length."""
+    """A 64-bit hash of each span's bytes: a polynomial by prefix sums, then mixed with the length.
+
+    Different spans can share it, structured ones of some hundred bytes on purpose: it sorts, and tells nothing apart.
+    """
     n = len(buf)
     up, down = _kept_powers() if n < KEPT_POWERS else _power_tables(n + 1)
     sums = np.zeros(n + 1, np.uint64)
@@ -104,6 +127,26 @@ def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.nda
     return mix64(h ^ (ends - starts).astype(np.uint64))
 
 
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(one span of each kind, the kind of every span); spans are of one kind when their bytes are equal.
+
+    Spans of one hash are compared with their first byte by byte; where that fails, all are told apart by a table of their bytes.
+    """
+    _, first, inverse = np.unique(span_hashes(buf, starts, ends), return_index=True, return_inverse=True)
+    lengths = ends - starts
+    like = first[inverse]
+    if (lengths == lengths[like]).all() and (gather_spans(buf, starts, lengths) == gather_spans(buf, starts[like], lengths)).all():
+        return first, inverse
+    kinds: dict[bytes, int] = {}
+    firsts: list[int] = []
+    inverse = np.empty(len(starts), np.int64)
+    for i, (a, b) in enumerate(zip(starts.tolist(), ends.tolist(), strict=True)):
+        kind = inverse[i] = kinds.setdefault(buf[a:b].tobytes(), len(kinds))
+        if kind == len(firsts):
+            firsts.append(i)
+    return np.array(firsts, np.int64), inverse
+
+
 def mix64(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xFF51AFD7ED558CCD)
     h = (h ^ (h >> np.uint64(33))) * np.uint64(0xC4CEB9FE1A85EC53)
