@@ -22,6 +22,7 @@ Documents are compared by their sets of hashed 5-word shingles; two link when 10
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .bpe import _texts, release, small_batches
 from .components import components
-from .pretoken import mix64, span_hashes
+from .pretoken import distinct_spans, mix64
 from .shared import cut
 
 WORDS, PERCENT = 5, 80
@@ -44,9 +45,13 @@ RANGE_TOKENS = 2_000_000
 #: Ids up to this number are broadcast to pick rows by; more are joined.
 PICK_BROADCAST = 1_000_000
 TOKEN_BYTES = 6
+#: Bytes of a text whose words are looked at together.
+CHUNK_BYTES = 1 << 22
+DIGEST_KEY = b"word shingles"
+_BLANKS = (0x20, *range(0x09, 0x0E))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
-_SPACE[[0x20, *range(0x09, 0x0E)]] = True
+_SPACE[list(_BLANKS)] = True
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -63,42 +68,68 @@ def prefix_length(n: int | np.ndarray):
     return np.minimum(n, n - least_overlap(n) + slack(n))
 
 
-def shingle_sets(texts: list[str]) -> list[np.ndarray]:
-    """The sorted distinct shingle hashes of each text."""
-    raw = [t.encode() for t in texts]
-    buf = np.frombuffer(b"\n".join([*raw, b""]).translate(_LOWER), np.uint8)
-    if not len(buf):
-        return [np.zeros(0, np.uint64) for _ in texts]
+def _lanes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The two halves of a 128-bit digest of every word; a digest is taken once for each kind of word."""
+    first, inverse = distinct_spans(buf, starts, ends)
+    digests = b"".join(hashlib.blake2b(buf[a:b].tobytes(), digest_size=16, key=DIGEST_KEY).digest() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True))
+    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+    return halves[inverse, 0], halves[inverse, 1]
+
+
+def _mixed(left: np.ndarray, right: np.ndarray, span: int, shingles: int) -> np.ndarray:
+    """A 64-bit number for each of so many runs of ``span`` words, from their digests in order."""
+    acc = np.full(shingles, span, np.uint64)
+    for k in range(span):
+        acc = (acc ^ (left[k : k + shingles] * _FACTORS[k])) * _FACTORS[(k + 1) % WORDS]
+        acc = (acc ^ (acc >> np.uint64(29))) + right[k : k + shingles] * _FACTORS[(k + 2) % WORDS]
+    return mix64(acc)
+
+
+def _words(raw: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(lower-cased bytes, starts, ends) of the words of bytes that end with white space."""
+    buf = np.frombuffer(raw.translate(_LOWER), np.uint8)
     space = _SPACE[buf]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
-    if not space[0]:
+    if len(space) and not space[0]:
         edge = np.concatenate([[0], edge])
-    starts, ends = edge[::2], edge[1::2]
-    starts = starts[: len(ends)]
+    return buf, edge[::2], edge[1::2]
+
+
+def _long_set(raw: bytes) -> np.ndarray:
+    """The sorted distinct shingle hashes of one long text; words are looked at in pieces that end with a word."""
+    left, right, at = [], [], 0
+    while at < len(raw):
+        cut_at = min((p for p in (raw.find(bytes([c]), at + CHUNK_BYTES) for c in _BLANKS) if p >= 0), default=len(raw))
+        for side, found in zip((left, right), _lanes(*_words(raw[at:cut_at] + b"\n")), strict=True):
+            side.append(found)
+        at = cut_at
+    l, r = np.concatenate(left), np.concatenate(right)
+    span = min(WORDS, len(l))
+    return np.unique(_mixed(l, r, span, len(l) - span + 1)) if span else np.zeros(0, np.uint64)
+
+
+def shingle_sets(texts: list[str]) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text.
+
+    Words go in as 128-bit keyed digests of their bytes. Two different shingles share one of the 64-bit hashes by chance only, so
+    an overlap of sets of n and m is wrong with a probability of some n x m / 2**64.
+    """
+    raw = [t.encode() for t in texts]
+    if any(len(r) > CHUNK_BYTES for r in raw):
+        return [_long_set(r) for r in raw] if len(raw) == 1 else [shingle_sets([t])[0] for t in texts]
+    buf, starts, ends = _words(b"\n".join([*raw, b""]))
+    if not len(starts):
+        return [np.zeros(0, np.uint64) for _ in texts]
     text_at = np.concatenate([[0], np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))])
-    first = np.searchsorted(starts, text_at)
-    words = span_hashes(buf, starts, ends)
-    n = len(words)
-    full = np.zeros(n, np.uint64)
-    if n >= WORDS:
-        acc = np.zeros(n - WORDS + 1, np.uint64)
-        for k in range(WORDS):
-            acc = (acc ^ (words[k : n - WORDS + 1 + k] * _FACTORS[k])) * _FACTORS[(k + 1) % WORDS]
-            acc ^= acc >> np.uint64(29)
-        full[: n - WORDS + 1] = mix64(acc)
+    first = np.searchsorted(starts, text_at).tolist()
+    left, right = _lanes(buf, starts, ends)
+    full = _mixed(left, right, WORDS, len(left) - WORDS + 1) if len(left) >= WORDS else None
     out = []
-    for a, b in zip(first[:-1].tolist(), first[1:].tolist(), strict=True):
+    for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= WORDS:
             out.append(np.unique(full[a : b - WORDS + 1]))
-        elif b > a:
-            acc = np.uint64(b - a)
-            with np.errstate(over="ignore"):
-                for w, f in zip(words[a:b], _FACTORS, strict=False):
-                    acc = (acc ^ w * f) * _FACTORS[4]
-                    acc ^= acc >> np.uint64(29)
-            out.append(mix64(np.array([acc], np.uint64)))
         else:
-            out.append(np.zeros(0, np.uint64))
+            out.append(_mixed(left[a:b], right[a:b], b - a, 1) if b > a else np.zeros(0, np.uint64))
     return out
 
 

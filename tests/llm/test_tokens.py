@@ -97,3 +97,71 @@ def test_sorted_tables(spark, library):
     assert sstable.read_tokens(spark, sstable.write_tokens(frame(spark, []), path)).collect() == []
     nulls = sstable.write_tokens(frame(spark, [(None, "x", "", "", 0), (None, None, "", "", 0), (1, "y", "", "", 0)]), path)
     assert [r["doc_id"] for r in sstable.read_tokens(spark, nulls).orderBy("start").collect()] == [None, None, 1]
+
+
+def alike_words():
+    """Two words of 1,024 letters that a polynomial modulo 2**64 does not tell apart: a Thue-Morse word and its complement."""
+    word = "".join("ab"[i.bit_count() & 1] for i in range(1024))
+    return word, word.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_share_a_hash_are_told_apart(library, vocabulary):
+    a, b = alike_words()
+    buf = np.frombuffer((a + b + a + "xyz").encode(), np.uint8)
+    starts, ends = np.array([0, 1024, 2048, 3072]), np.array([1024, 2048, 3072, 3075])
+    hashes = pretoken.span_hashes(buf, starts, ends)
+    assert hashes[0] == hashes[1]
+    first, inverse = pretoken.distinct_spans(buf, starts, ends)
+    assert inverse[0] == inverse[2] != inverse[1] and len(first) == 3
+    texts = [a, b, f"{a} {b} {a}", b + " tail"]
+    got = bpe.Encoder(vocabulary).encode_batch(texts)
+    assert [g.tolist() for g in got] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+    assert [vocabulary.decode(g) for g in got] == texts
+
+
+def test_counts_of_words_that_share_a_hash(spark):
+    a, b = alike_words()
+    counts = {bytes(r["word"]): r["n"] for r in bpe.count_words(frame(spark, [(0, f"{a}\n{b}\n{a}", "", "", 0)]).coalesce(1)).collect()}
+    assert counts[a.encode()] == 2 and counts[b.encode()] == 1
+
+
+def test_segments_have_the_words_of_the_text(library, vocabulary, monkeypatch):
+    rng = random.Random(4)
+    text = "".join(rng.choices("ab'sre09 \n\t　.,é中", k=20_000)) + "x" * 3000 + "  \n end"
+    pieces = list(pretoken.segments(text, 300))
+    assert "".join(pieces) == text and len(pieces) > 50
+    monkeypatch.setattr(bpe, "CHUNK_CHARS", 300)
+    monkeypatch.setattr(bpe, "segments", lambda t: pretoken.segments(t, 300))
+    texts = [text, "short", text[::-1] + "<|endoftext|>" * 40, ""]
+    assert [g.tolist() for g in bpe.Encoder(vocabulary).encode_batch(texts)] == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_lexicon_of_one_full_bin(spark):
+    """Words that all occur equally often don't leave the lexicon empty."""
+    df = frame(spark, [(i, " ".join(f"w{k}z" for k in range(900)), "", "", 0) for i in range(3)])
+    assert 200 <= len(bpe.frequent_words(df, 300)) <= 300
+
+
+def test_a_very_long_text_in_bounded_memory(vocabulary):
+    """50 MB of text; the peak is that of a child process."""
+    import subprocess
+    import sys
+
+    code = (
+        "import resource\n"
+        "from paperloom.llm import bpe, ngram, quality\n"
+        "from paperloom.llm.registry import vocabulary_path\n"
+        "v = bpe.Vocabulary(vocabulary_path())\n"
+        "t = ' '.join(f'word{i % 70001} and more, of é it' for i in range(1_800_000))\n"
+        "assert len(t.encode()) > 50_000_000\n"
+        "ids = bpe.Encoder(v).encode_batch([t])[0]\n"
+        "assert v.decode(ids) == t\n"
+        "assert len(ngram.shingle_sets([t])[0]) > 300_000\n"
+        "looks = quality.look([t])\n"
+        "assert looks.n[0] == 6 * 1_800_000 and len(quality.features(looks)[0]) > 1000\n"
+        "print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)\n"
+    )
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=600, check=False)
+    assert done.returncode == 0, done.stderr
+    print("peak MB", done.stdout)
+    assert int(done.stdout) < 1800
