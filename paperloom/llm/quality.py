@@ -48,41 +48,79 @@ class Looks(NamedTuple):
     repeats: np.ndarray
 
 
-def look(texts: list[str]) -> Looks:
-    raw = [t.encode() for t in texts]
+def _seen(raw: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str, np.ndarray]]:
+    """(where each text's words begin, sums of characters of each text, what is seen of each word)."""
     buf = np.frombuffer(b"\n" + b"\n".join([*raw, b""]), np.uint8)
     text_at = 1 + np.concatenate([[0], np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))])
     blank = _BLANK[buf]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    first = np.searchsorted(starts, text_at)
-    n = np.diff(first)
-    words = span_hashes(buf, starts, ends)
-    repeats = np.zeros(len(words), bool)
+    per_text = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[buf], dtype=np.int32)])[text_at]).astype(float)
+    chars = {"letters": per_text(_LETTER), "chars": per_text(~_BLANK), "upper": per_text(_UPPER), "symbols": per_text(_SYMBOL), "marks": per_text(_MARK)}
+    first_shape, last_shape = _SHAPE[buf[starts]], _SHAPE[buf[ends - 1]]
+    lettered = np.concatenate([[0], np.cumsum((_LETTER | (_BYTES >= 0x80))[buf], dtype=np.int32)])
+    words = {
+        "words": span_hashes(buf, starts, ends),
+        "shapes": (first_shape * 64 + last_shape * 8 + np.minimum((ends - starts) // 3, 7)).astype(np.int16),
+        "symbol_ends": last_shape == 5,
+        "bangs": last_shape == 7,
+        "bars": (first_shape == 6) & (ends - starts == 1),
+        "wordless": lettered[ends] == lettered[starts],
+    }
+    return np.searchsorted(starts, text_at), chars, words
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """Pieces of about PIECE_BYTES that end where a word ends."""
+    at = 0
+    while at < len(raw):
+        end = at + PIECE_BYTES
+        while end < len(raw) and not _BLANK[raw[end]]:
+            end += 1
+        yield raw[at:end]
+        at = end
+
+
+def look(texts: list[str]) -> Looks:
+    """What labellers and scorer see of whole texts; a text above PIECE_BYTES is looked at in pieces that divide no word."""
+    raw = [t.encode() for t in texts]
+    if any(len(r) > PIECE_BYTES for r in raw):
+        parts = [_seen([p]) for r in raw for p in (_pieces(r) if len(r) > PIECE_BYTES else [r])]
+        owner = np.repeat(np.arange(len(raw)), [max(1, sum(1 for _ in _pieces(r))) if len(r) > PIECE_BYTES else 1 for r in raw])
+        counts = np.bincount(owner, [p[0][1] for p in parts], len(raw)).astype(np.int64)
+        first = np.concatenate([[0], np.cumsum(counts)])
+        chars = {k: np.bincount(owner, [p[1][k][0] for p in parts], len(raw)) for k in parts[0][1]}
+        seen = {k: np.concatenate([p[2][k] for p in parts]) for k in parts[0][2]}
+    else:
+        first, chars, seen = _seen(raw)
+    n, words = np.diff(first), seen["words"]
+    repeats, far = np.zeros(len(words), bool), np.zeros(len(words), bool)
     repeats[1:] = words[1:] == words[:-1]
     repeats[first[:-1][n > 0]] = False
-    far = np.zeros(len(words), bool)
     far[2:] = words[2:] == words[:-2]
-    per_word = lambda values: np.diff(np.concatenate([[0], np.cumsum(values)])[first]) / np.maximum(n, 1)
-    per_text = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[buf])])[text_at]).astype(float)
-    owner = np.repeat(np.arange(len(texts)), n)
-    distinct = np.bincount(np.unique(np.stack([owner.astype(np.uint64), words]), axis=1)[0].astype(np.int64), minlength=len(texts)) if len(words) else np.zeros(len(texts))
-    letters, chars = np.maximum(per_text(_LETTER), 1), np.maximum(per_text(~_BLANK), 1)
-    first_shape, last_shape = _SHAPE[buf[starts]], _SHAPE[buf[ends - 1]]
-    shapes = first_shape * 64 + last_shape * 8 + np.minimum((ends - starts) // 3, 7)
+    # Words are counted as distinct within windows of a text, or the share would fall with the length of any text.
+    place = np.arange(len(words)) - np.repeat(first[:-1], n)
+    far[place < 2] = False
+    window = np.repeat(np.cumsum(n // WINDOW + 1) - n // WINDOW - 1, n) + place // WINDOW
+    new = np.ones(len(words), bool)
+    order = np.lexsort((words, window))
+    new[1:] = (words[order][1:] != words[order][:-1]) | (window[order][1:] != window[order][:-1])
+    distinct = np.zeros(len(words), bool)
+    distinct[order] = new
+    per_word = lambda values: np.diff(np.concatenate([[0], np.cumsum(values, dtype=np.int64)])[first]) / np.maximum(n, 1)
     shares = {
         "repeats": per_word(repeats),
         "repeats_far": per_word(far),
-        "distinct": distinct / np.maximum(n, 1),
-        "upper": per_text(_UPPER) / letters,
-        "symbols": per_text(_SYMBOL) / np.maximum(n, 1),
-        "symbol_ends": per_word(last_shape == 5),
-        "bangs": per_word(last_shape == 7),
-        "bars": per_word((first_shape == 6) & (ends - starts == 1)),
-        "marks": per_text(_MARK) / chars,
-        "wordless": per_word(np.diff(np.concatenate([[0], np.cumsum((_LETTER | (_BYTES >= 0x80))[buf])])[np.stack([starts, ends])], axis=0)[0] == 0),
+        "distinct": per_word(distinct),
+        "upper": chars["upper"] / np.maximum(chars["letters"], 1),
+        "symbols": chars["symbols"] / np.maximum(n, 1),
+        "symbol_ends": per_word(seen["symbol_ends"]),
+        "bangs": per_word(seen["bangs"]),
+        "bars": per_word(seen["bars"]),
+        "marks": chars["marks"] / np.maximum(chars["chars"], 1),
+        "wordless": per_word(seen["wordless"]),
     }
-    return Looks(first, n, shares, words, shapes, repeats)
+    return Looks(first, n, shares, words, seen["shapes"], repeats)
 
 
 #: (what is looked at, bad above or below, good on the other side of); between the two, and on texts of a few words, no vote.
@@ -99,8 +137,10 @@ LABELLERS = (
     ("wordless", ">", 0.15, 0.05),
 )
 LEAST_WORDS = 20
-#: What is known of the labellers: how often one votes bad on a good document, at most.
-FALSE_ALARMS = 0.005
+#: Words within which a word counts as distinct once.
+WINDOW = 500
+#: Bytes of a text that are looked at together.
+PIECE_BYTES = 1 << 22
 
 
 def votes(looks: Looks) -> np.ndarray:
@@ -119,10 +159,14 @@ def features(looks: Looks) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(text, slot, value): hashed words, word shapes, and shapes with repetition; values are roots of shares of the words."""
     owner = np.repeat(np.arange(len(looks.n)), looks.n)
     shape = looks.shapes.astype(np.uint64)
-    kinds = (looks.words, mix64(shape + np.uint64(1 << 40)), mix64(shape // np.uint64(8) % np.uint64(8) * np.uint64(2) + looks.repeats.astype(np.uint64) + np.uint64(1 << 41)))
     mask = np.uint64((1 << HASH_BITS) - 1)
-    place = np.concatenate([owner << HASH_BITS | (k & mask).astype(np.int64) for k in kinds]) if len(owner) else np.zeros(0, np.int64)
-    place, count = np.unique(place, return_counts=True)
+    places, counts = [], []
+    for kind in (looks.words, mix64(shape + np.uint64(1 << 40)), mix64(shape // np.uint64(8) % np.uint64(8) * np.uint64(2) + looks.repeats.astype(np.uint64) + np.uint64(1 << 41))):
+        p, c = np.unique(owner << HASH_BITS | (kind & mask).astype(np.int64), return_counts=True)
+        places.append(p)
+        counts.append(c)
+    place, at = np.unique(np.concatenate(places), return_inverse=True)
+    count = np.bincount(at, np.concatenate(counts), len(place))
     text = place >> HASH_BITS
     return text, place & ((1 << HASH_BITS) - 1), np.sqrt(count / np.maximum(looks.n[text], 1))
 
@@ -145,8 +189,7 @@ class Labels(NamedTuple):
 def estimate(counts: dict[int, int], rounds: int = 100) -> Labels:
     """Expectation maximisation over the counts of vote patterns; starts from the documents without a bad vote.
 
-    A good vote only says that one fault is missing, so false alarms are held at FALSE_ALARMS; else the many good votes on a
-    document with one kind of fault would outweigh the few labellers that see it.
+    How often each labeller votes bad, good or nothing is estimated for either class, with half a vote each as a prior.
     """
     patterns = np.array(sorted(counts), np.int64)
     weight = np.array([counts[p] for p in patterns.tolist()], float)
@@ -161,7 +204,6 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> Labels:
         for value in (BAD, GOOD, ABSTAIN):
             table[:, :, value] = both @ (v == value) + 0.5
         table /= table.sum(axis=2, keepdims=True)
-        table[GOOD, :, BAD] = np.minimum(table[GOOD, :, BAD], FALSE_ALARMS)
         like = np.log([1 - prior, prior])[:, None] + np.log(np.take_along_axis(table[:, None], v[None, :, :, None], axis=3)[..., 0]).sum(axis=2)
         new = 1 / (1 + np.exp(np.clip(like[0] - like[1], -50, 50)))
         if np.abs(new - p).max(initial=0) < 1e-9:
@@ -172,13 +214,13 @@ def estimate(counts: dict[int, int], rounds: int = 100) -> Labels:
     return Labels(prior, accuracy, dict(zip(patterns.tolist(), np.where(voteless, prior, p).tolist(), strict=True)))
 
 
-def train(row: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
-    """Weights of a logistic scorer, the bias last, by full gradients with a moving scale."""
+def train(row: np.ndarray, slot: np.ndarray, value: np.ndarray, target: np.ndarray, times: np.ndarray, rounds: int = 150, rate: float = 0.3, decay: float = 1e-4) -> np.ndarray:
+    """Weights of a logistic scorer, the bias last, by full gradients with a moving scale; each text counts ``times``."""
     size = (1 << HASH_BITS) + 1
     w, mean, square = np.zeros(size), np.zeros(size), np.zeros(size)
     for step in range(1, rounds + 1):
         z = np.bincount(row, value * w[slot], len(target)) + w[-1]
-        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) / max(len(target), 1)
+        error = (1 / (1 + np.exp(-np.clip(z, -30, 30))) - target) * times / max(times.sum(), 1)
         g = np.append(np.bincount(slot, value * error[row], size - 1), error.sum()) + decay * w
         mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
         w -= rate * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
@@ -191,16 +233,21 @@ class Model(NamedTuple):
 
 
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
-    """Labels from the votes of all documents, and the scorer from a sample that the hash of the id draws."""
+    """Labels from the votes of all documents, and the scorer from a sample that a hash of id and text draws.
+
+    Of rows that repeat id and text the sample holds one, with their number; so many copies don't make it larger. Null texts vote
+    as empty ones do, on nothing. An empty table gives a model that knows nothing. Other columns are ignored.
+    """
     n = docs.count()
     share = min(1.0, sample_docs / max(n, 1))
-    drawn = F.pmod(F.xxhash64(F.col(id_col), F.lit(7)), F.lit(2**30)) < share * 2**30
+    key = F.xxhash64(F.col(id_col), F.col(text_col), F.lit(7))
+    drawn = F.when(F.pmod(key, F.lit(2**30)) < share * 2**30, key)
     rows = docs.select(drawn.alias("drawn"), F.col(text_col).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 512):
             looks = look(_texts(b.column(1)))
-            patterns, wanted = pattern_of(votes(looks)), np.asarray(b.column(0).to_pylist(), bool)
+            patterns, wanted = pattern_of(votes(looks)), np.asarray(b.column(0).is_valid())
             slots: list = [None] * b.num_rows
             values: list = [None] * b.num_rows
             if wanted.any():
@@ -208,15 +255,16 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
                 at = np.searchsorted(text, np.arange(b.num_rows + 1))
                 for i in np.flatnonzero(wanted):
                     slots[i], values[i] = slot[at[i] : at[i + 1]], value[at[i] : at[i + 1]]
-            yield pa.RecordBatch.from_arrays([pa.array(patterns), pa.array(slots, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["pattern", "slots", "shares"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(patterns), pa.array(slots, pa.list_(pa.int64())), pa.array(values, pa.list_(pa.float64()))], names=["drawn", "pattern", "slots", "shares"])
 
-    voted = cut(rows.mapInArrow(run, "pattern long, slots array<long>, shares array<double>"), "votes")
+    voted = cut(rows.mapInArrow(run, "drawn long, pattern long, slots array<long>, shares array<double>"), "votes")
     labels = estimate({r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
-    sample = sorted(tuple(r) for r in voted.where("slots IS NOT NULL").collect())
-    lengths = [len(s) for _, s, _ in sample]
+    one = voted.where("drawn IS NOT NULL").groupBy("drawn").agg(F.min(F.struct("pattern", "slots", "shares")).alias("seen"), F.count("*").alias("n"))
+    sample = sorted(tuple(r) for r in one.select("drawn", "seen.*", "n").collect())
+    lengths = [len(r[2]) for r in sample]
     flat = lambda i, kind: np.array([x for r in sample for x in r[i]], kind)
-    target = np.array([labels.posterior[p] for p, _, _ in sample])
-    return Model(labels, train(np.repeat(np.arange(len(sample)), lengths), flat(1, np.int64), flat(2, float), target))
+    target = np.array([labels.posterior[r[1]] for r in sample])
+    return Model(labels, train(np.repeat(np.arange(len(sample)), lengths), flat(2, np.int64), flat(3, float), target, np.array([r[4] for r in sample], float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -242,7 +290,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep_good(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of docs that the scorer keeps, with all their columns."""
+    """The rows of docs that the scorer keeps, with all their columns, whatever their names.
+
+    Null, empty and blank texts go; repeated rows are judged alike, null ids as any other; an empty table gives an empty one.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(model.weights)
     at = docs.columns.index(text_col)
 

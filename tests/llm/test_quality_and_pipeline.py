@@ -1,4 +1,7 @@
 import json
+import math
+import random
+import re
 from pathlib import Path
 
 import numpy as np
@@ -30,19 +33,114 @@ def test_labels_never_seen_are_met(spark, tables):
     assert right / len(judged) >= 0.97 and sum(clean) / len(clean) >= 0.99
 
 
-def test_estimation_finds_the_accuracies():
-    rng = np.random.default_rng(1)
-    good = rng.random(20000) < 0.8
-    v = np.full((20000, len(quality.LABELLERS)), quality.ABSTAIN)
+def plain_estimate(v, rounds=300):
+    """Expectation maximisation document by document; the probability of good for each row of votes."""
+    p = [0.0 if quality.BAD in row else 1.0 for row in v]
+    told = [any(x != quality.ABSTAIN for x in row) for row in v]
+    for _ in range(rounds):
+        like = []
+        mass = [sum((q if c else 1 - q) for q, t in zip(p, told) if t) for c in (0, 1)]
+        prior = (mass[1] + 1) / (mass[0] + mass[1] + 2)
+        for c in (0, 1):
+            table = []
+            for k in range(len(v[0])):
+                held = [0.5, 0.5, 0.5]
+                for row, q, t in zip(v, p, told):
+                    held[row[k]] += (q if c else 1 - q) if t else 0
+                table.append([h / sum(held) for h in held])
+            like.append([math.log(prior if c else 1 - prior) + sum(math.log(table[k][x]) for k, x in enumerate(row)) for row in v])
+        p = [1 / (1 + math.exp(max(-50, min(50, a - b)))) for a, b in zip(*like)]
+    return prior, [q if t else prior for q, t in zip(p, told)]
+
+
+def drawn_votes(n, alarms, seed):
+    rng = np.random.default_rng(seed)
+    good = rng.random(n) < 0.8
+    v = np.full((n, len(quality.LABELLERS)), quality.ABSTAIN)
     for k in range(len(quality.LABELLERS)):
-        v[good, k] = np.where(rng.random(good.sum()) < 0.003, quality.BAD, quality.GOOD)
+        v[good, k] = np.where(rng.random(good.sum()) < alarms, quality.BAD, quality.GOOD)
         v[~good, k] = np.where(rng.random((~good).sum()) < 0.5, quality.BAD, quality.GOOD)
+        v[rng.random(n) < 0.1, k] = quality.ABSTAIN
+    return good, v
+
+
+@pytest.mark.parametrize("alarms", [0.003, 0.02, 0.05])
+def test_estimation_finds_both_accuracies(alarms):
+    good, v = drawn_votes(20000, alarms, 1)
     found, n = np.unique(quality.pattern_of(v), return_counts=True)
     labels = quality.estimate(dict(zip(found.tolist(), n.tolist(), strict=True)))
     assert abs(labels.prior - 0.8) < 0.02 and np.abs(labels.accuracy[quality.BAD] - 0.5).max() < 0.05
+    assert np.abs(labels.accuracy[quality.GOOD] - (1 - alarms)).max() < 0.01
+    judged = np.array([labels.posterior[x] for x in quality.pattern_of(v).tolist()]) >= 0.5
+    assert (judged == good).mean() > 0.97
     assert (quality.votes_of(quality.pattern_of(v[:50])) == v[:50]).all()
 
 
+def test_estimation_equals_plain_code():
+    _, v = drawn_votes(300, 0.05, 2)
+    prior, want = plain_estimate(v.tolist())
+    found, n = np.unique(quality.pattern_of(v), return_counts=True)
+    labels = quality.estimate(dict(zip(found.tolist(), n.tolist(), strict=True)), rounds=300)
+    assert abs(labels.prior - prior) < 1e-6
+    assert np.abs(np.array([labels.posterior[x] for x in quality.pattern_of(v).tolist()]) - want).max() < 1e-5
+
+
+def plain_look(text):
+    """(shares, words as (bytes, shape, repeats)) of one text, character by character."""
+    raw = text.encode()
+    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    n = len(words)
+    letters = [b for b in raw if chr(b).isascii() and chr(b).isalpha()]
+    symbols = b"#$%&*@^~=+<>{}[]\\_`"
+    visible = [b for b in raw if b not in b" \t\n\x0b\x0c\r"]
+
+    def shape(b):
+        c = chr(b)
+        if b >= 0x80 or c.islower():
+            return 1
+        return 2 if c.isupper() else 3 if c.isdigit() else 4 if c in ".,;:?" else 5 if b in symbols else 6 if c == "|" else 7 if c == "!" else 0
+
+    share = lambda hits: sum(hits) / max(n, 1)
+    shares = {
+        "repeats": share(i > 0 and words[i] == words[i - 1] for i in range(n)),
+        "repeats_far": share(i > 1 and words[i] == words[i - 2] for i in range(n)),
+        "distinct": sum(len(set(words[i : i + quality.WINDOW])) for i in range(0, n, quality.WINDOW)) / max(n, 1),
+        "upper": sum(chr(b).isupper() for b in letters) / max(len(letters), 1),
+        "symbols": sum(b in symbols for b in raw) / max(n, 1),
+        "symbol_ends": share(shape(w[-1]) == 5 for w in words),
+        "bangs": share(w[-1:] == b"!" for w in words),
+        "bars": share(w == b"|" for w in words),
+        "marks": sum(0x20 < b < 0x7F and not chr(b).isalnum() for b in visible) / max(len(visible), 1),
+        "wordless": share(not any(b >= 0x80 or chr(b).isalpha() for b in w) for w in words),
+    }
+    return shares, [(w, shape(w[0]) * 64 + shape(w[-1]) * 8 + min(len(w) // 3, 7), i > 0 and words[i - 1] == w) for i, w in enumerate(words)]
+
+
+def test_what_is_seen_of_texts_equals_plain_code(tables, monkeypatch):
+    texts = [t or "" for _, t, *_ in documents() if len(t or "") < 5000] + [r["text"] or "" for r in tables[0].limit(60).collect()]
+    want = [plain_look(t) for t in texts]
+    for piece in (1 << 22, 700):
+        monkeypatch.setattr(quality, "PIECE_BYTES", piece)
+        looks = quality.look(texts)
+        for i, (shares, words) in enumerate(want):
+            assert all(abs(looks.shares[k][i] - x) < 1e-9 for k, x in shares.items())
+            a, b = looks.first[i], looks.first[i + 1]
+            assert [(int(s), bool(r)) for s, r in zip(looks.shapes[a:b], looks.repeats[a:b], strict=True)] == [w[1:] for w in words]
+
+
+def test_copies_and_null_ids_do_not_enlarge_the_sample(spark, monkeypatch):
+    """All rows of one id, or of none, would be drawn all or none by a hash of the id."""
+    rng = random.Random(3)
+    words = "alpha beta gamma delta epsilon zeta eta theta".split()
+    rows = [(None, " ".join(rng.choices(words, k=30)) + f" w{i}.", "", "", 0) for i in range(2000)]
+    rows += [(7, "one and the same text " * 10, "", "", 0)] * 1000
+    held = []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda row, slot, value, target, times: held.append((len(target), times.sum())) or real(row, slot, value, target, times))
+    quality.fit(frame(spark, rows), sample_docs=300)
+    assert 100 < held[0][0] < 400
+
+
 def test_edges(spark):
     df = with_clashes(frame(spark))
     model = quality.fit(df)
