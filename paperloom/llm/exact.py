@@ -1,26 +1,33 @@
-"""Exact dedup by a grouping, with an extendible-hash index of its groups in the shared folder; DataFrame operations only.
-
-1. Heap file: every row's doc_id, 64-bit hash, SHA-256 and normalised text are written to the shared folder.
-2. Chains: equal texts meet in a grouping on (hash, text), which compares the bytes; copies are counted before they move, so a
-   group of copies crosses the network once per task and not once per row. Different texts with one hash get chain numbers.
-3. Directory: the hashes' leading bits are counted, and a directory of depth 0 doubles until no bucket that can be split is
-   overfull. Its depth, and so what the driver and the broadcast hold, is bounded by MAX_DEPTH; fuller buckets chain on.
-4. Index files: every entry is written under its bucket by the task that owns the bucket's range of keys.
-5. Rows are joined with the entries of groups by (hash, SHA-256). Buckets and chain numbers take no part in that.
+"""Exact dedup through an extendible-hash index, with DataFrame operations only.
+
+1. Count: the 64-bit hashes of the normalised texts are counted in the shared folder; that is 16 bytes a distinct hash.
+2. Directory: from the counts of the hashes' leading bits a directory of depth 0 doubles, and overfull buckets split on their next
+   bit. Its slots, and so what the driver and the broadcast hold, are bounded by MAX_DEPTH; a bucket that is overfull at that depth
+   splits into as many more by the bits that follow, so there is no depth at which buckets grow.
+3. Route: every row looks its bucket up, and each owner task takes a range of buckets in key order.
+4. Chains: an owner sorts its buckets by (bucket, hash, text), so texts of one hash form a chain in which the bytes are compared;
+   equal ones decide keep_id and group_size there and then.
+5. Hot hashes, those with more than HOT_SHARE of an owner's rows, don't go to an owner as rows: their copies are counted before they
+   move, which gives their chains, and rows look them up there: by (bucket, hash) where the chain has one entry, which the count has
+   found to be every row's text, and by their bytes where texts collide.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free_names, pick
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: At most 2**MAX_DEPTH directory slots.
 MAX_DEPTH = 14
 #: Entries of a bucket before it splits.
 BUCKET_ENTRIES = 50_000
+#: Rows of an owner task, at most about so many on average; and the share of them above which one hash is hot.
+OWNER_ROWS, HOT_SHARE = 500_000, 1 / 16
 
 
 def ascii_lower(text: Column) -> Column:
@@ -62,57 +69,86 @@ def grow_directory(counts: dict[int, int], depth: int, capacity: int) -> tuple[i
     return global_depth, directory
 
 
-def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES) -> DataFrame:
+def number_buckets(counts: dict[int, int], depth: int, capacity: int) -> tuple[int, list[tuple[int, int, int]], int]:
+    """(global depth, for each slot (slot, first bucket, more bits), buckets): numbers are dense and in key order.
+
+    A bucket that is overfull at full depth is 2**more buckets, told apart by the bits that follow the slot's.
+    """
+    global_depth, directory = grow_directory(counts, depth, capacity)
+    slots, number, last = [], -1, None
+    width = 0
+    for slot, bucket in enumerate(directory):
+        if bucket != last:
+            number, last = number + (1 << width if last is not None else 1), bucket
+            prefix, local = bucket
+            held = sum(counts.get(s, 0) for s in range(prefix, prefix + (1 << (depth - local))))
+            width = max(0, -(-held // capacity) - 1).bit_length() if local == depth else 0
+        slots.append((slot, number, width))
+    return global_depth, slots, number + (1 << width)
+
+
+def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", capacity: int = BUCKET_ENTRIES, hash_of: Callable[[Column], Column] = F.xxhash64) -> DataFrame:
     """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, bucket, row_hash (of the raw text).
 
     Texts are equal when identical after lower-casing A-Z only; null counts as empty, and all empty texts form a group. The row
     with the largest doc_id of a group stays; rows that repeat it are kept as often as they occur. A null doc_id stays only in a
-    group that has no other. bucket is null for texts that occur once. Other columns are ignored, whatever their names.
+    group that has no other. An empty table gives an empty one. Other columns are ignored, whatever their names. ``hash_of`` may be
+    any 64-bit hash: texts that collide are told apart by their bytes.
     """
-    norm = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), ascii_lower(F.col(text_col)).alias("norm"))
-    heap = cut(norm.select("doc_id", "row_hash", F.xxhash64("norm").alias("h"), F.sha2("norm", 256).alias("sha"), "norm"), "heap")
-    chains = heap.groupBy("h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"), F.first("sha").alias("sha"))
-    entries = cut(chains.select("h", "sha", "keep_id", "group_size"), "entries")
-    n = entries.count()
-    depth = min(MAX_DEPTH, max(1, (max(n, 1) // capacity).bit_length() + 2))
-    counts = {r["slot"]: r["n"] for r in entries.groupBy(slot_of(F.col("h"), depth).alias("slot")).agg(F.count("*").alias("n")).collect()}
-    global_depth, directory = grow_directory(counts, depth, capacity)
     spark = docs.sparkSession
-    slots = spark.createDataFrame([(i, b) for i, (b, _) in enumerate(directory)], "slot long, bucket long")
-    placed = entries.withColumn("slot", slot_of(F.col("h"), global_depth)).join(F.broadcast(slots), "slot").drop("slot")
-    # A collision has a chain of several entries; the chain's order is that of the SHA-256.
-    collided = placed.groupBy("bucket", "h").agg(F.count("*").alias("chain_length")).where("chain_length > 1")
-    chain_no = F.row_number().over(Window.partitionBy("bucket", "h").orderBy("sha"))
-    colliding = placed.join(collided.select("bucket", "h"), ["bucket", "h"], "left_semi").withColumn("chain", chain_no)
-    single = placed.join(collided.select("bucket", "h"), ["bucket", "h"], "left_anti").withColumn("chain", F.lit(1))
-    index = cut(single.unionByName(colliding).repartitionByRange("bucket", "h"), "index")
-    known = index.where("group_size > 1").select(F.col("h").alias("eh"), F.col("sha").alias("esha"), "bucket", "keep_id", "group_size")
-    rows = heap.select("doc_id", "row_hash", "h", "sha")
-    found = rows.join(known, (rows["h"] == known["eh"]) & (rows["sha"] == known["esha"]), "left")
-    keep = F.when(F.col("group_size").isNull(), F.col("doc_id")).otherwise(F.col("keep_id"))
-    return found.select(
-        "doc_id",
-        keep.alias("keep_id"),
-        F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.col("doc_id").eqNullSafe(keep).alias("kept"),
-        F.col("sha").alias("text_sha256"),
-        "bucket",
-        "row_hash",
-    )
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("row_hash"), ascii_lower(F.col(text_col)).alias("norm"))
+    rows = rows.withColumn("h", hash_of(F.col("norm")))
+    hashes = cut(rows.groupBy("h").agg(F.count("*").alias("n")), "hashes")
+    entries, total = hashes.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    owners = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // OWNER_ROWS))
+    # Buckets are the pieces that owners take, so there are some for each.
+    capacity = max(1, min(capacity, entries // (4 * owners)))
+    depth = min(MAX_DEPTH, max(1, (entries // capacity).bit_length() + 2))
+    counts = {r["slot"]: r["n"] for r in hashes.groupBy(slot_of(F.col("h"), depth).alias("slot")).agg(F.count("*").alias("n")).collect()}
+    global_depth, slots, buckets = number_buckets(counts, depth, capacity)
+    directory = F.broadcast(spark.createDataFrame(slots, "slot long, number long, more int"))
+    after = F.expr(f"CASE WHEN more = 0 THEN 0L ELSE shiftrightunsigned(shiftleft(h, {global_depth}), 64 - more) END")
+    routed = rows.withColumn("slot", slot_of(F.col("h"), global_depth)).join(directory, "slot")
+    routed = routed.withColumn("bucket", F.col("number") + after).select("doc_id", "row_hash", "norm", "h", "bucket")
+    found = ["doc_id", "row_hash", "norm", "bucket", "keep_id", "group_size"]
+
+    # At most owners / HOT_SHARE hashes of 8 bytes: they and their chains' lengths can be broadcast.
+    hot = cut(hashes.where(F.col("n") > max(1.0, total / owners * HOT_SHARE)).select(F.col("h").alias("hot_h")), "hot")
+    is_hot = F.col("h") == F.col("hot_h")
+    some = bool(hot.take(1))
+    cold = routed.join(F.broadcast(hot), is_hot, "left_anti") if some else routed
+    owned = cold.withColumn("owner", F.floor(F.col("bucket") * owners / F.lit(buckets)).cast("int")).repartitionById(owners, F.col("owner"))
+    equal = Window.partitionBy("owner", "bucket", "h", "norm")
+    decided = owned.withColumns({"keep_id": F.max("doc_id").over(equal), "group_size": F.count("*").over(equal)}).select(*found)
+    if some:
+        warm = routed.join(F.broadcast(hot), is_hot, "left_semi")
+        chains = warm.groupBy("bucket", "h", "norm").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        chains = cut(chains, "chains")
+        lengths = cut(chains.groupBy(F.col("bucket").alias("b"), F.col("h").alias("ch")).agg(F.count("*").alias("links"), F.max("keep_id").alias("keep_id"), F.max("group_size").alias("group_size")), "lengths")
+        at = (F.col("bucket") == F.col("b")) & (F.col("h") == F.col("ch"))
+        decided = decided.unionByName(warm.join(F.broadcast(lengths.where("links = 1")), at).select(*found))
+        if lengths.where("links > 1").take(1):
+            apart = chains.join(lengths.where("links > 1").select("b", "ch"), at, "left_semi").select(F.col("bucket").alias("b"), F.col("h").alias("ch"), F.col("norm").alias("text"), "keep_id", "group_size")
+            decided = decided.unionByName(warm.join(apart, at & (F.col("norm") == F.col("text"))).select(*found))
+    return decided.select("doc_id", "keep_id", "group_size", F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept"), F.sha2("norm", 256).alias("text_sha256"), "bucket", "row_hash")
 
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose text another row with a larger id has; of rows that repeat the id that stays, one stays.
 
-    The texts move once, to meet the decisions by (id, hash of the raw text); decisions about single texts take no part.
+    Null texts count as empty ones; a row with a null id stays only where its text has no other. The texts don't move to meet the
+    decisions, which go by (id, hash of the raw text) and leave out texts that occur once. All columns stay, whatever their names.
     """
+    row, own_id, own_hash, stays = free_names(docs.columns, "row", "id", "hash", "stays")
     groups = cut(exact_groups(docs, id_col, text_col).where("group_size > 1"), "groups")
-    marked = docs.withColumn("_row", F.xxhash64(text_col))
-    key = [F.col("doc_id").alias("_id"), F.col("row_hash").alias("_hash")]
-    same = F.col(id_col).eqNullSafe(F.col("_id")) & (F.col("_row") == F.col("_hash"))
-    rest = marked.join(groups.where("NOT kept").select(*key).distinct(), same, "left_anti")
+    marked = docs.withColumn(row, F.xxhash64(text_col))
+    key = [F.col("doc_id").alias(own_id), F.col("row_hash").alias(own_hash)]
+    same = F.col(id_col).eqNullSafe(F.col(own_id)) & (F.col(row) == F.col(own_hash))
+    rest = pick(marked, same, groups.where("NOT kept").select(*key).distinct(), "left_anti")
     again = groups.where("kept").groupBy("doc_id", "text_sha256").agg(F.count("*").alias("n"), F.collect_set("row_hash").alias("hashes")).where("n > 1")
-    again = again.select(F.col("doc_id").alias("_id"), F.explode("hashes").alias("_hash"), F.array_min("hashes").alias("_stays"))
-    once = rest.join(again.select("_id", "_hash"), same, "left_anti")
-    repeated = rest.join(again.where("_hash = _stays").select("_id", "_hash"), same, "left_semi").dropDuplicates([id_col, "_row"])
-    return once.unionByName(repeated).drop("_row")
+    again = cut(again.select(F.col("doc_id").alias(own_id), F.explode("hashes").alias(own_hash), F.array_min("hashes").alias(stays)), "again")
+    if not again.take(1):
+        return rest.drop(row)
+    once = pick(rest, same, again.select(own_id, own_hash), "left_anti")
+    repeated = pick(rest, same, again.where(F.col(own_hash) == F.col(stays)).select(own_id, own_hash), "left_semi").dropDuplicates([id_col, row])
+    return once.unionByName(repeated).drop(row)

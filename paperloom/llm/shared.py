@@ -8,7 +8,13 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Iterable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: Keys up to this number are broadcast to pick rows by; more are joined.
+PICK_BROADCAST = 1_000_000
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -36,5 +42,22 @@ def cut(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def pick(df: DataFrame, on: Column, keys: DataFrame, how: str = "left_semi") -> DataFrame:
+    """df joined with a table of keys, whose names df has not: by broadcast where their number is small, else by both sides' keys."""
+    keys = cut(keys, "keys")
+    return df.join(F.broadcast(keys) if keys.count() <= PICK_BROADCAST else keys, on, how)
+
+
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names for columns of an operator's own beside those that are taken, whose case doesn't count."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
