@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, free_names
 
 MAX_EPOCHS = 3
 BINS = 4096
@@ -47,19 +47,26 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int =
     return clamped.select("source", "skey", "source_size", target.alias("target"))
 
 
-def _keyed(docs: DataFrame, seed: int, id_col: str, source_col: str) -> DataFrame:
-    """docs with _skey, the source as a key that is never null, and _u, the document's uniform hash: 40 bits of an MD5, which any
-    engine can tell."""
-    digest = F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(id_col).cast("string")))
-    u = F.conv(F.substring(digest, 1, 10), 16, 10).cast("long") / float(2**40)
-    return docs.withColumns({"_skey": F.coalesce(F.concat(F.lit("="), F.col(source_col)), F.lit("")), "_u": u})
+def _draw(doc_id: Column, seed: int) -> Column:
+    """A document's uniform number: 40 bits of an MD5, which any engine can tell."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"))), 1, 10), 16, 10).cast("long") / float(2**40)
 
 
-def _planned(docs: DataFrame, weights: Sequence[float], seed: int, max_epochs: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame]:
-    """(plan, planned): per source whole passes, the last bin that is taken once more, and the bin where the target ends; per row
-    its size, bin and plan."""
-    rows = _keyed(docs.select(id_col, text_col, source_col), seed, id_col, source_col).select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), F.col("_skey").alias("skey"), word_count(F.col(text_col)).alias("size"), F.col("_u").alias("u")
+def _source_key(source: Column) -> Column:
+    """The source as a key that is never null."""
+    return F.coalesce(F.concat(F.lit("="), source), F.lit(""))
+
+
+def _small(df: DataFrame) -> DataFrame:
+    """A written table, broadcast up to BROADCAST_ROWS rows."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
+def _planned(docs: DataFrame, weights: Sequence[float], seed: int, max_epochs: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(plan, planned, edge): per source whole passes, the last bin that is taken once more, and the bin where the target ends; per
+    row its size, bin and plan; and the (skey, id, text hash) that are taken once more in the bins where targets end."""
+    rows = docs.select(
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _source_key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"), _draw(F.col(id_col), seed).alias("u")
     )
     sizes = cut(rows.withColumn("bin", F.floor(F.col("u") * BINS).cast("int")), "sizes")
     targets = source_targets(sizes, weights, max_epochs)
@@ -74,44 +81,43 @@ def _planned(docs: DataFrame, weights: Sequence[float], seed: int, max_epochs: i
     plan = plan.join(ends, "skey", "left").join(edge, "skey", "left")
     plan = plan.select("skey", "source_size", "target", "whole", F.coalesce("last_bin", F.lit(-1)).alias("last_bin"), (F.col("more") - F.coalesce("spent", F.lit(0))).alias("rest"), "edge")
     plan = cut(plan, "plan")
-    return plan, cut(sizes.join(plan, "skey"), "planned")
-
-
-def _at_edge(planned: DataFrame, max_epochs: int) -> DataFrame:
-    """The rows of the bins where targets end, with extra: whether the row is taken once more."""
-    run = F.sum("size").over(Window.partitionBy("skey").orderBy("u", "doc_id").rowsBetween(Window.unboundedPreceding, 0))
-    return planned.where(F.col("bin") == F.col("edge")).withColumn("extra", ((run - F.col("size") / 2) <= F.col("rest")) & (F.col("whole") < max_epochs))
+    planned = sizes.join(_small(plan), "skey")
+    # Rows that repeat an id and its text are taken together or not at all.
+    units = planned.where((F.col("bin") == F.col("edge")) & (F.col("whole") < max_epochs)).groupBy("skey", "u", "doc_id", "text_hash", "rest").agg(F.sum("size").alias("size"))
+    run = F.sum("size").over(Window.partitionBy("skey").orderBy("u", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
+    taken = units.withColumn("run", run).where(F.col("run") - F.col("size") / 2 <= F.col("rest"))
+    return plan, planned, cut(taken.select("skey", "doc_id", "text_hash"), "edge")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 23, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken.
 
     size: words of the text (null: 0). The budget is the sum of all sizes. Sources whose words are none have target 0. A null
-    source is a source of its own. Rows that repeat one another draw alike except in the bin where a target ends. Empty tables
+    source is a source of its own, and null ids draw as one id. Rows that repeat id and text are taken alike. Empty tables
     give empty tables; other columns are ignored, whatever their names.
     """
-    _, planned = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
-    within = planned.where(F.col("edge").isNull() | (F.col("bin") != F.col("edge"))).withColumn("extra", (F.col("bin") <= F.col("last_bin")) & (F.col("whole") < max_epochs))
-    copies = (F.col("whole") + F.col("extra").cast("long")).cast("long")
-    return within.unionByName(_at_edge(planned, max_epochs)).select(
-        "doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")
-    )
+    _, planned, edge = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
+    at_edge = F.col("edge").isNotNull() & (F.col("bin") == F.col("edge"))
+    rows = planned.join(_small(edge.select(F.col("skey").alias("k"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.lit(1).alias("drawn"))), at_edge & (F.col("skey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
+    extra = F.when(at_edge, F.coalesce("drawn", F.lit(0))).when((F.col("bin") <= F.col("last_bin")) & (F.col("whole") < max_epochs), 1).otherwise(0)
+    copies = (F.col("whole") + extra).cast("long")
+    return rows.select("doc_id", "source", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken"))
 
 
 def repeat_docs(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 23, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """The mix itself: each row of docs as often as ``mix`` takes it, with all its columns.
+    """The mix itself: each row of docs as often as ``mix`` takes it, with all its columns, whatever their names.
 
     The texts don't move: a row's copies follow from its source's plan, and the few rows that are taken once more where a target
-    ends are looked up by id. Both tables are broadcast up to BROADCAST_ROWS rows, else joined. Rows with a null id aren't
-    looked up.
+    ends are looked up by source, id and hash of the text. Both tables are broadcast up to BROADCAST_ROWS rows, else joined.
     """
-    plan, planned = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
-    taken = cut(_at_edge(planned, max_epochs).where("extra").select(F.col("doc_id").alias("_taken"), F.lit(1).alias("_more")).distinct(), "edge")
-    small = lambda df: F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
-    own = plan.select(F.col("skey").alias("_plan"), F.col("whole").alias("_whole"), F.col("last_bin").alias("_last"), F.col("edge").alias("_edge"))
-    rows = _keyed(docs, seed, id_col, source_col)
-    rows = rows.join(small(own), F.col("_skey") == F.col("_plan")).join(small(taken), F.col(id_col) == F.col("_taken"), "left")
-    at = F.floor(F.col("_u") * BINS)
-    extra = F.when(at == F.col("_edge"), F.coalesce("_more", F.lit(0))).when((at <= F.col("_last")) & (F.col("_whole") < max_epochs), 1).otherwise(0)
-    copies = (F.col("_whole") + extra).cast("int")
-    return rows.withColumn("_copies", copies).where("_copies > 0").withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    plan, _, edge = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
+    key, draw, text_hash, own, whole, last, ends, k, d, t, drawn, copies, copy = free_names(docs.columns, "key", "draw", "text_hash", "own", "whole", "last", "ends", "k", "d", "t", "drawn", "copies", "copy")
+    rows = docs.withColumns({key: _source_key(F.col(source_col)), draw: F.floor(_draw(F.col(id_col), seed) * BINS), text_hash: F.xxhash64(text_col)})
+    plan = plan.select(F.col("skey").alias(own), F.col("whole").alias(whole), F.col("last_bin").alias(last), F.col("edge").alias(ends))
+    edge = edge.select(F.col("skey").alias(k), F.col("doc_id").alias(d), F.col("text_hash").alias(t), F.lit(1).alias(drawn))
+    at_edge = F.col(ends).isNotNull() & (F.col(draw) == F.col(ends))
+    rows = rows.join(_small(plan), F.col(key) == F.col(own))
+    rows = rows.join(_small(edge), at_edge & (F.col(key) == F.col(k)) & F.col(id_col).eqNullSafe(F.col(d)) & (F.col(text_hash) == F.col(t)), "left")
+    extra = F.when(at_edge, F.coalesce(drawn, F.lit(0))).when((F.col(draw) <= F.col(last)) & (F.col(whole) < max_epochs), 1).otherwise(0)
+    rows = rows.withColumn(copies, (F.col(whole) + extra).cast("int")).where(F.col(copies) > 0)
+    return rows.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(copies)))).select(*docs.columns)
