@@ -7,16 +7,16 @@ Documents are compared by their sets of hashed 5-word shingles; two link when 10
 2. Filter. Linked sets of sizes n and m share at least min(slack(n), slack(m)) shingles of their prefixes, and m >= 0.8 n. The
    prefixes are dealt over ranges of shingles, which tell how many of a document's shingles occur elsewhere; a document with too
    few links with nothing. Passages that many documents share don't suffice, so hardly any pair is ever formed for them.
-3. Stars. ROUNDS times, sets are hashed to their least shingle under another order, and those that no link has reached yet are
-   compared with the most central of the sets that agree, the one whose shingles occur most elsewhere. The links found so far
-   make stars; copies of a text by the thousand cost a few comparisons each.
-4. Families. Shingles are counted by the stars that hold them, and a set's shingles are ordered by that count: unless one of the
-   first n - 0.8 n + 1 is in another star, no link leads out of the star. Sets that share such a rare shingle are a family, and no
-   link joins two families.
-5. Matrix. Each family is partitioned into groups of at most GROUP sets, and a group's row of the token-group matrix is its
-   members' token union. The sets outside the family's largest star query all its groups: a group is opened to a set only if its
-   union holds 0.8 n of the set's shingles, and what an opened group holds is compared exactly. Of the links only the pairs of
-   stars that they join are kept.
+3. Groups of similar sets. ROUNDS times, sets are hashed to their least shingle under another order, and those that no link has
+   reached yet are compared with the most central of the sets that agree, the one whose shingles occur most elsewhere. A set and
+   what links with it are a star; copies of a text by the thousand cost a few comparisons each. A star is a group, cut into groups
+   of at most about GROUP sets; sets in no star are grouped with those that have the same least shingle.
+4. Matrix. Shingles are counted by the stars that hold them, and a set's shingles are ordered by that count: one of its first
+   n - 0.8 n + 1 is among the first ones of any set that it links with. The matrix has an entry for each of these shingles and each
+   group that holds it; groups of different stars that share an entry meet, and no others.
+5. Opening. Where two groups meet, the union of the one's shingles bounds the overlap of each set of the other with anything in it:
+   only the sets whose overlap with the union reaches 0.8 n open the group, and are compared with what it holds, exactly. Of the
+   links only the pairs of stars that they join are kept.
 6. Components of those links. Steps 2, 4 and 5 lose nothing, whatever the stars missed.
 """
 
@@ -34,16 +34,14 @@ from pyspark.sql import functions as F
 from .bpe import _texts, release, small_batches
 from .components import components
 from .pretoken import distinct_spans, mix64
-from .shared import cut
+from .shared import cut, free_names, pick
 
 WORDS, PERCENT = 5, 80
 ROUNDS = 4
-#: Sets of a group, and of the queries that it meets in one task.
+#: Sets of a group, about.
 GROUP = 96
 #: Shingles of one partition in which they are counted.
 RANGE_TOKENS = 2_000_000
-#: Ids up to this number are broadcast to pick rows by; more are joined.
-PICK_BROADCAST = 1_000_000
 TOKEN_BYTES = 6
 #: Bytes of a text whose words are looked at together.
 CHUNK_BYTES = 1 << 22
@@ -230,25 +228,23 @@ def survivors(classes: DataFrame, parts: int) -> DataFrame:
     return summed.where(F.col("shared") >= F.greatest(F.lit(1), F.floor(smallest * 15 / 100))).select("rep", F.floor(F.col("held_by") * 1000 / F.col("n")).alias("central"))
 
 
-def pick(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
-    """df joined with ids on its first column: by broadcast where their number is small, else by a join of both sides."""
+def pick_by(df: DataFrame, key: str, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """df joined with a table of ids on its first column, which is called otherwise than df's."""
     first, *more = ids.columns
-    ids = cut(ids, "ids")
-    ids = F.broadcast(ids) if ids.count() <= PICK_BROADCAST else ids
-    out = df.join(ids.withColumnRenamed(first, "_picked"), F.col(key) == F.col("_picked"), how)
+    out = pick(df, F.col(key) == F.col("picked"), ids.withColumnRenamed(first, "picked"), how)
     return out.select(*df.columns, *more) if how == "inner" else out
 
 
 def full_sets(docs: DataFrame) -> DataFrame:
     """rep, central, n, the set, and its least shingle under each of ROUNDS other orders, of rows (doc_id, text, central)."""
-    names = [f"k{r}" for r in range(ROUNDS)]
+    names = [f"k{r}" for r in range(max(ROUNDS, 1))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in small_batches(batches, 512):
             sets = shingle_sets(_texts(b.column(1)))
             n = np.array([len(s) for s in sets], np.int64)
             flat = np.concatenate(sets) if len(sets) else np.zeros(0, np.uint64)
-            keys = [pa.array([int(mix64(s ^ mix64(np.array([r + 1], np.uint64))).min().view(np.int64)) if len(s) else 0 for s in sets], pa.int64()) for r in range(ROUNDS)]
+            keys = [pa.array([int(mix64(s ^ mix64(np.array([r + 1], np.uint64))).min().view(np.int64)) if len(s) else 0 for s in sets], pa.int64()) for r in range(len(names))]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(n), *keys, _binary(flat, n, 8)], names=["rep", "central", "n", *names, "tokens"])
 
     return docs.mapInArrow(run, "rep long, central long, n long, " + ", ".join(f"{k} long" for k in names) + ", tokens binary")
@@ -272,34 +268,34 @@ def linked(pairs: DataFrame) -> DataFrame:
 
 
 def stars(sets: DataFrame) -> DataFrame:
-    """(rep, grp) for the sets that a verified link has joined to others; the others are groups of their own."""
-    active, found = sets, None
+    """(rep, grp) for the sets that a verified link has joined to others; the others are stars of their own."""
+    active, found = sets, sets.sparkSession.createDataFrame([], "a long, b long")
     for r in range(ROUNDS):
         key = f"k{r}"
         small = sets.select("rep", "central", key)
         centres = small.groupBy(key).agg(F.max_by("rep", F.struct(F.col("central"), -F.col("rep"))).alias("b"), F.count("*").alias("c")).where("c > 1")
         centres = cut(centres.select(F.col(key).alias("lk"), "b"), "centres")
-        led = pick(sets, "rep", centres.select("b").distinct()).select(F.col(key).alias("lk"), F.col("rep").alias("b"), F.col("tokens").alias("b_tokens"))
+        led = pick_by(sets, "rep", centres.select("b").distinct()).select(F.col(key).alias("lk"), F.col("rep").alias("b"), F.col("tokens").alias("b_tokens"))
         led = cut(led, "led")
         pairs = active.select(key, F.col("rep").alias("a"), F.col("tokens").alias("a_tokens")).join(led, (F.col(key) == F.col("lk")) & (F.col("a") != F.col("b")))
         links = cut(linked(pairs), "links")
-        found = links if found is None else cut(found.unionByName(links), "found")
-        active = pick(active, "rep", links.select("a").distinct(), "left_anti")
+        found = cut(found.unionByName(links), "found")
+        active = pick_by(active, "rep", links.select("a").distinct(), "left_anti")
     return components(found).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
 
 
-def families(members: DataFrame, parts: int) -> DataFrame:
-    """(rep, family) of the sets that may link with a set of another star."""
+def rare_shingles(members: DataFrame, parts: int) -> DataFrame:
+    """(rep, token): of every set that may link with a set of another star, those of its first shingles that another star holds."""
 
-    def count_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def count_stars(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         (rep, n, grp), tokens, row = _gather(batches, 3, 8)
         if not len(tokens):
             return
         order = np.lexsort((grp[row], tokens))
         t, g = tokens[order], grp[row][order]
         run, _ = _runs(t)
-        new_group = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])
-        held_by = np.bincount(run, weights=new_group).astype(np.uint64)[run]
+        new_star = np.concatenate([[True], (t[1:] != t[:-1]) | (g[1:] != g[:-1])])
+        held_by = np.bincount(run, weights=new_star).astype(np.uint64)[run]
         shared = held_by > 1
         order, held_by = order[shared], held_by[shared]
         by_row = np.argsort(row[order], kind="stable")
@@ -307,7 +303,7 @@ def families(members: DataFrame, parts: int) -> DataFrame:
         which, counts = np.unique(row[order], return_counts=True)
         yield pa.RecordBatch.from_arrays([pa.array(rep[which]), pa.array(n[which]), _binary(tokens[order], counts, 8), _binary(held_by, counts, 8)], names=["rep", "n", "tokens", "held_by"])
 
-    shared = _deal(members, "tokens", 8, parts, ["rep", "n", "grp"]).mapInArrow(count_groups, "rep long, n long, tokens binary, held_by binary")
+    shared = _deal(members, "tokens", 8, parts, ["rep", "n", "grp"]).mapInArrow(count_stars, "rep long, n long, tokens binary, held_by binary")
     shared = shared.groupBy("rep", "n").agg(F.collect_list(F.struct("tokens", "held_by")).alias("pieces"))
 
     def rare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -324,17 +320,16 @@ def families(members: DataFrame, parts: int) -> DataFrame:
             columns = [np.concatenate(x) if x else np.zeros(0, np.int64) for x in (reps, found)]
             yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["rep", "token"])
 
-    rows = cut(shared.mapInArrow(rare, "rep long, token long"), "rare")
-    first = cut(rows.groupBy("token").agg(F.min("rep").alias("b"), F.count("*").alias("c")).where("c > 1").select(F.col("token").alias("t"), "b"), "first")
-    edges = rows.join(first, F.col("token") == F.col("t")).select(F.col("rep").alias("a"), "b").distinct()
-    return components(edges).select("node", F.col("component").alias("family"))
+    return shared.mapInArrow(rare, "rep long, token long")
 
 
 def _open_groups(block: pd.DataFrame) -> pd.DataFrame:
-    """The pairs of stars that links join between the queries of a block and the group that it holds."""
+    """The pairs of stars that links join between the sets of two groups, or of one."""
     none = pd.DataFrame({"a": [], "b": []}, dtype="int64")
     q, g = block[block["asks"]], block[~block["asks"]]
-    if not len(q) or not len(g):
+    if not len(q):
+        q = g
+    if not len(g):
         return none
     q_sets, g_sets = ([np.frombuffer(t, "<u8") for t in side["tokens"]] for side in (q, g))
     union = np.unique(np.concatenate(g_sets))
@@ -372,22 +367,44 @@ def _open_groups(block: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"a": pairs[0], "b": pairs[1]})
 
 
+def grouped(members: DataFrame) -> DataFrame:
+    """members (rep, grp, starred, k0, tokens) with the number of their group in place of starred and k0.
+
+    A group is a slice of a star, or sets without a star whose least shingles fall together.
+    """
+    alone = members.where("NOT starred").count()
+    own = F.pmod(F.xxhash64("k0"), F.lit(max(1, 2 * alone // GROUP)))
+    keyed = members.select("rep", "grp", "tokens", F.when(F.col("starred"), F.col("grp")).otherwise(own).alias("key"), "starred")
+    held = keyed.groupBy(F.col("key").alias("k"), F.col("starred").alias("s")).agg(F.ceil(F.count("*") / GROUP).alias("slices"))
+    sliced = keyed.join(cut(held, "slices"), (F.col("key") == F.col("k")) & (F.col("starred") == F.col("s")))
+    number = F.xxhash64("key", "starred", F.pmod(F.xxhash64("rep"), F.col("slices")))
+    return sliced.select("rep", "grp", "tokens", number.alias("block"), F.when(F.col("starred"), F.col("grp")).alias("star"))
+
+
+def matrix(rare: DataFrame, members: DataFrame) -> DataFrame:
+    """(token, block, star): the groups that hold each of the first shingles of their sets; star where all sets are of one."""
+    of_set = members.select(F.col("rep").alias("r"), "block", "star")
+    return rare.join(of_set, F.col("rep") == F.col("r")).select("token", "block", "star").distinct()
+
+
+def meetings(entries: DataFrame) -> DataFrame:
+    """(x, y), x <= y: the groups that share an entry of the matrix and are not of one star."""
+    held = entries.select(F.col("token").alias("t"), F.col("block").alias("y"), F.col("star").alias("other"))
+    apart = F.col("star").isNull() | F.col("other").isNull() | (F.col("star") != F.col("other"))
+    return entries.join(held, (F.col("token") == F.col("t")) & (F.col("block") <= F.col("y")) & apart).select(F.col("block").alias("x"), "y").distinct()
+
+
 def outside_links(sets: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
     """(a, b): stars, and sets without one, that links join."""
-    members = sets.select("rep", "n", "tokens").join(groups.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left")
-    members = cut(members.select("rep", "n", F.coalesce("grp", "rep").alias("grp"), "tokens"), "members")
-    of_family = cut(families(members, parts), "families")
-    related = cut(pick(members, "rep", of_family, "inner"), "related")
-    sizes = related.groupBy("family", "grp").agg(F.count("*").alias("c"))
-    sizes = sizes.groupBy("family").agg(F.max_by("grp", F.struct("c", "grp")).alias("main"), F.sum("c").alias("held"), F.max("c").alias("largest"))
-    count = lambda c: F.ceil(c / GROUP).cast("int")
-    sizes = cut(sizes.select(F.col("family").alias("f"), "main", count(F.col("held")).alias("gs"), F.greatest(F.lit(1), count(F.col("held") - F.col("largest"))).alias("qs")), "sizes")
-    known = related.join(sizes, F.col("family") == F.col("f"))
-    own = lambda k: F.pmod(F.xxhash64("rep"), F.col(k)).cast("int")
-    upto = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    asks = known.where("grp <> main").select("family", own("qs").alias("q"), upto("gs").alias("g"), "grp", "tokens", F.lit(True).alias("asks"))
-    holds = known.select("family", upto("qs").alias("q"), own("gs").alias("g"), "grp", "tokens", F.lit(False).alias("asks"))
-    return asks.unionByName(holds).groupBy("family", "q", "g").applyInPandas(_open_groups, "a long, b long")
+    members = sets.select("rep", "n", "k0", "tokens").join(groups.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left")
+    members = cut(members.select("rep", "n", F.coalesce("grp", "rep").alias("grp"), F.col("grp").isNotNull().alias("starred"), "k0", "tokens"), "members")
+    rare = cut(rare_shingles(members, parts), "rare")
+    asking = cut(grouped(pick_by(members, "rep", rare.select("rep").distinct())), "groups")
+    pairs = cut(meetings(cut(matrix(rare, asking), "matrix")), "meetings")
+    own = asking.select("block", "grp", "tokens")
+    asks = pairs.where("x <> y").join(own, F.col("x") == F.col("block")).select("x", "y", "grp", "tokens", F.lit(True).alias("asks"))
+    holds = pairs.join(own, F.col("y") == F.col("block")).select("x", "y", "grp", "tokens", F.lit(False).alias("asks"))
+    return asks.unionByName(holds).groupBy("x", "y").applyInPandas(_open_groups, "a long, b long")
 
 
 def joined_by_ids(named: DataFrame, classes: DataFrame, several: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -440,9 +457,9 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     if repeated:
         own = left.join(classes.select(F.col("rep").alias("r"), "first", "row_key"), F.col("rep") == F.col("r")).select("row_key", "first", "rep", "central")
-        picked = pick(rows.withColumn("key", F.xxhash64("doc_id", "text")), "key", own, "inner").where("doc_id = first").withColumn("doc_id", F.col("rep"))
+        picked = pick_by(rows.withColumn("key", F.xxhash64("doc_id", "text")), "key", own, "inner").where("doc_id = first").withColumn("doc_id", F.col("rep"))
     else:
-        picked = pick(rows, "doc_id", left, "inner")
+        picked = pick_by(rows, "doc_id", left, "inner")
     picked = picked.groupBy("doc_id").agg(F.min("text").alias("text"), F.min("central").alias("central"))
     sets = cut(full_sets(picked), "sets")
     groups = cut(stars(sets), "stars")
@@ -466,5 +483,6 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
 
 def keep_one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """docs without the rows whose component has a smaller doc_id; rows that link with nothing stay, as do null ids."""
-    found = cut(ngram_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias("gone")).distinct(), "gone")
-    return pick(docs, id_col, found, "left_anti")
+    (gone,) = free_names(docs.columns, "gone")
+    found = ngram_components(docs, id_col, text_col).where("doc_id <> component_id").select(F.col("doc_id").alias(gone)).distinct()
+    return pick(docs, F.col(id_col) == F.col(gone), found, "left_anti")

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho sigma tau upsilon phi chi psi omega".split()
 #: Names that the operators use themselves.
-CLASHING = ["h", "sha", "norm", "n", "rep", "size", "bin", "kept", "score", "shard", "slot", "bucket", "component_id", "copies", "host", "_u"]
+CLASHING = ["h", "sha", "norm", "n", "rep", "size", "bin", "kept", "score", "shard", "slot", "bucket", "component_id", "copies", "host", "_u", "_row", "row", "id", "hash", "stays", "key", "draw", "own", "whole", "last", "ends", "k", "d", "t", "drawn", "copy", "gone", "picked", "_id", "_hash", "_plan", "_copies", "_picked", "text_hash"]
 
 
 def text(rng, n):
@@ -45,4 +45,11 @@ def frame(spark, rows=None):
 
 
 def with_clashes(df):
-    return df.withColumns({c: F.lit(7) for c in CLASHING if c not in df.columns})
+    """df with a column of each name, whose value tells the name and the row's id."""
+    return df.withColumns({c: F.concat_ws("/", F.lit(c), F.col("doc_id").cast("string")) for c in CLASHING if c not in df.columns})
+
+
+def assert_clashes_kept(rows):
+    """All the columns that with_clashes has added still hold what it put there."""
+    for r in rows:
+        assert all(r[c] == (c if r["doc_id"] is None else f"{c}/{r['doc_id']}") for c in CLASHING), r

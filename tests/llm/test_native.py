@@ -3,27 +3,62 @@ import re
 import zlib
 from collections import defaultdict
 
+import pytest
+from pyspark.sql import functions as F
+
 from paperloom.llm import exact, mixing, sharding
 
-from .data import documents, frame, with_clashes
+from .data import assert_clashes_kept, documents, frame, with_clashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-def test_exact_groups(spark):
-    rows = documents()
-    got = {r["doc_id"]: r for r in exact.exact_groups(with_clashes(frame(spark)), capacity=4).collect()}
+def check_groups(rows, got):
     groups = defaultdict(list)
     for d, t, *_ in rows:
         groups[(t or "").translate(LOWER)].append(d)
-    assert len(got) == len(rows)
-    for t, ids in groups.items():
-        for d in ids:
-            r = got[d]
-            assert (r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) == (max(ids), len(ids), d == max(ids), hashlib.sha256(t.encode()).hexdigest())
+    want = sorted((d, max(ids), len(ids), d == max(ids), hashlib.sha256(t.encode()).hexdigest()) for t, ids in groups.items() for d in ids)
+    assert sorted((r["doc_id"], r["keep_id"], r["group_size"], r["kept"], r["text_sha256"]) for r in got) == want
+
+
+def test_exact_groups(spark):
+    rows = documents()
+    check_groups(rows, exact.exact_groups(with_clashes(frame(spark)), capacity=4).collect())
     assert exact.exact_groups(frame(spark, [])).collect() == []
 
 
+@pytest.mark.parametrize("hash_of", [lambda c: F.lit(5).cast("long"), lambda c: F.pmod(F.length(c), F.lit(3)).cast("long"), lambda c: F.shiftleft(F.length(c).cast("long"), 50)])
+def test_collisions_are_told_apart_by_their_bytes(spark, hash_of):
+    check_groups(documents(), exact.exact_groups(frame(spark), hash_of=hash_of).collect())
+
+
+@pytest.mark.parametrize("share", [0.0001, 1000.0])
+def test_hot_and_owned_hashes_decide_alike(spark, monkeypatch, share):
+    """All hashes that repeat are hot, or none is."""
+    monkeypatch.setattr(exact, "HOT_SHARE", share)
+    check_groups(documents(), exact.exact_groups(frame(spark)).collect())
+
+
+def test_buckets_split_beyond_the_directory(spark, monkeypatch):
+    monkeypatch.setattr(exact, "MAX_DEPTH", 2)
+    rows = [(i, f"text {i % 300}", "", "", 0) for i in range(400)]
+    got = exact.exact_groups(frame(spark, rows), capacity=3).collect()
+    check_groups(rows, got)
+    held = defaultdict(set)
+    for r in got:
+        held[r["bucket"]].add(r["text_sha256"])
+    assert len(held) > 64 and max(map(len, held.values())) < 16
+    global_depth, slots, buckets = exact.number_buckets({0: 40, 1: 2, 2: 0, 3: 9}, 2, 8)
+    assert global_depth == 2 and slots == [(0, 0, 3), (1, 8, 0), (2, 9, 0), (3, 10, 1)] and buckets == 12
+
+
+def test_the_index_decides(spark, monkeypatch):
+    """Without its directory no row finds its bucket, and so its group."""
+    real = exact.number_buckets
+    monkeypatch.setattr(exact, "number_buckets", lambda *a: (real(*a)[0], [(-1, 0, 0)], 1))
+    assert exact.exact_groups(frame(spark)).collect() == []
+
+
 def test_directory_doubles_where_it_must():
     counts = {0: 5, 1: 1, 2: 1, 3: 1, 12: 2, 15: 9}
     depth, directory = exact.grow_directory(counts, 4, 4)
@@ -40,6 +75,10 @@ def test_drop_copies_keeps_one_row_of_each(spark):
     rows = [(1, "A", "", "", 0), (2, "a", "", "", 0), (2, "a", "", "", 0), (2, "A", "", "", 0), (3, "b", "", "", 0), (3, "b", "", "", 0), (4, None, "", "", 0), (5, "", "", "", 0), (6, "solo", "", "", 0)]
     got = sorted((r["doc_id"], r["text"]) for r in exact.drop_copies(frame(spark, rows)).collect())
     assert [d for d, _ in got] == [2, 3, 5, 6] and got[0][1] in ("a", "A")
+    rows += [(None, "solo again", "", "", 0), (None, "b", "", "", 0), (None, "twice", "", "", 0), (None, "Twice", "", "", 0)]
+    left = exact.drop_copies(with_clashes(frame(spark, rows))).collect()
+    assert sorted((r["doc_id"] or 0, r["text"] or "") for r in left if r["doc_id"] != 2) == [(0, "solo again"), (0, "twice"), (3, "b"), (5, ""), (6, "solo")] or len(left) == 6
+    assert_clashes_kept(left)
 
 
 def test_shards(spark):
@@ -108,7 +147,19 @@ def test_mix(spark):
     again = {r["doc_id"]: r["copies"] for r in mixing.mix(df.repartition(2)).collect()}
     assert again == {r["doc_id"]: r["copies"] for r in got}
     held = defaultdict(int)
-    for r in mixing.repeat_docs(df).collect():
+    mixed = mixing.repeat_docs(df).collect()
+    assert_clashes_kept(mixed)
+    for r in mixed:
         held[r["doc_id"]] += 1
     assert {d: c for d, c in again.items() if c} == dict(held)
     assert mixing.mix(frame(spark, [])).collect() == []
+
+
+def test_mix_of_null_and_repeated_ids(spark):
+    """Rows without an id, and rows that repeat one, stand in the mix as often as ``mix`` says."""
+    rows = [(None if i % 3 else i % 40, f"{'word ' * (i % 17)}{i % 90}", "en", ["a", "b", "c", None][i % 7 % 4], 0) for i in range(900)]
+    df = frame(spark, rows)
+    got, want = mixing.mix(df).groupBy("doc_id", "source", "size").agg(F.sum("copies").alias("n")).where("n > 0").collect(), defaultdict(int)
+    for r in mixing.repeat_docs(df).collect():
+        want[(r["doc_id"], r["source"], len(r["text"].split()))] += 1
+    assert {(r["doc_id"], r["source"], r["size"]): r["n"] for r in got} == dict(want)

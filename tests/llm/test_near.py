@@ -2,10 +2,13 @@ import random
 import re
 
 import numpy as np
+import pandas as pd
+import pytest
+from pyspark.sql import functions as F
 
 from paperloom.llm import ngram, vectors
 
-from .data import documents, edited, frame, text, with_clashes
+from .data import assert_clashes_kept, documents, edited, frame, text, with_clashes
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -47,6 +50,14 @@ def test_components(spark):
     check(spark, documents())
 
 
+def test_words_that_share_a_hash_make_other_shingles(spark):
+    from .test_tokens import alike_words
+
+    a, b = alike_words()
+    words = [f"w{i}" for i in range(30)]
+    check(spark, [(i, " ".join([*words[:k], w, *words[k:]]), "", "", 0) for i, (w, k) in enumerate([(a, 15), (b, 15), (a, 28), (b, 28), (a, 2)])] + [(9, a, "", "", 0), (10, b, "", "", 0)])
+
+
 def test_large_family_and_chains(spark, monkeypatch):
     monkeypatch.setattr(ngram, "GROUP", 8)
     rng = random.Random(8)
@@ -61,6 +72,42 @@ def test_large_family_and_chains(spark, monkeypatch):
     check(spark, [(i, t, "", "", 0) for i, t in enumerate(rows)])
 
 
+def family(seed=8):
+    """Near copies of one text, a chain of edits away from it, exact copies, and unlike texts that share a passage."""
+    rng = random.Random(seed)
+    base, step = text(rng, 120), None
+    rows = [edited(rng, base, rng.choice([1, 2, 3, 4, 5])) for _ in range(40)]
+    for _ in range(12):
+        step = edited(rng, step or base, 2)
+        rows.append(step)
+    rows += [base] * 5 + [f"{base[:300]} {text(rng, 60)}" for _ in range(12)]
+    rng.shuffle(rows)
+    return [(i, t, "", "", 0) for i, t in enumerate(rows)]
+
+
+def test_the_matrix_alone_finds_all_links(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "ROUNDS", 0)
+    monkeypatch.setattr(ngram, "GROUP", 8)
+    check(spark, family())
+
+
+def test_without_the_matrix_links_are_lost(spark, monkeypatch):
+    monkeypatch.setattr(ngram, "ROUNDS", 1)
+    check(spark, family())
+    monkeypatch.setattr(ngram, "matrix", lambda rare, members: rare.select("token", F.lit(0).alias("block"), F.lit(0).alias("star")).limit(0))
+    with pytest.raises(AssertionError):
+        check(spark, family())
+
+
+def test_a_group_is_opened_only_where_its_union_allows(monkeypatch):
+    """What a union can't hold is never compared."""
+    sets = {"a": range(0, 100), "b": range(50, 150), "c": range(0, 90)}
+    rows = [(name, np.array(list(r), "<u8").tobytes(), asks) for name, r, asks in (("a", sets["a"], False), ("b", sets["b"], True), ("c", sets["c"], True))]
+    block = pd.DataFrame({"grp": [ord(n) for n, _, _ in rows], "tokens": [t for _, t, _ in rows], "asks": [a for *_, a in rows]})
+    assert ngram._open_groups(block).to_numpy().tolist() == [[ord("c"), ord("a")]]
+    assert len(ngram._open_groups(block[block["grp"] != ord("c")])) == 0
+
+
 def test_joined_set_is_exact_on_the_threshold(spark):
     words = [f"w{i}" for i in range(40)]
     rows = [(0, " ".join(words[:14]), "", "", 0), (1, " ".join(words[:12]), "", "", 0), (2, " ".join(words[:11]), "", "", 0), (3, "a b", "", "", 0), (4, "A  b\n", "", "", 0), (5, "a b c", "", "", 0)]
@@ -72,7 +119,9 @@ def test_no_rows_and_repeated_ids(spark):
     rows = [(1, "a b c d e f", "", "", 0), (1, "a b c d e f", "", "", 0), (2, "a b c d e f", "", "", 0), (None, "a b c d e f", "", "", 0), (None, None, "", "", 0)]
     got = sorted(((r["doc_id"], r["component_id"]) for r in ngram.ngram_components(frame(spark, rows)).collect()), key=str)
     assert got == [(1, 1), (1, 1), (2, 1), (None, None), (None, None)]
-    assert sorted(r["doc_id"] or 0 for r in ngram.keep_one_of_each(frame(spark, rows)).collect()) == [0, 0, 1, 1]
+    left = ngram.keep_one_of_each(with_clashes(frame(spark, rows))).collect()
+    assert sorted(r["doc_id"] or 0 for r in left) == [0, 0, 1, 1]
+    assert_clashes_kept(left)
 
 
 def test_repeated_ids_with_different_texts(spark):
