@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from paperloom.store import cut, small
+
 #: The range of ideographs that are read as pairs.
 IDEOGRAPHS = "[一-鿿]+"
 
@@ -24,32 +26,57 @@ def mixed_tokens(c: Column) -> Column:
     return F.concat(ascii_words(c), F.flatten(pairs))
 
 
-def term_weights(df: DataFrame, text: str, key: str = "pos", by: list[str] | None = None) -> DataFrame:
-    """(by, key, token, tf, df, n, idf, weight) of every token of every text; n counts empty texts too.
+def term_counts(df: DataFrame, texts: list[str], key: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """(by, key, field, token, tf): the tokens of each of the text columns, whose number is the field, counted once and written.
+
+    Every text has a row with a null token too, so that texts without tokens are not lost.
+    """
+    by = by or []
+    tokens = F.explode(F.array(*[F.struct(F.lit(i).alias("field"), F.concat(mixed_tokens(F.col(t)), F.array(F.lit(None).cast("string"))).alias("tokens")) for i, t in enumerate(texts)]))
+    rows = df.select(*by, key, tokens.alias("f")).select(*by, key, "f.field", F.explode("f.tokens").alias("token"))
+    return cut(rows.groupBy(*by, key, "field", "token").agg(F.count("*").alias("tf")), "tf")
+
+
+def weighted(tf: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """tf with df, n, idf and weight; n counts empty texts too, and a null token weighs nothing.
 
-    Documents and their tokens are counted by partial aggregation; ``by`` makes each group a corpus of its own, without a loop.
+    Document frequencies are found by partial aggregation and broadcast while the vocabulary is small; beyond that a frequent token
+    is a hot key of one row on one side, which an adaptive join splits.
     """
     by = by or []
-    counts = df.groupBy(*by).agg(F.count("*").alias("n"))
-    tf = df.select(*by, key, F.explode(mixed_tokens(F.col(text))).alias("token")).groupBy(*by, key, "token").agg(F.count("*").alias("tf"))
-    held = tf.groupBy(*by, "token").agg(F.count("*").alias("df"))
-    joined = tf.join(held, [*by, "token"])
-    joined = joined.join(counts, by) if by else joined.crossJoin(F.broadcast(counts))
+    group = [*by, "field"]
+    counts = small(cut(tf.where("token IS NULL").groupBy(*group).agg(F.count("*").alias("n")), "n"))
+    held = small(cut(tf.where("token IS NOT NULL").groupBy(*group, "token").agg(F.count("*").alias("df")), "df"))
+    joined = tf.join(held, [*group, "token"], "left").join(counts, group)
     idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
     return joined.withColumn("idf", idf).withColumn("weight", F.col("tf") * F.col("idf"))
 
 
-def query_similarity(df: DataFrame, text: str, query: str, key: str = "pos", by: list[str] | None = None) -> DataFrame:
-    """(by, key, similarity): cosine of each text with the query, whose words outside the corpus don't count.
+def term_weights(df: DataFrame, text: str, key: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """(by, key, token, tf, df, n, idf, weight) of every token of every text; ``by`` makes each group a corpus of its own."""
+    return weighted(term_counts(df, [text], key, by), by).where("token IS NOT NULL").drop("field")
+
+
+def query_similarities(df: DataFrame, texts: list[str], query: str, key: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """(by, key, s0, s1, ..): cosine of each text column with the query, whose words outside that column's corpus don't count.
 
-    Only the query's few tokens meet the inverted rows; norms are a sum for each text.
+    Only the query's few tokens get a share of the dot product; norms are a sum for each text, and one row a document is left.
     """
     by = by or []
-    weights = term_weights(df, text, key, by)
+    weights = weighted(term_counts(df, texts, key, by), by)
     asked = df.sparkSession.range(1).select(F.explode(mixed_tokens(F.lit(query))).alias("token")).groupBy("token").agg(F.count("*").alias("asked"))
-    with_query = weights.join(F.broadcast(asked), "token", "left").withColumn("q", F.coalesce("asked", F.lit(0)) * F.col("idf"))
-    terms = with_query.where("asked IS NOT NULL").select(*by, "token", "q").distinct().groupBy(*by).agg(F.sqrt(F.sum(F.col("q") * F.col("q"))).alias("q_norm"))
-    sums = with_query.groupBy(*by, key).agg(F.sum(F.col("q") * F.col("weight")).alias("dot"), F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("norm"))
-    sums = sums.join(terms, by, "left") if by else sums.crossJoin(F.broadcast(terms))
-    value = F.coalesce(F.try_divide("dot", F.col("norm") * F.col("q_norm")), F.lit(0.0))
-    return df.select(*by, key).join(sums.select(*by, key, value.alias("similarity")), [*by, key], "left").withColumn("similarity", F.coalesce("similarity", F.lit(0.0)))
+    with_query = weights.join(F.broadcast(asked), "token", "left").withColumn("q", F.col("asked") * F.col("idf"))
+    of_field = lambda i, value: F.sum(F.when(F.col("field") == i, value))
+    sums = with_query.groupBy(*by, key).agg(
+        *[of_field(i, F.col("q") * F.col("weight")).alias(f"d{i}") for i in range(len(texts))], *[of_field(i, F.col("weight") * F.col("weight")).alias(f"n{i}") for i in range(len(texts))]
+    )
+    terms = cut(with_query.where("q IS NOT NULL").select(*by, "field", "token", "q").distinct(), "terms")
+    norms = terms.groupBy(*by).agg(*[of_field(i, F.col("q") * F.col("q")).alias(f"q{i}") for i in range(len(texts))])
+    joined = sums.join(small(cut(norms, "norms")), by, "left") if by else sums.crossJoin(F.broadcast(norms))
+    value = lambda i: F.coalesce(F.try_divide(F.col(f"d{i}"), F.sqrt(f"n{i}") * F.sqrt(f"q{i}")), F.lit(0.0))
+    return joined.select(*by, key, *[value(i).alias(f"s{i}") for i in range(len(texts))])
+
+
+def query_similarity(df: DataFrame, text: str, query: str, key: str = "pos", by: list[str] | None = None) -> DataFrame:
+    """(by, key, similarity) of one text column."""
+    return query_similarities(df, [text], query, key, by).withColumnRenamed("s0", "similarity")

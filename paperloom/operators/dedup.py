@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from paperloom.functions import norm
-from paperloom.operators.rank import with_checkpoints
+from paperloom.store import cut, discard
 
 #: Fixed values of the rule for suspected pairs.
 AUTHOR_LEAST, TITLE_SURE, YEARS_APART, YEARS_UNKNOWN = 0.3, 0.80, 2, 999
@@ -46,18 +46,19 @@ def keys_of(papers: DataFrame) -> DataFrame:
 def clusters(papers: DataFrame) -> DataFrame:
     """(pos, cluster): the smallest pos that shared identifiers reach.
 
-    Smallest labels go from records to keys and back until none changes; chains are short, and each round is checkpointed.
+    Smallest labels go from records to keys and back until none changes; chains are short, and each round is a written table.
     """
-    with_checkpoints(papers.sparkSession)
-    links = keys_of(papers).checkpoint()
-    labels = papers.select("pos", F.col("pos").alias("cluster")).checkpoint()
+    links = cut(keys_of(papers), "links")
+    labels = cut(papers.select("pos", F.col("pos").alias("cluster")), "labels")
     while True:
-        by_key = links.join(labels, "pos").groupBy("kind", "key").agg(F.min("cluster").alias("m")).checkpoint()
+        by_key = cut(links.join(labels, "pos").groupBy("kind", "key").agg(F.min("cluster").alias("m")), "by-key")
         best = links.join(by_key, ["kind", "key"]).groupBy("pos").agg(F.min("m").alias("m"))
-        moved = labels.join(best, "pos", "left").select("pos", F.least("cluster", "m").alias("next"), "cluster").checkpoint()
-        labels = moved.select("pos", F.col("next").alias("cluster"))
-        if not moved.where("next <> cluster").take(1):
-            return labels
+        moved = cut(labels.join(best, "pos", "left").select("pos", F.least("cluster", "m").alias("cluster"), F.col("cluster").alias("was")), "labels")
+        discard(by_key, labels)
+        labels = moved
+        if not moved.where("cluster <> was").take(1):
+            discard(links)
+            return labels.select("pos", "cluster")
 
 
 def exact_merge(papers: DataFrame) -> DataFrame:

@@ -27,12 +27,10 @@ def check_k(k: object) -> int:
     return k
 
 
-def condensed(ranking: DataFrame, by: list[str], rank: str = "rank") -> DataFrame:
-    """The judged rows of (by, rank, grade) with their new place and their place in the ideal order."""
-    w = Window.partitionBy(*by)
-    return ranking.where("grade IS NOT NULL").withColumns(
-        {"condensed": F.row_number().over(w.orderBy(rank)), "ideal": F.row_number().over(w.orderBy(F.desc("grade"), rank))}
-    )
+def first_judged(ranking: DataFrame, by: list[str], order: list[Column], name: str, most: int) -> DataFrame:
+    """The first ``most`` judged rows of each group in that order, with their place; a task hands on no more of a group than those."""
+    place = F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    return ranking.where("grade IS NOT NULL").withColumn(name, place).where(F.col(name) <= most)
 
 
 def _gain(place: str) -> Column:
@@ -47,14 +45,11 @@ def metrics(ranking: DataFrame, by: list[str], ks: list[int], rank: str = "rank"
     sized = ranking.groupBy(*by).agg(F.count("*").alias("n"), F.count("grade").alias("judged"), F.avg(F.when(F.col("grade") == 2, F.col(rank))).alias("average_rank_high"))
     top = ranking.where(F.col(rank) <= max(ks)).select("*", cuts).where(F.col(rank) <= F.col("k"))
     top = top.groupBy(*by, "k").agg(F.count("grade").alias("judged_in_top"), F.count(F.when(F.col("grade") == 0, 1)).alias("irrelevant_in_top"))
-    judged = condensed(ranking, by, rank).select("*", cuts)
-    inside = lambda place, value: F.when(F.col(place) <= F.col("k"), value)
-    gains = judged.groupBy(*by, "k").agg(
-        F.avg(inside("condensed", (F.col("grade") >= 1).cast("double"))).alias("precision"),
-        F.sum(inside("condensed", _gain("condensed"))).alias("dcg"),
-        F.sum(inside("ideal", _gain("ideal"))).alias("idcg"),
-    )
-    out = sized.select("*", cuts).join(top, [*by, "k"], "left").join(gains, [*by, "k"], "left")
+    met = first_judged(ranking, by, [F.asc(rank)], "condensed", max(ks)).select("*", cuts).where(F.col("condensed") <= F.col("k"))
+    gains = met.groupBy(*by, "k").agg(F.avg((F.col("grade") >= 1).cast("double")).alias("precision"), F.sum(_gain("condensed")).alias("dcg"))
+    best = first_judged(ranking, by, [F.desc("grade"), F.asc(rank)], "ideal", max(ks)).select("*", cuts).where(F.col("ideal") <= F.col("k"))
+    best = best.groupBy(*by, "k").agg(F.sum(_gain("ideal")).alias("idcg"))
+    out = sized.select("*", cuts).join(top, [*by, "k"], "left").join(gains, [*by, "k"], "left").join(best, [*by, "k"], "left")
     return out.select(
         *by,
         "k",

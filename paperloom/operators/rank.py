@@ -2,38 +2,37 @@
 
 from __future__ import annotations
 
-import tempfile
 from itertools import accumulate
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_LOW = (1 << 33) - 1
-
+from paperloom.store import cut, small
 
-def with_checkpoints(spark: SparkSession) -> None:
-    """Use the folder of spark.checkpoint.dir, or a temporary one in a local session that has none."""
-    sc = spark.sparkContext
-    if sc._jsc.sc().getCheckpointDir().isEmpty():
-        folder = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-        if not folder:
-            if not sc.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-            folder = tempfile.mkdtemp(prefix="paperloom-")
-        sc.setCheckpointDir(folder)
+_LOW = (1 << 33) - 1
 
 
 def ranked(df: DataFrame, name: str, order: list[Column], by: list[str] | None = None) -> DataFrame:
     """df with the place of each row in that order, from 1, within its group or in the whole.
 
-    The whole order is range-partitioned and sorted in parallel; a row's place is its place in its partition plus the rows of the
-    partitions before, of which only the counts reach the driver.
+    The order, behind the groups if there are any, is range-partitioned and sorted in parallel, so a group with most of the rows is
+    many tasks. A row's place is its place in its partition plus the rows of the partitions before: of those only the counts reach
+    the driver, and with groups a row for each group and partition is joined back, by broadcast where there are few.
     """
-    if by:
-        return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(*order)))
-    with_checkpoints(df.sparkSession)
-    placed = df.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()).checkpoint()
-    counts = {r["p"]: r["n"] for r in placed.groupBy(F.shiftright("_at", 33).alias("p")).agg(F.count("*").alias("n")).collect()}
-    before = [0, *accumulate(counts.get(p, 0) for p in range(max(counts, default=0) + 1))]
-    rank = F.get(F.lit(before), F.shiftright("_at", 33).cast("int")) + F.col("_at").bitwiseAND(F.lit(_LOW)) + 1
-    return placed.withColumn(name, rank.cast("int")).drop("_at")
+    by = by or []
+    keys = [*[F.col(c) for c in by], *order]
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("_at", 33)
+    if not by:
+        counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
+        before = [0, *accumulate(counts.get(p, 0) for p in range(max(counts, default=0) + 1))]
+        rank = F.get(F.lit(before), F.shiftright("_at", 33).cast("int")) + F.col("_at").bitwiseAND(F.lit(_LOW)) + 1
+        return placed.withColumn(name, rank.cast("int")).drop("_at")
+    pieces = placed.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
+    earlier = Window.partitionBy(*[f"_by{i}" for i in range(len(by))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    pieces = cut(pieces.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), "pieces")
+    on = part == F.col("_part")
+    for i, c in enumerate(by):
+        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
+    rank = F.col("_at") - F.col("_first") + F.col("_before") + 1
+    return placed.join(small(pieces), on).withColumn(name, rank.cast("int")).select(*df.columns, name)

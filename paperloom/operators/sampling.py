@@ -7,11 +7,14 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from paperloom.operators.rank import ranked
+from paperloom.store import cut, small
+
 #: Rows of each bucket, and the rows a group must have.
 BUCKET, LEAST_ROWS = 5, 25
 
 
-def stratified(ranked: DataFrame, by: list[str]) -> DataFrame:
+def stratified(numbered: DataFrame, by: list[str]) -> DataFrame:
     """Per group the top, middle and bottom BUCKET rows by new_rank, and BUCKET of the rest by the size of their move.
 
     Groups with fewer than LEAST_ROWS rows give none.
@@ -20,7 +23,7 @@ def stratified(ranked: DataFrame, by: list[str]) -> DataFrame:
     n, r = F.col("_n"), F.col("new_rank")
     start = F.floor((n - BUCKET) / 2)
     bucket = F.when(r <= BUCKET, "top").when((r > start) & (r <= start + BUCKET), "middle").when(r > n - BUCKET, "bottom")
-    counted = ranked.join(ranked.groupBy(*by).agg(F.count("*").alias("_n")), by).where(F.col("_n") >= LEAST_ROWS).withColumn("bucket", bucket)
+    counted = numbered.join(small(cut(numbered.groupBy(*by).agg(F.count("*").alias("_n")), "sizes")), by).where(F.col("_n") >= LEAST_ROWS).withColumn("bucket", bucket)
     rest = counted.where("bucket IS NULL")
     order = [F.abs("rank_change").desc(), F.asc("new_rank"), F.asc("openalex_id"), F.lower("title").asc()]
     movers = rest.withColumn("_m", F.row_number().over(w.orderBy(*order))).where(F.col("_m") <= BUCKET).withColumn("bucket", F.lit("mover")).drop("_m")
@@ -32,18 +35,18 @@ def stable_hash(version: str, *parts: Column) -> Column:
 
 
 def hash_numbered(df: DataFrame, by: list[str], h: Column, name: str = "ordinal") -> DataFrame:
-    return df.withColumn(name, F.row_number().over(Window.partitionBy(*by).orderBy(h)))
+    """df with each row's place in its group in the order of the hash; a group with most of the rows is many tasks."""
+    return ranked(df.withColumn("_h", h), name, [F.asc("_h")], by).drop("_h")
 
 
-def assign_primary(pool: DataFrame, annotators: list[str]) -> DataFrame:
-    """pool (rq, pair_id) with a primary annotator by turns over the order of both keys.
+def hash_first(df: DataFrame, by: list[str], h: Column, most: int) -> DataFrame:
+    """The first ``most`` rows of each group in the order of the hash; a task hands on no more of a group than those."""
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(*by).orderBy(h))).where(F.col("_n") <= most).drop("_n")
 
-    The turns run over the groups: a group starts where the rows of the groups before it end, of which only counts are joined.
-    """
-    sizes = pool.groupBy("rq").agg(F.count("*").alias("n"))
-    starts = sizes.select("rq", F.coalesce(F.sum("n").over(Window.orderBy("rq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("start"))
-    at = F.col("start") + F.row_number().over(Window.partitionBy("rq").orderBy("pair_id")) - 1
-    return pool.join(F.broadcast(starts), "rq").withColumn("primary", F.get(F.lit(annotators), (at % len(annotators)).cast("int"))).drop("start")
+
+def assign_primary(pool: DataFrame, annotators: list[str]) -> DataFrame:
+    """pool (rq, pair_id) with a primary annotator by turns over the order of both keys."""
+    return ranked(pool, "_place", [F.asc("rq"), F.asc("pair_id")]).withColumn("primary", F.get(F.lit(annotators), (F.col("_place") - 1) % len(annotators))).drop("_place")
 
 
 def assign_secondary(primaries: list[tuple[str, str]], annotators: list[str], quota: int) -> list[str]:

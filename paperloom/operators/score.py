@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.norm import floor4, is_missing
-from paperloom.functions.text import ascii_words, keyword_terms, query_similarity
+from paperloom.functions.text import ascii_words, keyword_terms, query_similarities
 from paperloom.operators.rank import ranked
+from paperloom.store import cut, small
 
 
 @dataclass(frozen=True)
@@ -70,7 +72,7 @@ def with_scores(papers: DataFrame, keyword: str, reference_year: int, by: list[s
     """
     logged = citations_log(F.col("cited_by_count"))
     most = papers.groupBy(*(by or [])).agg(F.max(logged).alias("_most"))
-    joined = papers.join(F.broadcast(most) if not by else most, by) if by else papers.crossJoin(F.broadcast(most))
+    joined = papers.join(small(cut(most, "most")), by) if by else papers.crossJoin(F.broadcast(most))
     part = F.when(F.col("_most") <= 0, 0.0).otherwise(logged / F.col("_most"))
     scored = joined.withColumns(
         {
@@ -99,21 +101,27 @@ def baseline_order() -> list[Column]:
 def text_relevance(papers: DataFrame, keyword: str, by: list[str] | None = None) -> DataFrame:
     """(by, pos, title_similarity, abstract_similarity, combined_relevance): titles and abstracts are corpora of their own."""
     by = by or []
-    title = query_similarity(papers, "title", keyword, "pos", by).withColumnRenamed("similarity", "t")
-    abstract = query_similarity(papers, "abstract", keyword, "pos", by).withColumnRenamed("similarity", "a")
-    both = title.join(abstract, [*by, "pos"])
-    return both.select(*by, "pos", floor4(F.col("t")).alias("title_similarity"), floor4(F.col("a")).alias("abstract_similarity"), floor4(W.title * F.col("t") + W.abstract * F.col("a")).alias("combined_relevance"))
+    both = query_similarities(papers, ["title", "abstract"], keyword, "pos", by)
+    return both.select(*by, "pos", floor4(F.col("s0")).alias("title_similarity"), floor4(F.col("s1")).alias("abstract_similarity"), floor4(W.title * F.col("s0") + W.abstract * F.col("s1")).alias("combined_relevance"))
 
 
 def level(combined: Column) -> Column:
     return F.when(combined >= W.high, "high").when(combined >= W.medium, "medium").otherwise("low")
 
 
-def two_stage(scored: DataFrame, keyword: str, by: list[str] | None = None) -> DataFrame:
-    """scored with relevance level, second-stage score, old and new rank and their difference. Nothing is filtered."""
+#: What the two orders read of a scored record.
+RANKED_BY = ("pos", "cited_by_count", "publication_year", "preliminary_score", "impact_score", "recency_score", "completeness_score")
+
+
+def two_stage(scored: DataFrame, keyword: str, by: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+    """(by, what the orders read, keep) with relevance level, second-stage score, old and new rank and their difference.
+
+    Nothing is filtered. Long columns are not carried through the sorts: ``keep`` names those that the caller wants besides.
+    """
     by = by or []
-    old = ranked(scored, "old_rank", baseline_order(), by)
-    joined = old.join(text_relevance(scored, keyword, by), [*by, "pos"])
+    narrow = list(dict.fromkeys([*by, *RANKED_BY, *keep]))
+    old = ranked(scored.select(*narrow), "old_rank", baseline_order(), by)
+    joined = old.join(text_relevance(scored, keyword, by).drop(*by), "pos")
     lv = level(F.col("combined_relevance"))
     gate = F.when(lv == "high", W.gates[0]).when(lv == "medium", W.gates[1]).otherwise(W.gates[2])
     inner = W.combined2 * F.col("combined_relevance") + W.impact2 * F.col("impact_score") + W.recency2 * F.col("recency_score") + W.completeness2 * F.col("completeness_score")

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import agreement, evaluate
+from paperloom.operators.rank import ranked
 
 from .rank_queries import ranked_sql, two_stage
 from .views import query, table
@@ -35,7 +36,7 @@ def ranking(spark: SparkSession, sf_dir: str) -> DataFrame:
     label = F.when(F.col("quality") == 0, "不相关").when(F.col("toxic") == 1, "部分相关").otherwise("高度相关")
     grades = table(spark, sf_dir, "labels").select("doc_id", evaluate.grade(label).alias("grade"))
     docs = table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), "doc_id", "n_chars").join(grades, "doc_id", "left")
-    return docs.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("n_chars"), "doc_id"))).drop("n_chars")
+    return ranked(docs, "rank", [F.desc("n_chars"), F.asc("doc_id")], ["grp"]).drop("n_chars")
 
 
 def metrics(spark: SparkSession, sf_dir: str, ks: list[int]) -> DataFrame:
@@ -52,7 +53,7 @@ def label_grade(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{RANKING_SQL} SELECT grp, doc_id, CAST(condensed AS INTEGER) AS condensed, grade FROM c")
 def condensed_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evaluate.condensed(ranking(spark, sf_dir), ["grp"]).select("grp", "doc_id", "condensed", "grade")
+    return ranked(ranking(spark, sf_dir).where("grade IS NOT NULL"), "condensed", [F.asc("rank")], ["grp"]).select("grp", "doc_id", "condensed", "grade")
 
 
 @query(f"{METRICS_SQL} SELECT grp, k, precision FROM m")
@@ -98,7 +99,7 @@ FROM k LEFT JOIN (SELECT method, grp, avg(CASE WHEN grade >= 1 THEN 1.0::DOUBLE
 
 def both_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     grades = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
-    j = two_stage(spark, sf_dir, ["grp"]).select("grp", "pos", "old_rank", "new_rank", "relevance_level").join(grades, "pos", "left")
+    j = two_stage(spark, sf_dir, ["grp"], ()).select("grp", "pos", "old_rank", "new_rank", "relevance_level").join(grades, "pos", "left")
     return j.select("grp", "pos", "grade", F.explode(F.array(F.struct(F.lit("baseline").alias("method"), F.col("old_rank").alias("rank")), F.struct(F.lit("two_stage").alias("method"), F.col("new_rank").alias("rank")))).alias("m")).select("grp", "pos", "grade", "m.*")
 
 
@@ -132,7 +133,7 @@ CASE WHEN (grade = 2 AND old_rank > 5 AND new_rank > 5) OR (grade = 0 AND old_ra
 )
 def error_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     grades = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
-    j = two_stage(spark, sf_dir, ["grp"]).join(grades, "pos", "left")
+    j = two_stage(spark, sf_dir, ["grp"], ()).join(grades, "pos", "left")
     return j.select("grp", "pos", evaluate.error_types(F.col("old_rank"), F.col("new_rank"), F.col("grade")).alias("error_type"))
 
 
@@ -146,7 +147,7 @@ def evaluate_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Metrics of an outside method that handed in scores."""
     grades = table(spark, sf_dir, "labels").select("doc_id", F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
     s = table(spark, sf_dir, "documents").select(F.col("lang").alias("grp"), "doc_id", ((F.col("n_chars") % 100).cast("double") / 100).alias("score")).join(grades, "doc_id", "left")
-    r = s.withColumn("rank", F.row_number().over(Window.partitionBy("grp").orderBy(F.desc("score"), "doc_id")))
+    r = ranked(s, "rank", [F.desc("score"), F.asc("doc_id")], ["grp"])
     return evaluate.metrics(r, ["grp"], [10]).select("grp", "precision", rounded6("ndcg").alias("ndcg"))
 
 

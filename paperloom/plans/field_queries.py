@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from paperloom.functions import norm
 from paperloom.functions.text import keyword_terms, mixed_tokens
 from paperloom.operators import checks
+from paperloom.operators.rank import ranked
 
 from .views import KEYWORD, PAPERS_SQL, papers, query, table
 
@@ -269,12 +272,12 @@ def tokenize_mixed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("pos", F.size("ts").cast("long").alias("n_tokens"), F.md5(F.array_join(F.slice("ts", 1, F.size("ts") - 3), " ")).alias("ascii_md5"))
 
 
-@query("SELECT a.doc_id AS pos, ra.query_ord, CAST(row_number() OVER (PARTITION BY ra.query_ord ORDER BY a.doc_id) AS INTEGER) AS place FROM documents a JOIN (VALUES ('en', 0), ('fr', 1)) ra(lang, query_ord) ON a.lang = ra.lang")
+@query("SELECT a.doc_id AS pos, ra.query_ord, CAST(row_number() OVER (PARTITION BY ra.query_ord ORDER BY a.doc_id) AS INTEGER) AS place FROM documents a JOIN (VALUES ('en', 0), ('fr', 1), ('es', 2), ('de', 3)) ra(lang, query_ord) ON a.lang = ra.lang")
 def union_queries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Results of several queries, one after the other in the order of the queries."""
     d = table(spark, sf_dir, "documents")
-    parts = [d.where(F.col("lang") == lang).select(F.col("doc_id").alias("pos"), F.lit(i).alias("query_ord")) for i, lang in enumerate(("en", "fr"))]
-    return parts[0].unionByName(parts[1]).withColumn("place", F.row_number().over(Window.partitionBy("query_ord").orderBy("pos")))
+    parts = [d.where(F.col("lang") == lang).select(F.col("doc_id").alias("pos"), F.lit(i).alias("query_ord")) for i, lang in enumerate(("en", "fr", "es", "de"))]
+    return ranked(reduce(DataFrame.unionByName, parts), "place", [F.asc("pos")], ["query_ord"])
 
 
 @query("SELECT 'missing' AS side, doc_id FROM (SELECT doc_id FROM documents WHERE lang = 'en' EXCEPT SELECT doc_id FROM labels) UNION ALL SELECT 'extra', doc_id FROM (SELECT doc_id FROM labels EXCEPT SELECT doc_id FROM documents WHERE lang = 'en')")

@@ -6,10 +6,11 @@ import hashlib
 import json
 from pathlib import Path
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.operators import checks
+from paperloom.operators.rank import ranked
 
 #: Columns of a ranking, keys of a manifest, and columns that a method may never have seen.
 RANKING = ("pair_id", "research_query_id", "method_id", "score", "rank")
@@ -77,8 +78,7 @@ def ranking_violations(rows: DataFrame, pool: DataFrame, method_id: str, per_que
         raise checks.ContractError(f"columns {rows.columns}")
     score, rank = F.col("score").try_cast("double"), F.col("rank").try_cast("int")
     typed = rows.withColumns({"_score": score, "_rank": rank})
-    due = F.row_number().over(Window.partitionBy("research_query_id").orderBy(F.desc("_score"), "pair_id"))
-    ordered = typed.withColumn("_due", due)
+    ordered = ranked(typed, "_due", [F.desc("_score"), F.asc("pair_id")], ["research_query_id"])
     sizes = rows.groupBy("research_query_id").agg(F.count("*").alias("n"))
     known = pool.select(F.col("pair_id").alias("p"), F.col("research_query_id").alias("q"))
     identity = rows.join(known, F.col("pair_id") == F.col("p"), "full_outer")

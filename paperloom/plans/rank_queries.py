@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions import norm
@@ -58,8 +58,8 @@ def scored(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> Dat
     return score.with_scores(papers(spark, sf_dir), KEYWORD, REFERENCE_YEAR, by)
 
 
-def two_stage(spark: SparkSession, sf_dir: str, by: list[str] | None = None) -> DataFrame:
-    return score.two_stage(scored(spark, sf_dir, by), KEYWORD, by)
+def two_stage(spark: SparkSession, sf_dir: str, by: list[str] | None = None, keep: tuple[str, ...] = ("openalex_id", "title")) -> DataFrame:
+    return score.two_stage(scored(spark, sf_dir, by), KEYWORD, by, keep)
 
 
 @query(f"{scored_sql()} SELECT pos, relevance_score FROM scored")
@@ -114,13 +114,13 @@ def text_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{ranked_sql()} SELECT pos, relevance_level, stage2_score, CAST(old_rank AS INTEGER) AS old_rank, CAST(new_rank AS INTEGER) AS new_rank, CAST(rank_change AS INTEGER) AS rank_change FROM ranked")
 def rank_two_stage(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return two_stage(spark, sf_dir).select("pos", "relevance_level", "stage2_score", "old_rank", "new_rank", "rank_change")
+    return two_stage(spark, sf_dir, keep=()).select("pos", "relevance_level", "stage2_score", "old_rank", "new_rank", "rank_change")
 
 
 @query(f"{ranked_sql('grp')} SELECT grp, pos, stage2_score, CAST(old_rank AS INTEGER) AS old_rank, CAST(new_rank AS INTEGER) AS new_rank FROM ranked")
 def rank_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each group is a corpus of its own: its counts, largest impact and ranks."""
-    return two_stage(spark, sf_dir, ["grp"]).select("grp", "pos", "stage2_score", "old_rank", "new_rank")
+    return two_stage(spark, sf_dir, ["grp"], ()).select("grp", "pos", "stage2_score", "old_rank", "new_rank")
 
 
 @query(f"{ranked_sql()} SELECT openalex_id, title, CAST(old_rank AS INTEGER) AS old_rank, CAST(new_rank AS INTEGER) AS new_rank, CAST(rank_change AS INTEGER) AS rank_change, preliminary_score, stage2_score FROM ranked")
@@ -131,7 +131,7 @@ def ranking_comparison(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"{ranked_sql()} SELECT pos, CAST(rank_change AS INTEGER) AS rank_change FROM ranked ORDER BY abs(rank_change) DESC, old_rank LIMIT 5")
 def rank_error_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The five largest moves; the number is the feature."""
-    return score.top_movers(two_stage(spark, sf_dir), 5).select("pos", "rank_change")
+    return score.top_movers(two_stage(spark, sf_dir, keep=()), 5).select("pos", "rank_change")
 
 
 @query(
@@ -139,7 +139,7 @@ def rank_error_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 WHEN rank_change > 0 THEN concat('排名上升 ', rank_change, ' 位：词法相关性 combined=', printf('%.4f', combined_relevance), '（', relevance_level, ' 层）在新权重 0.50 下贡献超过引用影响') ELSE '排名不变：两阶段相对位置未改变' END AS explanation FROM ranked"""
 )
 def rank_explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return two_stage(spark, sf_dir).select("pos", score.explain_change().alias("explanation"))
+    return two_stage(spark, sf_dir, keep=()).select("pos", score.explain_change().alias("explanation"))
 
 
 @query(f"{ranked_sql()} SELECT relevance_level, count(*) AS n FROM ranked GROUP BY relevance_level")
@@ -182,7 +182,7 @@ def round_robin(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("SELECT lang, doc_id FROM (SELECT lang, doc_id, row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('s2|', lang, '|', doc_id))) AS r FROM documents) WHERE r <= 10")
 def hash_topk_per_group(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = sampling.stable_hash("s2", F.col("lang"), F.col("doc_id").cast("string"))
-    return sampling.hash_numbered(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], h).where("ordinal <= 10").select("lang", "doc_id")
+    return sampling.hash_first(table(spark, sf_dir, "documents").select("lang", "doc_id"), ["lang"], h, 10).select("lang", "doc_id")
 
 
 @query()
@@ -192,7 +192,7 @@ def balanced_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
     pool = table(spark, sf_dir, "documents").select(F.col("lang").alias("rq"), F.col("doc_id").alias("pair_id"))
     first = sampling.assign_primary(pool, names)
     h = sampling.stable_hash("s2", F.col("rq"), F.col("pair_id").cast("string"))
-    rows = sampling.hash_numbered(first, ["rq"], h).where("ordinal <= 10").orderBy("rq", "pair_id").select("rq", "pair_id", "primary").collect()
+    rows = sampling.hash_first(first, ["rq"], h, 10).orderBy("rq", "pair_id").select("rq", "pair_id", "primary").collect()
     seconds = sampling.assign_secondary([(r["pair_id"], r["primary"]) for r in rows], names, -(-len(rows) // 6) + 1)
     return spark.createDataFrame([(*r, s) for r, s in zip(rows, seconds, strict=True)], "rq string, pair_id long, primary string, secondary string")
 
@@ -247,4 +247,4 @@ SELECT rq, pair_id, CAST(row_number() OVER (PARTITION BY rq ORDER BY score DESC,
 def contract_rank_check(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ranks that a contract expects: by score, ties by pair."""
     s = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("rq"), ((F.col("n_chars") % 100).cast("double") / 100).alias("score"))
-    return s.withColumn("rank", F.row_number().over(Window.partitionBy("rq").orderBy(F.desc("score"), "pair_id"))).select("rq", "pair_id", "rank")
+    return ranked(s, "rank", [F.desc("score"), F.asc("pair_id")], ["rq"]).select("rq", "pair_id", "rank")

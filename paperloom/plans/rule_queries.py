@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import checks
+from paperloom.operators.rank import ranked
 
 from .views import query, table
 
@@ -125,7 +126,7 @@ SELECT 'rank_not_by_score' AS rule, CAST(pair_id AS VARCHAR) AS key FROM (SELECT
 def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranks that don't follow the scores: every fiftieth is off by one."""
     d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("rq"), ((F.col("n_chars") % 100).cast("double") / 100).alias("score"))
-    due = d.withColumn("due", F.row_number().over(Window.partitionBy("rq").orderBy(F.desc("score"), "pair_id")))
+    due = ranked(d, "due", [F.desc("score"), F.asc("pair_id")], ["rq"])
     given = due.withColumn("rank", F.col("due") + (F.col("pair_id") % 50 == 0).cast("int"))
     return checks.violations(given, "rank_not_by_score", F.col("rank") != F.col("due"), F.col("pair_id")).select("rule", "key")
 

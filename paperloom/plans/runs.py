@@ -155,7 +155,7 @@ def run_pipeline(spark: SparkSession, settings: Settings, fetch: Fetch, labels:
         kept = keep(kept, "kept")
         suspected = keep(dedup.suspected(kept, settings.jaccard_least, settings.sequence_least).withColumns({"review_status": F.lit("pending"), "action": F.lit("")}), "suspected")
         scored = score.with_scores(kept, settings.ranking_keyword, settings.reference_year)
-        ranked = keep(score.two_stage(scored, settings.ranking_keyword), "ranked")
+        ranked = keep(score.two_stage(scored, settings.ranking_keyword, keep=scored.columns), "ranked")
         counts = {"queries": len(settings.queries), "combined": combined.count(), "kept": kept.count(), "suspected": suspected.count(), "ranked": ranked.count()}
         counts["exact_duplicates"] = counts["combined"] - counts["kept"]
         metrics = None

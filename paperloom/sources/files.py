@@ -9,7 +9,7 @@ import sqlite3
 from collections.abc import Iterable
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -43,8 +43,8 @@ def numbered(df: DataFrame) -> DataFrame:
     return df.withColumn("pos", F.monotonically_increasing_id())
 
 
-def clean(df: DataFrame, keyword: str, retrieved_at: str) -> DataFrame:
-    """Paper fields in their order, cleaned; keyword and retrieved_at stand in where a record has none."""
+def clean(df: DataFrame, keyword: str, retrieved_at: str, *carried: str) -> DataFrame:
+    """Paper fields in their order, cleaned; keyword and retrieved_at stand in where a record has none. Carried columns come last."""
     text = lambda c: clean_text(F.col(c)).alias(c)
     instead = lambda c, v: F.when(is_missing(F.col(c)), F.lit(v)).otherwise(clean_text(F.col(c))).alias(c)
     return df.select(
@@ -60,6 +60,7 @@ def clean(df: DataFrame, keyword: str, retrieved_at: str) -> DataFrame:
         text("landing_page_url"),
         instead("keyword", keyword),
         instead("retrieved_at", retrieved_at),
+        *carried,
     )
 
 
@@ -76,10 +77,10 @@ def read_offline_queries(spark: SparkSession, path: str, limit: int, retrieved_a
     q = spark.read.schema(schema).option("multiLine", True).json(path).select(F.explode("queries").alias("query_id", "q"))
     rows = q.select("query_id", F.posexplode("q.papers").alias("at", "p")).where(F.col("at") < limit).select("query_id", "at", "p.*")
     rows = rows.withColumn("authors", clean_names(F.col("authors")))
-    order = Window.orderBy("query_id", "at")
-    return clean(rows.withColumn("pos", F.row_number().over(order).cast("long") - 1), "", retrieved_at).join(
-        rows.select("query_id", (F.row_number().over(order).cast("long") - 1).alias("p")), F.col("pos") == F.col("p")
-    ).drop("p")
+    # Positions leave a query the room of its limit, so no record is numbered across queries.
+    names = [r["query_id"] for r in rows.select("query_id").distinct().orderBy("query_id").collect()]
+    of_query = F.array_position(F.lit(names), F.col("query_id")) - 1 if names else F.lit(0)
+    return clean(rows.withColumn("pos", of_query * limit + F.col("at")), "", retrieved_at, "query_id")
 
 
 def project_works(works: DataFrame, keyword: str) -> DataFrame:
