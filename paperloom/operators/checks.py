@@ -9,9 +9,14 @@ from pyspark.sql import functions as F
 
 from paperloom.functions.norm import is_missing
 
-#: What looks like a credential or somebody's home folder.
-SECRETS = (r"sk-[A-Za-z0-9_-]{20,}", r"gh[pousr]_[A-Za-z0-9]{20,}", r"AKIA[0-9A-Z]{16}", r"(?i)(?:api[_-]?key|token|password)\s*[:=]\s*['\"][A-Za-z0-9_./+-]{16,}['\"]")
+#: What looks like a credential, whose value is the first group, or like somebody's home folder.
+SECRETS = (r"(sk-[A-Za-z0-9_-]{20,})", r"(gh[pousr]_[A-Za-z0-9]{20,})", r"(AKIA[0-9A-Z]{16})", r"(?i)(?:api[_-]?key|token|password)\s*[:=]\s*['\"]([A-Za-z0-9_./+-]{16,})['\"]")
 PERSONAL_PATH = r"(?:[A-Za-z]:\\Users\\[^\\\s]+|/home/[^/\s]+|/Users/[^/\s]+)"
+#: Names of files that hold keys, the one that is a sample, suffixes of texts, and words of values that are no secrets.
+SENSITIVE_NAME = r"(?i)^(\.env(\..+)?|id_(rsa|dsa|ecdsa|ed25519)(\.pub)?|.*\.(pem|key|p12|pfx))$"
+SAMPLE_NAME = ".env.example"
+TEXT_SUFFIX = r"(?i)\.(py|md|json|csv|txt|yml|yaml|toml)$"
+PLACEHOLDER = r"(?<![a-z0-9])(test|dummy|fake|placeholder|example|not-real|must-never-appear)(?![a-z0-9])"
 
 
 class ContractError(ValueError):
@@ -63,6 +68,20 @@ def has_secret(c: Column) -> Column:
     return reduce(lambda a, b: a | b, found)
 
 
+def sensitive_files(files: DataFrame) -> DataFrame:
+    """Violations of files (path, content): names that hold keys, whose contents aren't looked at, and in texts credentials and home
+    folders. In tests a value that says of itself that it is a placeholder is none. The detail never tells what was found."""
+    path, content = F.col("path"), F.coalesce("content", F.lit(""))
+    name = F.substring_index("path", "/", -1)
+    sensitive, text = name.rlike(SENSITIVE_NAME), path.rlike(TEXT_SUFFIX)
+    tests = F.lower("path").startswith("tests/")
+    real = lambda v: ~(tests & F.lower(v).rlike(PLACEHOLDER))
+    secret = reduce(lambda a, b: a | b, [F.exists(F.regexp_extract_all(content, F.lit(p), 1), real) for p in SECRETS])
+    rules = [("sensitive_name", sensitive & (name != SAMPLE_NAME)), ("secret", ~sensitive & text & secret), ("personal_path", ~sensitive & text & content.rlike(PERSONAL_PATH))]
+    broken = F.array_compact(F.array(*[F.when(bad, F.lit(rule)) for rule, bad in rules]))
+    return files.select(F.explode(broken).alias("rule"), path.alias("key"), F.lit("").alias("detail"))
+
+
 def table_diff(a: DataFrame, b: DataFrame, key: str, columns: list[str]) -> DataFrame:
     """(key, problem): keys of one table only, and keys whose columns differ."""
     left = a.select(F.col(key).alias("k"), F.struct(*columns).alias("l"))

@@ -70,48 +70,6 @@ def quality_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.withColumn("status", F.when(some & (F.col("severity") == "error"), "failed").when(some, "warning").otherwise("passed"))
 
 
-@query("SELECT lang AS rq, count(*) AS n, CASE WHEN count(*) <> 20 THEN 'wrong_size' ELSE 'ok' END AS rule FROM documents GROUP BY lang")
-def pool_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    g = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("rq")).agg(F.count("*").alias("n"))
-    return g.withColumn("rule", F.when(F.col("n") != 20, "wrong_size").otherwise("ok"))
-
-
-@query(
-    """WITH a AS (SELECT doc_id, CASE WHEN doc_id % 13 = 0 THEN 'x' ELSE CAST(quality AS VARCHAR) END AS label, CASE WHEN doc_id % 7 = 0 THEN 'A' ELSE 'B' END AS evidence, CASE WHEN toxic = 1 THEN '' ELSE 'https://example.org/1' END AS url FROM labels)
-SELECT doc_id, unnest(list_filter([CASE WHEN label NOT IN ('0', '1', '2', '?') THEN 'label' END, CASE WHEN evidence = 'A' AND url = '' THEN 'url_needed' END], lambda e: e IS NOT NULL)) AS rule FROM a"""
-)
-def annotation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """An annotation file's rules, as an array for each row: labels of the vocabulary, and a link where the evidence needs one."""
-    label = F.when(F.col("doc_id") % 13 == 0, "x").otherwise(F.col("quality").cast("string"))
-    needs = F.col("doc_id") % 7 == 0
-    found = F.array(F.when(~label.isin("0", "1", "2", "?"), "label"), F.when(needs & (F.col("toxic") == 1), "url_needed"))
-    return table(spark, sf_dir, "labels").select("doc_id", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("rule"))
-
-
-@query(
-    """WITH j AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN 'ready' WHEN 1 THEN 'pending' ELSE 'adjudicated' END AS state, CASE WHEN quality = 1 THEN 'agreement' ELSE 'disagreement' END AS kind, CASE WHEN toxic = 1 THEN '' ELSE '2' END AS final_label FROM labels)
-SELECT doc_id, unnest(list_filter([CASE WHEN state = 'ready' AND kind = 'disagreement' THEN 'ready_without_agreement' END, CASE WHEN state = 'pending' AND final_label <> '' THEN 'pending_with_label' END, CASE WHEN state = 'adjudicated' AND kind = 'agreement' THEN 'adjudicated_agreement' END, CASE WHEN state <> 'pending' AND final_label = '' THEN 'label_needed' END], lambda e: e IS NOT NULL)) AS rule FROM j"""
-)
-def judgement_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """States that a judgement may not be in."""
-    k = F.col("doc_id") % 3
-    state, agreed, empty = F.when(k == 0, "ready").when(k == 1, "pending").otherwise("adjudicated"), F.col("quality") == 1, F.col("toxic") == 1
-    found = F.array(
-        F.when((state == "ready") & ~agreed, "ready_without_agreement"),
-        F.when((state == "pending") & ~empty, "pending_with_label"),
-        F.when((state == "adjudicated") & agreed, "adjudicated_agreement"),
-        F.when((state != "pending") & empty, "label_needed"),
-    )
-    return table(spark, sf_dir, "labels").select("doc_id", F.explode(F.filter(found, lambda e: e.isNotNull())).alias("rule"))
-
-
-@query("SELECT doc_id, CASE WHEN quality = 1 THEN 'approve_changes_label' ELSE 'modify_keeps_label' END AS rule FROM labels WHERE (quality = 1 AND toxic = 1) OR (quality = 0 AND toxic = 0)")
-def proposal_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Proposals: approval keeps the label that was proposed, modification changes it."""
-    approve, changed = F.col("quality") == 1, F.col("toxic") == 1
-    return table(spark, sf_dir, "labels").where((approve & changed) | (~approve & ~changed)).select("doc_id", F.when(approve, "approve_changes_label").otherwise("modify_keeps_label").alias("rule"))
-
-
 @query("SELECT doc_id FROM documents WHERE concat('a', doc_id % 6) = concat('a', n_chars % 6)")
 def reviewer_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Judgements that their own annotator reviewed."""
