@@ -6,6 +6,7 @@ named points combined, kept, suspected and ranked. Everything distributed is in
 
 from __future__ import annotations
 
+import csv
 import hashlib
 import json
 import re
@@ -26,7 +27,7 @@ from paperloom.sources import files
 
 Fetch = Callable[[SparkSession, dict], DataFrame]
 SAFE = re.compile(r"[A-Za-z0-9][A-Za-z0-9_-]*")
-#: Categories a term may have.
+#: What looks like a credential in a message.
 SECRET = re.compile(r"(?i)(api[_-]?key|token|password)\s*[:=]\s*\S+")
 
 
@@ -61,6 +62,14 @@ def revision(folder: Path) -> str | None:
         return None
 
 
+def dirty(folder: Path) -> bool | None:
+    """Whether tracked files differ from the revision; null outside a repository."""
+    try:
+        return bool(subprocess.run(["git", "status", "--porcelain", "--untracked-files=no"], cwd=folder, capture_output=True, text=True, timeout=10, check=True).stdout.strip())
+    except (OSError, subprocess.SubprocessError):
+        return None
+
+
 @dataclass(frozen=True)
 class Settings:
     ranking_keyword: str
@@ -73,6 +82,8 @@ class Settings:
     evaluation_k: int = 10
     output_root: str = "outputs"
     run_name: str = ""
+    from_year: int | None = None
+    to_year: int | None = None
 
     def check(self) -> None:
         if not self.ranking_keyword.strip():
@@ -86,6 +97,8 @@ class Settings:
             raise ValueError("thresholds lie between 0 and 1")
         if not 1000 <= self.reference_year <= 9999:
             raise ValueError("reference_year has four digits")
+        if self.from_year is not None and self.to_year is not None and self.from_year > self.to_year:
+            raise ValueError("from_year is after to_year")
 
 
 class RunError(RuntimeError):
@@ -108,7 +121,7 @@ class Run:
                 folder.mkdir(parents=True)
             except FileExistsError:
                 continue
-            run = cls(folder, {"run_id": name, "status": "running", "started_at": now(), "settings": asdict(settings), "revision": revision(Path.cwd()), "counts": {}})
+            run = cls(folder, {"run_id": name, "status": "running", "started_at": now(), "settings": asdict(settings), "revision": revision(Path.cwd()), "dirty": dirty(Path.cwd()), "counts": {}})
             run.save()
             return run
         raise RuntimeError("no free run folder")
@@ -167,12 +180,21 @@ def run_pipeline(spark: SparkSession, settings: Settings, fetch: Fetch, labels:
             both = judged.select(F.explode(F.array(F.struct(F.lit("baseline").alias("method"), F.col("old_rank").alias("rank")), F.struct(F.lit("two_stage").alias("method"), F.col("new_rank").alias("rank")))).alias("m"), "grade").select("m.*", "grade")
             metrics = [r.asDict() for r in evaluate.metrics(both, ["method"], [settings.evaluation_k]).collect()]
         run.end("completed", counts=counts, metrics=metrics)
+        (run.folder / "run_summary.txt").write_text(summary_text(run.config), encoding="utf-8")
     except Exception as e:
         run.end("failed", error=error_summary(e, run.folder))
         raise RunError(run.config["error"], run.folder) from e
     return run
 
 
+def summary_text(config: dict) -> str:
+    """A run's state, counts and metrics as lines of text."""
+    lines = [f"run_id: {config['run_id']}", f"status: {config['status']}", f"started_at: {config['started_at']}", f"finished_at: {config.get('finished_at', '')}"]
+    lines += [f"{name}: {n}" for name, n in config["counts"].items()]
+    lines += [f"{m['method']} {name}@{m['k']}: {m[name]}" for m in config.get("metrics") or [] for name in ("precision", "ndcg", "coverage")]
+    return "\n".join(lines) + "\n"
+
+
 def run_batch(spark: SparkSession, definition: dict, fetch: Fetch, reference_year: int, output_root: str) -> list[dict]:
     """One row for each item: success, failed, skipped, or not_run_after_failure when errors halt the batch."""
     items = definition.get("items")
@@ -200,7 +222,12 @@ def run_batch(spark: SparkSession, definition: dict, fetch: Fetch, reference_yea
                 row |= {"status": "failed", "error": error_summary(e, Path(output_root))}
                 halted = not going_on
         rows.append(row)
-    files.write_json({"status": "completed" if all(r["status"] in ("success", "skipped") for r in rows) else "completed_with_errors", "items": rows}, str(Path(output_root) / f"batch_{uuid.uuid4().hex[:8]}.json"))
+    name = Path(output_root) / f"batch_{uuid.uuid4().hex[:8]}"
+    with name.with_suffix(".csv").open("w", encoding="utf-8", newline="") as f:
+        out = csv.DictWriter(f, ["item_id", "status", "run_dir", "error"], lineterminator="\n")
+        out.writeheader()
+        out.writerows(rows)
+    files.write_json({"status": "completed" if all(r["status"] in ("success", "skipped") for r in rows) else "completed_with_errors", "items": rows}, str(name.with_suffix(".json")))
     return rows
 
 

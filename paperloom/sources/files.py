@@ -5,7 +5,9 @@ from __future__ import annotations
 import csv
 import io
 import json
+import re
 import sqlite3
+import subprocess
 from collections.abc import Iterable
 from pathlib import Path
 
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from paperloom.functions.norm import clean_int, clean_names, clean_text, is_missing, normalize_doi
+from paperloom.operators import checks, contracts
 
 PAPER = T.StructType(
     [
@@ -130,6 +133,111 @@ def read_strict_csv(spark: SparkSession, path: str, required: Iterable[str] = ()
     return df.drop(bad)
 
 
+def read_inferred_csv(spark: SparkSession, path: str) -> DataFrame:
+    """A CSV file whose types are inferred; what is not a number in a numeric column is null."""
+    df = spark.read.option("header", True).option("inferSchema", True).option("multiLine", True).option("escape", '"').csv(path)
+    return df.select(*[F.when(F.isnan(c), None).otherwise(F.col(c)).alias(c) if t in ("double", "float") else F.col(c) for c, t in df.dtypes])
+
+
+#: The columns of a term dictionary and of a file of labels with provenance.
+TERM_COLUMNS = ("term_id", "term", "normalized_term", "category", "strength", "include_in_query", "example", "note", "source")
+LABEL_COLUMNS = (
+    "annotation_id", "openalex_id", "source_query_ids", "title", "label", "reason", "object_type", "task_type", "matched_positive_terms", "matched_negative_terms", "evidence_source", "annotator", "review_status",
+)
+WORK_ID = r"^https://openalex\.org/W\d+$"
+
+
+def read_terms(spark: SparkSession, path: str) -> DataFrame:
+    """A term dictionary, whose contract must hold: strength and include_in_query have their types."""
+    rows = read_strict_csv(spark, path, TERM_COLUMNS)
+    checks.require(contracts.term_violations(rows))
+    text = rows.select(*[clean_text(F.col(c)).alias(c) for c in rows.columns])
+    return text.withColumns({"strength": F.col("strength").cast("int"), "include_in_query": F.lower("include_in_query") == "true"})
+
+
+def read_labels(spark: SparkSession, path: str, policy: str = "last") -> DataFrame:
+    """(openalex_id, label) of a CSV file. Where an id occurs again, policy ``last`` takes the last row and ``unique`` is an error."""
+    rows = read_strict_csv(spark, path, ("openalex_id", "label")).select(clean_text(F.col("openalex_id")).alias("openalex_id"), clean_text(F.col("label")).alias("label"))
+    rows = numbered(rows).where("openalex_id <> ''")
+    if policy == "unique":
+        checks.require(checks.duplicates(rows, "openalex_id"))
+    elif policy != "last":
+        raise ValueError(f"policy {policy}")
+    return rows.groupBy("openalex_id").agg(F.max_by("label", "pos").alias("label"))
+
+
+def read_reviewed_labels(spark: SparkSession, path: str) -> tuple[DataFrame, dict[str, int]]:
+    """(labels, rows dropped by reason): drafts of a machine and rows that wait for a review don't count; an id occurs once."""
+    rows = read_strict_csv(spark, path, ("openalex_id", "label"))
+    kept, dropped = label_policy(rows)
+    checks.require(checks.duplicates(kept, "openalex_id"))
+    return kept, {r["reason"]: r["n"] for r in dropped.groupBy("reason").agg(F.count("*").alias("n")).collect()}
+
+
+def label_policy(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that count, rows that don't with their reason). The draft's annotator and the mark of a pending review."""
+    cell = lambda c: clean_text(F.col(c)) if c in rows.columns else F.lit("")
+    reason = F.when(F.lower(cell("annotator")) == "ai-assisted-draft", "ai_draft").when(F.contains(cell("review_status"), F.lit("待人工复核")), "pending_review")
+    marked = rows.withColumn("reason_", reason)
+    return marked.where("reason_ IS NULL").drop("reason_"), marked.where("reason_ IS NOT NULL").withColumnRenamed("reason_", "reason")
+
+
+def read_provenance_labels(spark: SparkSession, path: str, samples: Iterable[str] = ()) -> DataFrame:
+    """Labels with their provenance: ids of the service's form that occur in the sample files, if any are given."""
+    rows = read_strict_csv(spark, path, LABEL_COLUMNS).select(*LABEL_COLUMNS)
+    oid = clean_text(F.col("openalex_id"))
+    parts = [checks.violations(rows, "openalex_id", ~oid.rlike(WORK_ID), F.col("annotation_id"), oid)]
+    known = [read_strict_csv(spark, s, ("openalex_id",)).select(clean_text(F.col("openalex_id")).alias("k")).where("k <> ''") for s in samples]
+    if known:
+        parts.append(checks.references(rows.withColumn("openalex_id", oid), "openalex_id", checks.union(known), "k"))
+    parts.append(checks.duplicates(rows, "annotation_id"))
+    checks.require(checks.union(parts))
+    return rows
+
+
+def read_research_queries(path: str, count: int = 3) -> list[dict]:
+    """The research queries of a JSON file: ``count`` of them, ids once, questions in both languages and the arrays filled."""
+    value = json.loads(Path(path).read_text(encoding="utf-8-sig"))
+    queries = value.get("queries") if isinstance(value, dict) else None
+    if not isinstance(queries, list) or len(queries) != count:
+        raise ValueError(f"{path}: {count} queries are needed")
+    for q in queries:
+        texts = [q.get(k) for k in ("research_query_id", "question_zh", "question_en", "ranking_keyword")]
+        lists = [q.get(k) for k in ("acquisition_query_ids", "scope_in", "scope_out")]
+        if not all(isinstance(t, str) and t.strip() for t in texts) or not all(isinstance(v, list) and v for v in lists):
+            raise ValueError(f"{path}: a query lacks a text or a list")
+    if len({q["research_query_id"] for q in queries}) < count:
+        raise ValueError(f"{path}: a query occurs twice")
+    return queries
+
+
+#: Folders that hold no files of a project.
+SKIPPED = {".git", ".venv", "venv", "env", "__pycache__", ".pytest_cache", "node_modules"}
+
+
+def list_files(root: str) -> list[str]:
+    """The files of a project, as its git index has them, else all under root but those of skipped folders; relative and sorted."""
+    base = Path(root)
+    try:
+        done = subprocess.run(["git", "ls-files", "-z", "--cached", "--others", "--exclude-standard"], cwd=base, capture_output=True, check=True, timeout=60)
+        names = [n for n in done.stdout.decode().split("\0") if n and (base / n).is_file()]
+    except (OSError, subprocess.SubprocessError):
+        names = [str(p.relative_to(base)) for p in base.rglob("*") if p.is_file()]
+    return sorted(n for n in names if not SKIPPED & set(Path(n).parts))
+
+
+def read_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path, content) of a project's files; only texts are read, the contents of others are empty."""
+    names = list_files(root)
+    texts = [n for n in names if re.search(checks.TEXT_SUFFIX, n)]
+    others = spark.createDataFrame([(n, "") for n in names if n not in set(texts)], "path string, content string")
+    if not texts:
+        return others
+    base = str(Path(root).resolve())
+    found = spark.read.option("wholetext", True).text([f"{base}/{n}" for n in texts]).select(F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B")).alias("at"), F.col("value").alias("content"))
+    return found.select(F.expr(f"substring(at, locate('{base}', at) + {len(base) + 1})").alias("path"), "content").unionByName(others)
+
+
 def encode_arrays(df: DataFrame) -> DataFrame:
     """Arrays, maps and structs as compact JSON, nulls as the empty text: what a CSV cell can hold."""
     nested = (T.ArrayType, T.MapType, T.StructType)

@@ -5,6 +5,8 @@ A query's pages are a chain of cursors and so are read one after another, the qu
 
 from __future__ import annotations
 
+import csv
+import hashlib
 import json
 import math
 import time
@@ -13,6 +15,7 @@ import urllib.parse
 import urllib.request
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
@@ -21,6 +24,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 FIELDS = "id,doi,display_name,publication_year,cited_by_count,abstract_inverted_index,authorships,primary_location"
 RETRY_STATUS = {408, 429, *range(500, 600)}
 PAGE = 100
+FAILED = {"request_failed", "response_invalid", "invalid_parameters", "missing_api_key"}
 
 Get = Callable[[str, float], tuple[int, dict, bytes]]
 
@@ -129,6 +133,35 @@ def fetch(
         cursor = after
 
 
+def fetch_page(base_url: str, keyword: str, max_results: int = 20, *, timeout: float = 20, api_key: str | None = None, get: Get = http_get) -> list[dict]:
+    """The works of a single page of 1 to 100, without cursor or retries; a failure is an error."""
+    if wrong := check_arguments(keyword, max_results, None, None, timeout, 0):
+        raise ValueError(wrong)
+    asked = {"search": keyword, "per_page": max(1, min(PAGE, max_results)), "select": FIELDS} | ({"api_key": api_key} if api_key else {})
+    out = FetchResult()
+    body, failure = _page(f"{base_url}?{urllib.parse.urlencode(asked)}", out, timeout, 0, 0, 0, get, time.sleep)
+    if body is None or not isinstance(body.get("results"), list):
+        raise RuntimeError(failure or "response_invalid")
+    return body["results"][:max_results]
+
+
+def query_identity(asked: dict) -> str:
+    """Twelve digits that tell a query, whatever the order of its keys."""
+    return hashlib.sha256(json.dumps(asked, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()).hexdigest()[:12]
+
+
+def write_summary(found: FetchResult, asked: dict, path: str) -> dict:
+    """One row about a fetch as a CSV file that appears under its name when it is whole."""
+    row = {"query_id": query_identity(asked), **asked, "records": len(found.works), "pages": found.pages, "requests": found.requests, "retries": found.retries, "duplicates": found.duplicates, "stop_reason": found.stop_reason}
+    part = Path(f"{path}.part")
+    with part.open("w", encoding="utf-8", newline="") as f:
+        out = csv.DictWriter(f, list(row), lineterminator="\n")
+        out.writeheader()
+        out.writerow({k: "" if v is None else v for k, v in row.items()})
+    part.replace(path)
+    return row
+
+
 def _page(url: str, out: FetchResult, timeout: float, max_retries: int, base: float, most: float, get: Get, sleep: Callable[[float], None]) -> tuple[dict | None, str]:
     for attempt in range(max_retries + 1):
         after, failure = None, "request_failed"
@@ -167,23 +200,27 @@ class WorksReader(DataSourceReader):
         self.bounds: dict[str, int] = {k: int(options[k]) for k in ("from_year", "to_year") if options.get(k)}
 
     def pushFilters(self, filters):  # noqa: N802
-        """Year bounds go to the server; everything is kept for Spark to apply again."""
+        """Year bounds go to the server, the narrower of the options' and the filters'; Spark applies all of them again."""
         for f in filters:
             name, value = type(f).__name__, getattr(f, "value", None)
             if getattr(f, "attribute", None) == ("publication_year",) and isinstance(value, int):
                 if name in ("GreaterThanOrEqual", "GreaterThan", "EqualTo"):
-                    self.bounds["from_year"] = value + (name == "GreaterThan")
+                    self.bounds["from_year"] = max(self.bounds.get("from_year", value), value + (name == "GreaterThan"))
                 if name in ("LessThanOrEqual", "LessThan", "EqualTo"):
-                    self.bounds["to_year"] = value - (name == "LessThan")
+                    self.bounds["to_year"] = min(self.bounds.get("to_year", value), value - (name == "LessThan"))
             yield f
 
     def partitions(self) -> list[QueryPartition]:
         return [QueryPartition(k, v) for k, v in json.loads(self.options["queries"]).items()]
 
     def read(self, partition: QueryPartition) -> Iterator[tuple]:
+        low, high = self.bounds.get("from_year"), self.bounds.get("to_year")
+        if low is not None and high is not None and low > high:
+            return
         found = fetch(self.options["url"], partition.keyword, int(self.options.get("max_results", "20")), api_key=self.options.get("api_key"), **self.bounds)
-        if not found.works and found.stop_reason in ("request_failed", "response_invalid"):
-            raise RuntimeError(f"{partition.query_id}: {found.stop_reason}")
+        # Pages before a failure are no whole scan.
+        if found.stop_reason in FAILED:
+            raise RuntimeError(f"{partition.query_id}: {found.stop_reason} after {found.pages} pages")
         for i, w in enumerate(found.works):
             yield partition.query_id, i, w.get("publication_year"), json.dumps(w, ensure_ascii=False)
 
