@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import cut
+from .shared import cut, discard
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -22,12 +22,13 @@ def components(edges: DataFrame) -> DataFrame:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
-        before = state
+        before, was = state, stars
         both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
-        large = both.where("b > a").join(least, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
+        near = cut(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("u"), F.least("a", "m").alias("m")), "least")
+        large = both.where("b > a").join(near, F.col("a") == F.col("u")).select(F.col("b").alias("a"), F.col("m").alias("b"))
         large = cut(large.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "large")
         least = cut(large.groupBy("a").agg(F.min("b").alias("m")).withColumnRenamed("a", "u"), "least")
         small = large.join(least, F.col("a") == F.col("u"))
         small = small.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("u").alias("a"), F.col("m").alias("b")))
         stars = cut(small.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        discard(was, near, large, least)

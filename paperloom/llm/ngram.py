@@ -13,7 +13,7 @@ Documents are compared by their sets of hashed 5-word shingles; two link when 10
    of at most about GROUP sets; sets in no star are grouped with those that have the same least shingle.
 4. Matrix. Shingles are counted by the stars that hold them, and a set's shingles are ordered by that count: one of its first
    n - 0.8 n + 1 is among the first ones of any set that it links with. The matrix has an entry for each of these shingles and each
-   group that holds it; groups of different stars that share an entry meet, and no others.
+   group that holds it. Groups of different stars meet where they share an entry, each with those of its sets that have it.
 5. Opening. Where two groups meet, the union of the one's shingles bounds the overlap of each set of the other with anything in it:
    only the sets whose overlap with the union reaches 0.8 n open the group, and are compared with what it holds, exactly. Of the
    links only the pairs of stars that they join are kept.
@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 from .bpe import _texts, release, small_batches
 from .components import components
 from .pretoken import distinct_spans, mix64
-from .shared import cut, free_names, pick
+from .shared import cut, discard, free_names, pick
 
 WORDS, PERCENT = 5, 80
 ROUNDS = 4
@@ -50,6 +50,8 @@ _BLANKS = (0x20, *range(0x09, 0x0E))
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 _SPACE = np.zeros(256, bool)
 _SPACE[list(_BLANKS)] = True
+#: Masks for the first bytes of eight.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 _FACTORS = np.array([0xD6E8FEB86659FD93, 0xA0761D6478BD642F, 0xE7037ED1A0B428DB, 0x8EBC6AF09C88C6E3, 0x589965CC75374CC3], np.uint64)
 
 
@@ -67,11 +69,22 @@ def prefix_length(n: int | np.ndarray):
 
 
 def _lanes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The two halves of a 128-bit digest of every word; a digest is taken once for each kind of word."""
-    first, inverse = distinct_spans(buf, starts, ends)
-    digests = b"".join(hashlib.blake2b(buf[a:b].tobytes(), digest_size=16, key=DIGEST_KEY).digest() for a, b in zip(starts[first].tolist(), ends[first].tolist(), strict=True))
-    halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
-    return halves[inverse, 0], halves[inverse, 1]
+    """Two 64-bit numbers of every word, which together tell it apart: its bytes and length up to eight bytes, and halves of a
+    128-bit digest beyond, which is taken once for each kind of word."""
+    lengths = ends - starts
+    left, right = np.empty(len(starts), np.uint64), np.empty(len(starts), np.uint64)
+    short = lengths <= 8
+    n = lengths[short]
+    held = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)[starts[short]].view("<u8").ravel() & _FIRST_BYTES[n]
+    left[short], right[short] = mix64(held ^ _FACTORS[3]), mix64(held * _FACTORS[4] + n.astype(np.uint64))
+    long = np.flatnonzero(~short)
+    if len(long):
+        first, inverse = distinct_spans(buf, starts[long], ends[long])
+        at = long[first]
+        digests = b"".join(hashlib.blake2b(buf[a:b].tobytes(), digest_size=16, key=DIGEST_KEY).digest() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True))
+        halves = np.frombuffer(digests, "<u8").reshape(-1, 2)
+        left[long], right[long] = halves[inverse, 0], halves[inverse, 1]
+    return left, right
 
 
 def _mixed(left: np.ndarray, right: np.ndarray, span: int, shingles: int) -> np.ndarray:
@@ -109,7 +122,7 @@ def _long_set(raw: bytes) -> np.ndarray:
 def shingle_sets(texts: list[str]) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text.
 
-    Words go in as 128-bit keyed digests of their bytes. Two different shingles share one of the 64-bit hashes by chance only, so
+    Words go in by their bytes, long ones by a 128-bit keyed digest. Two different shingles share one of the 64-bit hashes by chance only, so
     an overlap of sets of n and m is wrong with a probability of some n x m / 2**64.
     """
     raw = [t.encode() for t in texts]
@@ -279,7 +292,8 @@ def stars(sets: DataFrame) -> DataFrame:
         led = cut(led, "led")
         pairs = active.select(key, F.col("rep").alias("a"), F.col("tokens").alias("a_tokens")).join(led, (F.col(key) == F.col("lk")) & (F.col("a") != F.col("b")))
         links = cut(linked(pairs), "links")
-        found = cut(found.unionByName(links), "found")
+        discard(centres, led)
+        found = found.unionByName(links)
         active = pick_by(active, "rep", links.select("a").distinct(), "left_anti")
     return components(found).select(F.col("node").alias("rep"), F.col("component").alias("grp"))
 
@@ -387,24 +401,31 @@ def matrix(rare: DataFrame, members: DataFrame) -> DataFrame:
     return rare.join(of_set, F.col("rep") == F.col("r")).select("token", "block", "star").distinct()
 
 
-def meetings(entries: DataFrame) -> DataFrame:
-    """(x, y), x <= y: the groups that share an entry of the matrix and are not of one star."""
-    held = entries.select(F.col("token").alias("t"), F.col("block").alias("y"), F.col("star").alias("other"))
-    apart = F.col("star").isNull() | F.col("other").isNull() | (F.col("star") != F.col("other"))
-    return entries.join(held, (F.col("token") == F.col("t")) & (F.col("block") <= F.col("y")) & apart).select(F.col("block").alias("x"), "y").distinct()
+def meetings(rare: DataFrame, members: DataFrame, entries: DataFrame) -> DataFrame:
+    """(rep, block, other): the sets of a group that share an entry of the matrix with another group, not of the same star; with
+    their own group, too, where that is of several stars."""
+    asked = rare.join(members.select(F.col("rep").alias("r"), F.col("block").alias("b"), F.col("star").alias("own")), F.col("rep") == F.col("r")).select("rep", "token", "b", "own")
+    held = entries.select(F.col("token").alias("t"), F.col("block").alias("other"), F.col("star"))
+    apart = F.col("star").isNull() | F.col("own").isNull() | (F.col("star") != F.col("own"))
+    return asked.join(held, (F.col("token") == F.col("t")) & apart).select("rep", F.col("b").alias("block"), "other").distinct()
 
 
 def outside_links(sets: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
     """(a, b): stars, and sets without one, that links join."""
     members = sets.select("rep", "n", "k0", "tokens").join(groups.withColumnRenamed("rep", "r"), F.col("rep") == F.col("r"), "left")
     members = cut(members.select("rep", "n", F.coalesce("grp", "rep").alias("grp"), F.col("grp").isNotNull().alias("starred"), "k0", "tokens"), "members")
+    discard(sets)
     rare = cut(rare_shingles(members, parts), "rare")
     asking = cut(grouped(pick_by(members, "rep", rare.select("rep").distinct())), "groups")
-    pairs = cut(meetings(cut(matrix(rare, asking), "matrix")), "meetings")
-    own = asking.select("block", "grp", "tokens")
-    asks = pairs.where("x <> y").join(own, F.col("x") == F.col("block")).select("x", "y", "grp", "tokens", F.lit(True).alias("asks"))
-    holds = pairs.join(own, F.col("y") == F.col("block")).select("x", "y", "grp", "tokens", F.lit(False).alias("asks"))
-    return asks.unionByName(holds).groupBy("x", "y").applyInPandas(_open_groups, "a long, b long")
+    discard(members)
+    entries = cut(matrix(rare, asking), "matrix")
+    met = cut(meetings(rare, asking, entries), "meetings")
+    # Of two groups that meet the one with the smaller number asks; within a group all sets ask one another.
+    met = met.withColumnRenamed("rep", "r").join(asking.select("rep", "grp", "tokens"), F.col("r") == F.col("rep"))
+    met = met.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "grp", "tokens", (F.col("block") < F.col("other")).alias("asks"))
+    links = cut(met.groupBy("x", "y").applyInPandas(_open_groups, "a long, b long"), "links")
+    discard(rare, asking, entries)
+    return links
 
 
 def joined_by_ids(named: DataFrame, classes: DataFrame, several: DataFrame, found: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -464,7 +485,7 @@ def ngram_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
     sets = cut(full_sets(picked), "sets")
     groups = cut(stars(sets), "stars")
     tokens = sets.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    joined = cut(components(cut(outside_links(sets, groups, parts(tokens)), "links")), "components")
+    joined = cut(components(outside_links(sets, groups, parts(tokens))), "components")
     of_group = groups.join(joined, F.col("grp") == F.col("node"), "left").select("rep", F.coalesce("component", "grp").alias("component"))
     alone = joined.join(groups.withColumnRenamed("rep", "r"), F.col("node") == F.col("r"), "left_anti").select(F.col("node").alias("rep"), "component")
     found = cut(of_group.unionByName(alone), "found")

@@ -2,46 +2,19 @@
 
 from __future__ import annotations
 
-import atexit
 import os
-import shutil
-import tempfile
-import uuid
-
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from paperloom.store import cut, discard, shared_path
+
+__all__ = ["cut", "discard", "free_names", "pick", "shared_path", "table"]
 #: Keys up to this number are broadcast to pick rows by; more are joined.
 PICK_BROADCAST = 1_000_000
 
 
-def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; a temporary one where it is unset and everything runs in one process."""
-    sc = spark.sparkContext
-    root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        if not sc.master.startswith("local[") and sc.master != "local":
-            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-        root = "file://" + tempfile.mkdtemp(prefix="paperloom-")
-        atexit.register(shutil.rmtree, root.removeprefix("file://"), ignore_errors=True)
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root.rstrip("/")
-
-
-def shared_path(spark: SparkSession, label: str) -> str:
-    return f"{shared_root(spark)}/{label}-{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, label: str) -> DataFrame:
-    """df written to the shared folder and read again: its lineage ends there, and a lost executor loses nothing."""
-    spark = df.sparkSession
-    path = shared_path(spark, label)
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def pick(df: DataFrame, on: Column, keys: DataFrame, how: str = "left_semi") -> DataFrame:
     """df joined with a table of keys, whose names df has not: by broadcast where their number is small, else by both sides' keys."""
     keys = cut(keys, "keys")
