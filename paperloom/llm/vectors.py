@@ -39,6 +39,8 @@ BLOCK_ROWS = 4096
 
 def unit(vectors: np.ndarray) -> np.ndarray:
     v = vectors.astype(np.float64)
+    # By the largest component first, or squares of finite numbers would be none.
+    v = v / np.abs(v).max(axis=1)[:, None]
     return v / np.sqrt((v * v).sum(axis=1))[:, None]
 
 
@@ -104,10 +106,13 @@ class MultiIndex:
         limit = home[0] + home[1] + 1e-12
         return np.array([np.searchsorted(far[1][k], limit[k] - far[0][k], side="right").sum() for k in range(len(rows))])
 
-    def visits_for(self, held: np.ndarray, threshold: float, recall: float, seed: int = 5) -> int:
-        """The visits that find ``recall`` of the pairs of held rows with rows exactly ``threshold`` away; all cells find any pair."""
+    def visits_for(self, held: np.ndarray, threshold: float, recall: float, seed: int = 5) -> tuple[int, float]:
+        """(visits that find ``recall`` of the pairs of held rows with rows exactly ``threshold`` away, the share that they find).
+
+        All cells find any pair, and are visited where too few rows are held to tell.
+        """
         if len(held) < LEAST_HELD:
-            return self.cells()
+            return self.cells(), 1.0
         rng = np.random.default_rng(seed)
         rows = np.resize(held, (max(len(held), HELD_ROWS), held.shape[1]))
         noise = rng.normal(size=rows.shape)
@@ -119,7 +124,8 @@ class MultiIndex:
             a, b = rows[k : k + 1024], other[k : k + 1024]
             met.append(np.minimum(self._met(a, b), self._met(b, a)))
         met = np.sort(np.concatenate(met))
-        return int(min(met[int(np.ceil(recall * len(met))) - 1], self.cells()))
+        n = int(min(met[int(np.ceil(recall * len(met))) - 1], self.cells()))
+        return n, 1.0 if n == self.cells() else float((met <= n).mean())
 
 
 def _block_links(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
@@ -161,8 +167,8 @@ def _block_links(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
     return pd.DataFrame({"vec_id": ids, "links": links, "reached": ids[low]})
 
 
-def fitted(classes: DataFrame, n: int, threshold: float) -> tuple[MultiIndex, int]:
-    """The index for the n vectors of classes, which are of one length, and how many cells each of them visits."""
+def fitted(classes: DataFrame, n: int, threshold: float) -> tuple[MultiIndex, int, float]:
+    """The index for the n vectors of classes, which are of one length, how many cells each of them visits, and the recall of that."""
     words = int(min(max(LEAST_WORDS, round((n / CELL_ROWS) ** 0.5)), MOST_WORDS))
     share = min(1.0, (max(SAMPLE_ROWS, WORD_ROWS * words) + HELD_ROWS) / n)
     out = min(HELD_ROWS / n, share / 5)
@@ -177,18 +183,22 @@ def fitted(classes: DataFrame, n: int, threshold: float) -> tuple[MultiIndex, in
     points, apart = points[order], apart[order]
     held, points = points[apart], points[~apart]
     index = MultiIndex.fit(points, min(words, len(points)))
-    return index, index.visits_for(held, threshold, TARGET_RECALL)
+    return index, *index.visits_for(held, threshold, TARGET_RECALL)
 
 
 def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
-    """One row per row of vectors: vec_id, n_links (other vectors linked directly), component_id, kept.
+    """One row per row of vectors: vec_id, n_links (other vectors linked directly), component_id, kept, recall.
+
+    recall is the share of pairs just at the threshold that the index of the vector's length finds, measured on rows that fitted no
+    codebook; 1 where all pairs are compared, and for vectors that link with nothing.
 
     Vectors that are null, zero or empty, or hold a null or a non-finite component link with nothing, and so are components of
     their own; vectors of different lengths never link. The most frequent length, and each with more than BLOCK_ROWS vectors, has
-    an index of its own; a length with fewer is one cell, in which all pairs are compared. Rows that repeat a vector count as vectors of their own, rows that repeat an id
-    too; a null id has links but takes the component of its links' ids. Few rows, and none, work as many do. Other columns,
+    an index of its own; a length with fewer is one cell, in which all pairs are compared. Rows that repeat a vector count as vectors
+    of their own, rows that repeat an id too; a null id has links but takes the component of its links' ids. Few rows, and none, work as many do. Other columns,
     labels too, are ignored.
     """
+
     e = F.col(vector_col)
     rows = cut(vectors.select(F.col(id_col).cast("long").alias("vec_id"), e.cast("array<double>").alias("embedding")), "vectors")
     sound = F.forall("embedding", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("embedding", lambda x: x != 0)
@@ -199,7 +209,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     lengths = cut(classes.groupBy(F.size("embedding").alias("d")).agg(F.count("*").alias("n")), "lengths")
     first = lengths.orderBy(F.desc("n"), "d").limit(1).collect()
     if not first:
-        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
+        return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"), F.lit(1.0).alias("recall"))
     large = {r["d"]: r["n"] for r in [*first, *lengths.where(F.col("n") > BLOCK_ROWS).collect()]}
     # Cells of an index start at a number of its own; the cell of a length without one is minus the length.
     indexes = {d: (*fitted(classes.where(F.size("embedding") == d), large[d], threshold), k * MOST_WORDS**2) for k, d in enumerate(sorted(large))}
@@ -212,7 +222,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
                 of_length.setdefault(len(v), []).append(at)
             cells = [np.zeros(0, np.int64)] * len(vectors)
             for d, ats in of_length.items():
-                index, n_visits, base = indexes.get(d, (None, 1, -d))
+                index, n_visits, _, base = indexes.get(d, (None, 1, 1.0, -d))
                 visited = index.visits(unit(np.array([vectors[at] for at in ats])), n_visits) if index else np.zeros((len(ats), 1), np.int64)
                 for at, row in zip(ats, visited + base, strict=True):
                     cells[at] = row
@@ -241,4 +251,7 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     told = cut(told, "told")
     out = good.join(told, (F.col("embedding") == F.col("e")) & F.col("good"), "left")
     component = F.coalesce("component", "vec_id")
-    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"))
+    reached = F.lit(1.0)
+    for d, (_, _, recall, _) in indexes.items():
+        reached = F.when(F.col("good") & (F.size("embedding") == d), recall).otherwise(reached)
+    return out.select("vec_id", F.coalesce("links", F.lit(0)).cast("long").alias("n_links"), component.alias("component_id"), F.col("vec_id").eqNullSafe(component).alias("kept"), reached.alias("recall"))
