@@ -9,7 +9,7 @@ place in the whole order, and the shard is read off that place. Only the id, siz
 from __future__ import annotations
 
 from bisect import bisect_left
-from itertools import accumulate
+from itertools import accumulate, count
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -61,9 +61,9 @@ def _quantiles(points: list[tuple[int, int, float]], n: int) -> list[Key]:
 
 
 def _sample(recs: DataFrame, rate: Column, seed: int) -> list[tuple[int, int, float]]:
-    """Keys drawn with a probability that follows the size; the same on each run."""
+    """Keys drawn with a probability that follows the size; the same on each run. Rows that repeat a key are one, with their weight."""
     u = F.pmod(F.xxhash64("k", "d", F.lit(seed)), F.lit(2**40)) / float(2**40)
-    drawn = recs.withColumn("rate", rate).where(u < F.col("rate")).select("k", "d", F.greatest(F.lit(1.0), "rate").alias("w"))
+    drawn = recs.withColumn("rate", rate).where(u < F.col("rate")).groupBy("k", "d").agg(F.sum(F.greatest(F.lit(1.0), "rate")).alias("w"))
     return [tuple(r) for r in drawn.collect()]
 
 
@@ -72,25 +72,28 @@ def _stats(recs: DataFrame, bounds: list[Key]) -> dict[int, tuple[int, int]]:
     return {r["r"]: (r["b"], r["n"]) for r in rows}
 
 
-def splitters(recs: DataFrame, total: int, n_ranges: int, seed: int, rounds: int = 3) -> tuple[list[Key], dict[int, tuple[int, int]]]:
-    """Boundaries, and bytes and rows of every range."""
+def splitters(recs: DataFrame, total: int, n_ranges: int, seed: int) -> tuple[list[Key], dict[int, tuple[int, int]]]:
+    """Boundaries, and bytes and rows of every range; overfull ranges are subdivided until none can be, which is one key's rows."""
     points = _sample(recs, F.col("size") * (n_ranges * SAMPLED / max(total, 1)), seed)
     bounds = _quantiles(points, n_ranges) if points else []
     stats = _stats(recs, bounds)
-    for again in range(1, rounds):
+    for again in count(1):
         share = total / n_ranges
-        parts = {r: int(max(b // share + 1, n // RANGE_ROWS + 1)) for r, (b, n) in stats.items() if b > 2 * share or n > RANGE_ROWS}
+        parts = {r: int(max(b // share + 1, n // RANGE_ROWS + 1)) for r, (b, n) in stats.items() if n > 1 and (b > 2 * share or n > RANGE_ROWS)}
         if not parts:
             break
         inside = recs.withColumn("r", _range_of(bounds)).where(F.col("r").isin(list(parts)))
         rates = F.element_at(F.create_map(*[F.lit(x) for r, p in parts.items() for x in (r, p * SAMPLED / stats[r][0])]), F.col("r"))
         points = _sample(inside, F.col("size") * rates, seed + again)
+        before = bounds
         edges = [(LOWEST, LOWEST), *bounds, (2**63 - 1, 2**63 - 1)]
         for r, p in parts.items():
             own = [x for x in points if edges[r] <= x[:2] < edges[r + 1]]
             if own:
                 found = _quantiles(own, p)
                 bounds = sorted({*bounds, *(b if b > edges[r] else (own[len(own) // 2][:2]) for b in found)})
+        if bounds == before:
+            break
         stats = _stats(recs, bounds)
     return bounds, stats
 
