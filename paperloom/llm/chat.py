@@ -78,7 +78,10 @@ def format_chat(turns: DataFrame, loss_role: str = "assistant") -> DataFrame:
 
 
 def parse_chat(formatted: Column) -> Column:
-    """The turns of a formatted conversation: array of (role, text)."""
+    """The turns of a formatted conversation: array of (role, text); empty for an empty text, null for null.
+
+    Empty roles and texts come back as empty, which is also what null ones have become.
+    """
     blocks = F.slice(F.split(formatted, HEADER, -1), 2, F.length(formatted))
 
     def turns(b: Column) -> Column:
@@ -90,5 +93,5 @@ def parse_chat(formatted: Column) -> Column:
 
 
 def loss_text(formatted: Column, loss_spans: Column) -> Column:
-    """All text under the loss mask, without escapes."""
+    """All text under the loss mask, without escapes; empty where there are no spans, null where either is null."""
     return F.array_join(F.transform(loss_spans, lambda s: _unescape(F.substr(formatted, s["start"] + 1, s["length"]))), "")

@@ -1,4 +1,4 @@
-"""URL filter: a trie over reversed host labels, and under each host a trie over path segments."""
+"""URL filter: a trie over reversed host labels, under each host one over path segments, and one over the characters of a last segment."""
 
 from __future__ import annotations
 
@@ -34,17 +34,24 @@ class UrlTrie:
             *whole, tail = path.split("/")
             for segment in whole:
                 node = node.setdefault("segments", {}).setdefault(segment, {})
-            tails = node.setdefault("tails", {})
-            if tails.get(tail, ("", ALLOW))[1] == ALLOW:
-                tails[tail] = (host + path, verdict)
+            node = node.setdefault("tails", {})
+            for char in tail:
+                node = node.setdefault(char, {})
+            # A character's key is one long, so the rule's is none of them.
+            if node.get("rule", ("", ALLOW))[1] == ALLOW:
+                node["rule"] = (host + path, verdict)
 
     @staticmethod
     def _longest(node: dict, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for segment in segments:
-            fitting = [t for t in node.get("tails", ()) if segment.startswith(t)]
-            if fitting:
-                best = node["tails"][max(fitting, key=len)]
+            tail = node.get("tails", {})
+            best = tail.get("rule", best)
+            for char in segment:
+                tail = tail.get(char)
+                if tail is None:
+                    break
+                best = tail.get("rule", best)
             node = node.get("segments", {}).get(segment)
             if node is None:
                 break
