@@ -61,7 +61,9 @@ class Writer:
         self.fs.create_dir(self.path.rpartition("/")[0], recursive=True)
         self.out = self.fs.open_output_stream(f"{self.path}.part")
         self.kind, self.zip = np.dtype(f"<u{width}"), zstandard.ZstdCompressor(level=1)
-        self.at, self.index, self.keys, self.docs, self.tokens = 0, [], [], 0, 0
+        self.at, self.index, self.docs, self.tokens = 0, [], 0, 0
+        #: The keys one after the other, nine bytes each, for the filter.
+        self.keys = bytearray()
         self._fresh()
 
     def _fresh(self) -> None:
@@ -69,14 +71,15 @@ class Writer:
 
     def add(self, doc_id: int | None, ids: np.ndarray) -> None:
         key = key_of(doc_id)
-        if self.keys and key < self.keys[-1]:
+        if self.keys and key < self.keys[-9:]:
             raise ValueError("documents must come in the order of their ids")
         shared = next((i for i in range(len(self.last)) if self.last[i] != key[i]), len(self.last))
         raw = ids.astype(self.kind).tobytes()
         self.block += [ENTRY.pack(shared, 9 - shared, len(ids)), key[shared:], raw]
         self.size += ENTRY.size + 9 - shared + len(raw)
         self.first, self.last = self.first or key, key
-        self.keys.append(key)
+        if self.keys[-9:] != key:
+            self.keys += key
         self.docs, self.tokens = self.docs + 1, self.tokens + len(ids)
         self.block_docs, self.block_tokens = self.block_docs + 1, self.block_tokens + len(ids)
         if self.size >= self.block_bytes:
@@ -96,12 +99,12 @@ class Writer:
 
     def close(self) -> dict:
         self._flush()
-        bits = max(64, len(self.keys) * BLOOM_BITS)
+        bits = max(64, len(self.keys) // 9 * BLOOM_BITS)
         bloom = bytearray((bits + 7) // 8)
-        for k in self.keys:
-            for b in _bits(k, bits):
+        for i in range(0, len(self.keys), 9):
+            for b in _bits(bytes(self.keys[i : i + 9]), bits):
                 bloom[b >> 3] |= 1 << (b & 7)
-        meta = {"docs": self.docs, "tokens": self.tokens, "width": self.kind.itemsize, "bloom_bits": bits, "first": (self.keys or [b""])[0].hex(), "last": (self.keys or [b""])[-1].hex()}
+        meta = {"docs": self.docs, "tokens": self.tokens, "width": self.kind.itemsize, "bloom_bits": bits, "first": self.keys[:9].hex(), "last": self.keys[-9:].hex()}
         parts = [b"".join(self.index), bytes(bloom), json.dumps(meta).encode()]
         places = [self.at]
         for p in parts:
@@ -168,25 +171,27 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = 0, folder:
 
     Documents are range-partitioned by id, so a task writes the file of its range. A file counts once its task has reported it: a
     task that runs again writes another name, and what the lost one wrote is never read. Ids sort ascending, null first; rows with
-    the same id sort by text. Null and empty texts are the end id alone. An empty table writes no file. Other columns are ignored.
+    the same id sort by the hash of their text, then by the text, so that an id with very many rows can fill several files. Null and empty texts are the end id alone. An empty table writes no file. Other columns are ignored.
     """
     folder = folder or shared_path(docs.sparkSession, "tokens")
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    ranged = rows.repartitionByRange(*([files] if files else []), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "text")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("tie"))
+    order = [F.col("doc_id").asc_nulls_first(), F.col("tie").asc()]
+    ranged = rows.repartitionByRange(*([files] if files else []), *order).sortWithinPartitions(*order, "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, writer = worker_encoder(vocabulary_path), None
         path = f"{folder}/{uuid.uuid4().hex}.sst"
         for b in small_batches(batches):
-            for doc_id, ids in zip(b.column(0).to_pylist(), encoder.encode_batch(_texts(b.column(1))), strict=True):
-                writer = writer or Writer(path, block_bytes=block_bytes)
+            for doc_id, tie, ids in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), encoder.encode_batch(_texts(b.column(1))), strict=True):
+                if writer is None:
+                    writer, first_tie = Writer(path, block_bytes=block_bytes), tie
                 writer.add(doc_id, np.append(ids, np.uint16(end_id)))
         if writer:
             meta = writer.close()
-            yield pa.RecordBatch.from_pylist([{"path": path, "docs": meta["docs"], "tokens": meta["tokens"], "first": meta["first"]}])
+            yield pa.RecordBatch.from_pylist([{"path": path, "docs": meta["docs"], "tokens": meta["tokens"], "first": meta["first"], "tie": first_tie}])
 
-    found = [r.asDict() for r in ranged.mapInArrow(run, "path string, docs long, tokens long, first string").collect()]
-    found.sort(key=lambda f: f["first"])
+    found = [r.asDict() for r in ranged.mapInArrow(run, "path string, docs long, tokens long, first string, tie long").collect()]
+    found.sort(key=lambda f: (f["first"], f["tie"]))
     start = 0
     for f in found:
         f["start"] = start
@@ -195,7 +200,10 @@ def write_tokens(docs: DataFrame, vocabulary_path: str, end_id: int = 0, folder:
 
 
 def read_tokens(spark: SparkSession, manifest: list[dict]) -> DataFrame:
-    """doc_id, start (ids in all documents before it), n_tokens, ids_crc32 (of the ids as unsigned 32-bit) from the files."""
+    """doc_id, start (ids in all documents before it), n_tokens, ids_crc32 (of the ids as unsigned 32-bit) from the files.
+
+    One row for each document that was written, repeated and null ids too; no files, no rows.
+    """
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
     if not manifest:
         return spark.createDataFrame([], schema)
