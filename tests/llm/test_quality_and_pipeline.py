@@ -1,3 +1,4 @@
+import hashlib
 import json
 import math
 import random
@@ -6,13 +7,15 @@ from pathlib import Path
 
 import numpy as np
 import pytest
-from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from paperloom.llm import bpe, exact, mixing, ngram, quality
+from paperloom.llm import exact, mixing, quality
 from paperloom.llm.registry import vocabulary_path
 
-from .data import documents, frame, with_clashes
+from .data import assert_clashes_kept, documents, frame, with_clashes
+from .test_native import fill
+from .test_near import parts, sets_of
 
 SF = Path("/root/testdata/sf0.01")
 
@@ -156,32 +159,113 @@ def test_edges(spark):
     assert quality.score(empty, quality.fit(empty)).collect() == []
 
 
-def test_pipeline_stages_follow_one_another(spark, tables):
-    docs, _ = tables
-    docs = docs.limit(300)
-    seen = [docs.count()]
-    own = quality.score(docs, quality.fit(docs)).where("kept").count()
-    for name, stage in corpus_pipeline.STAGES:
-        before, docs = docs, corpus_pipeline.cut(stage(spark, docs, str(SF)), name)
-        seen.append(docs.count())
-        if name != "bpe":
-            assert docs.columns == before.columns
-        if name == "quality":
-            assert seen[-1] == own
-        if name == "exact_dedup":
-            texts = [(r["doc_id"], exact_key(r["text"])) for r in before.collect()]
-            assert {r["doc_id"] for r in docs.collect()} == {max(d for d, t in texts if t == u) for u in {t for _, t in texts}}
-        if name == "ngram_jaccard":
-            left = ngram.ngram_components(docs)
-            assert left.where("component_id <> doc_id").count() == 0 and seen[-1] > 0
-        if name == "mixing":
-            want = {r["doc_id"]: r["copies"] for r in mixing.mix(before).where("copies > 0").collect()}
-            assert {r["doc_id"]: r["n"] for r in docs.groupBy("doc_id").agg(F.count("*").alias("n")).collect()} == want
-        if name == "bpe":
-            vocabulary = bpe.Vocabulary(vocabulary_path())
-            texts = {r["doc_id"]: r["text"] for r in before.collect()}
-            assert all(vocabulary.decode(np.array(r["ids"])) == texts[r["doc_id"]] and r["n_tokens"] == len(r["ids"]) for r in docs.collect())
-    assert seen[0] > seen[1] > seen[2] >= seen[3]
+def plain_hash(word):
+    """A word's feature hash, byte by byte."""
+    mask, base = (1 << 64) - 1, 0x9E3779B97F4A7C15
+    h = sum((b + 1) * pow(base, i, 1 << 64) for i, b in enumerate(word)) & mask
+    return plain_mix(h ^ len(word))
+
+
+def plain_mix(h):
+    mask = (1 << 64) - 1
+    for factor in (0xFF51AFD7ED558CCD, 0xC4CEB9FE1A85EC53):
+        h = ((h ^ h >> 33) * factor) & mask
+    return h ^ h >> 33
+
+
+def plain_quality(texts):
+    """Whether each text is kept: votes, expectation maximisation and a logistic scorer, text by text and with a dense matrix."""
+    looks = [plain_look(t) for t in texts]
+    v = []
+    for shares, words in looks:
+        row = []
+        for what, side, bad, good in quality.LABELLERS:
+            x = shares[what]
+            row.append(quality.BAD if (x > bad if side == ">" else x < bad) else quality.GOOD if (x <= good if side == ">" else x >= good) else quality.ABSTAIN)
+        v.append(row if len(words) >= quality.LEAST_WORDS else [quality.ABSTAIN] * len(row))
+    _, target = plain_estimate(v, 60)
+    size = 1 << quality.HASH_BITS
+    x = np.zeros((len(texts), size + 1))
+    for i, (_, words) in enumerate(looks):
+        for word, shape, again in words:
+            for h in (plain_hash(word), plain_mix(shape + (1 << 40)), plain_mix(shape // 8 % 8 * 2 + again + (1 << 41))):
+                x[i, h % size] += 1
+        x[i] = np.sqrt(x[i] / max(len(words), 1))
+    x[:, -1] = 1
+    w, mean, square = (np.zeros(size + 1) for _ in range(3))
+    for step in range(1, 151):
+        p = 1 / (1 + np.exp(-np.clip(x @ w, -30, 30)))
+        g = x.T @ (p - target) / len(texts) + 1e-4 * w
+        mean, square = 0.9 * mean + 0.1 * g, 0.999 * square + 0.001 * g * g
+        w -= 0.3 * (mean / (1 - 0.9**step)) / (np.sqrt(square / (1 - 0.999**step)) + 1e-8)
+    return [bool(words) and z >= 0 for (_, words), z in zip(looks, x @ w, strict=True)]
+
+
+def plain_mixing(rows):
+    """How often each row (doc_id, text, source) stands in the mix."""
+    size = [len(re.findall(r"[^\x20\x09-\x0D]+", t or "")) for _, t, _ in rows]
+    by = {}
+    for i, (_, _, s) in enumerate(rows):
+        by.setdefault(s, []).append(i)
+    targets = fill({s: sum(size[i] for i in at) for s, at in by.items()}, (5, 2, 1), 3)
+    copies = [0] * len(rows)
+    for s, at in by.items():
+        held = sum(size[i] for i in at)
+        whole = int(targets[s] // held) if held else 0
+        more = targets[s] - whole * held
+        draw = {i: int(hashlib.md5(f"23:{rows[i][0]}".encode()).hexdigest()[:10], 16) / 2**40 for i in at}
+        bins = {}
+        for i in at:
+            bins.setdefault(int(draw[i] * mixing.BINS), []).append(i)
+            copies[i] = whole
+        for b in sorted(bins):
+            words = sum(size[i] for i in bins[b])
+            through = 0
+            for i in sorted(bins[b], key=lambda i: (draw[i], rows[i][0])):
+                through += size[i]
+                if whole < 3 and (words <= more or through - size[i] / 2 <= more):
+                    copies[i] += 1
+            if words > more:
+                break
+            more -= words
+    return copies
+
+
+def test_run_equals_plain_code(spark):
+    """Every stage once more in plain code, over all documents."""
+    small = SF.parent / "sf0.001"
+    if not small.is_dir():
+        pytest.skip("no test tables")
+    rows = [(r["doc_id"], r["text"], r["source"]) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text", "source").collect()]
+    kept = plain_quality([t or "" for _, t, _ in rows])
+    rows = [r for r, k in zip(rows, kept, strict=True) if k]
+    last = {}
+    for d, t, _ in rows:
+        last[exact_key(t)] = max(d, last.get(exact_key(t), d))
+    rows = [r for r in rows if last[exact_key(r[1])] == r[0]]
+    sets = sets_of(rows)
+    like = lambda a, b: bool(sets[a] and sets[b]) and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b])
+    component = parts(sets, like)
+    rows = [r for r in rows if component[r[0]] == r[0]]
+    library = Tokenizer.from_file(vocabulary_path())
+    want = sorted((d, library.encode(t or "", add_special_tokens=False).ids) for (d, t, _), n in zip(rows, plain_mixing(rows), strict=True) for _ in range(n))
+    got = corpus_pipeline.run(spark, str(small)).collect()
+    assert all(r["n_tokens"] == len(r["ids"]) for r in got)
+    assert sorted((r["doc_id"], r["ids"]) for r in got) == want and 0 < len(rows) < len(kept)
+
+
+def test_pipeline_stages_keep_columns_and_clashing_names(spark):
+    rows = [(i, t, "en", s, 0) for i, (t, s) in enumerate([("the quick brown fox jumps over a lazy dog again and again until it is tired of all this " * 2 + f"end{i}.", "ab"[i % 2]) for i in range(8)])] + [(None, None, None, None, None), (3, "", "", "", 0)]
+    docs = with_clashes(frame(spark, rows))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        out = corpus_pipeline.cut(stage(spark, docs, ""), "stage")
+        assert out.columns == docs.columns
+        docs = out
+    assert_clashes_kept(docs.collect())
+    empty = with_clashes(frame(spark, []))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        empty = corpus_pipeline.cut(stage(spark, empty, ""), "stage")
+        assert empty.collect() == []
 
 
 def exact_key(text):

@@ -84,17 +84,20 @@ def test_sorted_tables(spark, library):
     got = sorted((tuple(r) for r in sstable.read_tokens(spark, files).collect()), key=lambda r: r[1])
     ordered = sorted(((d, t or "") for d, t, *_ in rows))
     assert [r[0] for r in got] == [d for d, _ in ordered]
-    start = 0
-    for r, (_, t) in zip(got, ordered, strict=True):
-        ids = [*library.encode(t, add_special_tokens=False).ids, 0]
-        assert r[1:] == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
-        start += len(ids)
+    whole = lambda t: [*library.encode(t, add_special_tokens=False).ids, 0]
+    assert sorted((r[0], r[2], r[3]) for r in got) == sorted((d, len(whole(t)), zlib.crc32(np.array(whole(t), "<u4").tobytes())) for d, t in ordered)
+    assert [r[1] for r in got] == [sum(r[2] for r in got[:i]) for i in range(len(got))]
     for d in (-5, 0, 50, len(rows) - 3):
-        assert [x.tolist() for x in sstable.lookup(files, d)] == [[*library.encode(t, add_special_tokens=False).ids, 0] for k, t in ordered if k == d]
+        assert [x.tolist() for x in sstable.lookup(files, d)] == [whole(t) for k, t in ordered if k == d]
     assert len(sstable.lookup(files, 3)) == 2 and sstable.lookup(files, 10**12) == [] and sstable.lookup(files, -9) == []
     reader = sstable.Reader(files[0]["path"])
     assert reader.meta["docs"] == files[0]["docs"] and len(reader.index) > 1
     assert sstable.read_tokens(spark, sstable.write_tokens(frame(spark, []), path)).collect() == []
+    # One id with very many rows fills several files, and all are found.
+    hot = sstable.write_tokens(frame(spark, [(7, f"text {i}", "", "", 0) for i in range(200)] + [(8, "last", "", "", 0)]), path, files=4)
+    assert len(hot) > 2 and sorted(len(x) for x in sstable.lookup(hot, 7)) == sorted(len(whole(f"text {i}")) for i in range(200)) and len(sstable.lookup(hot, 8)) == 1
+    read = sorted((r["start"], r["n_tokens"]) for r in sstable.read_tokens(spark, hot).collect())
+    assert [s for s, _ in read] == [sum(n for _, n in read[:i]) for i in range(len(read))]
     nulls = sstable.write_tokens(frame(spark, [(None, "x", "", "", 0), (None, None, "", "", 0), (1, "y", "", "", 0)]), path)
     assert [r["doc_id"] for r in sstable.read_tokens(spark, nulls).orderBy("start").collect()] == [None, None, 1]
 
