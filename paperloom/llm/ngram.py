@@ -10,7 +10,7 @@ Documents are compared by their sets of hashed 5-word shingles; two link when 10
 3. Groups of similar sets. ROUNDS times, sets are hashed to their least shingle under another order, and those that no link has
    reached yet are compared with the most central of the sets that agree, the one whose shingles occur most elsewhere. A set and
    what links with it are a star; copies of a text by the thousand cost a few comparisons each. A star is a group, cut into groups
-   of at most about GROUP sets; sets in no star are grouped with those that have the same least shingle.
+   of at most GROUP sets; sets in no star are grouped with those that have the same least shingle.
 4. Matrix. Shingles are counted by the stars that hold them, and a set's shingles are ordered by that count: one of its first
    n - 0.8 n + 1 is among the first ones of any set that it links with. The matrix has an entry for each of these shingles and each
    group that holds it. Groups of different stars meet where they share an entry, each with those of its sets that have it.
@@ -28,7 +28,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .bpe import _texts, release, small_batches
@@ -38,8 +38,8 @@ from .shared import cut, discard, free_names, pick
 
 WORDS, PERCENT = 5, 80
 ROUNDS = 4
-#: Sets of a group, about.
-GROUP = 96
+#: Sets of a group, at most: as many as the bits of a number tell apart.
+GROUP = 63
 #: Shingles of one partition in which they are counted.
 RANGE_TOKENS = 2_000_000
 TOKEN_BYTES = 6
@@ -382,32 +382,35 @@ def _open_groups(block: pd.DataFrame) -> pd.DataFrame:
 
 
 def grouped(members: DataFrame) -> DataFrame:
-    """members (rep, grp, starred, k0, tokens) with the number of their group in place of starred and k0.
-
-    A group is a slice of a star, or sets without a star whose least shingles fall together.
-    """
+    """members (rep, grp, starred, k0, tokens) with the number of their group, their place in it (0 to 62), and the star if the group
+    is a slice of one, in place of starred and k0. Other groups are sets without a star whose least shingles fall together."""
     alone = members.where("NOT starred").count()
     own = F.pmod(F.xxhash64("k0"), F.lit(max(1, 2 * alone // GROUP)))
-    keyed = members.select("rep", "grp", "tokens", F.when(F.col("starred"), F.col("grp")).otherwise(own).alias("key"), "starred")
-    held = keyed.groupBy(F.col("key").alias("k"), F.col("starred").alias("s")).agg(F.ceil(F.count("*") / GROUP).alias("slices"))
+    keyed = members.select("rep", F.when(F.col("starred"), F.col("grp")).otherwise(own).alias("key"), "starred")
+    held = keyed.groupBy(F.col("key").alias("k"), F.col("starred").alias("s")).agg(F.ceil(F.count("*") * 2 / GROUP).alias("slices"))
     sliced = keyed.join(cut(held, "slices"), (F.col("key") == F.col("k")) & (F.col("starred") == F.col("s")))
-    number = F.xxhash64("key", "starred", F.pmod(F.xxhash64("rep"), F.col("slices")))
-    return sliced.select("rep", "grp", "tokens", number.alias("block"), F.when(F.col("starred"), F.col("grp")).alias("star"))
+    sliced = sliced.withColumn("slice", F.pmod(F.xxhash64("rep"), F.col("slices")))
+    # Slices hold half a group on average; where chance puts more than GROUP in one, it is several groups.
+    at = F.row_number().over(Window.partitionBy("key", "starred", "slice").orderBy("rep")) - 1
+    numbered = sliced.withColumn("at", at).select(F.col("rep").alias("r"), F.xxhash64("key", "starred", "slice", F.floor(F.col("at") / GROUP)).alias("block"), F.pmod(F.col("at"), F.lit(GROUP)).alias("place"))
+    return members.join(numbered, F.col("rep") == F.col("r")).select("rep", "grp", "tokens", "block", "place", F.when(F.col("starred"), F.col("grp")).alias("star"))
 
 
 def matrix(rare: DataFrame, members: DataFrame) -> DataFrame:
-    """(token, block, star): the groups that hold each of the first shingles of their sets; star where all sets are of one."""
-    of_set = members.select(F.col("rep").alias("r"), "block", "star")
-    return rare.join(of_set, F.col("rep") == F.col("r")).select("token", "block", "star").distinct()
+    """(token, block, star, who): the groups that hold each of the first shingles of their sets, and which of their sets do, as bits."""
+    of_set = members.select(F.col("rep").alias("r"), "block", "star", F.expr("shiftleft(1L, place)").alias("bit"))
+    return rare.join(of_set, F.col("rep") == F.col("r")).groupBy("token", "block", "star").agg(F.expr("bit_or(bit)").alias("who"))
 
 
-def meetings(rare: DataFrame, members: DataFrame, entries: DataFrame) -> DataFrame:
-    """(rep, block, other): the sets of a group that share an entry of the matrix with another group, not of the same star; with
-    their own group, too, where that is of several stars."""
-    asked = rare.join(members.select(F.col("rep").alias("r"), F.col("block").alias("b"), F.col("star").alias("own")), F.col("rep") == F.col("r")).select("rep", "token", "b", "own")
-    held = entries.select(F.col("token").alias("t"), F.col("block").alias("other"), F.col("star"))
-    apart = F.col("star").isNull() | F.col("own").isNull() | (F.col("star") != F.col("own"))
-    return asked.join(held, (F.col("token") == F.col("t")) & apart).select("rep", F.col("b").alias("block"), "other").distinct()
+def meetings(entries: DataFrame) -> DataFrame:
+    """(x, y, x_who, y_who), x <= y: the groups that share an entry of the matrix and are not of one star, and with which sets.
+
+    Groups meet, not sets: however many sets of a group have a shingle, it is one row, and their bits are merged on the way.
+    """
+    held = entries.select(F.col("token").alias("t"), F.col("block").alias("y"), F.col("star").alias("other"), F.col("who").alias("y_who"))
+    apart = F.col("star").isNull() | F.col("other").isNull() | (F.col("star") != F.col("other"))
+    met = entries.join(held, (F.col("token") == F.col("t")) & (F.col("block") <= F.col("y")) & apart)
+    return met.groupBy(F.col("block").alias("x"), "y").agg(F.expr("bit_or(who)").alias("x_who"), F.expr("bit_or(y_who)").alias("y_who"))
 
 
 def outside_links(sets: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
@@ -419,12 +422,13 @@ def outside_links(sets: DataFrame, groups: DataFrame, parts: int) -> DataFrame:
     asking = cut(grouped(pick_by(members, "rep", rare.select("rep").distinct())), "groups")
     discard(members)
     entries = cut(matrix(rare, asking), "matrix")
-    met = cut(meetings(rare, asking, entries), "meetings")
+    met = cut(meetings(entries), "meetings")
+    has = lambda who: F.expr(f"({who} & shiftleft(1L, place)) <> 0")
     # Of two groups that meet the one with the smaller number asks; within a group all sets ask one another.
-    met = met.withColumnRenamed("rep", "r").join(asking.select("rep", "grp", "tokens"), F.col("r") == F.col("rep"))
-    met = met.select(F.least("block", "other").alias("x"), F.greatest("block", "other").alias("y"), "grp", "tokens", (F.col("block") < F.col("other")).alias("asks"))
-    links = cut(met.groupBy("x", "y").applyInPandas(_open_groups, "a long, b long"), "links")
-    discard(rare, asking, entries)
+    asks = met.where("x <> y").join(asking, (F.col("x") == F.col("block")) & has("x_who")).select("x", "y", "grp", "tokens", F.lit(True).alias("asks"))
+    holds = met.join(asking, (F.col("y") == F.col("block")) & has("y_who")).select("x", "y", "grp", "tokens", F.lit(False).alias("asks"))
+    links = cut(asks.unionByName(holds).groupBy("x", "y").applyInPandas(_open_groups, "a long, b long"), "links")
+    discard(rare, asking, entries, met)
     return links
 
 
