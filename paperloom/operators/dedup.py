@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from difflib import SequenceMatcher
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -81,32 +82,34 @@ def exact_merge(papers: DataFrame) -> DataFrame:
 
 
 def exact_default(papers: DataFrame) -> DataFrame:
-    """(pos, kept_pos, reason): greedy duplicates, where a duplicate doesn't lend its other identifiers.
+    """(pos, kept_pos, reason): greedy duplicates in the order of pos, where a duplicate doesn't lend its other identifiers.
 
-    The result depends on the order within a cluster, so each cluster is replayed in order; clusters are small and independent.
+    A record stays when it comes first among the undecided ones under each of its keys, and goes when a record that stays has one
+    of them; so each round decides all records that wait for no earlier one. No cluster is gathered: a round is an aggregate of each
+    key, and as many rounds are needed as records wait for one another in a chain.
     """
-    rows = papers.select(
-        "pos", norm.clean_text(F.col("openalex_id")).alias("oid"), norm.normalize_doi(F.col("doi")).alias("doi"), norm.strict_title_key(F.col("title")).alias("title")
-    ).join(clusters(papers), "pos")
-
-    def replay(group: pd.DataFrame) -> pd.DataFrame:
-        by_id: dict[str, int] = {}
-        by_doi: dict[str, int] = {}
-        by_title: dict[str, int] = {}
-        out = []
-        for r in group.sort_values("pos").itertuples():
-            bare = not r.oid and not r.doi
-            found = next(
-                ((w, t[k]) for w, t, k, on in (("same_openalex_id", by_id, r.oid, r.oid), ("same_doi", by_doi, r.doi, r.doi), ("same_title_no_id", by_title, r.title, bare and r.title)) if on and k in t), None
-            )
-            if found is None:
-                for table, k, on in ((by_id, r.oid, r.oid), (by_doi, r.doi, r.doi), (by_title, r.title, bare and r.title)):
-                    if on:
-                        table[k] = r.pos
-            out.append((r.pos, found[1] if found else r.pos, found[0] if found else None))
-        return pd.DataFrame(out, columns=["pos", "kept_pos", "reason"])
-
-    return rows.groupBy("cluster").applyInPandas(replay, "pos long, kept_pos long, reason string")
+    links = cut(keys_of(papers), "links")
+    open_, kept = links, None
+    while True:
+        first = open_.groupBy("kind", "key").agg(F.min("pos").alias("first"))
+        waits = open_.join(first, ["kind", "key"]).groupBy("pos").agg(F.max(F.col("first") < F.col("pos")).alias("waits"))
+        staying = cut(open_.join(waits.where("NOT waits").select("pos"), "pos", "left_semi"), "staying")
+        kept = staying if kept is None else cut(kept.unionByName(staying), "kept")
+        gone = open_.join(staying.select("kind", "key"), ["kind", "key"], "left_semi").select("pos").distinct()
+        left = cut(open_.join(gone, "pos", "left_anti"), "open")
+        if open_ is not links:
+            discard(open_)
+        open_ = left
+        if not open_.take(1):
+            break
+    # A key belongs to one record that stays, which may come after one that went for another key.
+    owners = kept.select("kind", "key", F.col("pos").alias("owner"))
+    met = links.join(owners, ["kind", "key"]).where("owner <= pos")
+    order = F.when(F.col("kind") == "same_openalex_id", 1).when(F.col("kind") == "same_doi", 2).otherwise(3)
+    best = met.groupBy("pos").agg(F.min(F.struct(order.alias("o"), "owner", "kind")).alias("b"))
+    stays = F.col("b").isNull() | (F.col("b.owner") == F.col("pos"))
+    rows = papers.select("pos").join(best, "pos", "left")
+    return rows.select("pos", F.when(stays, F.col("pos")).otherwise(F.col("b.owner")).alias("kept_pos"), F.when(~stays, F.col("b.kind")).alias("reason"))
 
 
 def merge_provenance(papers: DataFrame, entity: str, column: str) -> DataFrame:
@@ -163,7 +166,8 @@ def candidate_pairs(papers: DataFrame) -> DataFrame:
     """All pairs that the cheap rules leave, with title Jaccard and author overlap; complete for every threshold.
 
     A pair needs an author overlap, and so a common surname, or a title Jaccard of 0.80, and so a common token among the first
-    n - 0.8 n + 1 in the order of rarity. Nothing is dropped for a frequent surname or token; its pairs are dealt by AQE.
+    n - 0.8 n + 1 in the order of rarity. The rules on years, DOIs and ids are part of the join. Nothing is dropped for a frequent
+    surname or token.
     """
     f = _fields(papers)
     tokens = f.select("pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
@@ -171,8 +175,15 @@ def candidate_pairs(papers: DataFrame) -> DataFrame:
     order = Window.partitionBy("pos").orderBy("df", "token")
     prefix = tokens.join(rarity, "token").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(8) / 10) + 1)
     keys = prefix.select(F.concat(F.lit("t:"), "token").alias("k"), "pos").unionByName(f.select(F.explode("surnames").alias("s"), "pos").select(F.concat(F.lit("s:"), "s").alias("k"), "pos"))
-    a, b = keys.alias("a"), keys.alias("b")
-    pairs = a.join(b, (F.col("a.k") == F.col("b.k")) & (F.col("a.pos") < F.col("b.pos"))).select(F.col("a.pos").alias("i"), F.col("b.pos").alias("j")).distinct()
+    keys = cut(keys.join(f.select("pos", "oid", "doi", "year"), "pos"), "keys")
+    # Years apart at most YEARS_APART are met by the year, so a frequent surname is as many joins as there are years.
+    known, unknown = keys.where("year IS NOT NULL"), keys.where("year IS NULL")
+    near = known.withColumn("near", F.explode(F.sequence(F.col("year") - YEARS_APART, F.col("year") + YEARS_APART)))
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    other = ~((x("oid") != "") & (x("oid") == y("oid"))) & ((x("doi") == "") | (y("doi") == "") | (x("doi") == y("doi")))
+    pair = (x("k") == y("k")) & (x("pos") < y("pos")) & other
+    met = [near.alias("a").join(known.alias("b"), pair & (x("near") == y("year"))), keys.alias("a").join(unknown.alias("b"), pair), unknown.alias("a").join(known.alias("b"), pair)]
+    pairs = reduce(DataFrame.unionByName, [m.select(x("pos").alias("i"), y("pos").alias("j")) for m in met]).distinct()
     left = f.select(*[F.col(c).alias(f"l_{c}") for c in f.columns])
     right = f.select(*[F.col(c).alias(f"r_{c}") for c in f.columns])
     full = pairs.join(left, F.col("i") == F.col("l_pos")).join(right, F.col("j") == F.col("r_pos"))

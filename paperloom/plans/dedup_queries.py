@@ -54,7 +54,19 @@ def dedup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_merge(papers(spark, sf_dir)).where("conflict").select("cluster").distinct()
 
 
-@query()
+#: The kept record that a key of x already names, by the order of the keys; a fold over the records in their order holds them.
+MET = "list_sort(list_transform(list_filter(a.reg, lambda e: list_contains(x.ks, e.k)), lambda e: {'i': list_position(x.ks, e.k), 'p': e.p, 'k': e.k}))[1]"
+
+
+@query(
+    f"""WITH {PAPERS_SQL}, rec AS (SELECT pos, trim(openalex_id) AS oid, {DOI} AS doi, {STRICT_SQL} AS title FROM papers),
+x AS (SELECT pos, list_filter([CASE WHEN oid <> '' THEN 'i' || oid END, CASE WHEN doi <> '' THEN 'd' || doi END, CASE WHEN oid = '' AND doi = '' AND title <> '' THEN 't' || title END], lambda k: k IS NOT NULL) AS ks FROM rec),
+r AS (SELECT list({{'pos': pos, 'ks': ks, 'reg': []::STRUCT(k VARCHAR, p BIGINT)[], 'out': []::STRUCT(pos BIGINT, kept_pos BIGINT, k VARCHAR)[]}} ORDER BY pos) AS l FROM (SELECT -1::BIGINT AS pos, []::VARCHAR[] AS ks UNION ALL SELECT * FROM x)),
+f AS (SELECT list_reduce(l, lambda a, x: {{'pos': x.pos, 'ks': x.ks,
+  'reg': CASE WHEN {MET} IS NULL THEN list_concat(a.reg, list_transform(x.ks, lambda k: {{'k': k, 'p': x.pos}})) ELSE a.reg END,
+  'out': list_append(a.out, {{'pos': x.pos, 'kept_pos': coalesce({MET}.p, x.pos), 'k': {MET}.k}})}}) AS z FROM r)
+SELECT o.pos, o.kept_pos, CASE left(o.k, 1) WHEN 'i' THEN 'same_openalex_id' WHEN 'd' THEN 'same_doi' WHEN 't' THEN 'same_title_no_id' END AS reason FROM (SELECT unnest(z.out) AS o FROM f)"""
+)
 def dedup_exact_default(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_default(papers(spark, sf_dir))
 

@@ -96,7 +96,7 @@ def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     return f.select(F.regexp_extract("path", r"[^/]+\.parquet(?:/.*)?$", 0).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
-@query()
+@query("SELECT * FROM (SELECT o_orderkey, concat_ws(',', o_orderstatus, CAST(o_custkey AS VARCHAR), CASE WHEN o_orderkey % 5 = 0 THEN 'extra' END) AS line FROM orders) WHERE len(string_split(line, ',')) > 2")
 def csv_ragged(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a delimited text with more fields than its header."""
     extra = F.when(F.col("o_orderkey") % 5 == 0, "extra")
