@@ -36,6 +36,14 @@ def baseline(papers: DataFrame) -> DataFrame:
     return joined.withColumn("duplicate_reason", reason).drop("_key")
 
 
+def counts(decided: DataFrame, raw: int) -> DataFrame:
+    """(metric, value) of ``baseline``'s rows: raw, kept, each reason, and conserved (1 if kept and removed make up raw)."""
+    by = cut(decided.groupBy(F.coalesce("duplicate_reason", F.lit("kept")).alias("metric")).agg(F.count("*").alias("value")), "counts")
+    whole = by.agg((F.coalesce(F.sum("value"), F.lit(0)) == raw).cast("long").alias("value")).select(F.lit("conserved").alias("metric"), "value")
+    first = by.sparkSession.range(1).select(F.lit("raw").alias("metric"), F.lit(raw).cast("long").alias("value"))
+    return first.unionByName(by).unionByName(whole)
+
+
 def keys_of(papers: DataFrame) -> DataFrame:
     """(pos, kind, key): the identifiers by which a record can equal another; a title only where it has no other."""
     oid, doi, title = norm.clean_text(F.col("openalex_id")), norm.normalize_doi(F.col("doi")), norm.strict_title_key(F.col("title"))

@@ -6,9 +6,11 @@ The tables are expressions over the documents, one text for both engines; the ru
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from paperloom.operators import checks, contracts
 
+from . import benchmark, package
 from .views import query, table
 
 Columns = dict[str, str]
@@ -296,6 +298,48 @@ def judgement_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.judgement_violations(rows(spark, sf_dir, JUDGEMENT), rows(spark, sf_dir, POOL), roles, notes, rows(spark, sf_dir, PROPOSAL, HAS_PROPOSAL), "v1", pairs=60)
 
 
+@query(
+    f"""WITH {cte("pool", POOL)}, {cte("na", NOTE_A)}, {cte("nb", NOTE_B, HAS_SECOND)},
+d AS (SELECT pool.*, na.annotator AS a, na.label AS la, nb.annotator AS b, nb.label AS lb, CASE WHEN nb.label IS NULL THEN 1 WHEN na.label = nb.label THEN 2 ELSE 3 END AS kind FROM pool JOIN na USING (pair_id) LEFT JOIN nb USING (pair_id))
+SELECT pair_id, CASE kind WHEN 3 THEN '' ELSE la END AS final_label, CASE kind WHEN 3 THEN 'pending_human_review' ELSE 'ready' END AS judgement_status, ['single_annotation', 'agreement', 'disagreement'][kind] AS agreement_status,
+  ['primary_annotation', 'double_annotation_agreement', 'ai_adjudication_proposal'][kind] AS judgement_basis, a AS primary_annotator, coalesce(b, '') AS secondary_annotator, coalesce(lb, '') AS secondary_label FROM d"""
+)
+def judgement_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The judgements before any review."""
+    notes = rows(spark, sf_dir, NOTE_A).unionByName(rows(spark, sf_dir, NOTE_B, HAS_SECOND))
+    assigned = rows(spark, sf_dir, {"pair_id": NOTE_A["pair_id"], "annotator_slug": NOTE_A["annotator"], "assignment_role": "'primary'"})
+    assigned = assigned.unionByName(rows(spark, sf_dir, {"pair_id": NOTE_B["pair_id"], "annotator_slug": NOTE_B["annotator"], "assignment_role": "'secondary'"}, HAS_SECOND))
+    made, _ = benchmark.draft(rows(spark, sf_dir, POOL), assigned, notes, None, "v1-draft")
+    return made.select("pair_id", "final_label", "judgement_status", "agreement_status", "judgement_basis", "primary_annotator", "secondary_annotator", "secondary_label")
+
+
+METHOD: Columns = {
+    "pair_id": "CASE WHEN doc_id % 83 = 0 THEN concat('X', doc_id) WHEN doc_id % 79 = 2 THEN concat('P', doc_id - 1) ELSE concat('P', doc_id) END",
+    "research_query_id": "CASE WHEN doc_id % 73 = 1 THEN 'RQ-xx' ELSE concat('RQ-', lang) END",
+    "method_id": "CASE WHEN doc_id % 71 = 0 THEN 'other' ELSE 'm' END",
+    "score": "CASE WHEN doc_id % 67 = 0 THEN 'high' ELSE CAST(n_chars % 100 AS STRING) END",
+    "rank": "CASE WHEN doc_id % 61 = 0 THEN '1.0' ELSE CAST(doc_id % 7 + 1 AS STRING) END",
+}
+
+
+@query(
+    f"""WITH {cte("r", METHOD)}, {cte("p", {"pair_id": POOL["pair_id"], "q": POOL["research_query_id"]})},
+o AS (SELECT *, row_number() OVER (PARTITION BY research_query_id ORDER BY TRY_CAST(score AS DOUBLE) DESC NULLS LAST, pair_id) AS due FROM r)
+{listed([("method", "method_id <> 'm'"), ("score_not_finite", "TRY_CAST(score AS DOUBLE) IS NULL"), ("rank_not_canonical", "rank LIKE '%.%'")], "pair_id", "r")}
+UNION ALL SELECT 'rank_not_by_score', pair_id, '' FROM o WHERE rank NOT LIKE '%.%' AND CAST(rank AS INT) <> due AND pair_id NOT IN (SELECT pair_id FROM r GROUP BY 1 HAVING count(*) > 1)
+UNION ALL SELECT 'query_size', research_query_id, '' FROM r GROUP BY research_query_id HAVING count(*) <> 20
+UNION ALL SELECT 'pair_missing', pair_id, '' FROM p WHERE pair_id NOT IN (SELECT pair_id FROM r) UNION ALL SELECT 'pair_unknown', pair_id, '' FROM r WHERE pair_id NOT IN (SELECT pair_id FROM p)
+UNION ALL SELECT 'pair_of_other_query', pair_id, '' FROM r JOIN p USING (pair_id) WHERE research_query_id <> q UNION ALL SELECT 'pair_twice', pair_id, '' FROM r GROUP BY pair_id HAVING count(*) > 1"""
+)
+def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A method's ranking against its pool; where a pair occurs twice, its ranks are left out, as their order is open."""
+    given = rows(spark, sf_dir, METHOD)
+    found = package.ranking_violations(given, rows(spark, sf_dir, {"pair_id": POOL["pair_id"], "research_query_id": POOL["research_query_id"]}), "m", 20)
+    again = given.groupBy("pair_id").agg(F.count("*").alias("n")).where("n > 1")
+    found = found.join(again, (F.col("rule") == "rank_not_by_score") & (F.col("key") == F.col("pair_id")), "left_anti")
+    return found.select("rule", "key", F.lit("").alias("detail"))
+
+
 LATER = JUDGEMENT | {"primary_label": "CASE WHEN doc_id % 29 = 0 THEN '2' ELSE CAST(doc_id % 3 AS STRING) END", "agreement_status": f"CASE WHEN {APART} THEN 'disagreement' ELSE 'agreement' END"}
 
 

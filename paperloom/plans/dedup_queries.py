@@ -78,11 +78,13 @@ def provenance_union(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.merge_provenance(d, "lang", "sources").select("lang", F.array_join("sources", ";").alias("sources"))
 
 
-@query("SELECT 'raw' AS metric, count(*) AS value FROM documents UNION ALL SELECT 'kept', count(DISTINCT text) FROM documents UNION ALL SELECT 'removed', count(*) - count(DISTINCT text) FROM documents UNION ALL SELECT 'conserved', 1")
+@query(
+    f"""{BASELINE_SQL} SELECT 'raw' AS metric, count(*) AS value FROM f UNION ALL SELECT 'kept', count(*) FROM f WHERE pos = kept_pos
+UNION ALL SELECT CASE WHEN d <> '' THEN 'same_doi' ELSE 'same_title_no_doi' END, count(*) FROM f WHERE pos <> kept_pos GROUP BY 1 UNION ALL SELECT 'conserved', 1"""
+)
 def dedup_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Counts before and after, and whether they add up."""
-    g = table(spark, sf_dir, "documents").groupBy("text").agg(F.count("*").alias("n")).agg(F.sum("n").alias("raw"), F.count("*").alias("kept"), F.sum(F.col("n") - 1).alias("removed"))
-    return g.withColumn("conserved", (F.col("raw") == F.col("kept") + F.col("removed")).cast("long")).unpivot([], ["raw", "kept", "removed", "conserved"], "metric", "value")
+    """Records, those that stay, those that go by reason, and whether they add up."""
+    return dedup.counts(dedup.baseline(papers(spark, sf_dir)), table(spark, sf_dir, "documents").count())
 
 
 @query("SELECT doc_id AS pos, concat('s', doc_id % 499, ';t', doc_id % 331) AS surnames FROM documents")

@@ -228,11 +228,3 @@ def agreement_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The groups and the whole in one aggregation."""
     g = annotated(spark, sf_dir).rollup("rq").agg(F.count("*").alias("n"), F.count(F.when(F.col("label_a") == F.col("label_b"), 1)).alias("exact"))
     return g.withColumn("rq", F.coalesce("rq", F.lit("all")))
-
-
-@query(f"""{ANNOTATED_SQL} SELECT pair_id, CASE WHEN label_a = label_b THEN 'agreement' ELSE 'disagreement' END AS status, CASE WHEN label_a = label_b THEN label_a ELSE '' END AS final_label, CASE WHEN label_a = label_b THEN 'ready' ELSE 'pending' END AS state FROM ann""")
-def judgement_draft(spark: SparkSession, sf_dir: str) -> DataFrame:
-    same = F.col("label_a") == F.col("label_b")
-    return annotated(spark, sf_dir).select(
-        "pair_id", F.when(same, "agreement").otherwise("disagreement").alias("status"), F.when(same, F.col("label_a")).otherwise("").alias("final_label"), F.when(same, "ready").otherwise("pending").alias("state")
-    )

@@ -6,7 +6,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import checks
-from paperloom.operators.rank import ranked
 
 from .views import query, table
 
@@ -77,18 +76,6 @@ def reviewer_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "documents").where(name("doc_id") == name("n_chars")).select("doc_id")
 
 
-@query(
-    """WITH r AS (SELECT doc_id AS pair_id, lang AS rq, CAST(n_chars % 100 AS DOUBLE) / 100 AS score, CAST(row_number() OVER (PARTITION BY lang ORDER BY n_chars % 100 DESC, doc_id) AS INTEGER) + CASE WHEN doc_id % 50 = 0 THEN 1 ELSE 0 END AS rank FROM documents)
-SELECT 'rank_not_by_score' AS rule, CAST(pair_id AS VARCHAR) AS key FROM (SELECT *, row_number() OVER (PARTITION BY rq ORDER BY score DESC, pair_id) AS due FROM r) WHERE rank <> due"""
-)
-def contract_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Ranks that don't follow the scores: every fiftieth is off by one."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pair_id"), F.col("lang").alias("rq"), ((F.col("n_chars") % 100).cast("double") / 100).alias("score"))
-    due = ranked(d, "due", [F.desc("score"), F.asc("pair_id")], ["rq"])
-    given = due.withColumn("rank", F.col("due") + (F.col("pair_id") % 50 == 0).cast("int"))
-    return checks.violations(given, "rank_not_by_score", F.col("rank") != F.col("due"), F.col("pair_id")).select("rule", "key")
-
-
 @query()
 def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a package, of all its tables, with their size and digest; a table's part files are named by the table too."""
