@@ -18,7 +18,7 @@ def components(edges: DataFrame) -> DataFrame:
     before = None
     while True:
         state = tuple(stars.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-        if state == before:
+        if state == before or not state[0]:
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
                 stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             )
