@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, chat, exact, mixing, ngram, quality, sharding, sstable, urls, vectors
-from .shared import table
+from paperloom.store import small
+
+from . import bpe, chat, codes, exact, lines, mixing, ngram, quality, sharding, snapshot, sstable, urls, vectors
+from .shared import cut, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 SHARDS = 40
@@ -183,6 +186,101 @@ SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(reached) AS comp
 """
 
 
+def later_snapshot(docs: DataFrame) -> DataFrame:
+    """The later snapshot of the contract: crc32 of the decimal doc_id modulo 16 changes rows; a null id changes nothing."""
+    rows = docs.select("doc_id", "text", "lang", "source").withColumn("m", F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 16, F.lit(-1)))
+    moved = -1 - F.col("doc_id")
+    keys = F.when(F.col("m") == 0, F.array().cast("array<long>")).when(F.col("m").isin(3, 4), F.array(moved)).when(F.col("m") == 5, F.array(F.col("doc_id"), moved)).otherwise(F.array("doc_id"))
+    return rows.select(
+        F.explode(keys).alias("doc_id"),
+        F.when(F.col("m") == 1, F.concat(F.coalesce("text", F.lit("")), F.lit("+"))).otherwise(F.col("text")).alias("text"),
+        F.when(F.col("m") == 2, F.col("source")).otherwise(F.col("lang")).alias("lang"),
+        F.when(F.col("m") == 2, F.col("lang")).when(F.col("m") != 4, F.col("source")).alias("source"),
+    )
+
+
+def op11_snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    shown = F.concat_ws("\n", *[F.coalesce(c, F.lit("~")) for c in ("text", "lang", "source")])
+    found = snapshot.snapshot_diff(docs, later_snapshot(docs), carry={"row_sha": F.unhex(F.sha2(shown, 256))})
+    return found.select("key", "old_key", "op", "changed", F.lower(F.hex("row_sha")).alias("row_sha256"))
+
+
+OP11_SQL = r"""
+WITH steps AS (SELECT list_transform(range(256), lambda n: list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, x: CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END)) AS crc),
+m AS (SELECT doc_id, text, lang, source, coalesce(xor(list_reduce(list_prepend(4294967295, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda x: ascii(x)::BIGINT)),
+    lambda c, b: xor(c >> 8, crc[(xor(c, b) & 255) + 1])), 4294967295) % 16, -1) AS m FROM documents, steps),
+later AS (
+  SELECT CASE WHEN m IN (3, 4) THEN -1 - doc_id ELSE doc_id END AS k, CASE WHEN m = 1 THEN coalesce(text, '') || '+' ELSE text END AS text,
+    CASE WHEN m = 2 THEN source ELSE lang END AS lang, CASE WHEN m = 2 THEN lang WHEN m = 4 THEN NULL ELSE source END AS source FROM m WHERE m <> 0
+  UNION ALL SELECT -1 - doc_id, text, lang, source FROM m WHERE m = 5),
+earlier AS (SELECT doc_id AS k, text, lang, source FROM documents),
+same AS (SELECT l.k AS key, e.k AS old_key, e.text AS t0, e.lang AS l0, e.source AS s0, l.text, l.lang, l.source FROM earlier e JOIN later l ON e.k IS NOT DISTINCT FROM l.k),
+e AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY k) AS i FROM earlier WHERE k NOT IN (SELECT k FROM later WHERE k IS NOT NULL)),
+l AS (SELECT *, row_number() OVER (PARTITION BY text ORDER BY k) AS i FROM later WHERE k NOT IN (SELECT k FROM earlier WHERE k IS NOT NULL)),
+met AS (SELECT l.k AS key, e.k AS old_key, e.text AS t0, e.lang AS l0, e.source AS s0, l.text, l.lang, l.source FROM e FULL JOIN l ON e.text IS NOT DISTINCT FROM l.text AND e.i = l.i),
+u AS (SELECT *, true AS by_key FROM same UNION ALL SELECT *, false FROM met),
+c AS (SELECT *, CASE WHEN key IS NULL OR old_key IS NULL THEN '' ELSE concat_ws(',', CASE WHEN t0 IS DISTINCT FROM text THEN 'text' END, CASE WHEN l0 IS DISTINCT FROM lang THEN 'lang' END,
+    CASE WHEN s0 IS DISTINCT FROM source THEN 'source' END) END AS changed FROM u)
+SELECT coalesce(key, old_key) AS key, old_key, CASE WHEN by_key AND changed = '' THEN 'same' WHEN by_key THEN 'update' WHEN key IS NULL THEN 'delete' WHEN old_key IS NULL THEN 'insert' ELSE 'rekey' END AS op, changed,
+  CASE WHEN key IS NOT NULL THEN sha256(coalesce(text, '~') || chr(10) || coalesce(lang, '~') || chr(10) || coalesce(source, '~')) END AS row_sha256
+FROM c
+"""
+
+
+def op12_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lines.dedup_lines(table(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("text", 256).alias("kept_sha256"))
+
+
+OP12_SQL = r"""
+WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents),
+l AS (SELECT doc_id, unnest(ls) AS line, generate_subscripts(ls, 1) AS i FROM d),
+k AS (SELECT *, translate(trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key FROM l),
+f AS (SELECT key, max(doc_id) AS holder FROM k WHERE length(key) >= 40 GROUP BY key HAVING count(DISTINCT doc_id) >= 5)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (holder <> doc_id) AS n_dropped, sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (holder IS NULL OR holder = doc_id), '')) AS kept_sha256
+FROM k LEFT JOIN f USING (key) GROUP BY doc_id
+"""
+
+
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = codes.compress(table(spark, sf_dir, "embeddings"))
+    rows = cut(found.rows, "codes")
+    by_label = cut(rows.groupBy(F.col("label").alias("l")).agg(F.sum("error").alias("label_error")), "label-errors")
+    books = hashlib.sha256(codes.books_text(found.books).encode()).hexdigest()
+    return rows.join(small(by_label), F.col("label").eqNullSafe(F.col("l"))).select(F.col("id").alias("vec_id"), "code", "error", "label_error", F.lit(books).alias("codebooks_sha256"))
+
+
+def _op13_sql() -> str:
+    """Rounds are written out: near{r} assigns by book{r}, book{r + 1} follows from it."""
+    steps = []
+    for r in range(codes.ROUNDS + 1):
+        steps.append(
+            f"far{r} AS (SELECT q.vec_id, q.p, min(list_sum(list_transform(range(1, len(q.x) + 1), lambda j: (q.x[j] - b.c[j]) * (q.x[j] - b.c[j]))) * 256 + b.i)::BIGINT AS best FROM q JOIN book{r} b ON b.p = q.p GROUP BY q.vec_id, q.p)"
+        )
+        steps.append(f"near{r} AS MATERIALIZED (SELECT vec_id, p, best % 256 AS i, best // 256 AS error FROM far{r})")
+        if r < codes.ROUNDS:
+            steps.append(f"comps{r} AS (SELECT n.p, n.i, unnest(q.x) AS v, generate_subscripts(q.x, 1) AS j FROM near{r} n JOIN q ON q.vec_id = n.vec_id AND q.p = n.p)")
+            steps.append(f"means{r} AS (SELECT p, i, list(m ORDER BY j) AS c FROM (SELECT p, i, j, CAST(floor(sum(v)::DOUBLE / count(*)) AS BIGINT) AS m FROM comps{r} GROUP BY p, i, j) GROUP BY p, i)")
+            steps.append(f"book{r + 1} AS MATERIALIZED (SELECT b.p, b.i, coalesce(m.c, b.c) AS c FROM book{r} b LEFT JOIN means{r} m ON m.p = b.p AND m.i = b.i)")
+    end = codes.ROUNDS
+    return f"""
+WITH v AS (SELECT vec_id, label, list_transform(embedding, lambda x: CAST(floor(x::DOUBLE * 1024) AS BIGINT)) AS e FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+q AS MATERIALIZED (SELECT vec_id, p, e[p * len(e) // 4 + 1 : (p + 1) * len(e) // 4] AS x FROM v, range(4) r(p)),
+seed AS (SELECT vec_id, row_number() OVER (ORDER BY vec_id) - 1 AS i FROM v QUALIFY i < 256),
+book0 AS MATERIALIZED (SELECT q.p, s.i, q.x AS c FROM seed s JOIN q USING (vec_id)),
+{", ".join(steps)},
+told AS (SELECT vec_id, string_agg(printf('%02x', i), '' ORDER BY p) AS code, CAST(sum(error) AS BIGINT) AS error FROM near{end} GROUP BY vec_id)
+SELECT vec_id, code, error, CAST(sum(error) OVER (PARTITION BY label) AS BIGINT) AS label_error,
+  (SELECT sha256(string_agg(array_to_string(c, ','), ',' ORDER BY p, i)) FROM book{end}) AS codebooks_sha256
+FROM told JOIN v USING (vec_id)
+"""
+
+
+OP13_SQL = _op13_sql()
+
+
 def queries() -> dict[str, Query]:
     return {
         "op1_chat_format": op1_chat_format,
@@ -195,8 +293,21 @@ def queries() -> dict[str, Query]:
         "op8_token_table": op8_token_table,
         "op9_mixing": op9_mixing,
         "op10_ngram_jaccard": op10_ngram_jaccard,
+        "op11_snapshot_diff": op11_snapshot_diff,
+        "op12_line_dedup": op12_line_dedup,
+        "op13_vector_codes": op13_vector_codes,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_chat_format": OP1_SQL, "op2_exact_dedup": OP2_SQL, "op5_embedding_near_dedup": OP5_SQL, "op7_url_filter": OP7_SQL, "op9_mixing": OP9_SQL, "op10_ngram_jaccard": OP10_SQL}
+    return {
+        "op1_chat_format": OP1_SQL,
+        "op2_exact_dedup": OP2_SQL,
+        "op5_embedding_near_dedup": OP5_SQL,
+        "op7_url_filter": OP7_SQL,
+        "op9_mixing": OP9_SQL,
+        "op10_ngram_jaccard": OP10_SQL,
+        "op11_snapshot_diff": OP11_SQL,
+        "op12_line_dedup": OP12_SQL,
+        "op13_vector_codes": OP13_SQL,
+    }
