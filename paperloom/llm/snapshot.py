@@ -26,6 +26,8 @@ from .shared import cut, discard, pick
 FANOUT = 64
 #: Bits of an address below the shard's number, as monotonically_increasing_id has them.
 SHARD_BITS = 33
+#: Of a content's SHA-256, which stands for it.
+DIGEST_BYTES = 16
 
 
 def _leaves(ordered: DataFrame) -> DataFrame:
@@ -66,17 +68,19 @@ def _selects(leaves: DataFrame) -> DataFrame:
     )
 
 
-def match_in_order(rows: DataFrame, group: str, order: Sequence[str]) -> DataFrame:
+def match_in_order(rows: DataFrame, group: str, order: Sequence[str], ties: bool = True) -> DataFrame:
     """(e, l): structs of the i-th earlier and the i-th later row of a group in the given order; null where a side has none.
 
     rows: later (boolean), the group's column and others. Null groups are one group, null values come first. Rows that repeat one
-    another in all of ``order`` take turns in any order. No two rows of a side share a place, so no row is lost or met twice.
+    another in all of ``order``, which there are none of without ``ties``, take turns in any order. No two rows of a side share a
+    place, so no row is lost or met twice. Shards are cut by a sample of Spark's own, some 300 keys of ``order`` a shard.
     """
     columns = rows.columns
     keyed = rows.select(F.col(group).alias("g"), "later", *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], F.struct(*columns).alias("row"))
-    # Rows alike in everything are told apart by where they stand, so that even they are split over shards.
-    keyed = keyed.withColumn("salt", F.monotonically_increasing_id())
-    by = ["g", "later", *[f"o{i}" for i in range(len(order))], "salt"]
+    by = ["g", "later", *[f"o{i}" for i in range(len(order))]]
+    if ties:
+        # Rows alike in everything are told apart by where they stand, so that even they are split over shards.
+        keyed, by = keyed.withColumn("salt", F.monotonically_increasing_id()), [*by, "salt"]
     ordered = keyed.repartitionByRange(*by).sortWithinPartitions(*by).select("g", "later", "row", F.monotonically_increasing_id().alias("at"))
     ordered = cut(ordered, "ordered")
     selects = _selects(_leaves(ordered))
@@ -105,7 +109,7 @@ def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str = "doc_id", con
     nested = [f"v{i}" for i in range(len(values))]
 
     def side(df: DataFrame, is_later: bool) -> DataFrame:
-        digest = F.coalesce(F.unhex(F.sha2(F.col(content).cast("string"), 256)), F.lit(b""))
+        digest = F.coalesce(F.substring(F.unhex(F.sha2(F.col(content).cast("string"), 256)), 1, DIGEST_BYTES), F.lit(b""))
         carried = [(expr if is_later else F.lit(None).cast(kinds[i])).alias(f"x{i}") for i, expr in enumerate(carry.values())]
         return df.select(F.lit(is_later).alias("later"), F.col(key).alias("k"), digest.alias("c"), *[F.col(v).alias(n) for v, n in zip(values, nested, strict=True)], *carried)
 
@@ -124,12 +128,13 @@ def snapshot_diff(earlier: DataFrame, later: DataFrame, key: str = "doc_id", con
     pairs = sole.where("ne = 1 AND nl = 1").select("e", "l")
     rest = sole.where("ne + nl = 1").select(F.coalesce("e", "l").alias("r")).select("r.*")
     repeated = by_key.where("ne > 1 OR nl > 1").select(F.col("k").alias("rk"))
-    if repeated.take(1):
+    ties = bool(repeated.take(1))
+    if ties:
         again = pick(rows, F.col("k").eqNullSafe(F.col("rk")), repeated)
         met = cut(match_in_order(again, "k", ["c", *nested]), "repeated")
         pairs = pairs.unionByName(met.where("e IS NOT NULL AND l IS NOT NULL"))
         rest = rest.unionByName(met.where("e IS NULL OR l IS NULL").select(F.coalesce("e", "l").alias("r")).select("r.*"))
-    matched = match_in_order(rest, "c", ["k", *nested])
+    matched = match_in_order(rest, "c", ["k", *nested] if ties else ["k"], ties)
 
     inner = {content: "c", **dict(zip(values, nested, strict=True))}
     differs = F.concat_ws(",", *[F.when(~F.col(f"e.{inner[c]}").eqNullSafe(F.col(f"l.{inner[c]}")), c) for c in compared])
