@@ -5,7 +5,7 @@ Records are rows with pos, openalex_id, doi, title, authors and publication_year
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 from functools import reduce
 
@@ -15,10 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from paperloom.functions import norm
+from paperloom.operators.components import components
 from paperloom.store import cut, discard
 
 #: Fixed values of the rule for suspected pairs.
 AUTHOR_LEAST, TITLE_SURE, YEARS_APART, YEARS_UNKNOWN = 0.3, 0.80, 2, 999
+#: Records of a component that one task decides in one pass.
+REPLAYED = 100_000
+#: All characters of a strict title key.
+TITLE_CHARACTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
 
 
 def baseline(papers: DataFrame) -> DataFrame:
@@ -52,22 +57,16 @@ def keys_of(papers: DataFrame) -> DataFrame:
     return papers.select("pos", F.explode(F.filter(entries, lambda e: e["key"] != "")).alias("e")).select("pos", "e.*")
 
 
-def clusters(papers: DataFrame) -> DataFrame:
-    """(pos, cluster): the smallest pos that shared identifiers reach.
+def _stars(links: DataFrame) -> DataFrame:
+    """(a, b): an edge from each record of a key to the key's first one."""
+    first = links.groupBy("kind", "key").agg(F.min("pos").alias("first"))
+    return links.join(first, ["kind", "key"]).where("first < pos").select(F.col("pos").alias("a"), F.col("first").alias("b"))
 
-    Smallest labels go from records to keys and back until none changes; chains are short, and each round is a written table.
-    """
-    links = cut(keys_of(papers), "links")
-    labels = cut(papers.select("pos", F.col("pos").alias("cluster")), "labels")
-    while True:
-        by_key = cut(links.join(labels, "pos").groupBy("kind", "key").agg(F.min("cluster").alias("m")), "by-key")
-        best = links.join(by_key, ["kind", "key"]).groupBy("pos").agg(F.min("m").alias("m"))
-        moved = cut(labels.join(best, "pos", "left").select("pos", F.least("cluster", "m").alias("cluster"), F.col("cluster").alias("was")), "labels")
-        discard(by_key, labels)
-        labels = moved
-        if not moved.where("cluster <> was").take(1):
-            discard(links)
-            return labels.select("pos", "cluster")
+
+def clusters(papers: DataFrame) -> DataFrame:
+    """(pos, cluster): the smallest pos that shared identifiers reach, in rounds that grow with the logarithm of the longest path."""
+    found = components(_stars(keys_of(papers)))
+    return papers.select("pos").join(found, F.col("pos") == F.col("node"), "left").select("pos", F.coalesce("component", "pos").alias("cluster"))
 
 
 def exact_merge(papers: DataFrame) -> DataFrame:
@@ -89,20 +88,35 @@ def exact_merge(papers: DataFrame) -> DataFrame:
     return rows.join(founders, "cluster").select("pos", "cluster", F.col("cluster").alias("kept_pos"), reason.alias("reason"), (F.col("founders") > 1).alias("conflict"))
 
 
-def exact_default(papers: DataFrame) -> DataFrame:
-    """(pos, kept_pos, reason): greedy duplicates in the order of pos, where a duplicate doesn't lend its other identifiers.
+def _replay(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Decisions over rows (cluster, pos, kinds, keys) that come sorted by cluster and pos; only the cluster at hand is kept."""
+    cluster, owners = None, {}
+    for b in batches:
+        kept, reason = [], []
+        for c, pos, kinds, keys in zip(b["cluster"], b["pos"], b["kinds"], b["keys"], strict=True):
+            if c != cluster:
+                cluster, owners = c, {}
+            own = list(zip(kinds, keys, strict=True))
+            hit = next((k for k in own if k in owners), None)
+            if hit is None:
+                owners.update(dict.fromkeys(own, pos))
+            kept.append(owners[hit] if hit else pos)
+            reason.append(hit[0] if hit else None)
+        yield pd.DataFrame({"pos": b["pos"], "kept_pos": kept, "reason": reason})
+
+
+def _in_rounds(links: DataFrame) -> DataFrame:
+    """(pos, kept_pos, reason) of the records of links, all at once.
 
     A record stays when it comes first among the undecided ones under each of its keys, and goes when a record that stays has one
-    of them; so each round decides all records that wait for no earlier one. No cluster is gathered: a round is an aggregate of each
-    key, and as many rounds are needed as records wait for one another in a chain.
+    of them; so each round decides all records that wait for no earlier one, an aggregate of each key.
     """
-    links = cut(keys_of(papers), "links")
-    open_, kept = links, None
+    open_, kept = links, []
     while True:
         first = open_.groupBy("kind", "key").agg(F.min("pos").alias("first"))
         waits = open_.join(first, ["kind", "key"]).groupBy("pos").agg(F.max(F.col("first") < F.col("pos")).alias("waits"))
         staying = cut(open_.join(waits.where("NOT waits").select("pos"), "pos", "left_semi"), "staying")
-        kept = staying if kept is None else cut(kept.unionByName(staying), "kept")
+        kept.append(staying)
         gone = open_.join(staying.select("kind", "key"), ["kind", "key"], "left_semi").select("pos").distinct()
         left = cut(open_.join(gone, "pos", "left_anti"), "open")
         if open_ is not links:
@@ -110,14 +124,40 @@ def exact_default(papers: DataFrame) -> DataFrame:
         open_ = left
         if not open_.take(1):
             break
+        if len(kept) == 64:
+            kept = [cut(reduce(DataFrame.unionByName, kept), "kept")]
     # A key belongs to one record that stays, which may come after one that went for another key.
-    owners = kept.select("kind", "key", F.col("pos").alias("owner"))
+    owners = reduce(DataFrame.unionByName, kept).select("kind", "key", F.col("pos").alias("owner"))
     met = links.join(owners, ["kind", "key"]).where("owner <= pos")
-    order = F.when(F.col("kind") == "same_openalex_id", 1).when(F.col("kind") == "same_doi", 2).otherwise(3)
-    best = met.groupBy("pos").agg(F.min(F.struct(order.alias("o"), "owner", "kind")).alias("b"))
-    stays = F.col("b").isNull() | (F.col("b.owner") == F.col("pos"))
-    rows = papers.select("pos").join(best, "pos", "left")
-    return rows.select("pos", F.when(stays, F.col("pos")).otherwise(F.col("b.owner")).alias("kept_pos"), F.when(~stays, F.col("b.kind")).alias("reason"))
+    best = met.groupBy("pos").agg(F.min(F.struct(_turn(F.col("kind")).alias("o"), "owner", "kind")).alias("b"))
+    stays = F.col("b.owner") == F.col("pos")
+    return best.select("pos", F.col("b.owner").alias("kept_pos"), F.when(~stays, F.col("b.kind")).alias("reason"))
+
+
+def _turn(kind: Column) -> Column:
+    """The order in which a record's keys are asked for."""
+    return F.when(kind == "same_openalex_id", 1).when(kind == "same_doi", 2).otherwise(3)
+
+
+def exact_default(papers: DataFrame, replayed: int = REPLAYED) -> DataFrame:
+    """(pos, kept_pos, reason): greedy duplicates in the order of pos, where a duplicate doesn't lend its other identifiers.
+
+    Only records that identifiers connect can decide over one another. Components of up to ``replayed`` records are each gone through
+    in one pass of a task, which holds no more than the one at hand; larger ones are decided in rounds that gather nothing, as
+    many as records wait for one another in a chain.
+    """
+    links = cut(keys_of(papers), "links")
+    joined = cut(components(_stars(links)), "clusters")
+    sizes = joined.groupBy(F.col("component").alias("c")).agg(F.count("*").alias("n"))
+    sized = cut(joined.join(sizes, F.col("component") == F.col("c")).select(F.col("node"), F.col("component").alias("cluster"), (F.col("n") > replayed).alias("large")), "sized")
+    linked = links.join(sized, F.col("pos") == F.col("node"))
+    small = linked.where("NOT large").groupBy("cluster", "pos").agg(F.array_sort(F.collect_list(F.struct(_turn(F.col("kind")).alias("o"), "kind", "key"))).alias("ks"))
+    small = small.repartition("cluster").sortWithinPartitions("cluster", "pos").select("cluster", "pos", F.col("ks.kind").alias("kinds"), F.col("ks.key").alias("keys"))
+    decided = small.mapInPandas(_replay, "pos long, kept_pos long, reason string")
+    if sized.where("large").take(1):
+        decided = decided.unionByName(_in_rounds(cut(linked.where("large").select("pos", "kind", "key"), "large")))
+    decided = decided.select(F.col("pos").alias("p"), F.col("kept_pos").alias("k"), "reason")
+    return papers.select("pos").join(decided, F.col("pos") == F.col("p"), "left").select("pos", F.coalesce("k", "pos").alias("kept_pos"), "reason")
 
 
 def merge_provenance(papers: DataFrame, entity: str, column: str) -> DataFrame:
@@ -163,35 +203,102 @@ def _fields(papers: DataFrame) -> DataFrame:
     ).where("title <> ''")
 
 
-@F.pandas_udf(DoubleType())
-def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-blocks similarity of (earlier, later) titles; it isn't symmetric."""
-    for left, right in batches:
-        yield pd.Series([SequenceMatcher(None, a, b).ratio() if a and b else 0.0 for a, b in zip(left, right, strict=True)], dtype="float64")
+def common_subsequence(a: str, b: str) -> int:
+    """Length of the longest common subsequence; a bit for each character of a, one step for each of b."""
+    places: dict[str, int] = {}
+    for i, c in enumerate(a):
+        places[c] = places.get(c, 0) | 1 << i
+    full = free = (1 << len(a)) - 1
+    for c in b:
+        met = free & places.get(c, 0)
+        free = ((free + met) | (free - met)) & full
+    return len(a) - free.bit_count()
 
 
-def candidate_pairs(papers: DataFrame) -> DataFrame:
-    """All pairs that the cheap rules leave, with title Jaccard and author overlap; complete for every threshold.
+@F.pandas_udf(DoubleType())
+def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+    """Matching-blocks similarity of (earlier, later) titles, which isn't symmetric, where it is ``least`` at least; else 0.
 
-    A pair needs an author overlap, and so a common surname, or a title Jaccard of 0.80, and so a common token among the first
-    n - 0.8 n + 1 in the order of rarity. The rules on years, DOIs and ids are part of the join. Nothing is dropped for a frequent
-    surname or token.
+    Matching blocks are a common subsequence, so the ratio is worked out only where the longest one may reach ``least``.
     """
-    f = _fields(papers)
+
+    def ratio(a: str, b: str, least: float) -> float:
+        if not a or not b or 2.0 * common_subsequence(a, b) / (len(a) + len(b)) < least:
+            return 0.0
+        found = SequenceMatcher(None, a, b).ratio()
+        return found if found >= least else 0.0
+
+    for left, right, least in batches:
+        yield pd.Series([ratio(a, b, c) for a, b, c in zip(left, right, least, strict=True)], dtype="float64")
+
+
+def _rare_tokens(f: DataFrame, least: float) -> DataFrame:
+    """(pos, token): the rarest tokens of each title, of which sets with a Jaccard similarity of ``least`` have one in common."""
     tokens = f.select("pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
     rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
     order = Window.partitionBy("pos").orderBy("df", "token")
-    prefix = tokens.join(rarity, "token").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - F.ceil(F.col("n") * F.lit(8) / 10) + 1)
-    keys = prefix.select(F.concat(F.lit("t:"), "token").alias("k"), "pos").unionByName(f.select(F.explode("surnames").alias("s"), "pos").select(F.concat(F.lit("s:"), "s").alias("k"), "pos"))
-    keys = cut(keys.join(f.select("pos", "oid", "doi", "year"), "pos"), "keys")
-    # Years apart at most YEARS_APART are met by the year, so a frequent surname is as many joins as there are years.
-    known, unknown = keys.where("year IS NOT NULL"), keys.where("year IS NULL")
-    near = known.withColumn("near", F.explode(F.sequence(F.col("year") - YEARS_APART, F.col("year") + YEARS_APART)))
+    # Less by a hair, for products of doubles that a whole number should be.
+    needed = F.ceil(F.col("n") * F.lit(least) - 1e-9)
+    return tokens.join(rarity, "token").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - needed + 1).select("pos", "token")
+
+
+def _may_pair(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
+    """The rules on ids, DOIs and years."""
+    same_id = (x("oid") != "") & (x("oid") == y("oid"))
+    dois = (x("doi") == "") | (y("doi") == "") | (x("doi") == y("doi"))
+    return ~same_id & dois & (x("year").isNull() | y("year").isNull() | (F.abs(x("year") - y("year")) <= YEARS_APART))
+
+
+def characters_in_common(a: Column, b: Column) -> Column:
+    """Characters that two texts share, each as often as in both, from their counts; the matching blocks hold no more."""
+    return F.aggregate(F.zip_with(a, b, lambda u, v: F.least(u, v)), F.lit(0), lambda t, v: t + v)
+
+
+def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65) -> DataFrame:
+    """All pairs that the rules on years, ids, DOIs and authors let through and whose titles may be alike enough.
+
+    Title Jaccard of 0.80: a token in common among the rarest of both. Otherwise the authors overlap, so there is a surname in common,
+    and the titles have a Jaccard of ``jaccard_least``, so that surname comes with one of the rarest tokens, or a matching-blocks
+    ratio of ``sequence_least``. That ratio is at most 2 x characters in common / length of both, hence lengths differ by a bounded
+    factor: such pairs meet by surname, span of years and band of lengths. Inside the join the counts of characters are compared,
+    then the edit distance, which is at most what the matching blocks leave over of both; few pairs come out of it that aren't alike.
+    Nothing is dropped for a frequent surname or token: within a span and band a surname's records are all compared by those bounds.
+    """
+    f = cut(_fields(papers), "fields")
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    other = ~((x("oid") != "") & (x("oid") == y("oid"))) & ((x("doi") == "") | (y("doi") == "") | (x("doi") == y("doi")))
-    pair = (x("k") == y("k")) & (x("pos") < y("pos")) & other
-    met = [near.alias("a").join(known.alias("b"), pair & (x("near") == y("year"))), keys.alias("a").join(unknown.alias("b"), pair), unknown.alias("a").join(known.alias("b"), pair)]
-    pairs = reduce(DataFrame.unionByName, [m.select(x("pos").alias("i"), y("pos").alias("j")) for m in met]).distinct()
+    ordered, other = x("pos") < y("pos"), _may_pair(x, y)
+    alike = norm.overlap(x("tokens"), y("tokens"))
+    authors = norm.overlap(x("surnames"), y("surnames")) >= AUTHOR_LEAST
+    ij = [F.least(x("pos"), y("pos")).alias("i"), F.greatest(x("pos"), y("pos")).alias("j")]
+
+    narrow = f.select("pos", "oid", "doi", "year", "surnames", "tokens")
+    by_token = cut(_rare_tokens(f, TITLE_SURE).join(narrow, "pos"), "by-token")
+    met = [by_token.alias("a").join(by_token.alias("b"), (x("token") == y("token")) & ordered & other & (alike >= TITLE_SURE)).select(*ij)]
+    anything = jaccard_least <= 0 or sequence_least <= 0
+    if not anything:
+        named = cut(_rare_tokens(f, jaccard_least).join(narrow, "pos").withColumn("surname", F.explode(F.array_distinct("surnames"))), "by-name-and-token")
+        met.append(named.alias("a").join(named.alias("b"), (x("surname") == y("surname")) & (x("token") == y("token")) & ordered & other & (alike >= jaccard_least) & authors).select(*ij))
+
+    if sequence_least <= 1 or anything:
+        # Titles as alike as sequence_least differ in length by this factor at most, and so by one band.
+        factor = (2 - sequence_least) / sequence_least * (1 + 1e-9) if not anything and sequence_least < 1 else 1e9
+        band = F.floor(F.log(F.length("title")) / F.log(F.lit(factor))).cast("int")
+        counts = F.array(*[(F.length("title") - F.length(F.replace("title", F.lit(c), F.lit("")))).cast("short") for c in TITLE_CHARACTERS])
+        rows = f.select("pos", "oid", "doi", "year", "surnames", F.length("title").alias("n"), band.alias("band"), counts.alias("counts"), "title", F.floor(F.col("year") / (YEARS_APART + 1)).alias("span"), F.explode(F.array_distinct("surnames")).alias("surname"))
+        rows = cut(rows, "by-name")
+        bags = edits = F.lit(True)
+        if not anything:
+            bags = 2.0 * characters_in_common(x("counts"), y("counts")) / (x("n") + y("n")) >= sequence_least
+            left_over = F.floor((x("n") + y("n")) * F.lit(1.0 - sequence_least) + 1e-6).cast("int")
+            edits = F.call_function("levenshtein", x("title"), y("title"), left_over) >= 0
+        # A pair with several surnames in common is found under the least of them.
+        least = F.array_min(F.array_intersect(x("surnames"), y("surnames"))) == x("surname")
+        pair = (x("surname") == y("surname")) & (x("near") == y("band")) & other & authors & least & bags & edits
+        bands = rows.withColumn("near", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
+        spans = bands.where("year IS NOT NULL").withColumn("to", F.explode(F.array(F.col("span"), F.col("span") + 1)))
+        met.append(spans.alias("a").join(rows.alias("b"), pair & (x("to") == y("span")) & ((x("span") < y("span")) | ordered)).select(*ij))
+        met.append(bands.where("year IS NULL").alias("a").join(rows.alias("b"), pair & (y("year").isNotNull() | ordered)).select(*ij))
+    pairs = reduce(DataFrame.unionByName, met).distinct()
     left = f.select(*[F.col(c).alias(f"l_{c}") for c in f.columns])
     right = f.select(*[F.col(c).alias(f"r_{c}") for c in f.columns])
     full = pairs.join(left, F.col("i") == F.col("l_pos")).join(right, F.col("j") == F.col("r_pos"))
@@ -208,14 +315,13 @@ def candidate_pairs(papers: DataFrame) -> DataFrame:
 def suspected(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65, with_sequence: bool = True) -> DataFrame:
     """Pairs for review: pair_id, i, j, title_similarity, author_overlap, year_difference, doi_relation, reason.
 
-    The matching-blocks ratio runs only on pairs that it could still let through: its bound 2 min / (sum of lengths) is native.
+    The matching-blocks ratio, which is Python, runs only on pairs that all other rules and its bound by characters let through.
     """
-    pairs = candidate_pairs(papers)
+    pairs = candidate_pairs(papers, jaccard_least, sequence_least if with_sequence else 2.0)
     if with_sequence:
-        lengths = F.length("l_title"), F.length("r_title")
-        bound = 2 * F.least(*lengths) / (lengths[0] + lengths[1])
-        pairs = pairs.where((F.col("jaccard") >= jaccard_least) | (bound >= sequence_least))
-        pairs = pairs.withColumn("sequence", sequence_similarity("l_title", "r_title"))
+        # A ratio below the Jaccard similarity changes nothing.
+        least = F.when(F.col("jaccard") >= jaccard_least, F.col("jaccard")).otherwise(F.lit(float(sequence_least)))
+        pairs = pairs.withColumn("sequence", sequence_similarity("l_title", "r_title", least))
         pairs = pairs.where((F.col("jaccard") >= jaccard_least) | (F.col("sequence") >= sequence_least))
     else:
         pairs = pairs.where(F.col("jaccard") >= jaccard_least).withColumn("sequence", F.lit(0.0))
