@@ -62,7 +62,7 @@ def by_row(df: DataFrame, key: Column, rules: Sequence[tuple[str, Column]]) -> D
 
 def drift(df: DataFrame, key: Column, rule: str, pairs: Sequence[tuple[str, Column, Column]]) -> DataFrame:
     """A row for each named pair of columns that differ; the detail is the name."""
-    broken = F.array_compact(F.array(*[F.when(F.coalesce(a, F.lit("")) != F.coalesce(b, F.lit("")), F.lit(name)) for name, a, b in pairs]))
+    broken = F.array_compact(F.array(*[F.when(differs(a, b), F.lit(name)) for name, a, b in pairs]))
     return df.select(F.lit(rule).alias("rule"), key.cast("string").alias("key"), F.explode(broken).alias("detail"))
 
 
@@ -81,8 +81,14 @@ def is_http_url(c: Column) -> Column:
 
 
 def is_instant(c: Column) -> Column:
-    """An ISO date and time with an offset."""
-    return c.rlike(r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$") & F.try_to_timestamp(F.substring(c, 1, 10)).isNotNull()
+    """An ISO date and time of day with an offset below a day."""
+    time, offset = r"([01]\d|2[0-3]):[0-5]\d(:[0-5]\d([.,]\d+)?)?", r"(Z|[+-]([01]\d|2[0-3]):?[0-5]\d)"
+    return c.rlike(rf"^\d{{4}}-\d{{2}}-\d{{2}}[T ]{time}{offset}$") & F.try_to_timestamp(F.substring(c, 1, 10)).isNotNull()
+
+
+def differs(a: Column, b: Column) -> Column:
+    """Whether two cells differ; a null one is blank."""
+    return F.coalesce(a.cast("string"), F.lit("")) != F.coalesce(b.cast("string"), F.lit(""))
 
 
 def split_values(c: Column) -> Column:
@@ -207,17 +213,18 @@ def annotation_violations(task: DataFrame, pool: DataFrame, assignments: DataFra
 def proposal_violations(proposals: DataFrame, pool: DataFrame) -> DataFrame:
     """Adjudication proposals against their pool: identity, labels, reasons, and a review that is whole or not there."""
     text = lambda c: clean_text(F.col(c))
-    known = pool.select(F.struct("pair_id", "research_query_id", "openalex_id", "title").alias("pool"))
-    rows = proposals.withColumn("pair_id", text("pair_id")).join(known, F.col("pair_id") == F.col("pool.pair_id"), "left")
+    identities = pool.select(F.struct("pair_id", "research_query_id", "openalex_id", "title").alias("pool"))
+    rows = proposals.withColumn("pair_id", text("pair_id")).join(identities, F.col("pair_id") == F.col("pool.pair_id"), "left")
+    known = F.col("pool").isNotNull()
     pending, reviewed = F.col("proposal_status") == PENDING, F.col("proposal_status") == "reviewed"
     filled = [text(c) != "" for c in (*REVIEW, "reviewed_label")]
     proposed, label = text("proposed_final_label"), text("reviewed_label")
     rules = [
         ("pair_blank", F.col("pair_id") == ""),
         ("pair_unknown", F.col("pool").isNull()),
-        ("research_query_id", F.col("research_query_id") != F.col("pool.research_query_id")),
-        ("openalex_id", F.col("openalex_id") != F.col("pool.openalex_id")),
-        ("title", F.col("title") != F.col("pool.title")),
+        ("research_query_id", known & differs(F.col("research_query_id"), F.col("pool.research_query_id"))),
+        ("openalex_id", known & differs(F.col("openalex_id"), F.col("pool.openalex_id"))),
+        ("title", known & differs(F.col("title"), F.col("pool.title"))),
         ("proposed_label", ~proposed.isin(*GRADES)),
         ("status", ~F.coalesce(pending | reviewed, F.lit(False))),
         ("reason_or_sources_blank", (text("proposal_reason") == "") | (text("evidence_sources") == "")),
@@ -241,7 +248,9 @@ def judgement_violations(judgements: DataFrame, pool: DataFrame, assignments: Da
     text = lambda c: clean_text(F.col(c))
     blank = lambda *cs: reduce(Column.__and__, [text(c) == "" for c in cs])
     role = lambda r: assignments.where(F.col("assignment_role") == r).groupBy(F.col("pair_id").alias(f"{r}_p")).agg(F.min("annotator_slug").alias(f"{r}_s"))
-    noted = lambda r: annotations.select(F.struct("pair_id", "annotator", "label", "ai_assistance", "reason").alias(f"{r}_note"))
+    # Of several annotations of a pair by one annotator, which are a violation of their own, the smallest is looked at.
+    notes = annotations.groupBy("pair_id", "annotator").agg(F.min(F.struct("label", "ai_assistance", "reason")).alias("n")).select("pair_id", "annotator", "n.*")
+    noted = lambda r: notes.select(F.struct("pair_id", "annotator", "label", "ai_assistance", "reason").alias(f"{r}_note"))
     rows = judgements.withColumn("pair_id", text("pair_id")).join(pool.select(F.struct("pair_id", "research_query_id", "openalex_id", "title").alias("pool")), F.col("pair_id") == F.col("pool.pair_id"), "left")
     for r in ROLES:
         rows = rows.join(role(r), F.col("pair_id") == F.col(f"{r}_p"), "left")
@@ -249,8 +258,8 @@ def judgement_violations(judgements: DataFrame, pool: DataFrame, assignments: Da
     rows = rows.join(proposals.select(F.struct(*proposals.columns).alias("proposal")), F.col("pair_id") == F.col("proposal.pair_id"), "left")
     final, proposed, status = text("final_label"), text("proposed_label"), F.col("judgement_status")
     single = F.col("secondary_s").isNull()
-    agree = ~single & (F.col("primary_label") == F.col("secondary_label"))
-    apart = ~single & (F.col("primary_label") != F.col("secondary_label"))
+    known, apart = F.col("pool").isNotNull(), ~single & differs(F.col("primary_label"), F.col("secondary_label"))
+    agree = ~single & ~apart
     settled = single | agree
     ready, done, pending = status == READY, status == ADJUDICATED, status == PENDING
     override = settled & done
@@ -261,34 +270,34 @@ def judgement_violations(judgements: DataFrame, pool: DataFrame, assignments: Da
     rules = [
         ("pair_blank", F.col("pair_id") == ""),
         ("pair_unknown", F.col("pool").isNull()),
-        ("research_query_id", F.col("research_query_id") != F.col("pool.research_query_id")),
-        ("openalex_id", F.col("openalex_id") != F.col("pool.openalex_id")),
+        ("research_query_id", known & differs(F.col("research_query_id"), F.col("pool.research_query_id"))),
+        ("openalex_id", known & differs(F.col("openalex_id"), F.col("pool.openalex_id"))),
         ("benchmark_version", ~F.col("benchmark_version").eqNullSafe(F.lit(version))),
         ("judgement_status", ~F.coalesce(ready | done | pending, F.lit(False))),
         ("final_label", (final != "") & ~final.isin(*GRADES)),
         ("proposed_label", (proposed != "") & ~proposed.isin(*GRADES)),
         *[(c, ~F.coalesce(F.col(c), F.lit("")).isin("", *ASSISTANCE)) for c in ("primary_ai_assistance", "secondary_ai_assistance", "adjudication_ai_assistance")],
         ("secondary_invented", single & ~blank("secondary_annotator", "secondary_label", "secondary_ai_assistance")),
-        ("agreement_status", F.col("agreement_status") != F.when(single, "single_annotation").when(agree, "agreement").otherwise("disagreement")),
-        ("judgement_basis", (settled & ready & (F.col("judgement_basis") != F.when(single, "primary_annotation").otherwise("double_annotation_agreement"))) | (apart & (F.col("judgement_basis") != "ai_adjudication_proposal"))),
-        ("final_not_annotated", settled & ready & (final != F.col("primary_label"))),
+        ("agreement_status", differs(F.col("agreement_status"), F.when(single, "single_annotation").when(agree, "agreement").otherwise("disagreement"))),
+        ("judgement_basis", (settled & ready & differs(F.col("judgement_basis"), F.when(single, "primary_annotation").otherwise("double_annotation_agreement"))) | (apart & differs(F.col("judgement_basis"), F.lit("ai_adjudication_proposal")))),
+        ("final_not_annotated", settled & ready & differs(final, F.col("primary_label"))),
         ("review_of_ready", settled & ready & ~blank("proposed_label", "adjudication_ai_assistance", *REVIEW)),
         ("state", (settled & pending) | (apart & ready)),
-        ("override_basis", override & (F.col("judgement_basis") != "blind_ai_audit_human_review")),
+        ("override_basis", override & differs(F.col("judgement_basis"), F.lit("blind_ai_audit_human_review"))),
         ("override_label", override & (~final.isin(*GRADES) | (final == F.col("primary_label")))),
         ("override_with_proposal", override & ~blank("proposed_label")),
         ("override_decision", override & ~F.col("review_decision").eqNullSafe(F.lit("modify"))),
         ("ai_suggestion_needed", (override | apart) & ~F.coalesce(suggested, F.lit(False))),
         ("proposal_missing", apart & F.col("proposal").isNull()),
-        ("proposal_label", apart & (proposed != F.col("proposal.proposed_final_label"))),
+        ("proposal_label", apart & F.col("proposal").isNotNull() & differs(proposed, F.col("proposal.proposed_final_label"))),
         ("review_of_pending", apart & pending & ((final != "") | ~blank(*REVIEW))),
-        ("proposal_not_pending", apart & pending & (F.col("proposal.proposal_status") != PENDING)),
+        ("proposal_not_pending", apart & pending & F.col("proposal").isNotNull() & differs(F.col("proposal.proposal_status"), F.lit(PENDING))),
         ("review_incomplete", done & (incomplete | ~final.isin(*GRADES))),
         ("reviewer_not_independent", done & ~independent),
         ("reviewed_at", done & late),
-        ("proposal_not_reviewed", apart & done & (F.col("proposal.proposal_status") != "reviewed")),
+        ("proposal_not_reviewed", apart & done & F.col("proposal").isNotNull() & differs(F.col("proposal.proposal_status"), F.lit("reviewed"))),
         ("decision", apart & done & ~F.coalesce(F.col("review_decision").isin(*DECISIONS), F.lit(False))),
-        ("reviewed_label", apart & done & (F.col("proposal.reviewed_label") != final)),
+        ("reviewed_label", apart & done & F.col("proposal").isNotNull() & differs(F.col("proposal.reviewed_label"), final)),
         ("approve_changes_label", apart & done & (F.col("review_decision") == "approve") & (final != proposed)),
         ("modify_keeps_label", apart & done & (F.col("review_decision") == "modify") & (final == proposed)),
     ]
@@ -298,8 +307,8 @@ def judgement_violations(judgements: DataFrame, pool: DataFrame, assignments: Da
         rules += [
             (f"{r}_annotator", there & ~F.col(f"{r}_annotator").eqNullSafe(F.col(f"{r}_s"))),
             (f"{r}_annotation_missing", there & note.isNull()),
-            (f"{r}_label", there & (F.col(f"{r}_label") != note["label"])),
-            (f"{r}_ai", there & (F.col(f"{r}_ai_assistance") != note["ai_assistance"])),
+            (f"{r}_label", there & note.isNotNull() & differs(F.col(f"{r}_label"), note["label"])),
+            (f"{r}_ai", there & note.isNotNull() & differs(F.col(f"{r}_ai_assistance"), note["ai_assistance"])),
         ]
     if approved:
         rules += [("final_needed", ~final.isin(*GRADES)), ("still_pending", pending), ("not_adjudicated", (F.col("agreement_status") == "disagreement") & ~done)]
@@ -311,6 +320,7 @@ def judgement_violations(judgements: DataFrame, pool: DataFrame, assignments: Da
         drift(rows.where(apart & F.col("proposal").isNotNull()), F.col("pair_id"), "proposal_provenance", repeated),
         drift(rows.where(apart & done & F.col("proposal").isNotNull()), F.col("pair_id"), "review_provenance", [(c, F.col(c), p[c]) for c in REVIEW]),
         counted(judgements, "pair_twice", ["pair_id"], F.col("n") > 1),
+        counted(annotations, "annotation_twice", ["pair_id", "annotator"], F.col("n") > 1),
         violations(pool.join(judgements.select(F.col("pair_id").alias("j")), F.col("pair_id") == F.col("j"), "left_anti"), "pair_missing", F.lit(True), F.col("pair_id")),
         violations(proposals.join(rows.where(apart).select(F.col("pair_id").alias("j")), F.col("pair_id") == F.col("j"), "left_anti"), "proposal_without_disagreement", F.lit(True), F.col("pair_id")),
     ]

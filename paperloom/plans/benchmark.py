@@ -23,7 +23,7 @@ from paperloom.sources import files
 
 from . import package, runs
 
-#: The cells that an annotator fills in, and the columns of judgements and proposals.
+#: The cells that an annotator fills in, the columns of judgements and proposals, and the keys of an approval's checklist.
 ANSWERS = ("label", "confidence", "evidence_level", "reason", "source_checked", "evidence_url", "ai_assistance")
 JUDGEMENT = (
     "pair_id", "research_query_id", "openalex_id", "final_label", "proposed_label", "judgement_status", "agreement_status", "judgement_basis", "primary_annotator", "primary_label", "primary_ai_assistance",
@@ -51,9 +51,22 @@ def draft(pool: DataFrame, assignments: DataFrame, annotations: DataFrame, sugge
     suggestions: pair_id, proposed_final_label, proposal_reason, evidence_level, evidence_sources, confidence, one for each disagreement.
     """
     notes = annotations.select(F.col("pair_id").alias("np"), F.col("annotator").alias("who"), clean_text(F.col("label")).alias("said"), clean_text(F.col("ai_assistance")).alias("helped"), "reason")
-    met = assignments.join(notes, (F.col("pair_id") == F.col("np")) & (F.col("annotator_slug") == F.col("who")))
-    side = lambda role: met.where(F.col("assignment_role") == role).select(F.col("pair_id").alias(f"{role}_p"), F.struct("who", "said", "helped", "reason").alias(role))
-    rows = pool.select("pair_id", "research_query_id", "openalex_id", "title").join(side("primary"), F.col("pair_id") == F.col("primary_p")).join(side("secondary"), F.col("pair_id") == F.col("secondary_p"), "left")
+    met = assignments.join(notes, F.col("pair_id").eqNullSafe(F.col("np")) & F.col("annotator_slug").eqNullSafe(F.col("who")), "left")
+    of = lambda role, what: F.when(F.col("assignment_role") == role, what)
+    note = F.when(F.col("np").isNotNull(), F.struct("who", "said", "helped", "reason"))
+    sides = met.groupBy(F.col("pair_id").alias("p")).agg(
+        *[F.min(of(r, note)).alias(r) for r in contracts.ROLES],
+        *[F.count(of(r, F.lit(1))).alias(f"{r}_rows") for r in contracts.ROLES],
+        *[F.count(of(r, note)).alias(f"{r}_notes") for r in contracts.ROLES],
+    )
+    rows = pool.select("pair_id", "research_query_id", "openalex_id", "title").join(sides, F.col("pair_id") == F.col("p"), "left")
+    # One row of each pair and side, or the draft would be short or long of pairs without a word.
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    faults = [("a pair has no primary annotation", n("primary_notes") == 0), ("a secondary annotation is missing", n("secondary_notes") < n("secondary_rows"))]
+    faults += [(f"a pair has several {r} annotations", n(f"{r}_notes") > 1) for r in contracts.ROLES]
+    told = rows.agg(*[F.min(F.when(bad, F.coalesce("pair_id", F.lit("")))).alias(f"f{i}") for i, (_, bad) in enumerate(faults)]).first()
+    if any(v is not None for v in told):
+        raise checks.ContractError("; ".join(f"{said}: {v}" for (said, _), v in zip(faults, told, strict=True) if v is not None))
     single = F.col("secondary").isNull()
     apart = ~single & (F.col("primary.said") != F.col("secondary.said"))
     if suggestions is not None:

@@ -57,8 +57,8 @@ NOTE_B = NOTE_A | {"annotator": f"concat('a', {SECOND_CLEAN})", "label": LABEL_B
 APART = "(doc_id % 8 = 0)"
 PROPOSAL: Columns = {
     "pair_id": "CASE WHEN doc_id % 137 = 0 THEN '' ELSE concat('P', doc_id) END",
-    "research_query_id": "CASE WHEN doc_id % 9 = 1 THEN 'RQ-xx' ELSE concat('RQ-', lang) END",
-    "openalex_id": "CASE WHEN doc_id % 13 = 2 THEN 'W0x' ELSE concat('W', doc_id % 900) END",
+    "research_query_id": "CASE WHEN doc_id % 9 = 1 THEN 'RQ-xx' WHEN doc_id % 31 = 2 THEN NULL ELSE concat('RQ-', lang) END",
+    "openalex_id": "CASE WHEN doc_id % 13 = 2 THEN 'W0x' WHEN doc_id % 29 = 2 THEN NULL ELSE concat('W', doc_id % 900) END",
     "title": "CASE WHEN doc_id % 14 = 2 THEN 'other' ELSE concat('title ', doc_id) END",
     "annotator_a": "CASE WHEN doc_id % 15 = 1 THEN 'zz' ELSE concat('a', doc_id % 6) END",
     "label_a": f"CASE WHEN doc_id % 17 = 1 THEN '9' ELSE {LABEL_A} END",
@@ -75,20 +75,20 @@ PROPOSAL: Columns = {
     "review_decision": "CASE WHEN doc_id % 16 <> 0 THEN CASE WHEN doc_id % 29 = 1 THEN 'approve' ELSE '' END WHEN doc_id % 7 = 1 THEN 'skip' WHEN doc_id % 3 = 0 THEN 'modify' ELSE 'approve' END",
     "reviewed_label": "CASE WHEN doc_id % 16 <> 0 THEN '' WHEN doc_id % 11 = 1 THEN '?' WHEN doc_id % 5 = 0 THEN CAST((doc_id + 1) % 3 AS STRING) ELSE CAST(doc_id % 3 AS STRING) END",
     "reviewer": "CASE WHEN doc_id % 16 <> 0 OR doc_id % 10 = 4 THEN '' ELSE concat('a', (doc_id + 3) % 7) END",
-    "reviewed_at": "CASE WHEN doc_id % 16 <> 0 THEN '' WHEN doc_id % 9 = 2 THEN '2026-01-02T03:04:05' ELSE '2026-01-02T03:04:05+08:00' END",
+    "reviewed_at": "CASE WHEN doc_id % 16 <> 0 THEN '' WHEN doc_id % 9 = 2 THEN '2026-01-02T03:04:05' WHEN doc_id % 9 = 4 THEN '2026-01-02T99:99:99+08:00' WHEN doc_id % 9 = 6 THEN '2026-01-02T03:04:05+99:99' WHEN doc_id % 9 = 7 THEN '2026-02-30T23:59+0530' ELSE '2026-01-02T03:04:05+08:00' END",
     "review_note": "CASE WHEN doc_id % 16 <> 0 THEN '' ELSE 'seen' END",
 }
 JUDGEMENT: Columns = {
     "pair_id": "CASE WHEN doc_id % 139 = 0 THEN concat('P', doc_id + 1) ELSE concat('P', doc_id) END",
     "research_query_id": "CASE WHEN doc_id % 103 = 0 THEN 'RQ-xx' ELSE concat('RQ-', lang) END",
-    "openalex_id": "CASE WHEN doc_id % 107 = 0 THEN 'W0x' ELSE concat('W', doc_id % 900) END",
+    "openalex_id": "CASE WHEN doc_id % 107 = 0 THEN 'W0x' WHEN doc_id % 111 = 5 THEN NULL ELSE concat('W', doc_id % 900) END",
     "final_label": f"CASE WHEN doc_id % 61 = 0 THEN '?' WHEN {APART} AND doc_id % 16 <> 0 THEN CASE WHEN doc_id % 5 = 1 THEN '1' ELSE '' END WHEN {APART} AND doc_id % 5 = 0 THEN CAST((doc_id + 1) % 3 AS STRING) WHEN doc_id % 37 = 0 AND doc_id % 5 > 1 THEN CAST((doc_id + 1) % 3 AS STRING) WHEN doc_id % 59 = 0 THEN '0' ELSE {LABEL_A} END",
     "proposed_label": f"CASE WHEN doc_id % 73 = 0 THEN '7' WHEN {APART} AND doc_id % 11 <> 1 THEN CAST(doc_id % 3 AS STRING) ELSE '' END",
     "judgement_status": f"CASE WHEN doc_id % 47 = 0 THEN 'odd' WHEN {APART} THEN CASE WHEN doc_id % 43 = 0 THEN 'ready' WHEN doc_id % 16 = 0 THEN 'adjudicated' ELSE 'pending_human_review' END WHEN doc_id % 37 = 0 THEN 'adjudicated' WHEN doc_id % 41 = 0 THEN 'pending_human_review' ELSE 'ready' END",
-    "agreement_status": f"CASE WHEN doc_id % 53 = 0 THEN 'agreement' WHEN doc_id % 2 = 1 THEN 'single_annotation' WHEN {APART} THEN 'disagreement' ELSE 'agreement' END",
-    "judgement_basis": f"CASE WHEN doc_id % 79 = 0 THEN 'none' WHEN {APART} THEN 'ai_adjudication_proposal' WHEN doc_id % 37 = 0 THEN 'blind_ai_audit_human_review' WHEN doc_id % 2 = 1 THEN 'primary_annotation' ELSE 'double_annotation_agreement' END",
+    "agreement_status": f"CASE WHEN doc_id % 53 = 0 THEN 'agreement' WHEN doc_id % 57 = 1 THEN NULL WHEN doc_id % 2 = 1 THEN 'single_annotation' WHEN {APART} THEN 'disagreement' ELSE 'agreement' END",
+    "judgement_basis": f"CASE WHEN doc_id % 79 = 0 THEN 'none' WHEN doc_id % 63 = 1 THEN NULL WHEN {APART} THEN 'ai_adjudication_proposal' WHEN doc_id % 37 = 0 THEN 'blind_ai_audit_human_review' WHEN doc_id % 2 = 1 THEN 'primary_annotation' ELSE 'double_annotation_agreement' END",
     "primary_annotator": "CASE WHEN doc_id % 83 = 0 THEN 'zz' ELSE concat('a', doc_id % 6) END",
-    "primary_label": f"CASE WHEN doc_id % 89 = 0 THEN '?' ELSE {LABEL_A} END",
+    "primary_label": f"CASE WHEN doc_id % 89 = 0 THEN '?' WHEN doc_id % 91 = 3 THEN NULL ELSE {LABEL_A} END",
     "primary_ai_assistance": "CASE WHEN doc_id % 97 = 0 THEN 'all' WHEN doc_id % 33 = 0 THEN 'translation' ELSE 'none' END",
     "secondary_annotator": f"CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 101 = 0 THEN 'zz' ELSE concat('a', {SECOND_CLEAN}) END WHEN doc_id % 35 = 0 THEN 'a1' ELSE '' END",
     "secondary_label": f"CASE WHEN doc_id % 2 = 0 THEN CASE WHEN doc_id % 109 = 0 THEN '?' ELSE {LABEL_B} END ELSE '' END",
@@ -96,7 +96,7 @@ JUDGEMENT: Columns = {
     "adjudication_ai_assistance": f"CASE WHEN ({APART} OR doc_id % 37 = 0) AND doc_id % 9 <> 0 THEN 'label_suggestion' WHEN doc_id % 113 = 0 THEN 'all' ELSE '' END",
     "review_decision": f"CASE WHEN {APART} AND doc_id % 16 = 0 THEN CASE WHEN doc_id % 7 = 1 THEN 'skip' WHEN doc_id % 3 = 0 THEN 'modify' ELSE 'approve' END WHEN doc_id % 37 = 0 AND NOT {APART} THEN CASE WHEN doc_id % 4 = 1 THEN 'approve' ELSE 'modify' END ELSE '' END",
     "reviewer": f"CASE WHEN {APART} AND doc_id % 16 = 0 THEN CASE WHEN doc_id % 10 = 4 THEN '' ELSE concat('a', (doc_id + 3) % 7) END WHEN doc_id % 37 = 0 OR doc_id % 127 = 0 THEN concat('a', doc_id % 5) ELSE '' END",
-    "reviewed_at": f"CASE WHEN {APART} AND doc_id % 16 = 0 THEN CASE WHEN doc_id % 9 = 2 THEN '2026-01-02T03:04:05' ELSE '2026-01-02T03:04:05+08:00' END WHEN doc_id % 37 = 0 THEN CASE WHEN doc_id % 6 = 1 THEN 'today' ELSE '2026-01-02T03:04Z' END ELSE '' END",
+    "reviewed_at": f"CASE WHEN {APART} AND doc_id % 16 = 0 THEN CASE WHEN doc_id % 9 = 2 THEN '2026-01-02T03:04:05' WHEN doc_id % 9 = 4 THEN '2026-01-02T24:00:00Z' WHEN doc_id % 9 = 6 THEN '2026-01-02T03:60Z' ELSE '2026-01-02T03:04:05+08:00' END WHEN doc_id % 37 = 0 THEN CASE WHEN doc_id % 6 = 1 THEN 'today' ELSE '2026-01-02T03:04Z' END ELSE '' END",
     "review_note": f"CASE WHEN ({APART} AND doc_id % 16 = 0) OR doc_id % 37 = 0 THEN CASE WHEN doc_id % 12 = 4 THEN '' ELSE 'seen' END ELSE '' END",
     "benchmark_version": "CASE WHEN doc_id % 131 = 0 THEN 'v0' ELSE 'v1' END",
 }
@@ -204,12 +204,16 @@ def annotation_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contracts.annotation_violations(rows(spark, sf_dir, TASK), rows(spark, sf_dir, POOL), due)
 
 
-INSTANT = r"^\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?(Z|[+-]\d{2}:?\d{2})$"
+def instant(c: str) -> str:
+    """SQL: a day that there is, a time of that day and an offset below a day."""
+    return f"(regexp_matches({c}, '^\\d{{4}}-\\d\\d-\\d\\d[T ]\\d\\d:\\d\\d(:\\d\\d([.,]\\d+)?)?(Z|[+-]\\d\\d:?\\d\\d)$') AND TRY_CAST(left({c}, 10) AS DATE) IS NOT NULL AND coalesce(TRY_CAST(regexp_extract({c}, '^.{{11}}(\\d\\d)', 1) AS INT), 0) < 24 AND NOT regexp_matches({c}, ':[6-9]\\d|[+-](2[4-9]|[3-9]\\d):?\\d\\d$|[+-]\\d\\d[6-9]\\d$'))"
+
+
 PROPOSAL_RULES = [
     ("pair_blank", "x.pair_id = ''"),
     ("pair_unknown", "pool.pair_id IS NULL"),
-    ("research_query_id", "x.research_query_id <> pool.research_query_id"),
-    ("openalex_id", "x.openalex_id <> pool.openalex_id"),
+    ("research_query_id", "pool.pair_id IS NOT NULL AND x.research_query_id IS DISTINCT FROM pool.research_query_id"),
+    ("openalex_id", "pool.pair_id IS NOT NULL AND x.openalex_id IS DISTINCT FROM pool.openalex_id"),
     ("title", "x.title <> pool.title"),
     ("proposed_label", "proposed_final_label NOT IN ('0', '1', '2')"),
     ("status", "proposal_status NOT IN ('pending_human_review', 'reviewed')"),
@@ -218,7 +222,7 @@ PROPOSAL_RULES = [
     ("decision", "proposal_status = 'reviewed' AND review_decision NOT IN ('approve', 'modify')"),
     ("reviewed_label", "proposal_status = 'reviewed' AND reviewed_label NOT IN ('0', '1', '2')"),
     ("review_incomplete", "proposal_status = 'reviewed' AND (reviewer = '' OR reviewed_at = '' OR review_note = '')"),
-    ("reviewed_at", f"proposal_status = 'reviewed' AND reviewed_at <> '' AND NOT regexp_matches(reviewed_at, '{INSTANT}')"),
+    ("reviewed_at", f"proposal_status = 'reviewed' AND reviewed_at <> '' AND NOT {instant("reviewed_at")}"),
     ("approve_changes_label", "proposal_status = 'reviewed' AND review_decision = 'approve' AND reviewed_label <> proposed_final_label"),
     ("modify_keeps_label", "proposal_status = 'reviewed' AND review_decision = 'modify' AND reviewed_label = proposed_final_label"),
 ]
@@ -234,20 +238,20 @@ NO_REVIEW = "concat(j.review_decision, j.reviewer, j.reviewed_at, j.review_note)
 JUDGEMENT_RULES = [
     ("pair_blank", "j.pair_id = ''"),
     ("pair_unknown", "pool.pair_id IS NULL"),
-    ("research_query_id", "j.research_query_id <> pool.research_query_id"),
-    ("openalex_id", "j.openalex_id <> pool.openalex_id"),
+    ("research_query_id", "pool.pair_id IS NOT NULL AND j.research_query_id IS DISTINCT FROM pool.research_query_id"),
+    ("openalex_id", "pool.pair_id IS NOT NULL AND j.openalex_id IS DISTINCT FROM pool.openalex_id"),
     ("benchmark_version", "benchmark_version <> 'v1'"),
     ("judgement_status", "state NOT IN ('ready', 'adjudicated', 'pending_human_review')"),
     ("final_label", f"final_label <> '' AND final_label NOT IN {GRADE}"),
     ("proposed_label", f"proposed_label <> '' AND proposed_label NOT IN {GRADE}"),
     *[(c, f"{c} NOT IN ('', 'none', 'translation', 'explanation', 'label_suggestion')") for c in ("primary_ai_assistance", "secondary_ai_assistance", "adjudication_ai_assistance")],
     ("secondary_invented", "kind = 1 AND concat(secondary_annotator, secondary_label, secondary_ai_assistance) <> ''"),
-    ("agreement_status", "agreement_status <> ['single_annotation', 'agreement', 'disagreement'][kind]"),
-    ("judgement_basis", "(kind < 3 AND state = 'ready' AND judgement_basis <> ['primary_annotation', 'double_annotation_agreement'][kind]) OR (kind = 3 AND judgement_basis <> 'ai_adjudication_proposal')"),
-    ("final_not_annotated", "kind < 3 AND state = 'ready' AND final_label <> primary_label"),
+    ("agreement_status", "agreement_status IS DISTINCT FROM ['single_annotation', 'agreement', 'disagreement'][kind]"),
+    ("judgement_basis", "(kind < 3 AND state = 'ready' AND judgement_basis IS DISTINCT FROM ['primary_annotation', 'double_annotation_agreement'][kind]) OR (kind = 3 AND judgement_basis IS DISTINCT FROM 'ai_adjudication_proposal')"),
+    ("final_not_annotated", "kind < 3 AND state = 'ready' AND final_label <> coalesce(primary_label, '')"),
     ("review_of_ready", f"kind < 3 AND state = 'ready' AND NOT ({NO_REVIEW} AND proposed_label = '' AND adjudication_ai_assistance = '')"),
     ("state", "(kind < 3 AND state = 'pending_human_review') OR (kind = 3 AND state = 'ready')"),
-    ("override_basis", "kind < 3 AND state = 'adjudicated' AND judgement_basis <> 'blind_ai_audit_human_review'"),
+    ("override_basis", "kind < 3 AND state = 'adjudicated' AND judgement_basis IS DISTINCT FROM 'blind_ai_audit_human_review'"),
     ("override_label", f"kind < 3 AND state = 'adjudicated' AND (final_label NOT IN {GRADE} OR final_label = primary_label)"),
     ("override_with_proposal", "kind < 3 AND state = 'adjudicated' AND proposed_label <> ''"),
     ("override_decision", "kind < 3 AND state = 'adjudicated' AND j.review_decision <> 'modify'"),
@@ -258,7 +262,7 @@ JUDGEMENT_RULES = [
     ("proposal_not_pending", "kind = 3 AND state = 'pending_human_review' AND proposal_status <> 'pending_human_review'"),
     ("review_incomplete", f"state = 'adjudicated' AND (final_label NOT IN {GRADE} OR j.reviewer = '' OR j.reviewed_at = '' OR j.review_note = '')"),
     ("reviewer_not_independent", "state = 'adjudicated' AND j.reviewer <> '' AND (j.reviewer = primary_annotator OR j.reviewer = secondary_annotator)"),
-    ("reviewed_at", f"state = 'adjudicated' AND j.reviewed_at <> '' AND NOT regexp_matches(j.reviewed_at, '{INSTANT}')"),
+    ("reviewed_at", f"state = 'adjudicated' AND j.reviewed_at <> '' AND NOT {instant("j.reviewed_at")}"),
     ("proposal_not_reviewed", "kind = 3 AND state = 'adjudicated' AND proposal_status <> 'reviewed'"),
     ("decision", "kind = 3 AND state = 'adjudicated' AND j.review_decision NOT IN ('approve', 'modify')"),
     ("reviewed_label", "kind = 3 AND state = 'adjudicated' AND reviewed_label <> final_label"),
@@ -266,7 +270,7 @@ JUDGEMENT_RULES = [
     ("modify_keeps_label", "kind = 3 AND state = 'adjudicated' AND j.review_decision = 'modify' AND final_label = proposed_label"),
     ("primary_annotator", "primary_annotator IS DISTINCT FROM na.annotator"),
     ("primary_annotation_missing", "na.annotator IS NULL"),
-    ("primary_label", "primary_label <> na.label"),
+    ("primary_label", "na.annotator IS NOT NULL AND primary_label IS DISTINCT FROM na.label"),
     ("primary_ai", "primary_ai_assistance <> na.ai_assistance"),
     ("secondary_annotator", "kind > 1 AND secondary_annotator <> nb.annotator"),
     ("secondary_label", "kind > 1 AND secondary_label <> nb.label"),
@@ -280,7 +284,7 @@ REPEATED = [(c, f"x.{c}", f"pool.{c}") for c in ("research_query_id", "openalex_
 
 @query(
     f"""WITH {cte("pool", POOL)}, {cte("na", NOTE_A)}, {cte("nb", NOTE_B, HAS_SECOND)}, {cte("x", PROPOSAL, HAS_PROPOSAL)}, {cte("j0", JUDGEMENT)},
-j AS (SELECT j0.*, judgement_status AS state, CASE WHEN nb.pair_id IS NULL THEN 1 WHEN primary_label = secondary_label THEN 2 ELSE 3 END AS kind FROM j0 LEFT JOIN nb USING (pair_id)),
+j AS (SELECT j0.*, judgement_status AS state, CASE WHEN nb.pair_id IS NULL THEN 1 WHEN primary_label IS NOT DISTINCT FROM secondary_label THEN 2 ELSE 3 END AS kind FROM j0 LEFT JOIN nb USING (pair_id)),
 w AS (SELECT * FROM j WHERE kind = 3)
 {listed(JUDGEMENT_RULES, "j.pair_id", "j LEFT JOIN pool USING (pair_id) LEFT JOIN na USING (pair_id) LEFT JOIN nb USING (pair_id) LEFT JOIN x USING (pair_id)")}
 UNION ALL {changed("proposal_provenance", REPEATED, "w.pair_id", "w JOIN x USING (pair_id) LEFT JOIN pool USING (pair_id) LEFT JOIN na USING (pair_id) LEFT JOIN nb USING (pair_id)")}
