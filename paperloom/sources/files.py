@@ -6,7 +6,6 @@ import csv
 import io
 import json
 import re
-import sqlite3
 import subprocess
 from collections.abc import Iterable
 from pathlib import Path
@@ -18,6 +17,8 @@ from pyspark.sql import types as T
 from paperloom.functions.norm import clean_int, clean_names, clean_text, is_missing, normalize_doi
 from paperloom.operators import checks, contracts
 
+from . import sinks
+
 PAPER = T.StructType(
     [
         T.StructField("title", T.StringType()),
@@ -257,15 +258,8 @@ def write_csv_table(df: DataFrame, path: str, columns: list[str]) -> None:
 
 
 def write_csv_file(df: DataFrame, path: str, columns: list[str], bom: bool = True) -> int:
-    """One file for spreadsheets, streamed through the driver row by row; returns the number of rows."""
-    n = 0
-    with open(path, "w", encoding="utf-8-sig" if bom else "utf-8", newline="") as f:
-        out = csv.writer(f, lineterminator="\n")
-        out.writerow(columns)
-        for row in encode_arrays(df.select(*columns)).toLocalIterator():
-            out.writerow(row)
-            n += 1
-    return n
+    """One file for spreadsheets, in the order of df's partitions, that appears when it is whole; returns the number of rows."""
+    return sinks.save(encode_arrays(df.select(*columns)), "one_csv", path, bom=str(bom).lower())
 
 
 def write_json(value: object, path: str) -> None:
@@ -276,16 +270,8 @@ def write_json(value: object, path: str) -> None:
 
 
 def write_sqlite(df: DataFrame, path: str, table: str = "papers") -> int:
-    """Replace the rows of an SQLite table, in one transaction and in batches; running it again gives the same table."""
-    kinds = {"int": "INTEGER", "bigint": "INTEGER", "double": "REAL"}
-    columns = ", ".join(f'"{n}" {kinds.get(t, "TEXT")}' for n, t in df.dtypes)
-    with sqlite3.connect(path) as db:
-        db.execute(f'CREATE TABLE IF NOT EXISTS "{table}" ({columns})')
-        db.execute(f'DELETE FROM "{table}"')
-        db.executemany(f'INSERT INTO "{table}" VALUES ({", ".join("?" * len(df.columns))})', (tuple(r) for r in df.toLocalIterator()))
-        n = db.execute(f'SELECT count(*) FROM "{table}"').fetchone()[0]
-    db.close()
-    return n
+    """Replace the rows of an SQLite table and leave the file's other tables; running it again gives the same file's content."""
+    return sinks.save(df, "one_sqlite", path, table=table)
 
 
 def write_bars(df: DataFrame, value: str, path: str, title: str) -> bool:

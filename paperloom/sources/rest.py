@@ -17,8 +17,9 @@ from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 from pathlib import Path
 
-from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceStreamReader, InputPartition
 
 #: What is asked of the service, and answers that are worth another try.
 FIELDS = "id,doi,display_name,publication_year,cited_by_count,abstract_inverted_index,authorships,primary_location"
@@ -225,8 +226,78 @@ class WorksReader(DataSourceReader):
             yield partition.query_id, i, w.get("publication_year"), json.dumps(w, ensure_ascii=False)
 
 
+def page_at(options: dict, keyword: str, cursor: str, rows: int, select: str = FIELDS, get: Get = http_get) -> tuple[list[dict], str | None]:
+    """(works, the next cursor or None) of the page at a cursor before which a query has had so many rows; a failure is an error."""
+    left = int(options.get("max_results", "1000000000")) - rows
+    if left <= 0:
+        return [], None
+    asked = {"search": keyword, "per_page": min(int(options.get("per_page", PAGE)), left), "cursor": cursor, "select": select}
+    years = {k: int(options[k]) for k in ("from_year", "to_year") if options.get(k)}
+    if bounds := year_filter(years.get("from_year"), years.get("to_year")):
+        asked["filter"] = bounds
+    if options.get("api_key"):
+        asked["api_key"] = options["api_key"]
+    body, failure = _page(f"{options['url']}?{urllib.parse.urlencode(asked)}", FetchResult(), 20, int(options.get("max_retries", "3")), float(options.get("backoff", "1")), 30, get, time.sleep)
+    if body is None or not isinstance(body.get("results"), list) or not isinstance(body.get("meta"), dict):
+        raise RuntimeError(failure or "response_invalid")
+    works, after = body["results"], body["meta"].get("next_cursor")
+    return works, after if works and after and after != cursor and len(works) < left else None
+
+
+@dataclass
+class PagesPartition(InputPartition):
+    query_id: str
+    keyword: str
+    start: dict
+    end: dict
+
+
+class WorksStreamReader(DataSourceStreamReader):
+    """A stream of pages: the offset is each query's cursor and the rows before it, so a restarted stream goes on where it was.
+
+    A batch is the next page of each query that has one. To know where it ends, the driver asks for the page's ids alone; the works
+    are read by the tasks, a partition for each query.
+    """
+
+    def __init__(self, options: dict):
+        self.options = dict(options)
+        self.queries: dict[str, str] = json.loads(self.options["queries"])
+        self.at: dict | None = None
+
+    def initialOffset(self) -> dict:  # noqa: N802
+        return {q: {"cursor": "*", "rows": 0} for q in sorted(self.queries)}
+
+    def latestOffset(self) -> dict:  # noqa: N802
+        ends = {}
+        for q, at in (self.at or self.initialOffset()).items():
+            if at["cursor"] is not None:
+                ids, after = page_at(self.options, self.queries[q], at["cursor"], at["rows"], "id")
+                at = {"cursor": after, "rows": at["rows"] + len(ids)}
+            ends[q] = at
+        self.at = ends
+        return ends
+
+    def partitions(self, start: dict, end: dict) -> list[PagesPartition]:
+        # A restarted query first plans the last batch that it has noted.
+        self.at = self.at or end
+        return [PagesPartition(q, self.queries[q], start[q], end[q]) for q in end if start[q] != end[q]]
+
+    def read(self, partition: PagesPartition) -> Iterator[tuple]:
+        cursor, rows = partition.start["cursor"], partition.start["rows"]
+        while cursor is not None and rows < partition.end["rows"]:
+            works, cursor = page_at(self.options, partition.keyword, cursor, rows)
+            for i, w in enumerate(works):
+                yield partition.query_id, rows + i, w.get("publication_year"), json.dumps(w, ensure_ascii=False)
+            rows += len(works)
+        if rows != partition.end["rows"]:
+            raise RuntimeError(f"{partition.query_id}: the pages have changed")
+
+    def commit(self, end: dict) -> None:
+        self.at = self.at or end
+
+
 class WorksSource(DataSource):
-    """Options: url, queries (JSON of id: keyword), max_results, from_year, to_year, api_key."""
+    """Options: url, queries (JSON of id: keyword), max_results, from_year, to_year, api_key; for streams also per_page, max_retries, backoff."""
 
     @classmethod
     def name(cls) -> str:
@@ -238,6 +309,18 @@ class WorksSource(DataSource):
     def reader(self, schema) -> DataSourceReader:
         return WorksReader(self.options)
 
+    def streamReader(self, schema) -> DataSourceStreamReader:  # noqa: N802
+        return WorksStreamReader(self.options)
+
+
+def works_stream(spark: SparkSession, url: str, queries: dict[str, str], **options: object) -> DataFrame:
+    """The works of queries as a stream, each id once a query, which the stream's state remembers; works without an id all stay."""
+    register(spark)
+    pages = spark.readStream.format(WorksSource.name()).options(url=url, queries=json.dumps(queries), **{k: str(v) for k, v in options.items()}).load()
+    found = F.get_json_object("work", "$.id")
+    key = F.when(F.coalesce(found, F.lit("")) == "", F.concat(F.lit("#"), F.col("at").cast("string"))).otherwise(F.concat(F.lit("="), found))
+    return pages.withColumn("work_key", key).dropDuplicates(["query_id", "work_key"]).drop("work_key")
+
 
 def register(spark: SparkSession) -> None:
     """Make the source known to the session, with filters handed to it."""
