@@ -11,8 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import agreement, checks, contracts, dedup, evaluate
-from paperloom.plans import benchmark, package, runs
+from paperloom.operators import agreement, checks, contracts, dedup, evaluate, gate
+from paperloom.plans import benchmark, package, reviews, runs
 from paperloom.session import local_session
 from paperloom.sources import files, rest
 
@@ -40,14 +40,16 @@ def parser() -> argparse.ArgumentParser:
     batch.add_argument("--reference-year", type=int, required=True)
     batch.add_argument("--output-root", default="outputs")
     review = sub.add_parser("review", help="decide about suspected pairs")
-    review.add_argument("--queue", required=True, help="Parquet folder of a run's suspected pairs")
+    review.add_argument("--queue", help="Parquet folder of a run's suspected pairs")
+    review.add_argument("--store", help="folder of a review that goes on; begun from --queue where there is none")
+    review.add_argument("--reviewer", default="", help="with --store: ask for each pair that waits, and keep each answer at once")
     review.add_argument("--decisions", help="CSV file pair_id,decision,seq")
     review.add_argument("--output", help="where the decided queue goes")
-    gate = sub.add_parser("gate", help="ids, labels and secrets of a CSV file")
-    gate.add_argument("--csv", required=True)
-    gate.add_argument("--id", required=True)
-    gate.add_argument("--label")
-    gate.add_argument("--allowed", nargs="*", default=[])
+    table = sub.add_parser("gate", help="ids, labels and secrets of a CSV file")
+    table.add_argument("--csv", required=True)
+    table.add_argument("--id", required=True)
+    table.add_argument("--label")
+    table.add_argument("--allowed", nargs="*", default=[])
     method = sub.add_parser("method", help="check a method's manifest and ranking")
     method.add_argument("--manifest", required=True)
     method.add_argument("--pool", required=True)
@@ -85,8 +87,10 @@ def parser() -> argparse.ArgumentParser:
     judged.add_argument("--review", action="store_true", help="accept a draft")
     judged.add_argument("--rankings", help="CSV file method,pair_id,research_query_id,rank")
     judged.add_argument("--output")
-    secrets = sub.add_parser("files", help="names and contents of a project's files")
+    secrets = sub.add_parser("files", help="the quality gate of a project's files")
     secrets.add_argument("--root", default=".")
+    secrets.add_argument("--level", choices=(gate.BASIC, gate.FULL), default=gate.BASIC)
+    secrets.add_argument("--folders", nargs="*", default=[], help="folders that must be there")
     freeze = sub.add_parser("freeze", help="pin the files of a package")
     freeze.add_argument("--root", required=True)
     freeze.add_argument("files", nargs="+")
@@ -198,7 +202,22 @@ def _benchmark(spark, a) -> int:
 
 
 def _files(spark, a) -> int:
-    return _show(checks.sensitive_files(files.read_files(spark, a.root)))
+    """1 if anything but warnings is found."""
+    found = gate.gate(files.read_files(spark, a.root), a.level, a.folders)
+    for r in found.where(F.col("severity") == gate.WARNING).limit(1000).collect():
+        print("warning", r["rule"], r["key"], r["detail"])
+    return _show(found.where(F.col("severity") == gate.ERROR))
+
+
+def _review(spark, a) -> int:
+    store = reviews.ReviewStore(spark, a.store)
+    if not store.log.is_dir():
+        store = reviews.ReviewStore.create(spark.read.parquet(a.queue), a.store)
+    if a.reviewer:
+        reviews.review(store, lambda pair: input(f"{reviews.shown(pair)}\n[y/n/s/q] "), reviewer=a.reviewer)
+    for r in store.table().groupBy("review_status").count().orderBy("review_status").collect():
+        print(r["review_status"], r["count"])
+    return 0
 
 
 COMMANDS = {"terms": _terms, "evaluate": _evaluate, "agreement": _agreement, "task": _task, "check-task": _check_task, "benchmark": _benchmark, "files": _files}
@@ -232,6 +251,8 @@ def main(argv: list[str] | None = None) -> int:
         rows = runs.run_batch(spark, json.loads(Path(a.config).read_text(encoding="utf-8")), _offline(a.offline), a.reference_year, a.output_root)
         print(json.dumps(rows, ensure_ascii=False))
         return int(any(r["status"] not in ("success", "skipped") for r in rows))
+    if a.command == "review" and a.store:
+        return _review(spark, a)
     if a.command == "review":
         queue = spark.read.parquet(a.queue)
         if a.decisions:

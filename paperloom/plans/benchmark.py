@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.norm import clean_text
-from paperloom.operators import checks, contracts, evaluate
+from paperloom.operators import checks, contracts, evaluate, lineage
 from paperloom.sources import files
 
 from . import package, runs
@@ -144,7 +144,22 @@ def manifest_faults(m: Mapping, approved: bool) -> list[str]:
         ("approval_incomplete", status == "approved" and (not all(texts) or any(v is not True for v in (checklist or {}).values()) or not isinstance(m.get("parent_package"), dict))),
     ]
     out += [name for name, bad in rules if bad]
-    return out
+    return out + (audit_faults(m.get("blind_ai_audit_provenance")) if status == "approved" else [])
+
+
+def audit_faults(audit: object) -> list[str]:
+    """What the provenance of a blind audit lacks: how the package was made, the order of its steps, all reviews, and its files."""
+    if not isinstance(audit, dict):
+        return ["audit_missing"]
+    required = audit.get("required_review_count")
+    whole = isinstance(required, int) and not isinstance(required, bool) and required > 0
+    rules = [
+        ("audit_description", audit.get("description") != lineage.AUDIT),
+        ("audit_not_blind", any(audit.get(k) is not True for k in ("blind_phase_completed_before_human_comparison", "reviewer_independence_checked"))),
+        ("audit_reviews", not whole or audit.get("completed_review_count") != required),
+        ("audit_files", not isinstance(audit.get("files"), dict) or set(audit["files"]) != set(lineage.AUDIT_FILES)),
+    ]
+    return [name for name, bad in rules if bad]
 
 
 def validate(spark: SparkSession, manifest_path: str, protocol: contracts.Protocol, approved: bool = True, trusted: Mapping[str, str] | None = None) -> tuple[dict, dict[str, DataFrame], DataFrame]:
@@ -185,6 +200,8 @@ def validate(spark: SparkSession, manifest_path: str, protocol: contracts.Protoc
     if m.get("counts") != due:
         raise checks.ContractError(f"counts {m.get('counts')} are not {due}")
     if m["status"] == "approved":
+        for ref in m["blind_ai_audit_provenance"]["files"].values():
+            pinned(root, ref)
         parent = pinned(root, m["parent_package"])
         if parent == path:
             raise checks.ContractError("a package is not its own parent")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import contract_queries, dedup_queries, eval_queries, field_queries, rank_queries, rule_queries  # noqa: F401
+from . import contract_queries, dedup_queries, eval_queries, field_queries, project_queries, rank_queries, rule_queries  # noqa: F401
 from .views import QUERIES, SQL, Query
 
 

@@ -18,7 +18,7 @@ from dataclasses import asdict, dataclass, field
 from datetime import UTC, datetime
 from pathlib import Path
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.functions.norm import strip
@@ -140,8 +140,13 @@ def run_pipeline(spark: SparkSession, settings: Settings, fetch: Fetch, labels:
     run = Run.begin(settings, settings.max_results_per_query)
     table = lambda name: str(run.folder / f"{name}.parquet")
 
-    def keep(df: DataFrame, name: str) -> DataFrame:
-        df.write.mode("errorifexists").parquet(table(name))
+    told: dict[str, dict[str, int]] = {}
+
+    def keep(df: DataFrame, name: str, **more: Column) -> DataFrame:
+        """A named point: written once, and counted by the write itself."""
+        seen = Observation()
+        df.observe(seen, F.count(F.lit(1)).alias("rows"), *[c.alias(k) for k, c in more.items()]).write.mode("errorifexists").parquet(table(name))
+        told[name] = seen.get
         return spark.read.parquet(table(name))
 
     try:
@@ -157,8 +162,8 @@ def run_pipeline(spark: SparkSession, settings: Settings, fetch: Fetch, labels:
             combined = combined.unionByName(p)
         # Positions follow the queries, then the fetched order; a query's rows keep theirs, so no row is numbered globally.
         combined = keep(combined.withColumn("pos", F.col("query_ord").cast("long") * (1 << 40) + F.col("pos")), "combined")
-        exact = keep(dedup.exact_merge(combined), "exact_duplicates")
-        if exact.where("conflict").take(1):
+        exact = keep(dedup.exact_merge(combined), "exact_duplicates", conflicts=F.count(F.when(F.col("conflict"), 1)))
+        if told["exact_duplicates"]["conflicts"]:
             raise ValueError("a record's identifiers name two entities")
         kept = combined.join(exact.where("reason IS NULL").select("pos"), "pos", "left_semi")
         entities = combined.join(exact.select("pos", "kept_pos"), "pos")
@@ -166,10 +171,10 @@ def run_pipeline(spark: SparkSession, settings: Settings, fetch: Fetch, labels:
             merged = dedup.merge_provenance(entities, "kept_pos", c).withColumnRenamed("kept_pos", "pos")
             kept = kept.drop(c).join(merged, "pos")
         kept = keep(kept, "kept")
-        suspected = keep(dedup.suspected(kept, settings.jaccard_least, settings.sequence_least).withColumns({"review_status": F.lit("pending"), "action": F.lit("")}), "suspected")
+        keep(dedup.suspected(kept, settings.jaccard_least, settings.sequence_least).withColumns({"review_status": F.lit("pending"), "action": F.lit("")}), "suspected")
         scored = score.with_scores(kept, settings.ranking_keyword, settings.reference_year)
         ranked = keep(score.two_stage(scored, settings.ranking_keyword, keep=scored.columns), "ranked")
-        counts = {"queries": len(settings.queries), "combined": combined.count(), "kept": kept.count(), "suspected": suspected.count(), "ranked": ranked.count()}
+        counts = {"queries": len(settings.queries)} | {name: told[name]["rows"] for name in ("combined", "kept", "suspected", "ranked")}
         counts["exact_duplicates"] = counts["combined"] - counts["kept"]
         metrics = None
         if labels is not None:

@@ -235,7 +235,7 @@ def read_files(spark: SparkSession, root: str) -> DataFrame:
     if not texts:
         return others
     base = str(Path(root).resolve())
-    found = spark.read.option("wholetext", True).text([f"{base}/{n}" for n in texts]).select(F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B")).alias("at"), F.col("value").alias("content"))
+    found = spark.read.text([f"{base}/{n}" for n in texts], wholetext=True).select(F.url_decode(F.regexp_replace(F.input_file_name(), r"\+", "%2B")).alias("at"), F.col("value").alias("content"))
     return found.select(F.expr(f"substring(at, locate('{base}', at) + {len(base) + 1})").alias("path"), "content").unionByName(others)
 
 

@@ -5,7 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from paperloom import cli
-from paperloom.operators import checks, contracts
+from paperloom.operators import checks, contracts, lineage
 from paperloom.plans import benchmark, package
 from paperloom.sources import files, rest
 
@@ -61,6 +61,12 @@ def manifest(folder, names, judgements, proposals, status, version, parent=None)
     m["input_set_identity"] = benchmark.inputs_identity(m["inputs"])
     if parent:
         m["parent_package"] = reference(parent)
+    if status == "approved":
+        (folder / "audit.csv").write_text("pair_id\n")
+        m["blind_ai_audit_provenance"] = {
+            "description": lineage.AUDIT, "blind_phase_completed_before_human_comparison": True, "reviewer_independence_checked": True, "required_review_count": 1, "completed_review_count": 1,
+            "files": dict.fromkeys(lineage.AUDIT_FILES, reference(folder / "audit.csv")),
+        }
     path = folder / f"manifest_{status}.json"
     path.write_text(json.dumps(m))
     return path
