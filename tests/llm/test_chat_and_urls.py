@@ -1,4 +1,5 @@
 import random
+import time
 
 from pyspark.sql import functions as F
 
@@ -34,6 +35,31 @@ def test_edges(spark):
     assert read_back(spark.createDataFrame([], SCHEMA)) == {}
 
 
+def test_spans_in_characters_and_bytes(spark):
+    rng = random.Random(4)
+    rows = [(c, t, rng.choice(["user", "assistant"]), "".join(rng.choices(["é", "漢", "a", "###", "😀", "\\"], k=rng.randint(0, 6)))) for c in range(20) for t in range(rng.randint(1, 60))]
+    for r in chat.format_chat(spark.createDataFrame(rows, SCHEMA)).collect():
+        said = [x for _, x in sorted((t, x) for c, t, role, x in rows if c == r["conv_id"] and role == "assistant")]
+        assert len(r["loss_spans"]) == len(said)
+        for s, x in zip(r["loss_spans"], said, strict=True):
+            text = r["formatted"][s["start"] : s["start"] + s["length"]]
+            assert text.encode() == r["formatted"].encode()[s["byte_start"] : s["byte_start"] + s["byte_length"]]
+            assert text.replace("\\h", "###").replace("\\s", "\\") == x
+
+
+def test_a_very_long_conversation_and_many_rows_without_an_id(spark):
+    n = 100_000
+    one = spark.range(n).select(F.lit(1).cast("long").alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") % 2 == 0, "user").otherwise("assistant").alias("role"), F.concat(F.lit("é"), F.col("id").cast("string")).alias("text"))
+    none = spark.range(n).select(F.lit(None).cast("long").alias("conv_id"), F.lit(0).cast("long").alias("turn"), F.lit("assistant").alias("role"), F.format_string("%06d", F.col("id")).alias("text"))
+    began = time.time()
+    out = chat.format_chat(one.unionByName(none)).withColumns({"turns": F.size(chat.parse_chat(F.col("formatted"))), "loss": chat.loss_text(F.col("formatted"), F.col("loss_spans"))})
+    got = {r["conv_id"]: (r["turns"], r["loss"], r["loss_spans"][-1], r["formatted"]) for r in out.collect()}
+    assert time.time() - began < 60
+    assert got[1][:2] == (n, "".join(f"é{i}" for i in range(1, n, 2))) and got[None][:2] == (n, "".join(f"{i:06d}" for i in range(n)))
+    for _, _, last, formatted in got.values():
+        assert formatted[last["start"] : last["start"] + last["length"]] in (f"é{n - 1}", f"{n - 1:06d}")
+
+
 def brute(rules, host, path):
     fits = [r for r in rules if (host == r[1] or host.endswith("." + r[1])) and path.startswith(r[2])]
     best = max(fits, key=lambda r: (r[1].count("."), len(r[2]), r[0] == "block"), default=None)
