@@ -11,8 +11,8 @@ from pathlib import Path
 
 from pyspark.sql import functions as F
 
-from paperloom.operators import agreement, checks, contracts, dedup, evaluate, gate
-from paperloom.plans import benchmark, package, reviews, runs
+from paperloom.operators import agreement, checks, contracts, dedup, evaluate, gate, terms
+from paperloom.plans import benchmark, package, pool, reviews, runs
 from paperloom.session import local_session
 from paperloom.sources import files, rest
 
@@ -61,10 +61,10 @@ def parser() -> argparse.ArgumentParser:
     fetch.add_argument("--from-year", type=int)
     fetch.add_argument("--to-year", type=int)
     fetch.add_argument("--output", required=True, help="JSON file of the records; a summary in CSV stands beside it")
-    terms = sub.add_parser("terms", help="queries from a term dictionary and a blueprint")
-    terms.add_argument("--terms", required=True)
-    terms.add_argument("--blueprint", required=True, help="JSON list of {query_id, terms: []}")
-    terms.add_argument("--output", required=True)
+    words = sub.add_parser("terms", help="queries from a term dictionary and a blueprint")
+    words.add_argument("--terms", required=True)
+    words.add_argument("--blueprint", required=True, help="JSON list of {query_id, terms: []}")
+    words.add_argument("--output", required=True)
     score = sub.add_parser("evaluate", help="metrics of a ranking")
     score.add_argument("--ranking", required=True, help="CSV file openalex_id,rank")
     score.add_argument("--labels", required=True)
@@ -72,6 +72,22 @@ def parser() -> argparse.ArgumentParser:
     agree = sub.add_parser("agreement", help="agreement of pairs with two annotations")
     agree.add_argument("--assignments", required=True)
     agree.add_argument("--annotations", required=True, nargs="+", help="CSV files of the annotators")
+    picked = sub.add_parser("pool", help="pairs to be judged, out of retrieved records")
+    picked.add_argument("--research-queries", required=True, help="JSON file {queries: []}")
+    picked.add_argument("--source", required=True, help="CSV file of records with source_query_ids and source_run_ids as JSON")
+    picked.add_argument("--pool-version", required=True)
+    picked.add_argument("--reference-year", type=int, required=True)
+    picked.add_argument("--queries", type=int, default=3, help="research queries that there must be")
+    picked.add_argument("--output", required=True)
+    picked.add_argument("--force", action="store_true", help="replace a pool that is there")
+    drafted = sub.add_parser("draft", help="judgements and proposals of a package before any review")
+    drafted.add_argument("--pool", required=True)
+    drafted.add_argument("--assignments", required=True)
+    drafted.add_argument("--annotations", required=True, nargs="+", help="CSV files of the annotators")
+    drafted.add_argument("--suggestions", help="CSV file with a proposal for each disagreement")
+    drafted.add_argument("--version", required=True)
+    drafted.add_argument("--output-dir", required=True)
+    drafted.add_argument("--force", action="store_true", help="replace a draft that is there")
     task = sub.add_parser("task", help="an annotator's empty file")
     check = sub.add_parser("check-task", help="check an annotator's file")
     for s in (task, check):
@@ -87,6 +103,8 @@ def parser() -> argparse.ArgumentParser:
     judged.add_argument("--review", action="store_true", help="accept a draft")
     judged.add_argument("--rankings", help="CSV file method,pair_id,research_query_id,rank")
     judged.add_argument("--output")
+    judged.add_argument("--pool", help="candidate pool, which must be the one that the package pins")
+    judged.add_argument("--assignments", help="assignments, likewise")
     secrets = sub.add_parser("files", help="the quality gate of a project's files")
     secrets.add_argument("--root", default=".")
     secrets.add_argument("--level", choices=(gate.BASIC, gate.FULL), default=gate.BASIC)
@@ -142,24 +160,13 @@ def _terms(spark, a) -> int:
     blueprint = json.loads(Path(a.blueprint).read_text(encoding="utf-8"))
     rows = [(q["query_id"], i, t) for q in blueprint for i, t in enumerate(q["terms"])]
     asked = spark.createDataFrame(rows, "query_id string, at int, term string")
-    queries, missing = query_sets(asked, files.read_terms(spark, a.terms))
+    queries, missing = terms.query_sets(asked, files.read_terms(spark, a.terms))
     if missing.take(1):
         return _show(missing)
     files.write_json({"queries": [r.asDict() for r in queries.orderBy("query_id").collect()]}, a.output)
     return 0
 
 
-def query_sets(asked, terms):
-    """(queries, violations): the keyword and terms of each query in the order asked, of terms that the dictionary lets in queries."""
-    known = terms.where("include_in_query").select(F.lower("normalized_term").alias("k"), "term_id", F.col("term").alias("found"), "category")
-    met = asked.join(known, F.lower("term") == F.col("k"), "left")
-    missing = checks.violations(met, "term_unknown", F.col("k").isNull(), F.col("query_id"), F.col("term"))
-    terms = F.array_sort(F.collect_list(F.struct("at", "found", "term_id", "category")))
-    queries = met.where("k IS NOT NULL").groupBy("query_id").agg(terms.alias("t"))
-    of = lambda c: F.transform("t", lambda x: x[c])
-    return queries.select("query_id", F.array_join(of("found"), " ").alias("keyword"), of("found").alias("included_terms"), of("term_id").alias("included_term_ids"), F.array_distinct(of("category")).alias("categories")), missing
-
-
 def _evaluate(spark, a) -> int:
     ranking = files.read_strict_csv(spark, a.ranking, ("openalex_id", "rank")).select("openalex_id", F.col("rank").cast("int").alias("rank"), F.lit("ranking").alias("method"))
     labels = files.read_labels(spark, a.labels).select(F.col("openalex_id").alias("l"), evaluate.grade(F.col("label")).alias("grade"))
@@ -192,7 +199,34 @@ def _check_task(spark, a) -> int:
     return _show(contracts.annotation_violations(task, pool, assigned, a.annotator))
 
 
+def _free(path: Path, force: bool) -> Path:
+    if path.exists() and not force:
+        raise FileExistsError(f"{path} is there")
+    return path
+
+
+def _pool(spark, a) -> int:
+    path = _free(Path(a.output), a.force)
+    source = files.decode_arrays(files.read_strict_csv(spark, a.source, pool.NEEDED), ("source_query_ids", "source_run_ids"))
+    made = pool.build(source, files.read_research_queries(a.research_queries, a.queries), a.pool_version, a.reference_year)
+    print(files.write_csv_file(made.orderBy("pair_id"), str(path), list(pool.POOL), bom=False))
+    return 0
+
+
+def _draft(spark, a) -> int:
+    folder = Path(a.output_dir)
+    paths = [_free(folder / name, a.force) for name in ("judgements.csv", "adjudication_proposals.csv")]
+    said = checks.union([files.read_strict_csv(spark, p, (*contracts.READ_ONLY, "annotator", *benchmark.ANSWERS)) for p in a.annotations])
+    given = files.read_strict_csv(spark, a.suggestions, ("pair_id", "proposed_final_label")) if a.suggestions else None
+    candidates, assigned = files.read_strict_csv(spark, a.pool, ("pair_id",)), files.read_strict_csv(spark, a.assignments, ("pair_id", "annotator_slug"))
+    folder.mkdir(parents=True, exist_ok=True)
+    for df, path, columns in zip(benchmark.draft(candidates, assigned, said, given, a.version), paths, (benchmark.JUDGEMENT, benchmark.PROPOSAL), strict=True):
+        print(path.name, files.write_csv_file(df.orderBy("pair_id"), str(path), list(columns), bom=False))
+    return 0
+
+
 def _benchmark(spark, a) -> int:
+    package.same_inputs(Path(a.manifest), candidate_pool=a.pool, assignments=a.assignments)
     protocol = contracts.Protocol(json.loads(Path(a.annotators).read_text(encoding="utf-8")), a.pool_version)
     if not a.rankings:
         return _show(benchmark.validate(spark, a.manifest, protocol, not a.review)[2])
@@ -220,7 +254,7 @@ def _review(spark, a) -> int:
     return 0
 
 
-COMMANDS = {"terms": _terms, "evaluate": _evaluate, "agreement": _agreement, "task": _task, "check-task": _check_task, "benchmark": _benchmark, "files": _files}
+COMMANDS = {"terms": _terms, "evaluate": _evaluate, "agreement": _agreement, "task": _task, "check-task": _check_task, "benchmark": _benchmark, "files": _files, "pool": _pool, "draft": _draft}
 
 
 def main(argv: list[str] | None = None) -> int:
@@ -269,7 +303,7 @@ def main(argv: list[str] | None = None) -> int:
         if a.label:
             parts.append(checks.allowed(df, a.label, a.allowed, a.id))
         return _show(checks.union(parts))
-    if a.command in ("terms", "evaluate", "agreement", "task", "check-task", "benchmark", "files"):
+    if a.command in COMMANDS:
         return COMMANDS[a.command](spark, a)
     manifest = package.check_manifest(Path(a.manifest))
     rows = files.read_strict_csv(spark, str(Path(a.manifest).parent / manifest["ranking_file"]), package.RANKING)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -57,15 +59,21 @@ def term_weights(df: DataFrame, text: str, key: str = "pos", by: list[str] | Non
     return weighted(term_counts(df, [text], key, by), by).where("token IS NOT NULL").drop("field")
 
 
-def query_similarities(df: DataFrame, texts: list[str], query: str, key: str = "pos", by: list[str] | None = None) -> DataFrame:
+def query_similarities(df: DataFrame, texts: list[str], query: str | Mapping[str, str], key: str = "pos", by: list[str] | None = None) -> DataFrame:
     """(by, key, s0, s1, ..): cosine of each text column with the query, whose words outside that column's corpus don't count.
 
+    A mapping has a query of its own for each value of the one column of ``by``.
+
     Only the query's few tokens get a share of the dot product; norms are a sum for each text, and one row a document is left.
     """
     by = by or []
     weights = weighted(term_counts(df, texts, key, by), by)
-    asked = df.sparkSession.range(1).select(F.explode(mixed_tokens(F.lit(query))).alias("token")).groupBy("token").agg(F.count("*").alias("asked"))
-    with_query = weights.join(F.broadcast(asked), "token", "left").withColumn("q", F.col("asked") * F.col("idf"))
+    if isinstance(query, str):
+        on, queries = ["token"], df.sparkSession.range(1).select(F.lit(query).alias("query"))
+    else:
+        on, queries = [*by, "token"], df.sparkSession.createDataFrame(list(query.items()), f"{by[0]} string, query string")
+    asked = queries.select(*on[:-1], F.explode(mixed_tokens(F.col("query"))).alias("token")).groupBy(*on).agg(F.count("*").alias("asked"))
+    with_query = weights.join(F.broadcast(asked), on, "left").withColumn("q", F.col("asked") * F.col("idf"))
     of_field = lambda i, value: F.sum(F.when(F.col("field") == i, value))
     sums = with_query.groupBy(*by, key).agg(
         *[of_field(i, F.col("q") * F.col("weight")).alias(f"d{i}") for i in range(len(texts))], *[of_field(i, F.col("weight") * F.col("weight")).alias(f"n{i}") for i in range(len(texts))]

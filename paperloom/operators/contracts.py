@@ -339,6 +339,30 @@ def parent_violations(current: DataFrame, parent: DataFrame, frozen: Sequence[st
     return found.unionByName(drift(both.where("now IS NOT NULL AND then IS NOT NULL"), k, "frozen_changed", [(c, F.col(f"now.{c}"), F.col(f"then.{c}")) for c in frozen]))
 
 
+def benchmark_input_violations(pool: DataFrame, labels: DataFrame, queries: Sequence[str]) -> DataFrame:
+    """What an evaluation is given: pool (pair_id, research_query_id, openalex_id) of the named queries, and labels (pair_id).
+
+    Pairs and a query's works occur once, no id is blank, each query has pairs and no other query has, and labels are of pairs of the
+    pool. Labels need not cover the pool. A pool without one of the columns is an error.
+    """
+    if missing := sorted({"pair_id", "research_query_id", "openalex_id"} - set(pool.columns)):
+        raise ValueError(f"the pool lacks {', '.join(missing)}")
+    rows = pool.select(*[clean_text(F.col(c)).alias(c) for c in ("pair_id", "research_query_id", "openalex_id")])
+    due = pool.sparkSession.createDataFrame([(q,) for q in queries], "q string")
+    there = rows.select(F.col("research_query_id").alias("rq")).distinct()
+    known = rows.select(F.col("pair_id").alias("known")).distinct()
+    asked = labels.select(clean_text(F.col("pair_id")).alias("key")).distinct()
+    return union(
+        [
+            by_row(rows, F.col("pair_id"), [("pair_blank", F.col("pair_id") == ""), ("work_blank", F.col("openalex_id") == ""), ("query_unknown", ~F.col("research_query_id").isin(list(queries)))]),
+            counted(rows.where("pair_id <> ''"), "pair_twice", ["pair_id"], F.col("n") > 1),
+            counted(rows.where("openalex_id <> ''"), "work_twice", ["research_query_id", "openalex_id"], F.col("n") > 1),
+            violations(due.join(there, F.col("q") == F.col("rq"), "left_anti"), "query_missing", F.lit(True), F.col("q")),
+            violations(asked.join(known, F.col("key") == F.col("known"), "left_anti"), "label_unknown", F.lit(True), F.col("key")),
+        ]
+    )
+
+
 def coverage(assignments: DataFrame, annotations: DataFrame) -> DataFrame:
     """(annotator_slug, due, done, status): complete, partial or missing, by the pairs of each annotator that have a label."""
     due = assignments.select("annotator_slug", "pair_id").distinct()

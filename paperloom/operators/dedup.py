@@ -16,7 +16,7 @@ from pyspark.sql.types import DoubleType
 
 from paperloom.functions import norm
 from paperloom.operators.components import components
-from paperloom.store import cut, discard
+from paperloom.store import cut, discard, free_names
 
 #: Fixed values of the rule for suspected pairs.
 AUTHOR_LEAST, TITLE_SURE, YEARS_APART, YEARS_UNKNOWN = 0.3, 0.80, 2, 999
@@ -34,11 +34,12 @@ def baseline(papers: DataFrame) -> DataFrame:
     """
     doi, title = norm.normalize_doi(F.col("doi")), norm.title_key(F.col("title"))
     key = F.when(doi != "", F.concat(F.lit("d:"), doi)).when(title != "", F.concat(F.lit("t:"), title)).otherwise(F.concat(F.lit("p:"), F.col("pos").cast("string")))
-    keyed = papers.withColumn("_key", key)
-    first = keyed.groupBy("_key").agg(F.min_by(F.struct(F.col("pos").alias("kept_pos"), F.col("title").alias("kept_title")), "pos").alias("_first"))
-    joined = keyed.join(first, "_key").select(*papers.columns, "_key", "_first.*")
-    reason = F.when(F.col("pos") == F.col("kept_pos"), None).when(F.startswith(F.col("_key"), F.lit("d:")), "same_doi").otherwise("same_title_no_doi")
-    return joined.withColumn("duplicate_reason", reason).drop("_key")
+    own, first = free_names(papers.columns, "key", "first")
+    keyed = papers.withColumn(own, key)
+    firsts = keyed.groupBy(own).agg(F.min_by(F.struct(F.col("pos").alias("kept_pos"), F.col("title").alias("kept_title")), "pos").alias(first))
+    joined = keyed.join(firsts, own).select(*papers.columns, own, f"{first}.*")
+    reason = F.when(F.col("pos") == F.col("kept_pos"), None).when(F.startswith(F.col(own), F.lit("d:")), "same_doi").otherwise("same_title_no_doi")
+    return joined.withColumn("duplicate_reason", reason).drop(own)
 
 
 def counts(decided: DataFrame, raw: int) -> DataFrame:
@@ -160,6 +161,26 @@ def exact_default(papers: DataFrame, replayed: int = REPLAYED) -> DataFrame:
     return papers.select("pos").join(decided, F.col("pos") == F.col("p"), "left").select("pos", F.coalesce("k", "pos").alias("kept_pos"), "reason")
 
 
+def duplicate_records(papers: DataFrame, decided: DataFrame, merged_at: str) -> DataFrame:
+    """A record for each row that goes: rule, kept and merged id and title, keywords and runs of both (kept first), and the time.
+
+    papers: pos, openalex_id, title, keyword, run_id. decided: pos, kept_pos, reason.
+    """
+    of = lambda side: papers.select(F.struct("pos", *[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("openalex_id", "title", "keyword", "run_id")]).alias(side))
+    gone = decided.where("reason IS NOT NULL").select(F.col("pos").alias("gone"), "kept_pos", "reason")
+    both = gone.join(of("m"), F.col("gone") == F.col("m.pos")).join(of("k"), F.col("kept_pos") == F.col("k.pos"))
+    return both.select(
+        F.col("reason").alias("rule"),
+        F.col("k.openalex_id").alias("kept_openalex_id"),
+        F.col("k.title").alias("kept_title"),
+        F.col("m.openalex_id").alias("merged_openalex_id"),
+        F.col("m.title").alias("merged_title"),
+        F.array("k.keyword", "m.keyword").alias("source_keyword"),
+        F.array("k.run_id", "m.run_id").alias("source_run_id"),
+        F.lit(merged_at).alias("merged_at"),
+    )
+
+
 def merge_provenance(papers: DataFrame, entity: str, column: str) -> DataFrame:
     """(entity, column): the distinct non-blank values of an array column in the order in which they were first seen."""
     values = papers.select(entity, "pos", F.posexplode(column).alias("i", "v")).where(~norm.is_missing(F.col("v")))

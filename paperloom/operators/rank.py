@@ -7,7 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from paperloom.store import cut, small
+from paperloom.store import cut, free_names, small
 
 _LOW = (1 << 33) - 1
 
@@ -21,18 +21,19 @@ def ranked(df: DataFrame, name: str, order: list[Column], by: list[str] | None =
     """
     by = by or []
     keys = [*[F.col(c) for c in by], *order]
-    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn("_at", F.monotonically_increasing_id()), "ranked")
-    part = F.shiftright("_at", 33)
+    at, piece, first, rows, before, *groups = free_names([*df.columns, name], "at", "piece", "first", "rows", "before", *[f"by{i}" for i in range(len(by))])
+    placed = cut(df.repartitionByRange(*keys).sortWithinPartitions(*keys).withColumn(at, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(at, 33)
     if not by:
         counts = {r["p"]: r["n"] for r in placed.groupBy(part.alias("p")).agg(F.count("*").alias("n")).collect()}
-        before = [0, *accumulate(counts.get(p, 0) for p in range(max(counts, default=0) + 1))]
-        rank = F.get(F.lit(before), F.shiftright("_at", 33).cast("int")) + F.col("_at").bitwiseAND(F.lit(_LOW)) + 1
-        return placed.withColumn(name, rank.cast("int")).drop("_at")
-    pieces = placed.groupBy(*[F.col(c).alias(f"_by{i}") for i, c in enumerate(by)], part.alias("_part")).agg(F.min("_at").alias("_first"), F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*[f"_by{i}" for i in range(len(by))]).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    pieces = cut(pieces.withColumn("_before", F.coalesce(F.sum("_n").over(earlier), F.lit(0))).drop("_n"), "pieces")
-    on = part == F.col("_part")
-    for i, c in enumerate(by):
-        on = on & F.col(c).eqNullSafe(F.col(f"_by{i}"))
-    rank = F.col("_at") - F.col("_first") + F.col("_before") + 1
+        below = [0, *accumulate(counts.get(p, 0) for p in range(max(counts, default=0) + 1))]
+        rank = F.get(F.lit(below), part.cast("int")) + F.col(at).bitwiseAND(F.lit(_LOW)) + 1
+        return placed.withColumn(name, rank.cast("int")).drop(at)
+    pieces = placed.groupBy(*[F.col(c).alias(g) for c, g in zip(by, groups, strict=True)], part.alias(piece)).agg(F.min(at).alias(first), F.count("*").alias(rows))
+    earlier = Window.partitionBy(*groups).orderBy(piece).rowsBetween(Window.unboundedPreceding, -1)
+    pieces = cut(pieces.withColumn(before, F.coalesce(F.sum(rows).over(earlier), F.lit(0))).drop(rows), "pieces")
+    on = part == F.col(piece)
+    for c, g in zip(by, groups, strict=True):
+        on = on & F.col(c).eqNullSafe(F.col(g))
+    rank = F.col(at) - F.col(first) + F.col(before) + 1
     return placed.join(small(pieces), on).withColumn(name, rank.cast("int")).select(*df.columns, name)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -39,8 +39,8 @@ W = Weights()
 COMPLETE = ("doi", "abstract", "authors", "publication_year", "source_name", "landing_page_url")
 
 
-def relevance(keyword: str, title: Column, abstract: Column) -> Column:
-    terms = keyword_terms(F.lit(keyword))
+def relevance(keyword: str | Column, title: Column, abstract: Column) -> Column:
+    terms = keyword_terms(F.lit(keyword) if isinstance(keyword, str) else keyword)
     n = F.size(terms)
     hits = lambda c: F.size(F.array_intersect(terms, ascii_words(c)))
     return F.when(n == 0, 0.0).otherwise(F.least(F.lit(1.0), W.title * hits(title) / n + W.abstract * hits(abstract) / n))
@@ -65,9 +65,11 @@ def completeness(columns: tuple[str, ...] = COMPLETE) -> Column:
     return total / float(len(columns))
 
 
-def with_scores(papers: DataFrame, keyword: str, reference_year: int, by: list[str] | None = None) -> DataFrame:
+def with_scores(papers: DataFrame, keyword: str | Mapping[str, str], reference_year: int, by: list[str] | None = None) -> DataFrame:
     """papers with the four parts and the preliminary score, which weighs the parts as they are and not as they are shown.
 
+    A mapping has a keyword for each value of the one column of ``by``.
+
     The largest impact is a one-row aggregate for each corpus, joined back; no row is sorted or gathered for it.
     """
     logged = citations_log(F.col("cited_by_count"))
@@ -76,7 +78,7 @@ def with_scores(papers: DataFrame, keyword: str, reference_year: int, by: list[s
     part = F.when(F.col("_most") <= 0, 0.0).otherwise(logged / F.col("_most"))
     scored = joined.withColumns(
         {
-            "relevance_raw": relevance(keyword, F.col("title"), F.col("abstract")),
+            "relevance_raw": relevance(keyword if isinstance(keyword, str) else F.try_element_at(F.create_map(*[F.lit(x) for pair in keyword.items() for x in pair]), F.col(by[0])), F.col("title"), F.col("abstract")),
             "impact_raw": part,
             "recency_raw": recency(F.col("publication_year"), reference_year),
             "completeness_raw": completeness(),
@@ -98,7 +100,7 @@ def baseline_order() -> list[Column]:
     return [F.desc("preliminary_score"), F.coalesce("cited_by_count", F.lit(0)).desc(), F.coalesce("publication_year", F.lit(0)).desc(), F.asc("pos")]
 
 
-def text_relevance(papers: DataFrame, keyword: str, by: list[str] | None = None) -> DataFrame:
+def text_relevance(papers: DataFrame, keyword: str | Mapping[str, str], by: list[str] | None = None) -> DataFrame:
     """(by, pos, title_similarity, abstract_similarity, combined_relevance): titles and abstracts are corpora of their own."""
     by = by or []
     both = query_similarities(papers, ["title", "abstract"], keyword, "pos", by)
@@ -113,7 +115,7 @@ def level(combined: Column) -> Column:
 RANKED_BY = ("pos", "cited_by_count", "publication_year", "preliminary_score", "impact_score", "recency_score", "completeness_score")
 
 
-def two_stage(scored: DataFrame, keyword: str, by: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
+def two_stage(scored: DataFrame, keyword: str | Mapping[str, str], by: list[str] | None = None, keep: Sequence[str] = ()) -> DataFrame:
     """(by, what the orders read, keep) with relevance level, second-stage score, old and new rank and their difference.
 
     Nothing is filtered. Long columns are not carried through the sorts: ``keep`` names those that the caller wants besides.

@@ -48,6 +48,17 @@ def dedup_exact_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dedup.exact_merge(works(spark, sf_dir)).select("pos", "kept_pos", "reason", "conflict")
 
 
+@query(
+    f"""{merge_sql(WORKS_SQL, 'works')} SELECT CASE w WHEN 3 THEN 'same_openalex_id' WHEN 2 THEN 'same_doi' ELSE 'same_title_no_id' END AS rule, k.openalex_id AS kept_openalex_id, k.title AS kept_title, m.openalex_id AS merged_openalex_id, m.title AS merged_title,
+concat(k.source_name, ';', m.source_name) AS source_keyword, concat('r', k.pos % 3, ';r', m.pos % 3) AS source_run_id, 'now' AS merged_at FROM per JOIN why USING (pos) JOIN works m ON m.pos = per.pos JOIN works k ON k.pos = per.cluster WHERE per.pos <> per.cluster"""
+)
+def exact_duplicate_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is kept on record of each duplicate."""
+    rows = works(spark, sf_dir).withColumns({"keyword": F.col("source_name"), "run_id": F.concat(F.lit("r"), (F.col("pos") % 3).cast("string"))})
+    found = dedup.duplicate_records(rows, dedup.exact_merge(rows), "now")
+    return found.withColumns({c: F.array_join(c, ";") for c in ("source_keyword", "source_run_id")})
+
+
 @query(f"{merge_sql(PAPERS_SQL, 'papers')} SELECT DISTINCT cluster FROM bad WHERE conflict")
 def dedup_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clusters in which a record's identifiers name two entities."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from paperloom.operators import agreement, evaluate
+from paperloom.operators import agreement, contracts, evaluate
 from paperloom.operators.rank import ranked
 
 from .rank_queries import ranked_sql, two_stage
@@ -151,19 +151,27 @@ def evaluate_contract(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluate.metrics(r, ["grp"], [10]).select("grp", "precision", rounded6("ndcg").alias("ndcg"))
 
 
+#: A pool in which some pairs and works repeat, ids are blank and a query is unknown; of the queries one has no pairs.
+INPUT_POOL = {
+    "pair_id": "CASE WHEN doc_id % 97 = 0 THEN '' WHEN doc_id % 89 = 1 THEN CAST(doc_id - 1 AS STRING) ELSE CAST(doc_id AS STRING) END",
+    "research_query_id": "CASE WHEN doc_id % 83 = 0 THEN 'xx' ELSE lang END",
+    "openalex_id": "CASE WHEN doc_id % 79 = 0 THEN ' ' ELSE concat('W', doc_id % 900) END",
+}
+INPUT_QUERIES = ("en", "de", "es", "it")
+
+
 @query(
-    """SELECT 'duplicate_work' AS rule, key, CAST(n AS VARCHAR) AS detail FROM (SELECT concat(lang, '|W', doc_id % 900) AS key, count(*) AS n FROM documents GROUP BY 1) WHERE n > 1
-UNION ALL SELECT 'unknown_label', CAST(l.doc_id AS VARCHAR), '' FROM labels l LEFT JOIN documents d ON d.doc_id = l.doc_id AND d.lang <> 'fr' WHERE d.doc_id IS NULL"""
+    f"""WITH p AS (SELECT {", ".join(f"trim({e}) AS {c}" for c, e in INPUT_POOL.items())} FROM documents WHERE lang <> 'fr')
+SELECT rule, pair_id AS key, '' AS detail FROM (SELECT pair_id, unnest([CASE WHEN pair_id = '' THEN 'pair_blank' END, CASE WHEN openalex_id = '' THEN 'work_blank' END, CASE WHEN research_query_id NOT IN {INPUT_QUERIES} THEN 'query_unknown' END]) AS rule FROM p) WHERE rule IS NOT NULL
+UNION ALL SELECT 'pair_twice', pair_id, CAST(count(*) AS VARCHAR) FROM p WHERE pair_id <> '' GROUP BY pair_id HAVING count(*) > 1
+UNION ALL SELECT 'work_twice', concat(research_query_id, '|', openalex_id), CAST(count(*) AS VARCHAR) FROM p WHERE openalex_id <> '' GROUP BY research_query_id, openalex_id HAVING count(*) > 1
+UNION ALL SELECT 'query_missing', q, '' FROM (SELECT unnest({list(INPUT_QUERIES)}) AS q) WHERE q NOT IN (SELECT research_query_id FROM p)
+UNION ALL SELECT 'label_unknown', CAST(doc_id AS VARCHAR), '' FROM labels WHERE CAST(doc_id AS VARCHAR) NOT IN (SELECT pair_id FROM p)"""
 )
 def benchmark_input_violations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A pool that lists a work twice for a query, and labels for pairs that aren't in the pool."""
-    from paperloom.operators import checks
-
-    d = table(spark, sf_dir, "documents")
-    twice = checks.duplicates(d.select(F.concat("lang", F.lit("|W"), (F.col("doc_id") % 900).cast("string")).alias("work")), "work", "duplicate_work")
-    pool = d.where("lang <> 'fr'").select(F.col("doc_id").alias("p"))
-    unknown = table(spark, sf_dir, "labels").join(pool, F.col("doc_id") == F.col("p"), "left_anti")
-    return twice.unionByName(unknown.select(F.lit("unknown_label").alias("rule"), F.col("doc_id").cast("string").alias("key"), F.lit("").alias("detail")))
+    """A pool and labels that an evaluation would have to refuse."""
+    pool = table(spark, sf_dir, "documents").where("lang <> 'fr'").selectExpr(*[f"{e} AS {c}" for c, e in INPUT_POOL.items()])
+    return contracts.benchmark_input_violations(pool, table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pair_id")), INPUT_QUERIES)
 
 
 #: Two annotators: quality and toxic as labels, some of them undecided.

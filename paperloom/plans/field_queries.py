@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from paperloom.functions import norm
 from paperloom.functions.text import keyword_terms, mixed_tokens
-from paperloom.operators import checks
+from paperloom.operators import checks, terms
 from paperloom.operators.rank import ranked
+from paperloom.sources import files
 
 from .views import KEYWORD, PAPERS_SQL, papers, query, table
 
@@ -67,14 +68,15 @@ FROM labels GROUP BY 1"""
 )
 def labels_policy_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rows that a label policy drops, counted by the first reason that applies."""
-    reason = F.when(F.col("toxic") == 1, "ai_draft").when(F.col("quality") == 0, "pending_review").otherwise("kept")
-    return table(spark, sf_dir, "labels").groupBy(reason.alias("reason")).agg(F.count("*").alias("n"))
+    rows = table(spark, sf_dir, "labels").select(F.when(F.col("toxic") == 1, " AI-assisted-draft ").otherwise("a").alias("annotator"), F.when(F.col("quality") == 0, "W1 待人工复核").otherwise("").alias("review_status"))
+    kept, dropped = files.label_policy(rows)
+    return kept.withColumn("reason", F.lit("kept")).unionByName(dropped).groupBy("reason").agg(F.count("*").alias("n"))
 
 
 @query("SELECT l.doc_id FROM labels l WHERE NOT EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = l.doc_id AND d.lang = 'en')")
 def labels_untraceable(spark: SparkSession, sf_dir: str) -> DataFrame:
     sample = table(spark, sf_dir, "documents").where("lang = 'en'").select("doc_id")
-    return table(spark, sf_dir, "labels").select("doc_id").join(sample, "doc_id", "left_anti")
+    return checks.references(table(spark, sf_dir, "labels"), "doc_id", sample, "doc_id").select(F.col("key").cast("long").alias("doc_id"))
 
 
 @query(f"WITH {PAPERS_SQL} SELECT openalex_id, max(pos) AS pos, arg_max(title, pos) AS title FROM papers WHERE openalex_id <> '' GROUP BY openalex_id")
@@ -253,11 +255,11 @@ def build_query_set(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Queries from blueprints of ordered terms and a dictionary, whatever the case of its terms."""
     nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
     plan = region.join(nation, F.col("n_regionkey") == F.col("r_regionkey")).groupBy("r_regionkey").agg(F.sort_array(F.collect_list(F.struct("n_nationkey", "n_name")), asc=False).alias("ts"))
-    asked = plan.select(F.col("r_regionkey").alias("query_id"), F.posexplode(F.transform("ts", lambda t: t["n_name"])).alias("at", "asked"))
-    known = nation.select(F.lower("n_name").alias("term")).distinct()
-    joined = asked.join(known, F.lower("asked") == F.col("term"))
-    g = joined.groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("at", "term"))).alias("ts"))
-    return g.select("query_id", F.array_join(F.transform("ts", lambda t: t["term"]), " ").alias("keyword"), F.size("ts").cast("long").alias("n_terms"))
+    asked = plan.select(F.col("r_regionkey").alias("query_id"), F.posexplode(F.transform("ts", lambda t: t["n_name"])).alias("at", "term"))
+    name = F.lower("n_name")
+    dictionary = nation.select(name.alias("term_id"), name.alias("term"), name.alias("normalized_term"), F.lit("object_term").alias("category"), F.lit(True).alias("include_in_query")).distinct()
+    found, _ = terms.query_sets(asked, dictionary)
+    return found.select("query_id", "keyword", F.size("included_terms").cast("long").alias("n_terms"))
 
 
 @query(f"SELECT list_sort(list_distinct(list_filter(regexp_extract_all(lower(concat(source, ' {KEYWORD}')), '[a-z0-9]+'), lambda x: length(x) >= 2))) AS terms, doc_id AS pos FROM documents")

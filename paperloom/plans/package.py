@@ -35,6 +35,14 @@ def inside(root: Path, name: str) -> Path:
     return path
 
 
+def same_inputs(manifest: Path, **supplied: str | None) -> None:
+    """Raise unless each supplied path is that of the input of this name that the manifest pins; those that are None are left out."""
+    inputs = json.loads(manifest.read_text(encoding="utf-8-sig")).get("inputs") or {}
+    for name, path in supplied.items():
+        if path is not None and Path(path).resolve() != inside(manifest.resolve().parent, str((inputs.get(name) or {}).get("path"))):
+            raise checks.ContractError(f"{path} is not the {name} that the package pins")
+
+
 def freeze(root: Path, names: list[str], **more: object) -> dict:
     """A manifest with the size and digest of every file."""
     pinned = {n: {"bytes": (p := inside(root, n)).stat().st_size, "sha256": file_sha256(p)} for n in sorted(names)}

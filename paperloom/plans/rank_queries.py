@@ -10,7 +10,8 @@ from paperloom.functions.text import query_similarity, term_weights
 from paperloom.operators import sampling, score
 from paperloom.operators.rank import ranked
 
-from .views import KEYWORD, PAPERS_SQL, REFERENCE_YEAR, papers, query, table
+from . import pool
+from .views import KEYWORD, PAPER_COLUMNS, PAPERS_SQL, REFERENCE_YEAR, _cte, papers, query, table
 
 TERMS = "['the', 'ing', 're', 'tion', 'ble']"
 F4 = "floor(({}) * 10000 + 0.5) / 10000"
@@ -167,6 +168,24 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.hash_numbered(pool, ["grp"], h).select("grp", "pos", "bucket", "ordinal")
 
 
+#: Works that each language's acquisition query has found, with ids of their own.
+FOUND = PAPER_COLUMNS | {"openalex_id": "concat('P', doc_id)"}
+FOUND_SQL = _cte("papers", FOUND | {"pos": "row_number() OVER (PARTITION BY lang ORDER BY concat('P', doc_id), lower(split_part(text, chr(10), 1)))"})
+RESEARCH = ("en", "fr", "es", "de")
+
+
+@query(
+    f"""{ranked_sql('grp').replace(PAPERS_SQL, FOUND_SQL)}, {STRATIFIED_SQL}
+SELECT printf('w4_rq%02d_%03d', list_position({list(RESEARCH)}, grp), row_number() OVER (PARTITION BY grp ORDER BY sha256(concat('v1|', grp, '|', openalex_id)))) AS pair_id, grp AS research_query_id, openalex_id, bucket AS selection_bucket,
+concat('["a-', grp, '"]') AS source_query_ids FROM picked"""
+)
+def built_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pool of four research queries, from retrieved records to numbered pairs."""
+    rows = table(spark, sf_dir, "documents").selectExpr(*[f"{e} AS {c}" for c, e in FOUND.items() if c not in ("pos", "grp")], "array(concat('a-', lang)) AS source_query_ids", "array('r') AS source_run_ids")
+    queries = [{"research_query_id": q, "acquisition_query_ids": [f"a-{q}"], "ranking_keyword": KEYWORD} for q in RESEARCH]
+    return pool.build(rows, queries, "v1", REFERENCE_YEAR).select("pair_id", "research_query_id", "openalex_id", "selection_bucket", "source_query_ids")
+
+
 @query("SELECT lang, doc_id, CAST(row_number() OVER (PARTITION BY lang ORDER BY sha256(concat('v1|', lang, '|', doc_id))) AS INTEGER) AS ordinal FROM documents")
 def hash_ordered_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     h = sampling.stable_hash("v1", F.col("lang"), F.col("doc_id").cast("string"))

@@ -7,6 +7,7 @@ import contextlib
 import shutil
 import tempfile
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,6 +16,17 @@ from pyspark.sql import functions as F
 BROADCAST_ROWS = 500_000
 
 
+def free_names(taken: Iterable[str], *wanted: str) -> list[str]:
+    """Names for columns of an operator's own beside those that are taken, whose case doesn't count."""
+    used, out = {t.lower() for t in taken}, []
+    for name in wanted:
+        while name.lower() in used:
+            name += "_"
+        used.add(name.lower())
+        out.append(name)
+    return out
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir; a temporary one where it is unset and everything runs in one process."""
     sc = spark.sparkContext
