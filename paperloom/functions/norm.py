@@ -71,6 +71,24 @@ def pair_id(left: Column, right: Column) -> Column:
     return F.concat(F.lit("SP-"), F.substring(F.md5(F.concat(left, F.lit("|"), right)), 1, 8))
 
 
+#: What a fetch tells of itself, with its type and what stands in where it doesn't.
+QUERY_STATS = (
+    ("page_count", "int", 0), ("request_count", "int", 0), ("retry_count", "int", 0), ("duplicate_records_skipped", "int", 0), ("status", "string", "success"), ("stopped_reason", "string", ""), ("elapsed_seconds", "double", 0.0),
+)
+
+
+def query_stats(df: DataFrame, stats: str = "stats", cleaned: str = "cleaned_result_count") -> DataFrame:
+    """df without its JSON column of a fetch's statistics, and with a typed column for each of them.
+
+    What is missing or null has its default; the number of results is that of the cleaned records where the fetch doesn't tell it.
+    A value that can't be cast, and a text that isn't JSON, are errors when they are read.
+    """
+    value = F.parse_json(F.coalesce(F.col(stats), F.lit("{}")))
+    told = [F.coalesce(F.variant_get(value, "$.actual_result_count", "int"), F.col(cleaned).cast("int")).alias("actual_result_count")]
+    told += [F.coalesce(F.variant_get(value, f"$.{name}", kind), F.lit(default).cast(kind)).alias(name) for name, kind, default in QUERY_STATS]
+    return df.select(*[c for c in df.columns if c != stats], *told)
+
+
 def floor4(c: Column) -> Column:
     """Four decimals by the same arithmetic in every engine."""
     return F.floor(c * 10000 + 0.5) / 10000

@@ -10,7 +10,7 @@ from paperloom.functions.text import query_similarity, term_weights
 from paperloom.operators import sampling, score
 from paperloom.operators.rank import ranked
 
-from . import pool
+from . import pool, runs
 from .views import KEYWORD, PAPER_COLUMNS, PAPERS_SQL, REFERENCE_YEAR, _cte, papers, query, table
 
 TERMS = "['the', 'ing', 're', 'tion', 'ble']"
@@ -168,6 +168,35 @@ def candidate_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sampling.hash_numbered(pool, ["grp"], h).select("grp", "pos", "bucket", "ordinal")
 
 
+#: Records that are no duplicates, by DOI or else by title.
+UNIQUE_SQL = (
+    _cte("every", PAPER_COLUMNS)
+    + r""", keyed AS (SELECT *, trim(regexp_replace(lower(trim(doi)), '^(https://doi\.org/|http://doi\.org/|doi\.org/|doi:)', '')) AS d, regexp_replace(trim(lower(title)), '\s+', ' ', 'g') AS t FROM every),
+papers AS (SELECT * FROM keyed QUALIFY pos = min(pos) OVER (PARTITION BY CASE WHEN d <> '' THEN 'd:' || d WHEN t <> '' THEN 't:' || t ELSE 'p:' || pos END))"""
+)
+
+
+@query(f"{scored_sql().replace(PAPERS_SQL, UNIQUE_SQL)} SELECT pos, relevance_score, impact_score, preliminary_score FROM scored")
+def prepared_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw records cleaned, without duplicates, and scored."""
+    raw = papers(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in ("publication_year", "cited_by_count")}).withColumns({c: F.lit(None).cast("string") for c in ("keyword", "retrieved_at")})
+    return runs.prepare_baseline(raw, KEYWORD, REFERENCE_YEAR).select("pos", "relevance_score", "impact_score", "preliminary_score")
+
+
+STATS = "concat('{\"page_count\": ', CASE WHEN doc_id % 5 = 0 THEN 'null' ELSE CAST(doc_id % 9 AS STRING) END, CASE WHEN doc_id % 3 = 0 THEN ', \"status\": \"failed\", \"actual_result_count\": 7' ELSE '' END, CASE WHEN doc_id % 2 = 0 THEN ', \"elapsed_seconds\": 1.5, \"retry_count\": \"2\"' ELSE '' END, '}')"
+
+
+@query(
+    f"""WITH s AS (SELECT doc_id AS query_id, n_chars % 50 AS cleaned_result_count, CASE WHEN doc_id % 11 = 0 THEN '{{}}' ELSE {STATS} END AS j FROM documents)
+SELECT query_id, cleaned_result_count, CAST(coalesce(CAST(json_extract_string(j, '$.actual_result_count') AS INT), cleaned_result_count) AS INT) AS actual_result_count, coalesce(CAST(json_extract_string(j, '$.page_count') AS INT), 0) AS page_count, 0 AS request_count,
+coalesce(CAST(json_extract_string(j, '$.retry_count') AS INT), 0) AS retry_count, 0 AS duplicate_records_skipped, coalesce(json_extract_string(j, '$.status'), 'success') AS status, '' AS stopped_reason, coalesce(CAST(json_extract_string(j, '$.elapsed_seconds') AS DOUBLE), 0.0::DOUBLE) AS elapsed_seconds FROM s"""
+)
+def query_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What fetches tell of themselves, with a type and a default each."""
+    rows = table(spark, sf_dir, "documents").selectExpr("doc_id AS query_id", "n_chars % 50 AS cleaned_result_count", f"CASE WHEN doc_id % 11 <> 0 THEN {STATS} END AS stats")
+    return norm.query_stats(rows)
+
+
 #: Works that each language's acquisition query has found, with ids of their own.
 FOUND = PAPER_COLUMNS | {"openalex_id": "concat('P', doc_id)"}
 FOUND_SQL = _cte("papers", FOUND | {"pos": "row_number() OVER (PARTITION BY lang ORDER BY concat('P', doc_id), lower(split_part(text, chr(10), 1)))"})

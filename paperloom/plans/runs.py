@@ -134,6 +134,26 @@ class Run:
         self.save()
 
 
+#: Columns that each fetch must give, and the kinds that they may have.
+FETCHED = dict.fromkeys(("title", "authors", "abstract", "doi", "openalex_id", "source_name", "landing_page_url"), ("string",)) | {"pos": ("bigint", "int"), "publication_year": ("int", "bigint"), "cited_by_count": ("bigint", "int")}
+
+
+def check_fetched(rows: object, query_id: str) -> DataFrame:
+    """What a fetch gave, if it is a table of paper records; else an error that names the query."""
+    if not isinstance(rows, DataFrame):
+        raise ValueError(f"query {query_id}: the fetch gave no table but {type(rows).__name__}")
+    kinds = dict(rows.dtypes)
+    if wrong := [f"{c} {kinds.get(c, 'missing')}" for c, allowed in FETCHED.items() if kinds.get(c) not in allowed]:
+        raise ValueError(f"query {query_id}: {', '.join(wrong)}")
+    return rows
+
+
+def prepare_baseline(raw: DataFrame, keyword: str, reference_year: int, retrieved_at: str = "") -> DataFrame:
+    """Raw records (pos and the paper fields as text) cleaned, without duplicates by DOI or title, and scored: what a re-ranking starts from."""
+    kept = dedup.baseline(files.clean(raw, keyword, retrieved_at)).where("duplicate_reason IS NULL").drop("kept_pos", "kept_title", "duplicate_reason")
+    return score.with_scores(kept, keyword, reference_year)
+
+
 def run_pipeline(spark: SparkSession, settings: Settings, fetch: Fetch, labels: DataFrame | None = None) -> Run:
     """Fetch, clean, merge exact duplicates, queue suspected ones, score, re-rank and, with labels, evaluate."""
     settings.check()
@@ -152,7 +172,7 @@ def run_pipeline(spark: SparkSession, settings: Settings, fetch: Fetch, labels:
     try:
         parts = []
         for at, (query_id, keyword) in enumerate(settings.queries):
-            rows = fetch(spark, {"query_id": query_id, "keyword": keyword, "limit": settings.max_results_per_query})
+            rows = check_fetched(fetch(spark, {"query_id": query_id, "keyword": keyword, "limit": settings.max_results_per_query}), query_id)
             own = lambda v: F.array(F.lit(v))
             parts.append(
                 rows.withColumns({"query_ord": F.lit(at), "source_query_ids": own(query_id), "source_run_ids": own(run.config["run_id"]), "source_keywords": own(keyword), "run_id": F.lit(run.config["run_id"])})
