@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from paperloom.store import cut, small
+from paperloom.store import BROADCAST_ROWS, cut, small
 
 #: The range of ideographs that are read as pairs.
 IDEOGRAPHS = "[一-鿿]+"
@@ -39,19 +39,28 @@ def term_counts(df: DataFrame, texts: list[str], key: str = "pos", by: list[str]
     return cut(rows.groupBy(*by, key, "field", "token").agg(F.count("*").alias("tf")), "tf")
 
 
-def weighted(tf: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """tf with df, n, idf and weight; n counts empty texts too, and a null token weighs nothing.
+def _held(tf: DataFrame, group: list[str]) -> tuple[DataFrame, DataFrame]:
+    """((group, token, df), (group, n)): of one written table, as the null token of every text counts the texts, empty ones too.
 
-    Document frequencies are found by partial aggregation and broadcast while the vocabulary is small; beyond that a frequent token
-    is a hot key of one row on one side, which an adaptive join splits.
+    Both are broadcast while the vocabulary is small; beyond that a frequent token is a hot key of one row on one side, which an
+    adaptive join splits.
     """
-    by = by or []
-    group = [*by, "field"]
-    counts = small(cut(tf.where("token IS NULL").groupBy(*group).agg(F.count("*").alias("n")), "n"))
-    held = small(cut(tf.where("token IS NOT NULL").groupBy(*group, "token").agg(F.count("*").alias("df")), "df"))
-    joined = tf.join(held, [*group, "token"], "left").join(counts, group)
-    idf = F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
-    return joined.withColumn("idf", idf).withColumn("weight", F.col("tf") * F.col("idf"))
+    held = cut(tf.groupBy(*group, "token").agg(F.count("*").alias("df")), "df")
+    few = held.count() <= BROADCAST_ROWS
+    sides = held.where("token IS NOT NULL"), held.where("token IS NULL").select(*group, F.col("df").alias("n"))
+    return tuple(F.broadcast(t) for t in sides) if few else sides
+
+
+def _idf() -> Column:
+    return F.log((F.col("n") + 1) / (F.col("df") + 1)) + 1
+
+
+def weighted(tf: DataFrame, by: list[str] | None = None, held: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """tf with df, n, idf and weight; n counts empty texts too, and a null token weighs nothing."""
+    group = [*(by or []), "field"]
+    dfs, ns = held or _held(tf, group)
+    joined = tf.join(dfs, [*group, "token"], "left").join(ns, group)
+    return joined.withColumn("idf", _idf()).withColumn("weight", F.col("tf") * F.col("idf"))
 
 
 def term_weights(df: DataFrame, text: str, key: str = "pos", by: list[str] | None = None) -> DataFrame:
@@ -67,18 +76,21 @@ def query_similarities(df: DataFrame, texts: list[str], query: str | Mapping[str
     Only the query's few tokens get a share of the dot product; norms are a sum for each text, and one row a document is left.
     """
     by = by or []
-    weights = weighted(term_counts(df, texts, key, by), by)
+    group, tf = [*by, "field"], term_counts(df, texts, key, by)
+    held = _held(tf, group)
+    weights = weighted(tf, by, held)
     if isinstance(query, str):
         on, queries = ["token"], df.sparkSession.range(1).select(F.lit(query).alias("query"))
     else:
         on, queries = [*by, "token"], df.sparkSession.createDataFrame(list(query.items()), f"{by[0]} string, query string")
-    asked = queries.select(*on[:-1], F.explode(mixed_tokens(F.col("query"))).alias("token")).groupBy(*on).agg(F.count("*").alias("asked"))
-    with_query = weights.join(F.broadcast(asked), on, "left").withColumn("q", F.col("asked") * F.col("idf"))
+    asked = F.broadcast(queries.select(*on[:-1], F.explode(mixed_tokens(F.col("query"))).alias("token")).groupBy(*on).agg(F.count("*").alias("asked")))
+    with_query = weights.join(asked, on, "left").withColumn("q", F.col("asked") * F.col("idf"))
     of_field = lambda i, value: F.sum(F.when(F.col("field") == i, value))
     sums = with_query.groupBy(*by, key).agg(
         *[of_field(i, F.col("q") * F.col("weight")).alias(f"d{i}") for i in range(len(texts))], *[of_field(i, F.col("weight") * F.col("weight")).alias(f"n{i}") for i in range(len(texts))]
     )
-    terms = cut(with_query.where("q IS NOT NULL").select(*by, "field", "token", "q").distinct(), "terms")
+    # The query's norms need its tokens' frequencies alone, and no text.
+    terms = held[0].join(asked, on).join(held[1], group).withColumn("q", F.col("asked") * _idf())
     norms = terms.groupBy(*by).agg(*[of_field(i, F.col("q") * F.col("q")).alias(f"q{i}") for i in range(len(texts))])
     joined = sums.join(small(cut(norms, "norms")), by, "left") if by else sums.crossJoin(F.broadcast(norms))
     value = lambda i: F.coalesce(F.try_divide(F.col(f"d{i}"), F.sqrt(f"n{i}") * F.sqrt(f"q{i}")), F.lit(0.0))

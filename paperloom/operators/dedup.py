@@ -253,14 +253,20 @@ def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]
         yield pd.Series([ratio(a, b, c) for a, b, c in zip(left, right, least, strict=True)], dtype="float64")
 
 
-def _rare_tokens(f: DataFrame, least: float) -> DataFrame:
-    """(pos, token): the rarest tokens of each title, of which sets with a Jaccard similarity of ``least`` have one in common."""
-    tokens = f.select("pos", F.size("tokens").alias("n"), F.explode("tokens").alias("token"))
-    rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    order = Window.partitionBy("pos").orderBy("df", "token")
+def _prefix(least: float) -> Column:
+    """The rarest tokens of a title, of which sets with a Jaccard similarity of ``least`` have one in common; rare ones come first."""
+    n = F.size("rare")
     # Less by a hair, for products of doubles that a whole number should be.
-    needed = F.ceil(F.col("n") * F.lit(least) - 1e-9)
-    return tokens.join(rarity, "token").withColumn("r", F.row_number().over(order)).where(F.col("r") <= F.col("n") - needed + 1).select("pos", "token")
+    return F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.least(n, n - F.ceil(n * F.lit(least) - 1e-9) + 1)).cast("int"))
+
+
+def _with_rare(f: DataFrame) -> DataFrame:
+    """f with ``rare``, its tokens in the order of their rarity, ties by the token."""
+    tokens = f.select("pos", F.explode("tokens").alias("token"))
+    rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
+    listed = tokens.join(rarity, "token").groupBy(F.col("pos").alias("p")).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    none = F.array().cast("array<string>")
+    return f.join(listed, F.col("pos") == F.col("p"), "left").select(*f.columns, F.coalesce(F.col("r.token"), none).alias("rare"))
 
 
 def _may_pair(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
@@ -276,61 +282,61 @@ def characters_in_common(a: Column, b: Column) -> Column:
 
 
 def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65) -> DataFrame:
-    """All pairs that the rules on years, ids, DOIs and authors let through and whose titles may be alike enough.
+    """All pairs that the rules on years, ids, DOIs and authors let through and whose titles may be alike enough, each once.
+
+    Columns: l_ and r_ with the fields of the earlier and the later record, year_difference, jaccard, author_overlap. A pair comes by
+    one of three ways, so none comes twice and no pair is shuffled once it is found:
+
+    1. a title Jaccard of TITLE_SURE: it has a token in common among the rarest of both, and is found under the first of these;
+    2. less than that, but ``jaccard_least``, and an author overlap: found under its least surname with its first rare token;
+    3. less than that too, an author overlap, and perhaps a matching-blocks ratio of ``sequence_least``. The ratio is at most 2 x
+       characters in common / length of both, hence lengths differ by a bounded factor: such pairs meet by surname, span of years
+       and band of lengths. Inside the join the counts of characters are compared, then the edit distance, which is at most what
+       the matching blocks leave over of both; few pairs come out of it that aren't alike.
 
-    Title Jaccard of 0.80: a token in common among the rarest of both. Otherwise the authors overlap, so there is a surname in common,
-    and the titles have a Jaccard of ``jaccard_least``, so that surname comes with one of the rarest tokens, or a matching-blocks
-    ratio of ``sequence_least``. That ratio is at most 2 x characters in common / length of both, hence lengths differ by a bounded
-    factor: such pairs meet by surname, span of years and band of lengths. Inside the join the counts of characters are compared,
-    then the edit distance, which is at most what the matching blocks leave over of both; few pairs come out of it that aren't alike.
     Nothing is dropped for a frequent surname or token: within a span and band a surname's records are all compared by those bounds.
     """
-    f = cut(_fields(papers), "fields")
+    f = _with_rare(_fields(papers))
+    # Titles as alike as sequence_least differ in length by this factor at most, and so by one band.
+    anything = jaccard_least <= 0 or sequence_least <= 0
+    factor = (2 - sequence_least) / sequence_least * (1 + 1e-9) if not anything and sequence_least < 1 else 1e9
+    n = F.length("title")
+    counts = F.array(*[(n - F.length(F.replace("title", F.lit(c), F.lit("")))).cast("short") for c in TITLE_CHARACTERS])
+    f = f.withColumns({"n": n, "counts": counts, "band": F.floor(F.log(n) / F.log(F.lit(factor))).cast("int"), "span": F.floor(F.col("year") / (YEARS_APART + 1)), "names": F.array_distinct("surnames")})
+    f = cut(f, "fields")
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     ordered, other = x("pos") < y("pos"), _may_pair(x, y)
     alike = norm.overlap(x("tokens"), y("tokens"))
-    authors = norm.overlap(x("surnames"), y("surnames")) >= AUTHOR_LEAST
-    ij = [F.least(x("pos"), y("pos")).alias("i"), F.greatest(x("pos"), y("pos")).alias("j")]
+    authors = norm.overlap(x("surnames"), y("surnames"))
+    found_here = lambda key, column: F.get(F.array_intersect(x(column), y(column)), 0) == x(key)
+    least_name = F.array_min(F.array_intersect(x("surnames"), y("surnames"))) == x("surname")
+    met: list[tuple[DataFrame, DataFrame, Column]] = []
 
-    narrow = f.select("pos", "oid", "doi", "year", "surnames", "tokens")
-    by_token = cut(_rare_tokens(f, TITLE_SURE).join(narrow, "pos"), "by-token")
-    met = [by_token.alias("a").join(by_token.alias("b"), (x("token") == y("token")) & ordered & other & (alike >= TITLE_SURE)).select(*ij)]
-    anything = jaccard_least <= 0 or sequence_least <= 0
+    sure = f.withColumn("prefix", _prefix(TITLE_SURE)).withColumn("token", F.explode("prefix"))
+    met.append((sure, sure, (x("token") == y("token")) & ordered & other & (alike >= TITLE_SURE) & found_here("token", "prefix")))
     if not anything:
-        named = cut(_rare_tokens(f, jaccard_least).join(narrow, "pos").withColumn("surname", F.explode(F.array_distinct("surnames"))), "by-name-and-token")
-        met.append(named.alias("a").join(named.alias("b"), (x("surname") == y("surname")) & (x("token") == y("token")) & ordered & other & (alike >= jaccard_least) & authors).select(*ij))
-
+        named = f.withColumn("prefix", _prefix(jaccard_least)).withColumn("token", F.explode("prefix")).withColumn("surname", F.explode("names"))
+        nearly = (alike >= jaccard_least) & (alike < TITLE_SURE) & (authors >= AUTHOR_LEAST)
+        met.append((named, named, (x("surname") == y("surname")) & (x("token") == y("token")) & ordered & other & nearly & least_name & found_here("token", "prefix")))
     if sequence_least <= 1 or anything:
-        # Titles as alike as sequence_least differ in length by this factor at most, and so by one band.
-        factor = (2 - sequence_least) / sequence_least * (1 + 1e-9) if not anything and sequence_least < 1 else 1e9
-        band = F.floor(F.log(F.length("title")) / F.log(F.lit(factor))).cast("int")
-        counts = F.array(*[(F.length("title") - F.length(F.replace("title", F.lit(c), F.lit("")))).cast("short") for c in TITLE_CHARACTERS])
-        rows = f.select("pos", "oid", "doi", "year", "surnames", F.length("title").alias("n"), band.alias("band"), counts.alias("counts"), "title", F.floor(F.col("year") / (YEARS_APART + 1)).alias("span"), F.explode(F.array_distinct("surnames")).alias("surname"))
-        rows = cut(rows, "by-name")
+        rows = f.withColumn("surname", F.explode("names"))
         bags = edits = F.lit(True)
         if not anything:
             bags = 2.0 * characters_in_common(x("counts"), y("counts")) / (x("n") + y("n")) >= sequence_least
             left_over = F.floor((x("n") + y("n")) * F.lit(1.0 - sequence_least) + 1e-6).cast("int")
             edits = F.call_function("levenshtein", x("title"), y("title"), left_over) >= 0
-        # A pair with several surnames in common is found under the least of them.
-        least = F.array_min(F.array_intersect(x("surnames"), y("surnames"))) == x("surname")
-        pair = (x("surname") == y("surname")) & (x("near") == y("band")) & other & authors & least & bags & edits
+        apart = (alike < (TITLE_SURE if anything else min(jaccard_least, TITLE_SURE))) & (authors >= AUTHOR_LEAST)
+        pair = (x("surname") == y("surname")) & (x("near") == y("band")) & other & apart & least_name & bags & edits
         bands = rows.withColumn("near", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
         spans = bands.where("year IS NOT NULL").withColumn("to", F.explode(F.array(F.col("span"), F.col("span") + 1)))
-        met.append(spans.alias("a").join(rows.alias("b"), pair & (x("to") == y("span")) & ((x("span") < y("span")) | ordered)).select(*ij))
-        met.append(bands.where("year IS NULL").alias("a").join(rows.alias("b"), pair & (y("year").isNotNull() | ordered)).select(*ij))
-    pairs = reduce(DataFrame.unionByName, met).distinct()
-    left = f.select(*[F.col(c).alias(f"l_{c}") for c in f.columns])
-    right = f.select(*[F.col(c).alias(f"r_{c}") for c in f.columns])
-    full = pairs.join(left, F.col("i") == F.col("l_pos")).join(right, F.col("j") == F.col("r_pos"))
-    apart = F.coalesce(F.abs(F.col("l_year") - F.col("r_year")), F.lit(YEARS_UNKNOWN))
-    full = full.withColumns({"year_difference": apart, "jaccard": norm.overlap(F.col("l_tokens"), F.col("r_tokens")), "author_overlap": norm.overlap(F.col("l_surnames"), F.col("r_surnames"))})
-    return full.where(
-        ~((F.col("l_oid") != "") & (F.col("l_oid") == F.col("r_oid")))
-        & (F.col("l_year").isNull() | F.col("r_year").isNull() | (F.col("year_difference") <= YEARS_APART))
-        & ((F.col("l_doi") == "") | (F.col("r_doi") == "") | (F.col("l_doi") == F.col("r_doi")))
-        & ((F.col("author_overlap") >= AUTHOR_LEAST) | (F.col("jaccard") >= TITLE_SURE))
-    )
+        met.append((spans, rows, pair & (x("to") == y("span")) & ((x("span") < y("span")) | ordered)))
+        met.append((bands.where("year IS NULL"), rows, pair & (y("year").isNotNull() | ordered)))
+
+    shown = ("pos", "oid", "doi", "year", "title")
+    side = lambda p, first: [F.when(ordered == first, x(c)).otherwise(y(c)).alias(f"{p}_{c}") for c in shown]
+    years = F.coalesce(F.abs(x("year") - y("year")), F.lit(YEARS_UNKNOWN)).alias("year_difference")
+    told = [*side("l", F.lit(True)), *side("r", F.lit(False)), years, alike.alias("jaccard"), authors.alias("author_overlap")]
+    return reduce(DataFrame.unionByName, [a.alias("a").join(b.alias("b"), on).select(*told) for a, b, on in met])
 
 
 def suspected(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65, with_sequence: bool = True) -> DataFrame:
@@ -347,9 +353,9 @@ def suspected(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: flo
     else:
         pairs = pairs.where(F.col("jaccard") >= jaccard_least).withColumn("sequence", F.lit(0.0))
     return pairs.select(
-        norm.pair_id(F.coalesce(F.nullif(F.col("l_oid"), F.lit("")), F.col("i").cast("string")), F.coalesce(F.nullif(F.col("r_oid"), F.lit("")), F.col("j").cast("string"))).alias("pair_id"),
-        "i",
-        "j",
+        norm.pair_id(F.coalesce(F.nullif(F.col("l_oid"), F.lit("")), F.col("l_pos").cast("string")), F.coalesce(F.nullif(F.col("r_oid"), F.lit("")), F.col("r_pos").cast("string"))).alias("pair_id"),
+        F.col("l_pos").alias("i"),
+        F.col("r_pos").alias("j"),
         F.greatest("jaccard", "sequence").alias("title_similarity"),
         "author_overlap",
         "year_difference",

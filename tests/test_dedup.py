@@ -169,8 +169,8 @@ def test_a_frequent_surname_reaches_the_ratio_only_where_it_may(spark):
     rows = [(i, f"w{i}", "", " ".join(rng.choices(words, k=6)), "A Lee", 2000 + i % 20) for i in range(600)]
     rows += [(1000 + i, f"v{i}", "", rows[i][3][1:], "B Lee", rows[i][5]) for i in range(30)]
     df = spark.createDataFrame(rows, SCHEMA)
-    asked = dedup.candidate_pairs(df).select("i", "j").collect()
-    assert {(i, 1000 + i) for i in range(30)} <= {tuple(r) for r in asked}
+    asked = dedup.candidate_pairs(df).select("l_pos", "r_pos").collect()
+    assert {(i, 1000 + i) for i in range(30)} <= {tuple(r) for r in asked} and len({tuple(r) for r in asked}) == len(asked)
     assert len(asked) < 0.5 * sum(abs(a[5] - b[5]) <= 2 for k, a in enumerate(rows) for b in rows[k + 1 :])
 
 
