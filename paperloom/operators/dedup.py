@@ -244,7 +244,9 @@ def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]
     """
 
     def ratio(a: str, b: str, least: float) -> float:
-        if not a or not b or 2.0 * common_subsequence(a, b) / (len(a) + len(b)) < least:
+        if a == b:
+            return 1.0 if a else 0.0
+        if not a or not b or least >= 1 or 2.0 * common_subsequence(a, b) / (len(a) + len(b)) < least:
             return 0.0
         found = SequenceMatcher(None, a, b).ratio()
         return found if found >= least else 0.0
@@ -269,6 +271,12 @@ def _with_rare(f: DataFrame) -> DataFrame:
     return f.join(listed, F.col("pos") == F.col("p"), "left").select(*f.columns, F.coalesce(F.col("r.token"), none).alias("rare"))
 
 
+def _shared(a: Column, b: Column) -> Column:
+    """Jaccard similarity of two arrays without repeats; 0 for two empty ones."""
+    both = F.size(F.array_intersect(a, b))
+    return F.coalesce(F.try_divide(both.cast("double"), F.size(a) + F.size(b) - both), F.lit(0.0))
+
+
 def _may_pair(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
     """The rules on ids, DOIs and years."""
     same_id = (x("oid") != "") & (x("oid") == y("oid"))
@@ -306,18 +314,18 @@ def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_leas
     f = cut(f, "fields")
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
     ordered, other = x("pos") < y("pos"), _may_pair(x, y)
-    alike = norm.overlap(x("tokens"), y("tokens"))
-    authors = norm.overlap(x("surnames"), y("surnames"))
+    alike, authors = _shared(x("tokens"), y("tokens")), _shared(x("names"), y("names"))
+    near = F.least(F.size(x("tokens")), F.size(y("tokens"))) >= F.greatest(F.size(x("tokens")), F.size(y("tokens"))) * F.lit(min(jaccard_least, TITLE_SURE)) - 1e-9
     found_here = lambda key, column: F.get(F.array_intersect(x(column), y(column)), 0) == x(key)
     least_name = F.array_min(F.array_intersect(x("surnames"), y("surnames"))) == x("surname")
     met: list[tuple[DataFrame, DataFrame, Column]] = []
 
     sure = f.withColumn("prefix", _prefix(TITLE_SURE)).withColumn("token", F.explode("prefix"))
-    met.append((sure, sure, (x("token") == y("token")) & ordered & other & (alike >= TITLE_SURE) & found_here("token", "prefix")))
+    met.append((sure, sure, (x("token") == y("token")) & ordered & other & near & (alike >= TITLE_SURE) & found_here("token", "prefix")))
     if not anything:
         named = f.withColumn("prefix", _prefix(jaccard_least)).withColumn("token", F.explode("prefix")).withColumn("surname", F.explode("names"))
         nearly = (alike >= jaccard_least) & (alike < TITLE_SURE) & (authors >= AUTHOR_LEAST)
-        met.append((named, named, (x("surname") == y("surname")) & (x("token") == y("token")) & ordered & other & nearly & least_name & found_here("token", "prefix")))
+        met.append((named, named, (x("surname") == y("surname")) & (x("token") == y("token")) & ordered & other & near & nearly & least_name & found_here("token", "prefix")))
     if sequence_least <= 1 or anything:
         rows = f.withColumn("surname", F.explode("names"))
         bags = edits = F.lit(True)

@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from paperloom.functions.norm import clean_text
+from paperloom.store import cut
 
 from . import checks
 
@@ -188,7 +189,7 @@ def in_csv_files(files: DataFrame) -> DataFrame:
 
     A file whose structure is broken is not looked into further, but for the old one, whose faults are a warning with their number.
     """
-    cells = csv_cells(files.where(F.col("path").rlike(r"(?i)\.csv$") & ~fails_on_purpose(F.col("path"))))
+    cells = cut(csv_cells(files.where(F.col("path").rlike(r"(?i)\.csv$") & ~fails_on_purpose(F.col("path")))), "cells")
     path, name, value, old = F.col("path"), F.col("name"), F.col("value"), F.col("path") == OLD_LABELS
     at = F.concat_ws(":", F.col("row").cast("string"), name)
     said = lambda df, rule, severity=ERROR, detail=at: df.select(rule.alias("rule") if isinstance(rule, Column) else F.lit(rule).alias("rule"), path.alias("key"), detail.cast("string").alias("detail"), F.lit(severity).alias("severity"))
@@ -230,7 +231,8 @@ def gate(files: DataFrame, level: str = BASIC, folders: Sequence[str] = FOLDERS)
     """
     if level not in (BASIC, FULL):
         raise ValueError(f"level {level}")
-    files = files.select(clean_text(F.col("path")).alias("path"), "content")
+    # Written once, as each part of the gate reads it; so are the cells, which are parsed once.
+    files = cut(files.select(clean_text(F.col("path")).alias("path"), "content"), "files")
     as_error = lambda df: df.withColumn("severity", F.lit(ERROR))
     parts = [as_error(missing_folders(files, folders)), by_file(files, level), as_error(broken_links(files))]
     return checks.union(parts + [in_csv_files(files)] * (level == FULL))
