@@ -37,8 +37,8 @@ KEYS_SENT, ROWS_SENT, PLACES_SENT = 500_000, 500_000, 4_000_000
 class LineRuns:
     """Levels of sorted runs; ``add`` takes batches in the order of precedence."""
 
-    def __init__(self, spark: SparkSession, settled: int = LEAST_DOCS, fanout: int = FANOUT):
-        self.spark, self.settled, self.fanout = spark, settled, fanout
+    def __init__(self, spark: SparkSession, settled: int = LEAST_DOCS, fanout: int | None = None):
+        self.spark, self.settled, self.fanout = spark, settled, fanout or FANOUT
         self.buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.levels: list[list[DataFrame]] = []
 
@@ -56,7 +56,8 @@ class LineRuns:
         discard(run)
 
     def runs(self) -> list[DataFrame]:
-        return [run for level in self.levels for run in level]
+        """The runs, oldest first: those of a higher level are older, and so are those that came first in a level."""
+        return [run for level in reversed(self.levels) for run in level]
 
     def add(self, keys: DataFrame) -> None:
         """A batch's (key, holder), one row for each document that has the key: what isn't settled yet becomes a run."""
@@ -64,11 +65,7 @@ class LineRuns:
         for run in self.runs():
             known = run.where(F.col("n") >= self.settled).select(F.col("key").alias("known"))
             own = own.join(known.hint("merge"), F.col("key") == F.col("known"), "left_anti")
-        self._put(0, self._write(own.withColumn("turn", F.lit(self._turn()))))
-
-    def _turn(self) -> int:
-        self.turn = getattr(self, "turn", 0) + 1
-        return self.turn
+        self._put(0, self._write(own))
 
     def _put(self, level: int, run: DataFrame) -> None:
         while len(self.levels) <= level:
@@ -76,21 +73,24 @@ class LineRuns:
         self.levels[level].append(run)
         if len(self.levels[level]) == self.fanout:
             full, self.levels[level] = self.levels[level], []
-            self._put(level + 1, self._write(self._merged(full)))
+            self._put(level + 1, self._write(reduce(self._merged, full)))
             for r in full:
                 self._drop(r)
 
     @staticmethod
-    def _merged(runs: list[DataFrame]) -> DataFrame:
-        both = reduce(DataFrame.unionByName, runs)
-        return both.groupBy("key").agg(F.sum("n").alias("n"), F.min_by("holder", "turn").alias("holder"), F.min("turn").alias("turn"))
+    def _merged(older: DataFrame, newer: DataFrame) -> DataFrame:
+        """Two runs as one: counts add up, and the older run's holder stays. Both are in buckets, so neither moves."""
+        a, b = (df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("key", "n", "holder")]) for df, p in ((older, "a"), (newer, "b")))
+        both = a.join(b.hint("merge"), F.col("a_key") == F.col("b_key"), "full_outer")
+        n = F.coalesce("a_n", F.lit(0)) + F.coalesce("b_n", F.lit(0))
+        return both.select(F.coalesce("a_key", "b_key").alias("key"), n.alias("n"), F.when(F.col("a_n").isNotNull(), F.col("a_holder")).otherwise(F.col("b_holder")).alias("holder"))
 
     def frequent(self, least: int) -> DataFrame:
         """(key, holder) of the keys found in so many documents at least, up to the number at which keys are settled."""
         if least > self.settled:
             raise ValueError("keys are counted up to the number at which they are settled")
         runs = self.runs()
-        found = cut(self._merged(runs).where(F.col("n") >= least).select("key", "holder"), "frequent")
+        found = cut(reduce(self._merged, runs).where(F.col("n") >= least).select("key", "holder"), "frequent")
         for r in runs:
             self._drop(r)
         self.levels = []
