@@ -205,13 +205,14 @@ RESEARCH = ("en", "fr", "es", "de")
 
 @query(
     f"""{ranked_sql('grp').replace(PAPERS_SQL, FOUND_SQL)}, {STRATIFIED_SQL}
-SELECT printf('w4_rq%02d_%03d', list_position({list(RESEARCH)}, grp), row_number() OVER (PARTITION BY grp ORDER BY sha256(concat('v1|', grp, '|', openalex_id)))) AS pair_id, grp AS research_query_id, openalex_id, bucket AS selection_bucket,
+SELECT printf('w4_rq%02d_%03d', dense_rank() OVER (ORDER BY list_position({list(RESEARCH)}, grp)), row_number() OVER (PARTITION BY grp ORDER BY sha256(concat('v1|', grp, '|', openalex_id)))) AS pair_id, grp AS research_query_id, openalex_id, bucket AS selection_bucket,
 concat('["a-', grp, '"]') AS source_query_ids FROM picked"""
 )
 def built_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The pool of four research queries, from retrieved records to numbered pairs."""
+    """The pool of four research queries, or of those that have found enough, from retrieved records to numbered pairs."""
     rows = table(spark, sf_dir, "documents").selectExpr(*[f"{e} AS {c}" for c, e in FOUND.items() if c not in ("pos", "grp")], "array(concat('a-', lang)) AS source_query_ids", "array('r') AS source_run_ids")
-    queries = [{"research_query_id": q, "acquisition_query_ids": [f"a-{q}"], "ranking_keyword": KEYWORD} for q in RESEARCH]
+    enough = {r["lang"] for r in table(spark, sf_dir, "documents").groupBy("lang").agg(F.count("*").alias("n")).where(F.col("n") >= sampling.LEAST_ROWS).collect()}
+    queries = [{"research_query_id": q, "acquisition_query_ids": [f"a-{q}"], "ranking_keyword": KEYWORD} for q in RESEARCH if q in enough]
     return pool.build(rows, queries, "v1", REFERENCE_YEAR).select("pair_id", "research_query_id", "openalex_id", "selection_bucket", "source_query_ids")
 
 
