@@ -2,12 +2,14 @@ import hashlib
 import math
 import random
 from collections import Counter, defaultdict
+from pathlib import Path
 
+import duckdb
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from paperloom.llm import codes, lines, snapshot
+from paperloom.llm import codes, lines, registry, snapshot
 from paperloom.llm.registry import later_snapshot
 
 from .data import WORDS, documents, frame, text, with_clashes
@@ -258,3 +260,18 @@ def test_only_parts_that_moved_contribute():
     still = codes.Contributions(2, 5, 3)
     still.move(x, old, old)
     assert not still.counts.any() and not still.sums.any() and not still.changed
+
+
+@pytest.mark.parametrize("name", ["op11_snapshot_diff", "op12_line_dedup", "op13_vector_codes"])
+def test_queries_equal_their_sql(spark, name):
+    sf = Path("/root/testdata/sf0.001")
+    if not sf.is_dir():
+        pytest.skip("no test tables")
+    db = duckdb.connect()
+    for t in ("documents", "embeddings"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf}/{t}.parquet')")
+    got = registry.queries()[name](spark, str(sf))
+    found = db.execute(registry.oracle_sql()[name])
+    names = [d[0] for d in found.description]
+    assert sorted(names) == sorted(got.columns)
+    assert sorted(map(str, map(tuple, got.select(*names).collect()))) == sorted(map(str, found.fetchall()))
