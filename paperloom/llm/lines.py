@@ -79,7 +79,8 @@ class LineRuns:
 
     @staticmethod
     def _merged(older: DataFrame, newer: DataFrame) -> DataFrame:
-        """Two runs as one: counts add up, and the older run's holder stays. Both are in buckets, so neither moves."""
+        """Two runs as one: counts add up, and the older run's holder stays. Both are in buckets, so neither moves to be joined; the
+        merged run is dealt out to buckets again as it is written."""
         a, b = (df.select(*[F.col(c).alias(f"{p}_{c}") for c in ("key", "n", "holder")]) for df, p in ((older, "a"), (newer, "b")))
         both = a.join(b.hint("merge"), F.col("a_key") == F.col("b_key"), "full_outer")
         n = F.coalesce("a_n", F.lit(0)) + F.coalesce("b_n", F.lit(0))
