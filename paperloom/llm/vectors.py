@@ -8,12 +8,16 @@ codebook has seen, and up to all cells; the index and the visits take all rows.
 
 Equal vectors are counted before they move and take part once. A cell with many vectors is cut into blocks, and so are its
 visitors, so the comparisons of a hot cell are even pieces; a block hands on counts and a spanning forest, never its pairs.
+
+What is copied to the visited cells are codes, a byte a component. A code's distance from its vector is known, so the cosine of two
+codes bounds that of their vectors, and no pair at the threshold is passed over. The vectors themselves move to those blocks alone
+where a code has a partner within that bound, and decide there.
 """
 
 from __future__ import annotations
 
 import heapq
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -30,8 +34,8 @@ THRESHOLD = 0.95
 SAMPLE_ROWS, WORD_ROWS = 8192, 64
 #: Rows held out from them, about, on which visits are fitted; with fewer than the least every cell is visited.
 HELD_ROWS, LEAST_HELD = 4096, 64
-#: Vectors that a cell holds on average; codewords of a half at least and at most.
-CELL_ROWS, LEAST_WORDS, MOST_WORDS = 128, 4, 1024
+#: Vectors that a cell holds on average; codewords of a half at least and at most. Finer cells are visited in greater number.
+CELL_ROWS, LEAST_WORDS, MOST_WORDS = 1024, 4, 1024
 TARGET_RECALL = 0.995
 #: Vectors of a block, on either side.
 BLOCK_ROWS = 4096
@@ -128,25 +132,75 @@ class MultiIndex:
         return n, 1.0 if n == self.cells() else float((met <= n).mean())
 
 
+def coded(units: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(codes of a byte a component, the step of each row's code, its distance from the row at most)."""
+    step = np.abs(units).max(axis=1) / 127
+    codes = np.rint(units / step[:, None]).astype(np.int8)
+    gap = units - codes * step[:, None]
+    return codes, step, np.sqrt((gap * gap).sum(axis=1)) + 1e-12
+
+
+def _sides(cell: pd.DataFrame) -> tuple[pd.DataFrame, pd.DataFrame]:
+    """The members and the visitors of a block pair."""
+    return cell[~cell["visitor"]], cell[cell["visitor"]]
+
+
+def _once(members: pd.DataFrame, visitors: pd.DataFrame) -> Callable[[np.ndarray, np.ndarray], np.ndarray]:
+    """Tells which pairs of visitors i and members j count here: a pair that both sides find counts where the smaller visits the larger."""
+    vid, mid = visitors["vec_id"].to_numpy(), members["vec_id"].to_numpy()
+    homes, home = np.unique(visitors["home"].to_numpy(), return_inverse=True)
+    cells = np.stack(members["cells"].to_numpy())
+    place = np.searchsorted(homes, cells).clip(max=len(homes) - 1)
+    sees = np.zeros((len(members), len(homes)), bool)
+    row, k = np.nonzero(homes[place] == cells)
+    sees[row, place[row, k]] = True
+    return lambda i, j: (vid[i] < mid[j]) | ((vid[i] > mid[j]) & ~sees[j, home[i]])
+
+
+def _block_partners(key: tuple, cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
+    """The vectors of a block pair whose codes allow a link that counts here."""
+    members, visitors = _sides(cell)
+    none = pd.DataFrame({"cell": [], "m": [], "v": [], "vec_id": [], "part": [], "visitor": []})
+    if not len(members) or not len(visitors):
+        return none
+    floats = lambda side: np.frombuffer(b"".join(side["code"]), np.int8).reshape(len(side), -1).astype(np.float32)
+    m, v = floats(members), floats(visitors)
+    # Sums of single-precision products are off by no more than this.
+    least = threshold - m.shape[1] * 2.0**-22 - 1e-6
+    m_step, v_step, m_gap, v_gap = (side[c].to_numpy() for c in ("step", "gap") for side in (members, visitors))
+    partner_m, partner_v = np.zeros(len(m), bool), np.zeros(len(v), bool)
+    counts = _once(members, visitors)
+    for at in range(0, len(v), 512):
+        rows = slice(at, at + 512)
+        # u.v is at most the codes' product, plus the gaps, plus their product.
+        bound = (v[rows] @ m.T) * v_step[rows, None] * m_step + v_gap[rows, None] + m_gap + v_gap[rows, None] * m_gap
+        i, j = np.nonzero(bound >= least)
+        i += at
+        once = counts(i, j)
+        partner_v[i[once]] = True
+        partner_m[j[once]] = True
+    if not partner_m.any():
+        return none
+    taken = pd.concat([members[partner_m], visitors[partner_v]])
+    return taken[["vec_id", "part", "visitor"]].assign(cell=key[0], m=key[1], v=key[2])[list(none.columns)]
+
+
 def _block_links(cell: pd.DataFrame, threshold: float) -> pd.DataFrame:
     """For each vector of a block pair: links counted here, and the smallest vector that these links reach."""
-    members, visitors = cell[~cell["visitor"]], cell[cell["visitor"]]
+    members, visitors = _sides(cell)
     out = {"vec_id": [], "links": [], "reached": []}
     if not len(members) or not len(visitors):
         return pd.DataFrame(out).astype("int64")
     m, v = unit(np.stack(members["embedding"].to_numpy())), unit(np.stack(visitors["embedding"].to_numpy()))
     mid, vid = members["vec_id"].to_numpy(), visitors["vec_id"].to_numpy()
     m_mult, v_mult = members["copies"].to_numpy(), visitors["copies"].to_numpy()
-    sees = np.stack(members["cells"].to_numpy())
-    home = visitors["home"].to_numpy()
     x, y = [], []
     for at in range(0, len(v), 512):
         i, j = np.nonzero(v[at : at + 512] @ m.T >= threshold)
         x.append(i + at)
         y.append(j)
     i, j = np.concatenate(x), np.concatenate(y)
-    # A pair that both sides find counts where the smaller visits the larger.
-    once = (vid[i] != mid[j]) & ((vid[i] < mid[j]) | ~(sees[j] == home[i][:, None]).any(axis=1))
+    once = _once(members, visitors)(i, j)
     i, j = i[once], j[once]
     if not len(i):
         return pd.DataFrame(out).astype("int64")
@@ -221,15 +275,21 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
             for at, v in enumerate(vectors):
                 of_length.setdefault(len(v), []).append(at)
             cells = [np.zeros(0, np.int64)] * len(vectors)
+            codes, steps, gaps = [b""] * len(vectors), np.zeros(len(vectors)), np.zeros(len(vectors))
             for d, ats in of_length.items():
                 index, n_visits, _, base = indexes.get(d, (None, 1, 1.0, -d))
-                visited = index.visits(unit(np.array([vectors[at] for at in ats])), n_visits) if index else np.zeros((len(ats), 1), np.int64)
-                for at, row in zip(ats, visited + base, strict=True):
-                    cells[at] = row
+                units = unit(np.array([vectors[at] for at in ats]))
+                visited = index.visits(units, n_visits) if index else np.zeros((len(ats), 1), np.int64)
+                code, steps[ats], gaps[ats] = coded(units)
+                for at, row, c in zip(ats, visited + base, code, strict=True):
+                    cells[at], codes[at] = row, c.tobytes()
             home = pa.array([c[0] for c in cells], pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns, home, pa.array(cells, pa.list_(pa.int64()))], names=["node", "copies", "embedding", "home", "cells"])
+            yield pa.RecordBatch.from_arrays([*b.columns, home, pa.array(cells, pa.list_(pa.int64())), pa.array(codes, pa.binary()), pa.array(steps), pa.array(gaps)], names=names)
 
-    placed = cut(classes.mapInArrow(visit, "node long, copies long, embedding array<double>, home long, cells array<long>"), "placed")
+    # Classes of one smallest id are told apart by a hash of the vector.
+    kinds = {"node": "long", "copies": "long", "embedding": "array<double>", "part": "long", "home": "long", "cells": "array<long>", "code": "binary", "step": "double", "gap": "double"}
+    names = list(kinds)
+    placed = cut(classes.withColumn("part", F.xxhash64("embedding")).mapInArrow(visit, ", ".join(f"{c} {k}" for c, k in kinds.items())), "placed")
     # At most one row per cell of a grid, and a grid is bounded by MOST_WORDS.
     blocks = lambda c: F.ceil(F.col(c) / BLOCK_ROWS).cast("int")
     held = placed.groupBy(F.col("home").alias("cell")).agg(F.count("*").alias("members"))
@@ -237,12 +297,15 @@ def near_vectors(vectors: DataFrame, threshold: float = THRESHOLD, id_col: str =
     grid = cut(held.join(came, "cell").select("cell", blocks("members").alias("mb"), blocks("visitors").alias("vb")), "grid")
     own = lambda k: F.pmod(F.xxhash64("node"), F.col(k)).cast("int")
     upto = lambda k: F.explode(F.sequence(F.lit(0), F.col(k) - 1))
-    columns = ["node", "copies", "embedding", "home", "cells"]
-    as_member = placed.join(grid, F.col("home") == F.col("cell")).select("cell", own("mb").alias("m"), upto("vb").alias("v"), *columns, F.lit(False).alias("visitor"))
+    columns = ["node", "part", "code", "step", "gap", "home"]
+    as_member = placed.join(grid, F.col("home") == F.col("cell")).select("cell", own("mb").alias("m"), upto("vb").alias("v"), *columns, "cells", F.lit(False).alias("visitor"))
     as_visitor = placed.select(*columns, F.explode("cells").alias("at")).join(grid, F.col("at") == F.col("cell"))
-    as_visitor = as_visitor.select("cell", upto("mb").alias("m"), own("vb").alias("v"), "node", "copies", "embedding", "home", F.lit(None).cast("array<long>").alias("cells"), F.lit(True).alias("visitor"))
+    as_visitor = as_visitor.select("cell", upto("mb").alias("m"), own("vb").alias("v"), *columns, F.lit(None).cast("array<long>").alias("cells"), F.lit(True).alias("visitor"))
     pieces = as_member.unionByName(as_visitor).withColumnRenamed("node", "vec_id")
-    found = pieces.groupBy("cell", "m", "v").applyInPandas(lambda cell: _block_links(cell, threshold), "vec_id long, links long, reached long")
+    partners = pieces.groupBy("cell", "m", "v").applyInPandas(lambda key, cell: _block_partners(key, cell, threshold), "cell long, m int, v int, vec_id long, part long, visitor boolean")
+    partners = cut(partners, "partners")
+    close = placed.select(F.col("node").alias("vec_id"), "part", "copies", "embedding", "home", "cells").join(partners, ["vec_id", "part"])
+    found = close.groupBy("cell", "m", "v").applyInPandas(lambda cell: _block_links(cell, threshold), "vec_id long, links long, reached long")
     found = cut(found, "found")
     links = found.groupBy("vec_id").agg(F.sum("links").alias("links"))
     joined = cut(components(found.select(F.col("vec_id").alias("a"), F.col("reached").alias("b"))), "components")

@@ -230,6 +230,16 @@ def test_visits_reach_the_recall_on_rows_no_codebook_has_seen():
     assert n > 64 and 0.995 <= recall <= 1 and ((a == b[:, :1]).any(axis=1) | (b == a[:, :1]).any(axis=1)).mean() >= 0.99
 
 
+def test_codes_bound_the_cosine():
+    rng = np.random.default_rng(11)
+    spiky = rng.normal(size=(200, 300)) ** 7
+    for x in (points(200, 64, 12), vectors.unit(spiky), vectors.unit(np.eye(40) + 1e-9)):
+        codes, step, gap = vectors.coded(x)
+        told = (codes.astype(float) @ codes.T.astype(float)) * step[:, None] * step
+        assert (np.abs(told - x @ x.T) <= gap[:, None] + gap + gap[:, None] * gap + 1e-12).all()
+    assert vectors.coded(points(50, 384, 13))[2].max() < 0.02
+
+
 def test_traversal_visits_the_nearest_cells():
     x = points(500, 16, 3)
     index = vectors.MultiIndex.fit(x, 6)
