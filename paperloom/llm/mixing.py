@@ -6,9 +6,10 @@ min(cap, level x weight). With the sources in the order of cap / weight the clam
 the sources give that level at once, without a loop.
 
 Repetitions: target / size is a whole number of passes over a source and a fraction. The fraction is a seeded subset: documents
-have a uniform hash, the hashes fall in BINS bins, and whole bins are taken while they fit; in the bin where the target ends,
-documents are taken in the order of the hash. So a source misses its target by at most half a document, and no source is ever
-sorted or gathered as a whole.
+have a uniform hash of id and text, the hashes fall in bins of BIN_ROWS rows or fewer, and whole bins are taken while they fit; in
+the bin where the target ends, documents are taken in the order of the hash. So a source misses its target by at most half a
+document, and no source is ever sorted or gathered as a whole, not even where its rows have one id or none. How many bins there are
+changes the work alone, not what is taken.
 """
 
 from __future__ import annotations
@@ -21,7 +22,8 @@ from pyspark.sql import functions as F
 from .shared import cut, free_names
 
 MAX_EPOCHS = 3
-BINS = 4096
+#: Bins of all hashes at least, and rows of all sources to a bin.
+BINS, BIN_ROWS = 4096, 65_536
 BROADCAST_ROWS = 500_000
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -47,9 +49,9 @@ def source_targets(sizes: DataFrame, weights: Sequence[float], max_epochs: int =
     return clamped.select("source", "skey", "source_size", target.alias("target"))
 
 
-def _draw(doc_id: Column, seed: int) -> Column:
-    """A document's uniform number: 40 bits of an MD5, which any engine can tell."""
-    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"))), 1, 10), 16, 10).cast("long") / float(2**40)
+def _draw(doc_id: Column, text: Column, seed: int) -> Column:
+    """A document's uniform number: 40 bits of an MD5 of seed, id and the text's MD5, which any engine can tell; nulls are left out."""
+    return F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), doc_id.cast("string"), F.md5(text))), 1, 10), 16, 10).cast("long") / float(2**40)
 
 
 def _source_key(source: Column) -> Column:
@@ -62,13 +64,15 @@ def _small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
-def _planned(docs: DataFrame, weights: Sequence[float], seed: int, max_epochs: int, id_col: str, text_col: str, source_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(plan, planned, edge): per source whole passes, the last bin that is taken once more, and the bin where the target ends; per
+def _planned(docs: DataFrame, weights: Sequence[float], seed: int, max_epochs: int, id_col: str, text_col: str, source_col: str) -> tuple[int, DataFrame, DataFrame, DataFrame]:
+    """(bins, plan, planned, edge): the number of bins; per source whole passes, the last bin that is taken once more, and the bin where the target ends; per
     row its size, bin and plan; and the (skey, id, text hash) that are taken once more in the bins where targets end."""
     rows = docs.select(
-        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _source_key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"), _draw(F.col(id_col), seed).alias("u")
+        F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), _source_key(F.col(source_col)).alias("skey"), word_count(F.col(text_col)).alias("size"), F.xxhash64(text_col).alias("text_hash"), _draw(F.col(id_col), F.col(text_col), seed).alias("u")
     )
-    sizes = cut(rows.withColumn("bin", F.floor(F.col("u") * BINS).cast("int")), "sizes")
+    sizes = cut(rows, "sizes")
+    number = max(BINS, 1 << (sizes.count() // BIN_ROWS).bit_length())
+    sizes = sizes.withColumn("bin", F.floor(F.col("u") * number).cast("int"))
     targets = source_targets(sizes, weights, max_epochs)
     bins = sizes.groupBy("skey", "bin").agg(F.sum("size").alias("words"))
     through = F.sum("words").over(Window.partitionBy("skey").orderBy("bin"))
@@ -86,17 +90,17 @@ def _planned(docs: DataFrame, weights: Sequence[float], seed: int, max_epochs: i
     units = planned.where((F.col("bin") == F.col("edge")) & (F.col("whole") < max_epochs)).groupBy("skey", "u", "doc_id", "text_hash", "rest").agg(F.sum("size").alias("size"))
     run = F.sum("size").over(Window.partitionBy("skey").orderBy("u", "doc_id", "text_hash").rowsBetween(Window.unboundedPreceding, 0))
     taken = units.withColumn("run", run).where(F.col("run") - F.col("size") / 2 <= F.col("rest"))
-    return plan, planned, cut(taken.select("skey", "doc_id", "text_hash"), "edge")
+    return number, plan, planned, cut(taken.select("skey", "doc_id", "text_hash"), "edge")
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int = 23, max_epochs: int = MAX_EPOCHS, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
     """One row per row of docs: doc_id, source, size, source_size, target, copies, taken.
 
     size: words of the text (null: 0). The budget is the sum of all sizes. Sources whose words are none have target 0. A null
-    source is a source of its own, and null ids draw as one id. Rows that repeat id and text are taken alike. Empty tables
+    source is a source of its own, and null ids draw by their text. Rows that repeat id and text are taken alike. Empty tables
     give empty tables; other columns are ignored, whatever their names.
     """
-    _, planned, edge = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
+    _, _, planned, edge = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
     at_edge = F.col("edge").isNotNull() & (F.col("bin") == F.col("edge"))
     rows = planned.join(_small(edge.select(F.col("skey").alias("k"), F.col("doc_id").alias("d"), F.col("text_hash").alias("t"), F.lit(1).alias("drawn"))), at_edge & (F.col("skey") == F.col("k")) & F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_hash") == F.col("t")), "left")
     extra = F.when(at_edge, F.coalesce("drawn", F.lit(0))).when((F.col("bin") <= F.col("last_bin")) & (F.col("whole") < max_epochs), 1).otherwise(0)
@@ -110,9 +114,9 @@ def repeat_docs(docs: DataFrame, weights: Sequence[float] = (5, 2, 1), seed: int
     The texts don't move: a row's copies follow from its source's plan, and the few rows that are taken once more where a target
     ends are looked up by source, id and hash of the text. Both tables are broadcast up to BROADCAST_ROWS rows, else joined.
     """
-    plan, _, edge = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
+    number, plan, _, edge = _planned(docs, weights, seed, max_epochs, id_col, text_col, source_col)
     key, draw, text_hash, own, whole, last, ends, k, d, t, drawn, copies, copy = free_names(docs.columns, "key", "draw", "text_hash", "own", "whole", "last", "ends", "k", "d", "t", "drawn", "copies", "copy")
-    rows = docs.withColumns({key: _source_key(F.col(source_col)), draw: F.floor(_draw(F.col(id_col), seed) * BINS), text_hash: F.xxhash64(text_col)})
+    rows = docs.withColumns({key: _source_key(F.col(source_col)), draw: F.floor(_draw(F.col(id_col), F.col(text_col), seed) * number), text_hash: F.xxhash64(text_col)})
     plan = plan.select(F.col("skey").alias(own), F.col("whole").alias(whole), F.col("last_bin").alias(last), F.col("edge").alias(ends))
     edge = edge.select(F.col("skey").alias(k), F.col("doc_id").alias(d), F.col("text_hash").alias(t), F.lit(1).alias(drawn))
     at_edge = F.col(ends).isNotNull() & (F.col(draw) == F.col(ends))

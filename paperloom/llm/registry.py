@@ -150,7 +150,7 @@ def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 OP9_SQL = r"""
 WITH s AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size,
-    ('0x' || substr(md5('23:' || CAST(doc_id AS VARCHAR)), 1, 10))::BIGINT / 1099511627776.0::DOUBLE AS u FROM documents),
+    ('0x' || substr(md5(concat_ws(':', '23', CAST(doc_id AS VARCHAR), md5(text))), 1, 10))::BIGINT / 1099511627776.0::DOUBLE AS u FROM documents),
 b AS (SELECT *, CAST(floor(u * 4096) AS INTEGER) AS bin, coalesce('=' || source, '') AS skey FROM s),
 t AS (SELECT skey, any_value(source) AS source, CAST(sum(size) AS BIGINT) AS source_size FROM b GROUP BY skey),
 w AS (SELECT *, [5.0::DOUBLE, 2.0, 1.0][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight, source_size * 3 AS cap, CAST(sum(source_size) OVER () AS BIGINT) AS total FROM t),

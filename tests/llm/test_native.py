@@ -155,6 +155,23 @@ def test_mix(spark):
     assert mixing.mix(frame(spark, [])).collect() == []
 
 
+def test_rows_of_one_id_or_none_are_spread_over_bins(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "BINS", 1)
+    monkeypatch.setattr(mixing, "BIN_ROWS", 8)
+    rows = [(None if i % 2 else 7, f"{'word ' * (i % 9)}t{i}", "en", "hot" if i % 10 else "small", 0) for i in range(1200)]
+    df = frame(spark, rows)
+    bins, _, planned, edge = mixing._planned(df, (5, 2, 1), 23, 3, "doc_id", "text", "source")
+    most = planned.groupBy("skey", "bin").count().agg(F.max("count")).first()[0]
+    assert bins == 256 and most < 30 and edge.count() < 60
+    got = mixing.mix(df).groupBy("source").agg(F.sum("taken").alias("taken"), F.max("target").alias("target")).collect()
+    assert len(got) == 2 and all(abs(r["taken"] - r["target"]) <= 5 for r in got)
+    monkeypatch.undo()
+    told = lambda: sorted((r["source"], r["size"], r["copies"]) for r in mixing.mix(df).collect())
+    few = told()
+    monkeypatch.setattr(mixing, "BINS", 300)
+    assert told() == few
+
+
 def test_mix_of_null_and_repeated_ids(spark):
     """Rows without an id, and rows that repeat one, stand in the mix as often as ``mix`` says."""
     rows = [(None if i % 3 else i % 40, f"{'word ' * (i % 17)}{i % 90}", "en", ["a", "b", "c", None][i % 7 % 4], 0) for i in range(900)]
