@@ -3,8 +3,11 @@
 1. LABELLERS look at each whole text and vote good, bad or nothing; they overlap and none is right alone.
 2. The votes of all documents are counted by pattern, of which there are at most 3 to the number of labellers. Expectation
    maximisation over these counts estimates each labeller's accuracy on either class, and every pattern's posterior.
-3. The posteriors of a bounded sample of documents (SAMPLE_DOCS) are the labels of a linear scorer on hashed features of words.
+3. The posteriors of a bounded sample of documents (SAMPLE_DOCS, SAMPLE_FEATURES) are the labels of a linear scorer on hashed
+   features of words.
 4. The scorer judges every document; its weights, 2**HASH_BITS of them, are all that is broadcast.
+
+A word ends at a blank; of scripts without spaces (U+3000 to U+9FFF) every character is a word.
 """
 
 from __future__ import annotations
@@ -23,10 +26,14 @@ from .shared import cut
 
 #: Documents on which the scorer is trained, at most about so many.
 SAMPLE_DOCS = 6000
+#: Features of all these documents together, at most; a document has 2**HASH_BITS at most.
+SAMPLE_FEATURES = 1 << 22
 HASH_BITS = 14
 BAD, GOOD, ABSTAIN = 0, 1, 2
 _BYTES = np.arange(256)
 _BLANK = np.isin(_BYTES, [0x20, *range(0x09, 0x0E)])
+#: First bytes of U+3000 to U+9FFF, which take three each.
+_WIDE = (_BYTES >= 0xE3) & (_BYTES <= 0xE9)
 _UPPER = (_BYTES >= 0x41) & (_BYTES <= 0x5A)
 _LETTER = _UPPER | ((_BYTES >= 0x61) & (_BYTES <= 0x7A))
 _SYMBOL = np.isin(_BYTES, [ord(c) for c in "#$%&*@^~=+<>{}[]\\_`"])
@@ -53,8 +60,12 @@ def _seen(raw: list[bytes]) -> tuple[np.ndarray, dict[str, np.ndarray], dict[str
     buf = np.frombuffer(b"\n" + b"\n".join([*raw, b""]), np.uint8)
     text_at = 1 + np.concatenate([[0], np.cumsum(np.fromiter((len(r) + 1 for r in raw), np.int64, len(raw)))])
     blank = _BLANK[buf]
-    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
-    starts, ends = edge[::2], edge[1::2]
+    wide = _WIDE[buf]
+    begins, stops = np.zeros(len(buf), bool), np.zeros(len(buf), bool)
+    begins[1:] = ~blank[1:] & (blank[:-1] | wide[1:])
+    begins[3:] |= ~blank[3:] & wide[:-3]
+    stops[1:] = ~blank[:-1] & (blank[1:] | begins[1:])
+    starts, ends = np.flatnonzero(begins), np.flatnonzero(stops)
     per_text = lambda table: np.diff(np.concatenate([[0], np.cumsum(table[buf], dtype=np.int32)])[text_at]).astype(float)
     chars = {"letters": per_text(_LETTER), "chars": per_text(~_BLANK), "upper": per_text(_UPPER), "symbols": per_text(_SYMBOL), "marks": per_text(_MARK)}
     first_shape, last_shape = _SHAPE[buf[starts]], _SHAPE[buf[ends - 1]]
@@ -75,7 +86,7 @@ def _pieces(raw: bytes) -> Iterator[bytes]:
     at = 0
     while at < len(raw):
         end = at + PIECE_BYTES
-        while end < len(raw) and not _BLANK[raw[end]]:
+        while end < len(raw) and not _BLANK[raw[end]] and not _WIDE[raw[end]]:
             end += 1
         yield raw[at:end]
         at = end
@@ -235,7 +246,8 @@ class Model(NamedTuple):
 def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Labels from the votes of all documents, and the scorer from a sample that a hash of id and text draws.
 
-    Of rows that repeat id and text the sample holds one, with their number; so many copies don't make it larger. Null texts vote
+    Of rows that repeat id and text the sample holds one, with their number; so many copies don't make it larger. Where its
+    documents are so long that they have more than SAMPLE_FEATURES features, it ends, in the order of the hash, before that. Null texts vote
     as empty ones do, on nothing. An empty table gives a model that knows nothing. Other columns are ignored.
     """
     n = docs.count()
@@ -260,11 +272,14 @@ def fit(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample_
     voted = cut(rows.mapInArrow(run, "drawn long, pattern long, slots array<long>, shares array<double>"), "votes")
     labels = estimate({r["pattern"]: r["n"] for r in voted.groupBy("pattern").agg(F.count("*").alias("n")).collect()})
     one = voted.where("drawn IS NOT NULL").groupBy("drawn").agg(F.min(F.struct("pattern", "slots", "shares")).alias("seen"), F.count("*").alias("n"))
-    sample = sorted(tuple(r) for r in one.select("drawn", "seen.*", "n").collect())
-    lengths = [len(r[2]) for r in sample]
-    flat = lambda i, kind: np.array([x for r in sample for x in r[i]], kind)
-    target = np.array([labels.posterior[r[1]] for r in sample])
-    return Model(labels, train(np.repeat(np.arange(len(sample)), lengths), flat(2, np.int64), flat(3, float), target, np.array([r[4] for r in sample], float)))
+    one = cut(one.select("drawn", "seen.*", "n"), "sample")
+    held = one.select("drawn", F.size("slots").alias("features")).toArrow().sort_by("drawn")
+    fits = int((np.cumsum(held.column("features").to_numpy()) <= SAMPLE_FEATURES).sum())
+    sample = (one.where(F.col("drawn") <= held.column("drawn")[fits - 1].as_py()) if fits else one.limit(0)).toArrow().sort_by("drawn")
+    column = lambda name: sample.column(name).combine_chunks()
+    lengths = column("slots").value_lengths().to_numpy()
+    target = np.array([labels.posterior[p] for p in column("pattern").to_pylist()])
+    return Model(labels, train(np.repeat(np.arange(len(target)), lengths), column("slots").flatten().to_numpy(), column("shares").flatten().to_numpy(), target, column("n").to_numpy().astype(float)))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

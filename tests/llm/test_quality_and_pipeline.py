@@ -91,7 +91,7 @@ def test_estimation_equals_plain_code():
 def plain_look(text):
     """(shares, words as (bytes, shape, repeats)) of one text, character by character."""
     raw = text.encode()
-    words = re.findall(rb"[^\x20\x09-\x0D]+", raw)
+    words = [w.encode() for w in re.findall("[\u3000-\u9fff]|[^\x20\x09-\x0D\u3000-\u9fff]+", text)]
     n = len(words)
     letters = [b for b in raw if chr(b).isascii() and chr(b).isalpha()]
     symbols = b"#$%&*@^~=+<>{}[]\\_`"
@@ -131,6 +131,29 @@ def test_what_is_seen_of_texts_equals_plain_code(tables, monkeypatch):
             assert [(int(s), bool(r)) for s, r in zip(looks.shapes[a:b], looks.repeats[a:b], strict=True)] == [w[1:] for w in words]
 
 
+def test_scripts_without_spaces_have_words_and_votes():
+    rng = random.Random(8)
+    chinese = "".join(chr(rng.randrange(0x4E00, 0x5200)) if i % 12 else "\u3002" for i in range(30000))
+    mixed = "Spark \u8fd0\u884c SQL\u67e5\u8be2 caf\u00e9 \u3053\u3093"
+    looks = quality.look([chinese, "\u5783\u573e" * 4000, mixed, "\uc548\ub155 \uc138\uacc4"])
+    assert looks.n.tolist() == [30000, 8000, 9, 2]
+    votes = quality.votes(looks)
+    assert (votes[0] != quality.ABSTAIN).any() and not (votes[0] == quality.BAD).any() and (votes[1] == quality.BAD).sum() >= 2
+
+
+def test_the_sample_is_bounded_in_features(spark, monkeypatch):
+    """Long documents make it smaller by whole documents, in the order of their hash."""
+    rng = random.Random(5)
+    rows = [(i, " ".join(f"w{rng.randrange(10**6)}" for _ in range(400)), "", "", 0) for i in range(60)]
+    held = []
+    real = quality.train
+    monkeypatch.setattr(quality, "train", lambda row, slot, value, target, times: held.append((len(target), len(slot))) or real(row, slot, value, target, times))
+    quality.fit(frame(spark, rows))
+    monkeypatch.setattr(quality, "SAMPLE_FEATURES", 5000)
+    quality.fit(frame(spark, rows))
+    assert held[0][0] == 60 and held[0][1] > 20000 and 10 <= held[1][0] < 15 and 4000 < held[1][1] <= 5000
+
+
 def test_copies_and_null_ids_do_not_enlarge_the_sample(spark, monkeypatch):
     """All rows of one id, or of none, would be drawn all or none by a hash of the id."""
     rng = random.Random(3)
@@ -213,7 +236,8 @@ def plain_mixing(rows):
         held = sum(size[i] for i in at)
         whole = int(targets[s] // held) if held else 0
         more = targets[s] - whole * held
-        draw = {i: int(hashlib.md5(f"23:{rows[i][0]}".encode()).hexdigest()[:10], 16) / 2**40 for i in at}
+        md5 = lambda s: hashlib.md5(s.encode()).hexdigest()
+        draw = {i: int(md5(f"23:{rows[i][0]}" + ("" if rows[i][1] is None else ":" + md5(rows[i][1])))[:10], 16) / 2**40 for i in at}
         bins = {}
         for i in at:
             bins.setdefault(int(draw[i] * mixing.BINS), []).append(i)
