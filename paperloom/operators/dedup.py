@@ -16,12 +16,14 @@ from pyspark.sql.types import DoubleType
 
 from paperloom.functions import norm
 from paperloom.operators.components import components
-from paperloom.store import cut, discard, free_names
+from paperloom.store import cut, discard, free_names, small
 
 #: Fixed values of the rule for suspected pairs.
 AUTHOR_LEAST, TITLE_SURE, YEARS_APART, YEARS_UNKNOWN = 0.3, 0.80, 2, 999
 #: Records of a component that one task decides in one pass.
 REPLAYED = 100_000
+#: Records of one title or surname that are compared with one another in a block.
+SPREAD = 4_096
 #: All characters of a strict title key.
 TITLE_CHARACTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -262,13 +264,12 @@ def _prefix(least: float) -> Column:
     return F.slice("rare", F.lit(1), F.greatest(F.lit(0), F.least(n, n - F.ceil(n * F.lit(least) - 1e-9) + 1)).cast("int"))
 
 
-def _with_rare(f: DataFrame) -> DataFrame:
-    """f with ``rare``, its tokens in the order of their rarity, ties by the token."""
-    tokens = f.select("pos", F.explode("tokens").alias("token"))
+def _with_rare(titles: DataFrame) -> DataFrame:
+    """(tid, rare): the tokens of each title in the order of their rarity among titles, ties by the token."""
+    tokens = titles.select("tid", F.explode(norm.title_tokens(F.col("title"))).alias("token"))
     rarity = tokens.groupBy("token").agg(F.count("*").alias("df"))
-    listed = tokens.join(rarity, "token").groupBy(F.col("pos").alias("p")).agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
-    none = F.array().cast("array<string>")
-    return f.join(listed, F.col("pos") == F.col("p"), "left").select(*f.columns, F.coalesce(F.col("r.token"), none).alias("rare"))
+    listed = tokens.join(rarity, "token").groupBy("tid").agg(F.array_sort(F.collect_list(F.struct("df", "token"))).alias("r"))
+    return listed.select("tid", F.col("r.token").alias("rare"))
 
 
 def _shared(a: Column, b: Column) -> Column:
@@ -289,77 +290,148 @@ def characters_in_common(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda u, v: F.least(u, v)), F.lit(0), lambda t, v: t + v)
 
 
-def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65) -> DataFrame:
-    """All pairs that the rules on years, ids, DOIs and authors let through and whose titles may be alike enough, each once.
+def _dealt(rows: DataFrame, n: str) -> DataFrame:
+    """rows with ``block``, one of as many as the key's ``n`` rows need, and their number."""
+    blocks = F.ceil(F.col(n) / SPREAD).cast("int")
+    return rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("pos"), blocks).cast("int")})
 
-    Columns: l_ and r_ with the fields of the earlier and the later record, year_difference, jaccard, author_overlap. A pair comes by
-    one of three ways, so none comes twice and no pair is shuffled once it is found:
 
-    1. a title Jaccard of TITLE_SURE: it has a token in common among the rarest of both, and is found under the first of these;
-    2. less than that, but ``jaccard_least``, and an author overlap: found under its least surname with its first rare token;
-    3. less than that too, an author overlap, and perhaps a matching-blocks ratio of ``sequence_least``. The ratio is at most 2 x
-       characters in common / length of both, hence lengths differ by a bounded factor: such pairs meet by surname, span of years
-       and band of lengths. Inside the join the counts of characters are compared, then the edit distance, which is at most what
-       the matching blocks leave over of both; few pairs come out of it that aren't alike.
+def _within(rows: DataFrame, key: str, on: Column) -> DataFrame:
+    """All pairs a, b of dealt rows that share the key, each once and in either order; a key with most of the rows is many tasks."""
+    each = rows.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
+    once = (F.col("a.block") < F.col("a.to")) | (F.col("a.pos") < F.col("b.pos"))
+    return each.alias("a").join(rows.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.to") == F.col("b.block")) & once & on)
 
-    Nothing is dropped for a frequent surname or token: within a span and band a surname's records are all compared by those bounds.
-    """
-    f = _with_rare(_fields(papers))
-    # Titles as alike as sequence_least differ in length by this factor at most, and so by one band.
+
+#: What is told of a record of a pair.
+SHOWN = ("pos", "oid", "doi", "year")
+
+
+def _told(jaccard: Column, authors: Column, titles: bool) -> list[Column]:
+    """The columns of a pair of a and b, the earlier record first."""
+    x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
+    ordered, none = x("pos") < y("pos"), F.lit(None).cast("string")
+    side = lambda p, first: [*[F.when(ordered == first, x(c)).otherwise(y(c)).alias(f"{p}_{c}") for c in SHOWN], (F.when(ordered == first, x("title")).otherwise(y("title")) if titles else none).alias(f"{p}_title")]
+    years = F.coalesce(F.abs(x("year") - y("year")), F.lit(YEARS_UNKNOWN)).alias("year_difference")
+    return [*side("l", F.lit(True)), *side("r", F.lit(False)), years, jaccard.alias("jaccard"), authors.alias("author_overlap")]
+
+
+def _crossed(cross: DataFrame, authors: Column, texts: bool) -> DataFrame:
+    """The pairs of records of two titles; a row has both titles if anybody will read them."""
+    if not texts:
+        return cross.select(*_told(F.col("a.jaccard"), authors, False))
+    a_first = F.col("a.pos") < F.col("b.pos")
+    told = _told(F.col("a.jaccard"), authors, False)
+    out = cross.select(*told, F.col("a.title_few").alias("few"), F.col("a.title_many").alias("many"), a_first.alias("first"))
+    return out.withColumns({"l_title": F.when(F.col("first"), F.col("few")).otherwise(F.col("many")), "r_title": F.when(F.col("first"), F.col("many")).otherwise(F.col("few"))}).drop("few", "many", "first")
+
+
+def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tuple[DataFrame, DataFrame]:
+    """``candidate_pairs`` of one title, and those of two."""
+    # Written, as the key of a title is several regular expressions, which both readers would work out again.
+    f = cut(_fields(papers).select(*SHOWN, "title", F.array_distinct("surnames").alias("names")), "fields").withColumn("digest", F.substring(F.unhex(F.sha2("title", 256)), 1, 16))
+    titles = f.groupBy("digest").agg(F.first("title").alias("title"), F.count("*").alias("copies")).withColumn("tid", F.monotonically_increasing_id())
+    titles = cut(titles, "titles")
+    of_title = titles.select("digest", "tid", "copies", (F.size(norm.title_tokens(F.col("title"))) > 0).alias("told"))
+    records = cut(_dealt(f.select(*SHOWN, "names", "digest").join(of_title, "digest").drop("digest"), "copies"), "records")
+    titles = titles.select("tid", "title", "copies")
+    prefixes = cut(_with_rare(titles), "rare")
     anything = jaccard_least <= 0 or sequence_least <= 0
-    factor = (2 - sequence_least) / sequence_least * (1 + 1e-9) if not anything and sequence_least < 1 else 1e9
-    n = F.length("title")
-    counts = F.array(*[(n - F.length(F.replace("title", F.lit(c), F.lit("")))).cast("short") for c in TITLE_CHARACTERS])
-    f = f.withColumns({"n": n, "counts": counts, "band": F.floor(F.log(n) / F.log(F.lit(factor))).cast("int"), "span": F.floor(F.col("year") / (YEARS_APART + 1)), "names": F.array_distinct("surnames")})
-    f = cut(f, "fields")
+    texts = sequence_least <= 1 or anything
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    ordered, other = x("pos") < y("pos"), _may_pair(x, y)
-    alike, authors = _shared(x("tokens"), y("tokens")), _shared(x("names"), y("names"))
-    near = F.least(F.size(x("tokens")), F.size(y("tokens"))) >= F.greatest(F.size(x("tokens")), F.size(y("tokens"))) * F.lit(min(jaccard_least, TITLE_SURE)) - 1e-9
-    found_here = lambda key, column: F.get(F.array_intersect(x(column), y(column)), 0) == x(key)
-    least_name = F.array_min(F.array_intersect(x("surnames"), y("surnames"))) == x("surname")
-    met: list[tuple[DataFrame, DataFrame, Column]] = []
-
-    sure = f.withColumn("prefix", _prefix(TITLE_SURE)).withColumn("token", F.explode("prefix"))
-    met.append((sure, sure, (x("token") == y("token")) & ordered & other & near & (alike >= TITLE_SURE) & found_here("token", "prefix")))
+    other, authors = _may_pair(x, y), _shared(x("names"), y("names"))
+
+    # One title: its tokens are in common, or it has none and the ratio of 1 decides, which asks for authors.
+    wordless = (authors >= AUTHOR_LEAST) if texts else F.lit(False)
+    same = _within(records, "tid", other & (x("told") | wordless)).select(*_told(x("told").cast("double"), authors, False))
+
+    # Two titles as alike as TITLE_SURE, each pair of titles once; then their records, those of the rarer title sent to the other's blocks.
+    n = F.size("rare")
+    head = lambda least: prefixes.select("tid", n.cast("int").alias("n"), F.posexplode(_prefix(least)).alias("i", "token"))
+
+    def near(least: float) -> Column:
+        # The shared token's places bound what the sets have in common.
+        most = 1 + F.least(x("n") - 1 - x("i"), y("n") - 1 - y("i"))
+        return (F.least(x("n"), y("n")) >= F.greatest(x("n"), y("n")) * F.lit(least) - 1e-9) & (most >= (x("n") + y("n")) * F.lit(least / (1 + least)) - 1e-6)
+
+    sure = head(TITLE_SURE)
+    met = sure.alias("a").join(sure.alias("b"), (x("token") == y("token")) & (x("tid") < y("tid")) & near(TITLE_SURE)).select(x("tid").alias("ta"), y("tid").alias("tb")).distinct()
+    of = lambda p: titles.select(F.col("tid").alias(f"t{p}"), F.col("title").alias(f"title_{p}"), F.col("copies").alias(f"n{p}"))
+    alike = _shared(norm.title_tokens(F.col("title_a")), norm.title_tokens(F.col("title_b")))
+    twins = met.join(of("a"), "ta").join(of("b"), "tb").withColumn("jaccard", alike).where(F.col("jaccard") >= TITLE_SURE)
+    turned = F.col("na") > F.col("nb")
+    pick = lambda p, q, c: F.when(turned, F.col(q)).otherwise(F.col(p)).alias(c)
+    twins = cut(twins.select(pick("ta", "tb", "few"), pick("tb", "ta", "many"), *([pick("title_a", "title_b", "title_few"), pick("title_b", "title_a", "title_many")] if texts else []), F.greatest("na", "nb").alias("n_many"), "jaccard"), "twins")
+    rare = twins.join(records.drop("block", "blocks", "copies"), F.col("few") == F.col("tid"))
+    rare = rare.withColumn("to", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_many") / SPREAD).cast("int") - 1)))
+    found = [_crossed(rare.alias("a").join(records.alias("b"), (x("many") == y("tid")) & (x("to") == y("block")) & other), authors, texts)]
+
     if not anything:
-        named = f.withColumn("prefix", _prefix(jaccard_least)).withColumn("token", F.explode("prefix")).withColumn("surname", F.explode("names"))
-        nearly = (alike >= jaccard_least) & (alike < TITLE_SURE) & (authors >= AUTHOR_LEAST)
-        met.append((named, named, (x("surname") == y("surname")) & (x("token") == y("token")) & ordered & other & near & nearly & least_name & found_here("token", "prefix")))
-    if sequence_least <= 1 or anything:
-        rows = f.withColumn("surname", F.explode("names"))
+        # Less alike, but with an author in common: a surname and a rare token meet, by numbers alone; what they are is asked again.
+        short = records.select("pos", "tid", "year", "names", *[F.when(F.col(c) != "", F.xxhash64(c)).otherwise(F.lit(0)).alias(c) for c in ("oid", "doi")])
+        named = short.join(head(jaccard_least), "tid").select("pos", "tid", "year", "oid", "doi", "n", "i", F.explode("names").alias("surname"), "token")
+        named = named.select("pos", "tid", "year", "oid", "doi", "n", "i", F.xxhash64("surname", "token").alias("key"))
+        may = ((x("oid") == 0) | (x("oid") != y("oid"))) & ((x("doi") == 0) | (y("doi") == 0) | (x("doi") == y("doi"))) & (x("year").isNull() | y("year").isNull() | (F.abs(x("year") - y("year")) <= YEARS_APART))
+        met = named.alias("a").join(named.alias("b"), (x("key") == y("key")) & (x("pos") < y("pos")) & (x("tid") != y("tid")) & may & near(min(jaccard_least, TITLE_SURE)))
+        met = met.select(x("pos").alias("pa"), x("tid").alias("ta"), y("pos").alias("pb"), y("tid").alias("tb")).distinct()
+        full = lambda p: titles.select(F.col("tid").alias(f"t{p}"), F.col("title").alias(f"title_{p}"))
+        token_sets = met.join(full("a"), "ta").join(full("b"), "tb").withColumn("jaccard", alike).where((F.col("jaccard") >= jaccard_least) & (F.col("jaccard") < TITLE_SURE))
+        one = token_sets.join(records.select(F.col("pos").alias("pa"), F.struct(*SHOWN, "names").alias("ra")), "pa").join(records.select(F.col("pos").alias("pb"), F.struct(*SHOWN, "names").alias("rb")), "pb")
+        both = one.select(F.struct("ra.*", F.col("title_a").alias("title")).alias("a"), F.struct("rb.*", F.col("title_b").alias("title")).alias("b"), "jaccard")
+        found.append(both.where(other & (authors >= AUTHOR_LEAST)).select(*_told(F.col("jaccard"), authors, texts)))
+    if texts:
+        size = F.length("title")
+        counts = F.array(*[(size - F.length(F.replace("title", F.lit(c), F.lit("")))).cast("short") for c in TITLE_CHARACTERS])
+        rows = records.select(*SHOWN, "tid", "names", F.explode("names").alias("surname")).join(titles.select("tid", "title"), "tid").withColumns({"n": size, "counts": counts})
+        sizes = rows.groupBy(F.col("surname").alias("s")).agg(F.count("*").alias("rows"))
+        rows = cut(_dealt(rows.join(small(cut(sizes, "surnames")), F.col("surname") == F.col("s")), "rows").drop("s", "rows"), "named")
         bags = edits = F.lit(True)
         if not anything:
-            bags = 2.0 * characters_in_common(x("counts"), y("counts")) / (x("n") + y("n")) >= sequence_least
+            fits = 2.0 * F.least(x("n"), y("n")) / (x("n") + y("n")) >= sequence_least
+            bags = fits & (2.0 * characters_in_common(x("counts"), y("counts")) / (x("n") + y("n")) >= sequence_least)
             left_over = F.floor((x("n") + y("n")) * F.lit(1.0 - sequence_least) + 1e-6).cast("int")
             edits = F.call_function("levenshtein", x("title"), y("title"), left_over) >= 0
-        apart = (alike < (TITLE_SURE if anything else min(jaccard_least, TITLE_SURE))) & (authors >= AUTHOR_LEAST)
-        pair = (x("surname") == y("surname")) & (x("near") == y("band")) & other & apart & least_name & bags & edits
-        bands = rows.withColumn("near", F.explode(F.sequence(F.col("band") - 1, F.col("band") + 1)))
-        spans = bands.where("year IS NOT NULL").withColumn("to", F.explode(F.array(F.col("span"), F.col("span") + 1)))
-        met.append((spans, rows, pair & (x("to") == y("span")) & ((x("span") < y("span")) | ordered)))
-        met.append((bands.where("year IS NULL"), rows, pair & (y("year").isNotNull() | ordered)))
-
-    shown = ("pos", "oid", "doi", "year", "title")
-    side = lambda p, first: [F.when(ordered == first, x(c)).otherwise(y(c)).alias(f"{p}_{c}") for c in shown]
-    years = F.coalesce(F.abs(x("year") - y("year")), F.lit(YEARS_UNKNOWN)).alias("year_difference")
-    told = [*side("l", F.lit(True)), *side("r", F.lit(False)), years, alike.alias("jaccard"), authors.alias("author_overlap")]
-    return reduce(DataFrame.unionByName, [a.alias("a").join(b.alias("b"), on).select(*told) for a, b, on in met])
+        least_name = F.array_min(F.array_intersect(x("names"), y("names"))) == x("surname")
+        apart = _within(rows, "surname", (x("tid") != y("tid")) & other & (authors >= AUTHOR_LEAST) & least_name & bags & edits)
+        apart = apart.withColumn("alike", _shared(norm.title_tokens(x("title")), norm.title_tokens(y("title"))))
+        apart = apart.where(F.col("alike") < (TITLE_SURE if anything else min(jaccard_least, TITLE_SURE)))
+        found.append(apart.select(*_told(F.col("alike"), authors, True)))
+    return same, reduce(DataFrame.unionByName, found)
+
+
+def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65) -> DataFrame:
+    """All pairs that the rules on years, ids, DOIs and authors let through and whose titles may be alike enough, each once.
+
+    Columns: l_ and r_ with the fields of the earlier and the later record, year_difference, jaccard, author_overlap; both titles are
+    null where they are one, or where no ratio will be asked for. Titles are compared once, whatever their copies; only numbers and short fields move by the
+    tokens of a title, and its text once for each pair that may be alike. A pair comes by one of four ways, so none comes twice:
+
+    1. one title: its records meet in blocks of SPREAD rows;
+    2. a title Jaccard of TITLE_SURE: titles have a token in common among the rarest of both; then their records meet, in blocks too;
+    3. less than that, but ``jaccard_least``, and an author overlap: records share a surname and a rare token;
+    4. less than that too, an author overlap, and perhaps a matching-blocks ratio of ``sequence_least``. The ratio is at most 2 x
+       characters in common / length of both, hence lengths are alike. Records of a surname are compared in blocks: by rules and
+       lengths, by counts of characters, then by the edit distance, which is at most what the matching blocks leave over of both.
+
+    Nothing is dropped for a frequent title, surname or token.
+    """
+    same, apart = _pairs(papers, jaccard_least, sequence_least)
+    return same.unionByName(apart)
 
 
 def suspected(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65, with_sequence: bool = True) -> DataFrame:
     """Pairs for review: pair_id, i, j, title_similarity, author_overlap, year_difference, doi_relation, reason.
 
-    The matching-blocks ratio, which is Python, runs only on pairs that all other rules and its bound by characters let through.
+    The matching-blocks ratio, which is Python, runs only on pairs of two titles that all other rules and its bounds let through.
     """
-    pairs = candidate_pairs(papers, jaccard_least, sequence_least if with_sequence else 2.0)
+    same, apart = _pairs(papers, jaccard_least, sequence_least if with_sequence else 2.0)
     if with_sequence:
         # A ratio below the Jaccard similarity changes nothing.
         least = F.when(F.col("jaccard") >= jaccard_least, F.col("jaccard")).otherwise(F.lit(float(sequence_least)))
-        pairs = pairs.withColumn("sequence", sequence_similarity("l_title", "r_title", least))
+        pairs = same.withColumn("sequence", F.lit(1.0)).unionByName(apart.withColumn("sequence", sequence_similarity("l_title", "r_title", least)))
         pairs = pairs.where((F.col("jaccard") >= jaccard_least) | (F.col("sequence") >= sequence_least))
     else:
-        pairs = pairs.where(F.col("jaccard") >= jaccard_least).withColumn("sequence", F.lit(0.0))
+        pairs = same.unionByName(apart).where(F.col("jaccard") >= jaccard_least).withColumn("sequence", F.lit(0.0))
     return pairs.select(
         norm.pair_id(F.coalesce(F.nullif(F.col("l_oid"), F.lit("")), F.col("l_pos").cast("string")), F.coalesce(F.nullif(F.col("r_oid"), F.lit("")), F.col("r_pos").cast("string"))).alias("pair_id"),
         F.col("l_pos").alias("i"),

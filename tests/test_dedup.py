@@ -174,6 +174,34 @@ def test_a_frequent_surname_reaches_the_ratio_only_where_it_may(spark):
     assert len(asked) < 0.5 * sum(abs(a[5] - b[5]) <= 2 for k, a in enumerate(rows) for b in rows[k + 1 :])
 
 
+def shuffled(spark) -> int:
+    """Bytes that all stages so far have written to shuffles."""
+    sc = spark.sparkContext
+    stages = sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._jvm.double, 0), None)
+    return sum(stages.apply(i).shuffleWriteBytes() for i in range(stages.size()))
+
+
+def test_copies_of_titles_meet_in_blocks(spark, monkeypatch):
+    """Frequent titles, one like them, and titles without a word, with more records of each than a block has."""
+    monkeypatch.setattr(dedup, "SPREAD", 3)
+    titles = ["deep sea fish star spectra", "deep sea fish star spectra of", "sea fish star spectra", "a b", "a c d", "x"]
+    rows = [(i, f"w{i % 7}" if i % 3 else "", ["", "10/a", "10/b"][i % 3 if i % 5 else 0], titles[i % len(titles) if i < 40 else 0], ["A Lee", "B Wu; C Ng", ""][i % 3], [None, 2000, 2001, 2003][i % 4]) for i in range(70)]
+    df = spark.createDataFrame(rows, SCHEMA).repartition(5)
+    for jac, seq in ((0.5, 0.65), (0.9, 0.8)):
+        got = [(r["i"], r["j"]) for r in dedup.suspected(df, jac, seq).collect()]
+        assert sorted(got) == sorted(brute(rows, jac, seq)) and len(got) > 100
+    got = [(r["i"], r["j"]) for r in dedup.suspected(df, with_sequence=False).collect()]
+    assert sorted(got) == sorted(brute(rows, 0.5, 1.1))
+
+
+def test_a_long_title_moves_once_and_not_with_each_of_its_words(spark):
+    words = lambda k: " ".join(f"w{k}x{j * 7919 % 99991}" for j in range(3000))
+    rows = [(k, f"i{k}", "", words(k % 6), "A Lee", 2000) for k in range(12)]
+    before = shuffled(spark)
+    assert {(r["i"], r["j"]) for r in dedup.suspected(spark.createDataFrame(rows, SCHEMA), with_sequence=False).collect()} == {(k, k + 6) for k in range(6)}
+    assert shuffled(spark) - before < 60 * sum(len(r[3]) for r in rows)
+
+
 def test_reviews_last_decision_counts(spark):
     queue = spark.createDataFrame([("a", "pending", ""), ("b", "confirmed", "merge"), ("c", "pending", "")], "pair_id string, review_status string, action string")
     said = spark.createDataFrame([("a", "y", 1), ("a", "N", 2), ("a", "s", 3), ("b", "n", 1)], "pair_id string, decision string, seq int")
