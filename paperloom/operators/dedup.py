@@ -385,14 +385,14 @@ def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tu
         rows = records.select(*SHOWN, "tid", "names", F.explode("names").alias("surname")).join(titles.select("tid", "title"), "tid").withColumns({"n": size, "counts": counts})
         sizes = rows.groupBy(F.col("surname").alias("s")).agg(F.count("*").alias("rows"))
         rows = cut(_dealt(rows.join(small(cut(sizes, "surnames")), F.col("surname") == F.col("s")), "rows").drop("s", "rows"), "named")
-        bags = edits = F.lit(True)
+        fits = bags = edits = F.lit(True)
         if not anything:
             fits = 2.0 * F.least(x("n"), y("n")) / (x("n") + y("n")) >= sequence_least
-            bags = fits & (2.0 * characters_in_common(x("counts"), y("counts")) / (x("n") + y("n")) >= sequence_least)
+            bags = 2.0 * characters_in_common(x("counts"), y("counts")) / (x("n") + y("n")) >= sequence_least
             left_over = F.floor((x("n") + y("n")) * F.lit(1.0 - sequence_least) + 1e-6).cast("int")
             edits = F.call_function("levenshtein", x("title"), y("title"), left_over) >= 0
         least_name = F.array_min(F.array_intersect(x("names"), y("names"))) == x("surname")
-        apart = _within(rows, "surname", (x("tid") != y("tid")) & other & (authors >= AUTHOR_LEAST) & least_name & bags & edits)
+        apart = _within(rows, "surname", (x("tid") != y("tid")) & other & fits & (authors >= AUTHOR_LEAST) & least_name & bags & edits)
         apart = apart.withColumn("alike", _shared(norm.title_tokens(x("title")), norm.title_tokens(y("title"))))
         apart = apart.where(F.col("alike") < (TITLE_SURE if anything else min(jaccard_least, TITLE_SURE)))
         found.append(apart.select(*_told(F.col("alike"), authors, True)))

@@ -79,3 +79,28 @@ def test_second_annotators():
     assert all(got.count(n) == 5 for n in names) and all(g != p for g, (_, p) in zip(got, pairs, strict=True))
     with pytest.raises(ValueError):
         sampling.assign_secondary([("p", "a")], ["a"], 1)
+
+
+def test_tokens_do_not_move_and_rare_ones_weigh_as_the_frequent(spark, monkeypatch):
+    """Weights are the same however few frequencies are broadcast, and counting the tokens of a text exchanges texts alone."""
+    from paperloom.functions import text
+
+    rows = [(i, " ".join(f"w{j}" for j in range(i % 9 + 1)) + f" own{i} own{i}", "w1 w3") for i in range(40)] + [(99, "", None)]
+    df = spark.createDataFrame(rows, "pos long, title string, abstract string").repartition(3)
+    seen, cut = [], text.cut
+
+    def spied(table, label):
+        if label == "tf":
+            seen.append(table._jdf.queryExecution().executedPlan().toString().count("hashpartitioning"))
+        return cut(table, label)
+
+    monkeypatch.setattr(text, "cut", spied)
+    want = None
+    for most in (10_000, 12, 0):
+        monkeypatch.setattr(text, "BROADCAST_ROWS", most)
+        got = {(r["pos"], r["token"]): (r["tf"], r["df"], r["n"], round(r["idf"], 9)) for r in text.term_weights(df, "title").collect()}
+        sims = {r["pos"]: (round(r["s0"], 9), round(r["s1"], 9)) for r in text.query_similarities(df, ["title", "abstract"], "w1 own3 none").collect()}
+        want = want or (got, sims)
+        assert (got, sims) == want and len(sims) == 41 and got[3, "own3"][:3] == (2, 1, 41) and sims[3][0] > sims[4][0] > sims[0][0] == sims[99][0] == 0
+    plan = spark.range(3).repartition("id")._jdf.queryExecution().executedPlan().toString()
+    assert seen and set(seen) == {plan.count("hashpartitioning")}
