@@ -106,7 +106,8 @@ def project_nested_json(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"SELECT doc_id AS pos, array_to_string(regexp_extract_all(text, '[^\s]+'), ' ') AS rebuilt FROM documents")
 def rebuild_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Texts to inverted indexes and back."""
-    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), F.regexp_extract_all("text", F.lit(r"(\S+)"), 1).alias("ws"))
+    # Texts move to the task of their key, where all that follows is done; words never move.
+    d = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pos"), "text").repartition("pos").select("pos", F.regexp_extract_all("text", F.lit(r"(\S+)"), 1).alias("ws"))
     spots = d.select("pos", F.posexplode("ws").alias("p", "w")).groupBy("pos", "w").agg(F.sort_array(F.collect_list("p")).alias("ps"))
     index = spots.groupBy("pos").agg(F.map_from_entries(F.collect_list(F.struct("w", "ps"))).alias("index"))
     return norm.rebuild_abstracts(d.select("pos").join(index, "pos", "left"), "pos", "index", "rebuilt")
