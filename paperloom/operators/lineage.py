@@ -18,13 +18,13 @@ def lineage(packages: DataFrame, key: str = "id", parent: str = "parent") -> Dat
     """(id, root, depth, state) of packages (id, parent): rooted, parent_missing or cycle; the last has neither root nor depth.
 
     A package without a parent, or whose parent isn't there, is a root. Each package knows an ancestor and how far it is; in a round
-    it takes its ancestor's ancestor, so the reach doubles, and a chain of n packages takes log n rounds. What has not
+    it takes its ancestor's ancestor, so the reach doubles, and a chain of n packages takes log n rounds. Both sides of a round are as large as the table, so neither is ever broadcast. What has not
     reached a root by then never will: it is on a cycle or leads into one. Of rows that repeat an id the smallest parent counts;
     null ids are left out.
     """
     rows = packages.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("id")).agg(F.min(parent).alias("parent"))
     known = rows.select(F.col("id").alias("k"))
-    first = rows.join(known, F.col("parent") == F.col("k"), "left")
+    first = rows.join(known.hint("merge"), F.col("parent") == F.col("k"), "left")
     first = first.select("id", F.coalesce("k", "id").alias("up"), F.col("k").isNotNull().cast("long").alias("depth"), F.when(F.col("k").isNotNull(), "open").when(F.col("parent").isNull(), "rooted").otherwise("parent_missing").alias("state"))
     reach = cut(first, "lineage")
     n, open_ = reach.agg(F.count("*"), F.count(F.when(F.col("state") == "open", 1))).first()
@@ -32,7 +32,7 @@ def lineage(packages: DataFrame, key: str = "id", parent: str = "parent") -> Dat
         if not open_:
             break
         further = reach.select(F.col("id").alias("a"), F.col("up").alias("next"), F.col("depth").alias("more"), F.col("state").alias("then"))
-        moved = reach.join(further, F.col("up") == F.col("a"))
+        moved = reach.join(further.hint("merge"), F.col("up") == F.col("a"))
         moved = cut(moved.select("id", F.col("next").alias("up"), F.when(F.col("state") == "open", F.col("depth") + F.col("more")).otherwise(F.col("depth")).alias("depth"), F.when(F.col("state") == "open", F.col("then")).otherwise(F.col("state")).alias("state")), "lineage")
         discard(reach)
         reach = moved

@@ -258,3 +258,13 @@ def test_ranks_within_groups_equal_a_window(spark):
     due = df.withColumn("r", F.row_number().over(Window.partitionBy("g").orderBy(*order)))
     assert sorted(map(tuple, ranked(df, "r", order, ["g"]).collect()), key=str) == sorted(map(tuple, due.collect()), key=str)
     assert ranked(df.limit(0), "r", order, ["g"]).collect() == []
+
+
+def test_lineage_never_broadcasts_a_table_of_packages(spark, monkeypatch):
+    from paperloom.operators import lineage
+
+    plans, cut = [], lineage.cut
+    monkeypatch.setattr(lineage, "cut", lambda df, label: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df, label))
+    df = spark.createDataFrame([(i, i - 1 if i else None) for i in range(9)], "id long, parent long")
+    assert {r["id"]: (r["root"], r["depth"]) for r in lineage.lineage(df).collect()} == {i: (0, i) for i in range(9)}
+    assert len(plans) > 2 and not any("Broadcast" in p for p in plans)
