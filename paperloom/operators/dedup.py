@@ -307,27 +307,23 @@ def _within(rows: DataFrame, key: str, on: Column) -> DataFrame:
 SHOWN = ("pos", "oid", "doi", "year")
 
 
-def _told(jaccard: Column, authors: Column, titles: bool) -> list[Column]:
-    """The columns of a pair of a and b, the earlier record first."""
+def _told(jaccard: Column, authors: Column, sequence: Column | None) -> list[Column]:
+    """The columns of a pair of a and b, the earlier record first: its ratio, or both titles where that is still to be worked out."""
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    ordered, none = x("pos") < y("pos"), F.lit(None).cast("string")
-    side = lambda p, first: [*[F.when(ordered == first, x(c)).otherwise(y(c)).alias(f"{p}_{c}") for c in SHOWN], (F.when(ordered == first, x("title")).otherwise(y("title")) if titles else none).alias(f"{p}_title")]
+    ordered = x("pos") < y("pos")
+    shown = [*SHOWN, *(["title"] if sequence is None else [])]
+    side = lambda p, first: [F.when(ordered == first, x(c)).otherwise(y(c)).alias(f"{p}_{c}") for c in shown]
     years = F.coalesce(F.abs(x("year") - y("year")), F.lit(YEARS_UNKNOWN)).alias("year_difference")
-    return [*side("l", F.lit(True)), *side("r", F.lit(False)), years, jaccard.alias("jaccard"), authors.alias("author_overlap")]
+    return [*side("l", F.lit(True)), *side("r", F.lit(False)), years, jaccard.alias("jaccard"), authors.alias("author_overlap"), *([] if sequence is None else [sequence.alias("sequence")])]
 
 
-def _crossed(cross: DataFrame, authors: Column, texts: bool) -> DataFrame:
-    """The pairs of records of two titles; a row has both titles if anybody will read them."""
-    if not texts:
-        return cross.select(*_told(F.col("a.jaccard"), authors, False))
-    a_first = F.col("a.pos") < F.col("b.pos")
-    told = _told(F.col("a.jaccard"), authors, False)
-    out = cross.select(*told, F.col("a.title_few").alias("few"), F.col("a.title_many").alias("many"), a_first.alias("first"))
-    return out.withColumns({"l_title": F.when(F.col("first"), F.col("few")).otherwise(F.col("many")), "r_title": F.when(F.col("first"), F.col("many")).otherwise(F.col("few"))}).drop("few", "many", "first")
+def _asked(jaccard_least: float, sequence_least: float) -> Column:
+    """The ratio from which on it matters to a pair, as one below the Jaccard similarity changes nothing."""
+    return F.when(F.col("jaccard") >= jaccard_least, F.col("jaccard")).otherwise(F.lit(float(sequence_least)))
 
 
-def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tuple[DataFrame, DataFrame]:
-    """``candidate_pairs`` of one title, and those of two."""
+def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tuple[DataFrame, DataFrame | None]:
+    """``candidate_pairs`` whose ratio is known, with it, and those for whose titles it is still to be worked out."""
     # Written, as the key of a title is several regular expressions, which both readers would work out again.
     f = cut(_fields(papers).select(*SHOWN, "title", F.array_distinct("surnames").alias("names")), "fields").withColumn("digest", F.substring(F.unhex(F.sha2("title", 256)), 1, 16))
     titles = f.groupBy("digest").agg(F.first("title").alias("title"), F.count("*").alias("copies")).withColumn("tid", F.monotonically_increasing_id())
@@ -343,9 +339,9 @@ def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tu
 
     # One title: its tokens are in common, or it has none and the ratio of 1 decides, which asks for authors.
     wordless = (authors >= AUTHOR_LEAST) if texts else F.lit(False)
-    same = _within(records, "tid", other & (x("told") | wordless)).select(*_told(x("told").cast("double"), authors, False))
+    same = _within(records, "tid", other & (x("told") | wordless)).select(*_told(x("told").cast("double"), authors, F.lit(1.0)))
 
-    # Two titles as alike as TITLE_SURE, each pair of titles once; then their records, those of the rarer title sent to the other's blocks.
+    # Two titles as alike as TITLE_SURE, each pair of titles once with its ratio in either order; then their records, those of the rarer title sent to the other's blocks.
     n = F.size("rare")
     head = lambda least: prefixes.select("tid", n.cast("int").alias("n"), F.posexplode(_prefix(least)).alias("i", "token"))
 
@@ -361,10 +357,14 @@ def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tu
     twins = met.join(of("a"), "ta").join(of("b"), "tb").withColumn("jaccard", alike).where(F.col("jaccard") >= TITLE_SURE)
     turned = F.col("na") > F.col("nb")
     pick = lambda p, q, c: F.when(turned, F.col(q)).otherwise(F.col(p)).alias(c)
-    twins = cut(twins.select(pick("ta", "tb", "few"), pick("tb", "ta", "many"), *([pick("title_a", "title_b", "title_few"), pick("title_b", "title_a", "title_many")] if texts else []), F.greatest("na", "nb").alias("n_many"), "jaccard"), "twins")
+    ratio = (lambda p, q: sequence_similarity(p, q, _asked(jaccard_least, sequence_least))) if texts else (lambda p, q: F.lit(0.0))
+    ratios = twins.withColumns({"a_first": ratio("title_a", "title_b"), "b_first": ratio("title_b", "title_a")})
+    twins = cut(ratios.select(pick("ta", "tb", "few"), pick("tb", "ta", "many"), F.greatest("na", "nb").alias("n_many"), "jaccard", pick("a_first", "b_first", "few_first"), pick("b_first", "a_first", "many_first")), "twins")
     rare = twins.join(records.drop("block", "blocks", "copies"), F.col("few") == F.col("tid"))
     rare = rare.withColumn("to", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_many") / SPREAD).cast("int") - 1)))
-    found = [_crossed(rare.alias("a").join(records.alias("b"), (x("many") == y("tid")) & (x("to") == y("block")) & other), authors, texts)]
+    cross = rare.alias("a").join(records.alias("b"), (x("many") == y("tid")) & (x("to") == y("block")) & other)
+    known = [same, cross.select(*_told(x("jaccard"), authors, F.when(x("pos") < y("pos"), x("few_first")).otherwise(x("many_first"))))]
+    apart = None
 
     if not anything:
         # Less alike, but with an author in common: a surname and a rare token meet, by numbers alone; what they are is asked again.
@@ -373,12 +373,13 @@ def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tu
         named = named.select("pos", "tid", "year", "oid", "doi", "n", "i", F.xxhash64("surname", "token").alias("key"))
         may = ((x("oid") == 0) | (x("oid") != y("oid"))) & ((x("doi") == 0) | (y("doi") == 0) | (x("doi") == y("doi"))) & (x("year").isNull() | y("year").isNull() | (F.abs(x("year") - y("year")) <= YEARS_APART))
         met = named.alias("a").join(named.alias("b"), (x("key") == y("key")) & (x("pos") < y("pos")) & (x("tid") != y("tid")) & may & near(min(jaccard_least, TITLE_SURE)))
-        met = met.select(x("pos").alias("pa"), x("tid").alias("ta"), y("pos").alias("pb"), y("tid").alias("tb")).distinct()
+        met = cut(met.select(x("pos").alias("pa"), x("tid").alias("ta"), y("pos").alias("pb"), y("tid").alias("tb")).distinct(), "met")
         full = lambda p: titles.select(F.col("tid").alias(f"t{p}"), F.col("title").alias(f"title_{p}"))
-        token_sets = met.join(full("a"), "ta").join(full("b"), "tb").withColumn("jaccard", alike).where((F.col("jaccard") >= jaccard_least) & (F.col("jaccard") < TITLE_SURE))
-        one = token_sets.join(records.select(F.col("pos").alias("pa"), F.struct(*SHOWN, "names").alias("ra")), "pa").join(records.select(F.col("pos").alias("pb"), F.struct(*SHOWN, "names").alias("rb")), "pb")
-        both = one.select(F.struct("ra.*", F.col("title_a").alias("title")).alias("a"), F.struct("rb.*", F.col("title_b").alias("title")).alias("b"), "jaccard")
-        found.append(both.where(other & (authors >= AUTHOR_LEAST)).select(*_told(F.col("jaccard"), authors, texts)))
+        token_sets = met.select("ta", "tb").distinct().join(full("a"), "ta").join(full("b"), "tb").withColumn("jaccard", alike).where((F.col("jaccard") >= jaccard_least) & (F.col("jaccard") < TITLE_SURE))
+        token_sets = cut(token_sets.withColumn("sequence", ratio("title_a", "title_b")).select("ta", "tb", "jaccard", "sequence"), "token_sets")
+        side = lambda p: records.select(F.col("pos").alias(f"p{p}"), F.struct(*SHOWN, "names").alias(p))
+        both = met.join(token_sets, ["ta", "tb"]).join(side("a"), "pa").join(side("b"), "pb")
+        known.append(both.where(other & (authors >= AUTHOR_LEAST)).select(*_told(F.col("jaccard"), authors, F.col("sequence"))))
     if texts:
         size = F.length("title")
         counts = F.array(*[(size - F.length(F.replace("title", F.lit(c), F.lit("")))).cast("short") for c in TITLE_CHARACTERS])
@@ -395,16 +396,16 @@ def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tu
         apart = _within(rows, "surname", (x("tid") != y("tid")) & other & fits & (authors >= AUTHOR_LEAST) & least_name & bags & edits)
         apart = apart.withColumn("alike", _shared(norm.title_tokens(x("title")), norm.title_tokens(y("title"))))
         apart = apart.where(F.col("alike") < (TITLE_SURE if anything else min(jaccard_least, TITLE_SURE)))
-        found.append(apart.select(*_told(F.col("alike"), authors, True)))
-    return same, reduce(DataFrame.unionByName, found)
+        apart = apart.select(*_told(F.col("alike"), authors, None))
+    return reduce(DataFrame.unionByName, known), apart
 
 
 def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65) -> DataFrame:
     """All pairs that the rules on years, ids, DOIs and authors let through and whose titles may be alike enough, each once.
 
-    Columns: l_ and r_ with the fields of the earlier and the later record, year_difference, jaccard, author_overlap; both titles are
-    null where they are one, or where no ratio will be asked for. Titles are compared once, whatever their copies; only numbers and short fields move by the
-    tokens of a title, and its text once for each pair that may be alike. A pair comes by one of four ways, so none comes twice:
+    Columns: l_ and r_ with the fields of the earlier and the later record, year_difference, jaccard, author_overlap, sequence; in place
+    of that the last of the four ways below has both titles. Titles are compared once, whatever their copies; only numbers and short fields move by the
+    tokens of a title, and its text once for each pair of titles that may be alike, never with their records. A pair comes by one of four ways, so none comes twice:
 
     1. one title: its records meet in blocks of SPREAD rows;
     2. a title Jaccard of TITLE_SURE: titles have a token in common among the rarest of both; then their records meet, in blocks too;
@@ -415,23 +416,24 @@ def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_leas
 
     Nothing is dropped for a frequent title, surname or token.
     """
-    same, apart = _pairs(papers, jaccard_least, sequence_least)
-    return same.unionByName(apart)
+    known, apart = _pairs(papers, jaccard_least, sequence_least)
+    return known if apart is None else known.unionByName(apart, allowMissingColumns=True)
 
 
 def suspected(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65, with_sequence: bool = True) -> DataFrame:
     """Pairs for review: pair_id, i, j, title_similarity, author_overlap, year_difference, doi_relation, reason.
 
-    The matching-blocks ratio, which is Python, runs only on pairs of two titles that all other rules and its bounds let through.
+    The matching-blocks ratio, which is Python, runs once on each pair of titles that are alike by their tokens, whatever their copies, and
+    else only on pairs that all other rules and its bounds let through.
     """
-    same, apart = _pairs(papers, jaccard_least, sequence_least if with_sequence else 2.0)
+    pairs, apart = _pairs(papers, jaccard_least, sequence_least if with_sequence else 2.0)
     if with_sequence:
-        # A ratio below the Jaccard similarity changes nothing.
-        least = F.when(F.col("jaccard") >= jaccard_least, F.col("jaccard")).otherwise(F.lit(float(sequence_least)))
-        pairs = same.withColumn("sequence", F.lit(1.0)).unionByName(apart.withColumn("sequence", sequence_similarity("l_title", "r_title", least)))
+        if apart is not None:
+            pairs = pairs.unionByName(apart.withColumn("sequence", sequence_similarity("l_title", "r_title", _asked(jaccard_least, sequence_least))).drop("l_title", "r_title"))
         pairs = pairs.where((F.col("jaccard") >= jaccard_least) | (F.col("sequence") >= sequence_least))
     else:
-        pairs = same.unionByName(apart).where(F.col("jaccard") >= jaccard_least).withColumn("sequence", F.lit(0.0))
+        known = pairs if apart is None else pairs.unionByName(apart.drop("l_title", "r_title"), allowMissingColumns=True)
+        pairs = known.where(F.col("jaccard") >= jaccard_least).withColumn("sequence", F.lit(0.0))
     return pairs.select(
         norm.pair_id(F.coalesce(F.nullif(F.col("l_oid"), F.lit("")), F.col("l_pos").cast("string")), F.coalesce(F.nullif(F.col("r_oid"), F.lit("")), F.col("r_pos").cast("string"))).alias("pair_id"),
         F.col("l_pos").alias("i"),

@@ -202,6 +202,22 @@ def test_a_long_title_moves_once_and_not_with_each_of_its_words(spark):
     assert shuffled(spark) - before < 60 * sum(len(r[3]) for r in rows)
 
 
+def test_titles_move_once_whatever_their_copies(spark):
+    """Two long titles, nearly alike, with many records each: their text is not sent along with the records that meet."""
+    rng = random.Random(5)
+    words = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=6)) for _ in range(1500)]
+    titles = [" ".join(words), " ".join(words[:-1])]
+    rows = [(i, f"w{i}", "", titles[i % 2], "A Lee" if i % 7 else "B Wu", 2000) for i in range(160)]
+    before = shuffled(spark)
+    got = dedup.suspected(spark.createDataFrame(rows, SCHEMA), sequence_least=2.0).where("(j - i) % 2 = 1").select("i", "j", "title_similarity").collect()
+    ratios = [SequenceMatcher(None, a, b).ratio() for a, b in (titles, titles[::-1])]
+    jaccard = len(set(words[:-1])) / len(set(words))
+    assert len(got) == 80 * 80 and all(r["title_similarity"] == jaccard for r in got)
+    seen = dedup.suspected(spark.createDataFrame(rows, SCHEMA)).where("(j - i) % 2 = 1").select("i", "title_similarity").collect()
+    assert len(seen) == 80 * 80 and all(r["title_similarity"] == max(jaccard, ratios[r["i"] % 2]) for r in seen)
+    assert shuffled(spark) - before < 30 * sum(len(r[3]) for r in rows)
+
+
 def test_reviews_last_decision_counts(spark):
     queue = spark.createDataFrame([("a", "pending", ""), ("b", "confirmed", "merge"), ("c", "pending", "")], "pair_id string, review_status string, action string")
     said = spark.createDataFrame([("a", "y", 1), ("a", "N", 2), ("a", "s", 3), ("b", "n", 1)], "pair_id string, decision string, seq int")
