@@ -1,3 +1,7 @@
+import math
+import random
+import re
+
 import pytest
 from pyspark.errors import PySparkException
 from pyspark.sql import functions as F
@@ -104,3 +108,67 @@ def test_tokens_do_not_move_and_rare_ones_weigh_as_the_frequent(spark, monkeypat
         assert (got, sims) == want and len(sims) == 41 and got[3, "own3"][:3] == (2, 1, 41) and sims[3][0] > sims[4][0] > sims[0][0] == sims[99][0] == 0
     plan = spark.range(3).repartition("id")._jdf.queryExecution().executedPlan().toString()
     assert seen and set(seen) == {plan.count("hashpartitioning")}
+
+
+def test_texts_are_scored_once_for_both_orders(spark, monkeypatch):
+    """A range sort looks at its rows twice, so no order may have to work out scores from texts."""
+    seen, rank = [], score.ranked
+
+    def spied(df, *rest):
+        seen.append(df._jdf.queryExecution().executedPlan().toString())
+        return rank(df, *rest)
+
+    monkeypatch.setattr(score, "ranked", spied)
+    rows = [(i, f"deep sea {i}", "star", "A", 2000, "d", i, "S", "u") for i in range(30)]
+    df = spark.createDataFrame(rows, "pos long, title string, abstract string, authors string, publication_year int, doi string, cited_by_count int, source_name string, landing_page_url string")
+    assert score.two_stage(score.with_scores(df, "deep star", 2026), "deep star").count() == 30
+    assert len(seen) == 2 and not any("regexp" in plan for plan in seen)
+
+
+def test_odd_texts_are_counted_as_by_plain_code(spark, monkeypatch):
+    """Groups, rare tokens that are joined, a key on two rows, and texts in pieces."""
+    from collections import Counter
+
+    from paperloom.functions import text
+
+    def plain(s):
+        s = s or ""
+        runs = re.findall("[一-鿿]+", s)
+        return Counter(re.findall("[a-z0-9]+", s.lower()) + [p for r in runs for p in ([r] if len(r) == 1 else map("".join, zip(r, r[1:], strict=False)))])
+
+    rng = random.Random(8)
+    odd = ["İx Kelvin", "深海 deep 鱼, sea深海鱼", "", None, "DEEP-deep\x00sea", "é deep ß", "x" * 3000, " ,;", "\nsea\n"]
+    rows = [(i, "a" if i % 3 else None, odd[i % len(odd)], " ".join(str(rng.getrandbits(40)) for _ in range(300)) + " deep" * (i % 4)) for i in range(90)]
+    rows.append((4, "a", "deep sea", "again deep"))
+    df = spark.createDataFrame(rows, "pos long, g string, title string, abstract string").repartition(3)
+    monkeypatch.setattr(text, "BROADCAST_ROWS", 20)
+    monkeypatch.setattr(text, "PIECE", 5000)
+    held = text._held(text.counted_texts(df.where("pos <> 4"), ["title", "abstract"], "pos", ["g"]), ["g", "field"])
+    assert held.rest is not None
+    got = {(r["g"], r["pos"], r["field"], r["token"]): r["tf"] for r in text._each(text.counted_texts(df, ["title", "abstract"], "pos", ["g"]), ["g", "pos"]).where("token IS NOT NULL").collect()}
+    want = Counter()
+    for pos, g, *texts in rows:
+        for i, s in enumerate(texts):
+            want.update({(g, pos, i, t): n for t, n in plain(s).items()})
+    assert got == want
+    named = df.where("g IS NOT NULL")
+    found = {r["pos"]: (r["s0"], r["s1"]) for r in text.query_similarities(named, ["title", "abstract"], "deep sea 深海", "pos", ["g"]).collect()}
+    for i in range(2):
+        bags = {}
+        for r in rows:
+            if r[1]:
+                bags[r[0]] = bags.get(r[0], Counter()) + plain(r[2 + i])
+        df_of = Counter(t for b in bags.values() for t in b)
+        idf = {t: math.log((len(bags) + 1) / (n + 1)) + 1 for t, n in df_of.items()}
+        q = {t: idf[t] * n for t, n in plain("deep sea 深海").items() if t in idf}
+        for pos, b in bags.items():
+            norm = math.sqrt(sum((n * idf[t]) ** 2 for t, n in b.items())) * math.sqrt(sum(v * v for v in q.values()))
+            assert found[pos][i] == pytest.approx(sum(q.get(t, 0) * n * idf[t] for t, n in b.items()) / norm if norm else 0.0)
+
+
+def test_terms_of_a_keyword_are_whole_words(spark):
+    texts = ["deep", "Deep-SEA", "deepsea sea2 2sea", "seas deep sea deep", "a seaK", None, ""]
+    df = spark.createDataFrame([(t,) for t in texts], "t string")
+    for keyword in ("deep sea", "sea seas a", "a", "", "SEA deep sea"):
+        literal, general = (score.relevance(k, F.col("t"), F.col("t")) for k in (keyword, F.lit(keyword)))
+        assert all(r["x"] == r["y"] for r in df.select(literal.alias("x"), general.alias("y")).collect())
