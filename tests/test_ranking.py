@@ -172,3 +172,23 @@ def test_terms_of_a_keyword_are_whole_words(spark):
     for keyword in ("deep sea", "sea seas a", "a", "", "SEA deep sea"):
         literal, general = (score.relevance(k, F.col("t"), F.col("t")) for k in (keyword, F.lit(keyword)))
         assert all(r["x"] == r["y"] for r in df.select(literal.alias("x"), general.alias("y")).collect())
+
+
+def test_texts_are_few_rows_for_spark_however_many_tokens(spark, monkeypatch):
+    """Weighing reads a row for each piece of texts and field, and groups of one text each, more than there are tokens, are corpora too."""
+    from paperloom.functions import text
+
+    rows = [(i, f"g{i}" if i % 7 else "g0", f"deep w{i % 5} w{i % 5} sea" if i % 3 else "", f"sea {i}") for i in range(400)]
+    df = spark.createDataFrame(rows, "pos long, g string, title string, abstract string")
+    written, cut = [], text.cut
+
+    def spied(table, label):
+        out = cut(table, label)
+        written.extend([out.count()] if label == "tf" else [])
+        return out
+
+    monkeypatch.setattr(text, "cut", spied)
+    found = {r["pos"]: (r["s0"], r["s1"]) for r in text.query_similarities(df, ["title", "abstract"], "deep sea", "pos", ["g"]).collect()}
+    assert len(found) == 400 and written and all(n <= 2 * 8 for n in written)
+    # Alone in its group, every token weighs the same.
+    assert found[1][0] == pytest.approx(2 / (math.sqrt(6) * math.sqrt(2))) and found[3][0] == 0.0 and found[1][1] == pytest.approx(1 / math.sqrt(2))
