@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from paperloom.operators import checks
+from paperloom.sources import digests
 
 from .views import query, table
 
@@ -79,8 +80,7 @@ def reviewer_independence(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def file_sha256(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The files of a package, of all its tables, with their size and digest; a table's part files are named by the table too."""
-    f = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", True).load(sf_dir)
-    return f.select(F.regexp_extract("path", r"[^/]+\.parquet(?:/.*)?$", 0).alias("file"), "length", F.sha2("content", 256).alias("sha256"))
+    return digests.file_digests(spark, sf_dir, "*.parquet").select(F.regexp_extract("path", r"[^/]+\.parquet(?:/.*)?$", 0).alias("file"), "length", "sha256")
 
 
 @query("SELECT * FROM (SELECT o_orderkey, concat_ws(',', o_orderstatus, CAST(o_custkey AS VARCHAR), CASE WHEN o_orderkey % 5 = 0 THEN 'extra' END) AS line FROM orders) WHERE len(string_split(line, ',')) > 2")

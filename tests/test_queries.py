@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import shutil
 from pathlib import Path
 
@@ -56,3 +57,25 @@ def test_ragged_lines_of_orders(spark, db):
     got = [tuple(r) for r in registry.queries()["csv_ragged"](spark, str(SF)).collect()]
     want = db.execute("SELECT o_orderkey, concat_ws(',', o_orderstatus, o_custkey, 'extra') FROM orders WHERE o_orderkey % 5 = 0").fetchall()
     assert got and sorted(got) == sorted(want)
+
+
+def test_a_large_file_is_hashed_by_many_tasks(spark, tmp_path, monkeypatch):
+    """Files beyond what one row can hold, in splits and rounds, with ends of lines, marks and runs without any."""
+    from paperloom.sources import digests
+
+    rng = random.Random(3)
+    noise = rng.randbytes(300_000)
+    files = {"a": noise, "b": noise + b"\n", "d": b"\n", "e": b"\xef\xbb\xbf" + noise[:1000], "f": b"\xef\xbb\xbf\r\n\n", "g": b"x" * 200_000 + b"\n\r" + noise[:500], "h": b"no end"}
+    for n, b in files.items():
+        (tmp_path / f"{n}.parquet").write_bytes(b)
+    monkeypatch.setattr(digests, "STEP", 1 << 16)
+    held = {"spark.sql.sources.binaryFile.maxLength": "100000", "spark.sql.files.maxPartitionBytes": "20000"}
+    old = {k: spark.conf.get(k) for k in held}
+    try:
+        for k, v in held.items():
+            spark.conf.set(k, v)
+        got = registry.queries()["file_sha256"](spark, str(tmp_path)).collect()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sorted(map(tuple, got)) == [(f"{n}.parquet", len(b), hashlib.sha256(b).hexdigest()) for n, b in sorted(files.items())]
