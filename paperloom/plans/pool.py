@@ -58,8 +58,8 @@ def build(papers: DataFrame, queries: Sequence[dict], version: str, reference_ye
     source = eligible(papers, queries)
     typed = source.withColumns({"publication_year": F.col("publication_year").try_cast("int"), "cited_by_count": F.col("cited_by_count").try_cast("long")})
     # Positions are unique in a query only.
-    scored = score.with_scores(typed.withColumn("pos", F.concat_ws("|", F.lpad(F.col("pos").cast("string"), 12, "0"), *of)), keywords, reference_year, of)
-    moved = score.two_stage(scored, keywords, of, ("openalex_id", "title"))
+    placed = typed.withColumn("pos", F.concat_ws("|", F.lpad(F.col("pos").cast("string"), 12, "0"), *of))
+    moved = score.two_stage_of(placed, keywords, reference_year, of, ("openalex_id", "title"))
     picked = sampling.stratified(moved, of).select(*of, F.col("openalex_id").alias("picked"), F.col("bucket").alias("selection_bucket"))
     rows = source.join(picked, [*of]).where(F.col("openalex_id") == F.col("picked")).withColumn("pool_version", F.lit(version))
     numbered = sampling.hash_numbered(rows, of, sampling.stable_hash(version, F.col("research_query_id"), F.col("openalex_id")))

@@ -192,3 +192,24 @@ def test_texts_are_few_rows_for_spark_however_many_tokens(spark, monkeypatch):
     assert len(found) == 400 and written and all(n <= 2 * 8 for n in written)
     # Alone in its group, every token weighs the same.
     assert found[1][0] == pytest.approx(2 / (math.sqrt(6) * math.sqrt(2))) and found[3][0] == 0.0 and found[1][1] == pytest.approx(1 / math.sqrt(2))
+
+
+def test_terms_are_found_among_the_counted_tokens(spark, monkeypatch):
+    """Ranking papers goes over their texts once, by no expression, and gives what scores by expressions give."""
+    rows = [(i, "a" if i % 3 else "b", ["deep sea", "The Deep", "", None, "seas İs \u212a 深海"][i % 5], f"deep {i}" if i % 4 else "sea k", "A" if i % 2 else "", 2000 + i % 30, "d", i, "S", "u") for i in range(60)]
+    df = spark.createDataFrame(rows, "pos long, g string, title string, abstract string, authors string, publication_year int, doi string, cited_by_count int, source_name string, landing_page_url string")
+    asked = {"a": "deep sea k is kk none", "b": "深海"}
+    cases = [("deep sea is", None), (asked, ["g"])]
+    want = [sorted(map(tuple, score.two_stage(score.with_scores(df, k, 2026, by), k, by).select("pos", "preliminary_score", "stage2_score", "old_rank", "new_rank").collect())) for k, by in cases]
+    monkeypatch.setattr(score, "relevance", None)
+    got = [sorted(map(tuple, score.two_stage_of(df, k, 2026, by).select("pos", "preliminary_score", "stage2_score", "old_rank", "new_rank").collect())) for k, by in cases]
+    assert got == want and len({r[1] for r in got[0]}) > 10
+
+
+def test_first_lines_are_read_without_cutting_texts(spark):
+    from paperloom.plans import views
+
+    plan = views.papers(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "substring_index" in plan and "split_part" not in plan and "split(text" not in plan
+    texts = spark.createDataFrame([(t,) for t in ["a\nb", "\na", "a", "", None, "ä\n\n"]], "text string")
+    assert all(r["x"] == r["y"] for r in texts.selectExpr(f"{views.PAPER_COLUMNS['title']} AS x", f"{views.FIRST_LINE['title']} AS y").collect())
