@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from paperloom.operators import agreement, contracts, evaluate
 from paperloom.operators.rank import ranked
+from paperloom.store import cut
 
 from .rank_queries import ranked_sql, two_stage
 from .views import query, table
@@ -99,7 +100,8 @@ FROM k LEFT JOIN (SELECT method, grp, avg(CASE WHEN grade >= 1 THEN 1.0::DOUBLE
 
 def both_rankings(spark: SparkSession, sf_dir: str) -> DataFrame:
     grades = table(spark, sf_dir, "labels").select(F.col("doc_id").alias("pos"), F.when(F.col("quality") == 0, 0).when(F.col("toxic") == 1, 1).otherwise(2).alias("grade"))
-    j = two_stage(spark, sf_dir, ["grp"], ()).select("grp", "pos", "old_rank", "new_rank", "relevance_level").join(grades, "pos", "left")
+    # Written, as metrics read a ranking several times.
+    j = cut(two_stage(spark, sf_dir, ["grp"], ()).select("grp", "pos", "old_rank", "new_rank").join(grades, "pos", "left"), "both")
     return j.select("grp", "pos", "grade", F.explode(F.array(F.struct(F.lit("baseline").alias("method"), F.col("old_rank").alias("rank")), F.struct(F.lit("two_stage").alias("method"), F.col("new_rank").alias("rank")))).alias("m")).select("grp", "pos", "grade", "m.*")
 
 

@@ -213,3 +213,11 @@ def test_first_lines_are_read_without_cutting_texts(spark):
     assert "substring_index" in plan and "split_part" not in plan and "split(text" not in plan
     texts = spark.createDataFrame([(t,) for t in ["a\nb", "\na", "a", "", None, "ä\n\n"]], "text string")
     assert all(r["x"] == r["y"] for r in texts.selectExpr(f"{views.PAPER_COLUMNS['title']} AS x", f"{views.FIRST_LINE['title']} AS y").collect())
+
+
+def test_both_rankings_are_written_before_metrics_read_them(spark):
+    """Metrics read a ranking several times, which may not join it to the grades each time."""
+    from paperloom.plans import eval_queries
+
+    plan = eval_queries.both_rankings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Scan parquet" in plan and "Join" not in plan and "Exchange" not in plan
