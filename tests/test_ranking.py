@@ -221,3 +221,10 @@ def test_both_rankings_are_written_before_metrics_read_them(spark):
 
     plan = eval_queries.both_rankings(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Scan parquet" in plan and "Join" not in plan and "Exchange" not in plan
+
+
+def test_rows_that_share_a_position_keep_relevance_of_their_own(spark):
+    rows = [(i % 9, "deep sea" if i < 9 else "none", "sea", "A", 2000, "d", 5, "S", "u") for i in range(10)]
+    df = spark.createDataFrame(rows, "pos long, title string, abstract string, authors string, publication_year int, doi string, cited_by_count int, source_name string, landing_page_url string")
+    want = sorted(r[0] for r in score.with_scores(df, "deep sea", 2026).select("preliminary_score").collect())
+    assert sorted(r[0] for r in score.two_stage_of(df, "deep sea", 2026).select("preliminary_score").collect()) == want and len(set(want)) == 2
