@@ -6,15 +6,15 @@ Records are rows with pos, openalex_id, doi, title, authors and publication_year
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from difflib import SequenceMatcher
 from functools import reduce
+from math import ceil
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from paperloom.functions import norm
+from paperloom.functions import alike, norm
 from paperloom.operators.components import components
 from paperloom.store import cut, discard, free_names, small
 
@@ -24,6 +24,8 @@ AUTHOR_LEAST, TITLE_SURE, YEARS_APART, YEARS_UNKNOWN = 0.3, 0.80, 2, 999
 REPLAYED = 100_000
 #: Records of one title or surname that are compared with one another in a block.
 SPREAD = 4_096
+#: Pairs of records that one task compares, or so.
+PAIRS_A_TASK = 2_000_000
 #: All characters of a strict title key.
 TITLE_CHARACTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -226,35 +228,11 @@ def _fields(papers: DataFrame) -> DataFrame:
     ).where("title <> ''")
 
 
-def common_subsequence(a: str, b: str) -> int:
-    """Length of the longest common subsequence; a bit for each character of a, one step for each of b."""
-    places: dict[str, int] = {}
-    for i, c in enumerate(a):
-        places[c] = places.get(c, 0) | 1 << i
-    full = free = (1 << len(a)) - 1
-    for c in b:
-        met = free & places.get(c, 0)
-        free = ((free + met) | (free - met)) & full
-    return len(a) - free.bit_count()
-
-
 @F.pandas_udf(DoubleType())
 def sequence_similarity(batches: Iterator[tuple[pd.Series, pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-    """Matching-blocks similarity of (earlier, later) titles, which isn't symmetric, where it is ``least`` at least; else 0.
-
-    Matching blocks are a common subsequence, so the ratio is worked out only where the longest one may reach ``least``.
-    """
-
-    def ratio(a: str, b: str, least: float) -> float:
-        if a == b:
-            return 1.0 if a else 0.0
-        if not a or not b or least >= 1 or 2.0 * common_subsequence(a, b) / (len(a) + len(b)) < least:
-            return 0.0
-        found = SequenceMatcher(None, a, b).ratio()
-        return found if found >= least else 0.0
-
+    """Matching-blocks similarity of (earlier, later) titles, which isn't symmetric, where it is ``least`` at least; else 0."""
     for left, right, least in batches:
-        yield pd.Series([ratio(a, b, c) for a, b, c in zip(left, right, least, strict=True)], dtype="float64")
+        yield pd.Series(alike.ratios(left, right, least))
 
 
 def _prefix(least: float) -> Column:
@@ -296,11 +274,19 @@ def _dealt(rows: DataFrame, n: str) -> DataFrame:
     return rows.withColumns({"blocks": blocks, "block": F.pmod(F.xxhash64("pos"), blocks).cast("int")})
 
 
-def _within(rows: DataFrame, key: str, on: Column) -> DataFrame:
-    """All pairs a, b of dealt rows that share the key, each once and in either order; a key with most of the rows is many tasks."""
-    each = rows.withColumn("to", F.explode(F.sequence("block", F.col("blocks") - 1)))
-    once = (F.col("a.block") < F.col("a.to")) | (F.col("a.pos") < F.col("b.pos"))
-    return each.alias("a").join(rows.alias("b"), (F.col(f"a.{key}") == F.col(f"b.{key}")) & (F.col("a.to") == F.col("b.block")) & once & on)
+def _tasks(rows: DataFrame, pairs: float | None) -> int:
+    """Tasks for so many pairs of rows: exchanges are even in pairs, not in bytes, so their sizes tell nothing."""
+    return max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil((pairs or 0) / PAIRS_A_TASK))
+
+
+def _within(rows: DataFrame, key: str, on: Column, tasks: int) -> DataFrame:
+    """All pairs a, b of dealt rows that share the key, each once and in either order; two blocks meet in one place, so a key with most of the rows is many tasks."""
+    one = rows.withColumns({"low": F.col("block"), "high": F.explode(F.sequence("block", F.col("blocks") - 1))})
+    two = rows.withColumns({"high": F.col("block"), "low": F.explode(F.sequence(F.lit(0), F.col("block")))})
+    met = [key, "low", "high"]
+    one, two = (t.repartition(tasks, *met).alias(n) for t, n in ((one, "a"), (two, "b")))
+    once = (F.col("a.low") < F.col("a.high")) | (F.col("a.pos") < F.col("b.pos"))
+    return one.join(two, reduce(lambda u, v: u & v, [F.col(f"a.{c}") == F.col(f"b.{c}") for c in met]) & once & on)
 
 
 #: What is told of a record of a pair.
@@ -322,8 +308,22 @@ def _asked(jaccard_least: float, sequence_least: float) -> Column:
     return F.when(F.col("jaccard") >= jaccard_least, F.col("jaccard")).otherwise(F.lit(float(sequence_least)))
 
 
-def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tuple[DataFrame, DataFrame | None]:
-    """``candidate_pairs`` whose ratio is known, with it, and those for whose titles it is still to be worked out."""
+def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65) -> DataFrame:
+    """All pairs that the rules on years, ids, DOIs and authors let through and whose titles may be alike enough, each once.
+
+    Columns: l_ and r_ with the fields of the earlier and the later record, year_difference, jaccard, author_overlap, sequence (0 where it
+    changes nothing). Titles are compared once, whatever their copies; only numbers and short fields move by the tokens of a title, and its
+    text once for each pair of titles that may be alike, never with their records. A pair comes by one of four ways, so none comes twice:
+
+    1. one title: its records meet in blocks of SPREAD rows;
+    2. a title Jaccard of TITLE_SURE: titles have a token in common among the rarest of both; then their records meet, in blocks too;
+    3. less than that, but ``jaccard_least``, and an author overlap: records share a surname and a rare token;
+    4. less than that too, an author overlap, and a matching-blocks ratio of ``sequence_least``. The ratio is at most 2 x characters in
+       common / length of both, hence lengths are alike. Records of a surname are compared in blocks: by rules and lengths, then many titles
+       at once by their bounds (see ``alike.ratios``).
+
+    Nothing is dropped for a frequent title, surname or token.
+    """
     # Written, as the key of a title is several regular expressions, which both readers would work out again.
     f = cut(_fields(papers).select(*SHOWN, "title", F.array_distinct("surnames").alias("names")), "fields").withColumn("digest", F.substring(F.unhex(F.sha2("title", 256)), 1, 16))
     titles = f.groupBy("digest").agg(F.first("title").alias("title"), F.count("*").alias("copies")).withColumn("tid", F.monotonically_increasing_id())
@@ -339,7 +339,8 @@ def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tu
 
     # One title: its tokens are in common, or it has none and the ratio of 1 decides, which asks for authors.
     wordless = (authors >= AUTHOR_LEAST) if texts else F.lit(False)
-    same = _within(records, "tid", other & (x("told") | wordless)).select(*_told(x("told").cast("double"), authors, F.lit(1.0)))
+    copies = titles.where("copies > 1").agg(F.sum(F.col("copies").cast("double") * F.col("copies") / 2)).collect()[0][0]
+    same = _within(records.where("copies > 1"), "tid", other & (x("told") | wordless), _tasks(records, copies)).select(*_told(x("told").cast("double"), authors, F.lit(1.0)))
 
     # Two titles as alike as TITLE_SURE, each pair of titles once with its ratio in either order; then their records, those of the rarer title sent to the other's blocks.
     n = F.size("rare")
@@ -353,18 +354,28 @@ def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tu
     sure = head(TITLE_SURE)
     met = sure.alias("a").join(sure.alias("b"), (x("token") == y("token")) & (x("tid") < y("tid")) & near(TITLE_SURE)).select(x("tid").alias("ta"), y("tid").alias("tb")).distinct()
     of = lambda p: titles.select(F.col("tid").alias(f"t{p}"), F.col("title").alias(f"title_{p}"), F.col("copies").alias(f"n{p}"))
-    alike = _shared(norm.title_tokens(F.col("title_a")), norm.title_tokens(F.col("title_b")))
-    twins = met.join(of("a"), "ta").join(of("b"), "tb").withColumn("jaccard", alike).where(F.col("jaccard") >= TITLE_SURE)
+    token_overlap = _shared(norm.title_tokens(F.col("title_a")), norm.title_tokens(F.col("title_b")))
     turned = F.col("na") > F.col("nb")
     pick = lambda p, q, c: F.when(turned, F.col(q)).otherwise(F.col(p)).alias(c)
-    ratio = (lambda p, q: sequence_similarity(p, q, _asked(jaccard_least, sequence_least))) if texts else (lambda p, q: F.lit(0.0))
-    ratios = twins.withColumns({"a_first": ratio("title_a", "title_b"), "b_first": ratio("title_b", "title_a")})
-    twins = cut(ratios.select(pick("ta", "tb", "few"), pick("tb", "ta", "many"), F.greatest("na", "nb").alias("n_many"), "jaccard", pick("a_first", "b_first", "few_first"), pick("b_first", "a_first", "many_first")), "twins")
-    rare = twins.join(records.drop("block", "blocks", "copies"), F.col("few") == F.col("tid"))
-    rare = rare.withColumn("to", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_many") / SPREAD).cast("int") - 1)))
-    cross = rare.alias("a").join(records.alias("b"), (x("many") == y("tid")) & (x("to") == y("block")) & other)
+    twins = met.join(of("a"), "ta").join(of("b"), "tb").withColumn("jaccard", token_overlap).where(F.col("jaccard") >= TITLE_SURE)
+    twins = cut(twins.select(pick("ta", "tb", "few"), pick("tb", "ta", "many"), F.greatest("na", "nb").alias("n_many"), "jaccard"), "twins")
+
+    def crossed(twins: DataFrame) -> DataFrame:
+        rare = twins.join(records.drop("block", "blocks", "copies"), F.col("few") == F.col("tid"))
+        rare = rare.withColumn("to", F.explode(F.sequence(F.lit(0), F.ceil(F.col("n_many") / SPREAD).cast("int") - 1)))
+        return rare.alias("a").join(records.alias("b"), (x("many") == y("tid")) & (x("to") == y("block")) & other)
+
+    if texts:
+        # The ratio is asked for only in an order in which the rules let records of both titles meet.
+        ways = crossed(twins).groupBy("few", "many", "jaccard", "n_many").agg(*[F.max(F.col("a.pos") < F.col("b.pos")).alias("forth"), F.max(F.col("a.pos") > F.col("b.pos")).alias("back")])
+        ways = ways.join(titles.select(F.col("tid").alias("few"), F.col("title").alias("title_few")), "few").join(titles.select(F.col("tid").alias("many"), F.col("title").alias("title_many")), "many")
+        least = lambda way: F.when(F.col(way), _asked(jaccard_least, sequence_least)).otherwise(F.lit(2.0))
+        told = {"few_first": sequence_similarity("title_few", "title_many", least("forth")), "many_first": sequence_similarity("title_many", "title_few", least("back"))}
+        twins = cut(ways.withColumns(told).drop("title_few", "title_many", "forth", "back"), "ratios")
+    else:
+        twins = twins.withColumns({"few_first": F.lit(0.0), "many_first": F.lit(0.0)})
+    cross = crossed(twins)
     known = [same, cross.select(*_told(x("jaccard"), authors, F.when(x("pos") < y("pos"), x("few_first")).otherwise(x("many_first"))))]
-    apart = None
 
     if not anything:
         # Less alike, but with an author in common: a surname and a rare token meet, by numbers alone; what they are is asked again.
@@ -375,65 +386,44 @@ def _pairs(papers: DataFrame, jaccard_least: float, sequence_least: float) -> tu
         met = named.alias("a").join(named.alias("b"), (x("key") == y("key")) & (x("pos") < y("pos")) & (x("tid") != y("tid")) & may & near(min(jaccard_least, TITLE_SURE)))
         met = cut(met.select(x("pos").alias("pa"), x("tid").alias("ta"), y("pos").alias("pb"), y("tid").alias("tb")).distinct(), "met")
         full = lambda p: titles.select(F.col("tid").alias(f"t{p}"), F.col("title").alias(f"title_{p}"))
-        token_sets = met.select("ta", "tb").distinct().join(full("a"), "ta").join(full("b"), "tb").withColumn("jaccard", alike).where((F.col("jaccard") >= jaccard_least) & (F.col("jaccard") < TITLE_SURE))
-        token_sets = cut(token_sets.withColumn("sequence", ratio("title_a", "title_b")).select("ta", "tb", "jaccard", "sequence"), "token_sets")
+        token_sets = met.select("ta", "tb").distinct().join(full("a"), "ta").join(full("b"), "tb").withColumn("jaccard", token_overlap).where((F.col("jaccard") >= jaccard_least) & (F.col("jaccard") < TITLE_SURE))
+        sequence = sequence_similarity("title_a", "title_b", _asked(jaccard_least, sequence_least)) if texts else F.lit(0.0)
+        token_sets = cut(token_sets.withColumn("sequence", sequence).select("ta", "tb", "jaccard", "sequence"), "token_sets")
         side = lambda p: records.select(F.col("pos").alias(f"p{p}"), F.struct(*SHOWN, "names").alias(p))
         both = met.join(token_sets, ["ta", "tb"]).join(side("a"), "pa").join(side("b"), "pb")
         known.append(both.where(other & (authors >= AUTHOR_LEAST)).select(*_told(F.col("jaccard"), authors, F.col("sequence"))))
     if texts:
-        size = F.length("title")
-        counts = F.array(*[(size - F.length(F.replace("title", F.lit(c), F.lit("")))).cast("short") for c in TITLE_CHARACTERS])
-        rows = records.select(*SHOWN, "tid", "names", F.explode("names").alias("surname")).join(titles.select("tid", "title"), "tid").withColumns({"n": size, "counts": counts})
-        sizes = rows.groupBy(F.col("surname").alias("s")).agg(F.count("*").alias("rows"))
-        rows = cut(_dealt(rows.join(small(cut(sizes, "surnames")), F.col("surname") == F.col("s")), "rows").drop("s", "rows"), "named")
-        fits = bags = edits = F.lit(True)
-        if not anything:
-            fits = 2.0 * F.least(x("n"), y("n")) / (x("n") + y("n")) >= sequence_least
-            bags = 2.0 * characters_in_common(x("counts"), y("counts")) / (x("n") + y("n")) >= sequence_least
-            left_over = F.floor((x("n") + y("n")) * F.lit(1.0 - sequence_least) + 1e-6).cast("int")
-            edits = F.call_function("levenshtein", x("title"), y("title"), left_over) >= 0
+        rows = records.select(*SHOWN, "tid", "names", F.explode("names").alias("surname")).join(titles.select("tid", "title"), "tid").withColumn("n", F.length("title"))
+        sizes = cut(rows.groupBy(F.col("surname").alias("s")).agg(F.count("*").alias("rows")), "surnames")
+        rows = cut(_dealt(rows.join(small(sizes), F.col("surname") == F.col("s")), "rows").drop("s", "rows"), "named")
+        fits = F.lit(True) if anything else 2.0 * F.least(x("n"), y("n")) / (x("n") + y("n")) >= sequence_least
         least_name = F.array_min(F.array_intersect(x("names"), y("names"))) == x("surname")
-        apart = _within(rows, "surname", (x("tid") != y("tid")) & other & fits & (authors >= AUTHOR_LEAST) & least_name & bags & edits)
-        apart = apart.withColumn("alike", _shared(norm.title_tokens(x("title")), norm.title_tokens(y("title"))))
-        apart = apart.where(F.col("alike") < (TITLE_SURE if anything else min(jaccard_least, TITLE_SURE)))
-        apart = apart.select(*_told(F.col("alike"), authors, None))
-    return reduce(DataFrame.unionByName, known), apart
-
-
-def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65) -> DataFrame:
-    """All pairs that the rules on years, ids, DOIs and authors let through and whose titles may be alike enough, each once.
-
-    Columns: l_ and r_ with the fields of the earlier and the later record, year_difference, jaccard, author_overlap, sequence; in place
-    of that the last of the four ways below has both titles. Titles are compared once, whatever their copies; only numbers and short fields move by the
-    tokens of a title, and its text once for each pair of titles that may be alike, never with their records. A pair comes by one of four ways, so none comes twice:
-
-    1. one title: its records meet in blocks of SPREAD rows;
-    2. a title Jaccard of TITLE_SURE: titles have a token in common among the rarest of both; then their records meet, in blocks too;
-    3. less than that, but ``jaccard_least``, and an author overlap: records share a surname and a rare token;
-    4. less than that too, an author overlap, and perhaps a matching-blocks ratio of ``sequence_least``. The ratio is at most 2 x
-       characters in common / length of both, hence lengths are alike. Records of a surname are compared in blocks: by rules and
-       lengths, by counts of characters, then by the edit distance, which is at most what the matching blocks leave over of both.
-
-    Nothing is dropped for a frequent title, surname or token.
-    """
-    known, apart = _pairs(papers, jaccard_least, sequence_least)
-    return known if apart is None else known.unionByName(apart, allowMissingColumns=True)
+        met = sizes.agg(F.sum(F.col("rows").cast("double") * F.col("rows") / 2)).collect()[0][0]
+        apart = _within(rows, "surname", (x("tid") != y("tid")) & other & fits & (authors >= AUTHOR_LEAST) & least_name, _tasks(records, met))
+        apart = apart.select(*_told(F.lit(None).cast("double"), authors, None))
+        overlap = _shared(norm.title_tokens(F.col("l_title")), norm.title_tokens(F.col("r_title")))
+        sequence = lambda least: sequence_similarity("l_title", "r_title", least)
+        if anything:
+            apart = apart.withColumn("jaccard", overlap).withColumn("sequence", sequence(_asked(jaccard_least, sequence_least))).where(F.col("jaccard") < TITLE_SURE)
+        else:
+            # Tokens are looked at only where the ratio suffices, which is seldom.
+            apart = apart.withColumn("sequence", sequence(F.lit(float(sequence_least)))).withColumn("jaccard", F.when(F.col("sequence") >= sequence_least, overlap))
+            apart = apart.where(F.col("jaccard") < min(jaccard_least, TITLE_SURE))
+        known.append(apart.drop("l_title", "r_title"))
+    return reduce(DataFrame.unionByName, known)
 
 
 def suspected(papers: DataFrame, jaccard_least: float = 0.5, sequence_least: float = 0.65, with_sequence: bool = True) -> DataFrame:
     """Pairs for review: pair_id, i, j, title_similarity, author_overlap, year_difference, doi_relation, reason.
 
-    The matching-blocks ratio, which is Python, runs once on each pair of titles that are alike by their tokens, whatever their copies, and
-    else only on pairs that all other rules and its bounds let through.
+    The matching-blocks ratio, which is Python, runs once on each pair of titles that are alike by their tokens, whatever their copies and only
+    where the rules let records of both meet, and else only on pairs that all other rules and its bounds let through.
     """
-    pairs, apart = _pairs(papers, jaccard_least, sequence_least if with_sequence else 2.0)
+    pairs = candidate_pairs(papers, jaccard_least, sequence_least if with_sequence else 2.0)
     if with_sequence:
-        if apart is not None:
-            pairs = pairs.unionByName(apart.withColumn("sequence", sequence_similarity("l_title", "r_title", _asked(jaccard_least, sequence_least))).drop("l_title", "r_title"))
         pairs = pairs.where((F.col("jaccard") >= jaccard_least) | (F.col("sequence") >= sequence_least))
     else:
-        known = pairs if apart is None else pairs.unionByName(apart.drop("l_title", "r_title"), allowMissingColumns=True)
-        pairs = known.where(F.col("jaccard") >= jaccard_least).withColumn("sequence", F.lit(0.0))
+        pairs = pairs.where(F.col("jaccard") >= jaccard_least).withColumn("sequence", F.lit(0.0))
     return pairs.select(
         norm.pair_id(F.coalesce(F.nullif(F.col("l_oid"), F.lit("")), F.col("l_pos").cast("string")), F.coalesce(F.nullif(F.col("r_oid"), F.lit("")), F.col("r_pos").cast("string"))).alias("pair_id"),
         F.col("l_pos").alias("i"),

@@ -3,9 +3,11 @@ from collections import Counter
 from difflib import SequenceMatcher
 from pathlib import Path
 
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from paperloom.functions import alike
 from paperloom.operators import components, dedup
 from paperloom.plans import registry, views
 
@@ -218,6 +220,51 @@ def test_titles_move_once_whatever_their_copies(spark):
     assert shuffled(spark) - before < 30 * sum(len(r[3]) for r in rows)
 
 
+def test_ratios_of_many_pairs_are_difflibs():
+    rng = random.Random(8)
+    lengths, pairs = [0, 1, 5, 63, 64, 65, 130, 199, 200, 201, 450], []
+    for _ in range(600):
+        letters = rng.choice(["ab", "abcd e", dedup.TITLE_CHARACTERS, "a\u00e9\u6f22\U0001f600"])
+        a = b = "".join(rng.choices(letters, k=rng.choice(lengths)))
+        if rng.random() < 0.4:
+            b = "".join(rng.choices(letters, k=rng.choice(lengths)))
+        for _ in range(rng.randint(0, 1 + len(b) // 4)):
+            i = rng.randint(0, len(b))
+            b = b[:i] + rng.choice(["", rng.choice(letters)]) + b[i + rng.randint(0, 1) :]
+        pairs.append((a, b, rng.choice([-0.5, 0.0, 0.2, 0.65, 0.8, 0.95, 1.0, 2.0])))
+    got = alike.ratios(*[pd.Series(c) for c in zip(*pairs, strict=True)])
+    assert sum(0 < r < 1 for r in got) > 100
+    for (a, b, least), r in zip(pairs, got, strict=True):
+        true = SequenceMatcher(None, a, b).ratio() if a and b else 0.0
+        assert r == (true if a == b or (least < 1 and true >= least) else 0.0)
+    assert alike.ratios(*[pd.Series([], dtype=t) for t in ("str", "str", "float64")]).tolist() == []
+
+
+def test_ratios_that_no_record_needs_are_not_asked_for(spark, monkeypatch):
+    """Alike titles, of which only neighbours have records that may meet: before, each pair of titles was matched in both orders."""
+    matched = spark.sparkContext.accumulator(0)
+
+    @F.pandas_udf("double")
+    def counted(left: pd.Series, right: pd.Series, least: pd.Series) -> pd.Series:
+        matched.add(int((least < 1).sum()))
+        return pd.Series(alike.ratios(left, right, least))
+
+    monkeypatch.setattr(dedup, "sequence_similarity", counted)
+    words = "deep sea fish star spectra of the learning model in cold dark water".split()
+    rows = [(i, f"w{i}", "", " ".join([*words, f"m{i}"]), "A Lee", 2000 + 5 * (i // 2)) for i in range(20)]
+    got = {(r["i"], r["j"]) for r in dedup.suspected(spark.createDataFrame(rows, SCHEMA)).collect()}
+    assert got == {(i, i + 1) for i in range(0, 20, 2)} and matched.value <= 40
+
+
+def test_a_frequent_key_is_dealt_evenly(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "SPREAD", 4)
+    rows = dedup._dealt(spark.range(200).select(F.col("id").alias("pos"), F.lit(1).alias("k"), F.lit(200).alias("n")), "n")
+    met = dedup._within(rows, "k", F.lit(True), 40).select(F.col("a.pos").alias("a"), F.col("b.pos").alias("b"), F.spark_partition_id().alias("p"))
+    found = [(min(r["a"], r["b"]), max(r["a"], r["b"])) for r in met.collect()]
+    assert sorted(found) == [(a, b) for a in range(200) for b in range(a + 1, 200)]
+    assert max(r["count"] for r in met.groupBy("p").count().collect()) < 0.1 * len(found)
+
+
 def test_reviews_last_decision_counts(spark):
     queue = spark.createDataFrame([("a", "pending", ""), ("b", "confirmed", "merge"), ("c", "pending", "")], "pair_id string, review_status string, action string")
     said = spark.createDataFrame([("a", "y", 1), ("a", "N", 2), ("a", "s", 3), ("b", "n", 1)], "pair_id string, decision string, seq int")
