@@ -7,6 +7,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 from functools import reduce
+from itertools import product
 from math import ceil
 
 import pandas as pd
@@ -23,9 +24,9 @@ AUTHOR_LEAST, TITLE_SURE, YEARS_APART, YEARS_UNKNOWN = 0.3, 0.80, 2, 999
 #: Records of a component that one task decides in one pass.
 REPLAYED = 100_000
 #: Records of one title or surname that are compared with one another in a block.
-SPREAD = 4_096
+SPREAD = 2_048
 #: Pairs of records that one task compares, or so.
-PAIRS_A_TASK = 2_000_000
+PAIRS_A_TASK = 4_000_000
 #: All characters of a strict title key.
 TITLE_CHARACTERS = " abcdefghijklmnopqrstuvwxyz0123456789"
 
@@ -204,18 +205,25 @@ def doi_relation(a: Column, b: Column) -> Column:
     )
 
 
+#: The tags of a pair, by title, authors, years and DOIs.
+TAGS = (
+    ("title_very_high_similarity", "title_high_similarity", "title_moderate_similarity"),
+    ("author_high_overlap", "author_moderate_overlap", "author_low_overlap"),
+    ("year_close", "year_nearby", "year_uncertain"),
+    ("", "preprint_publisher_pair"),
+)
+
+
 def pair_reason(jaccard: Column, sequence: Column, authors: Column, years: Column, relation: Column) -> Column:
-    # The tags and their bounds.
-    parts = [
-        F.when((jaccard >= 0.90) | (sequence >= 0.95), "title_very_high_similarity").when((jaccard >= 0.70) | (sequence >= 0.85), "title_high_similarity").otherwise("title_moderate_similarity"),
-        F.when(authors >= 0.70, "author_high_overlap").when(authors >= 0.30, "author_moderate_overlap").otherwise("author_low_overlap"),
-        F.when(years <= 1, "year_close").when(years <= 2, "year_nearby").otherwise("year_uncertain"),
-        F.when(relation == "one_arxiv_one_publisher", "preprint_publisher_pair"),
-    ]
-    return F.concat_ws("|", *parts)
+    # The bounds of the tags. All texts are made beforehand, as pairs are many.
+    title = F.when((jaccard >= 0.90) | (sequence >= 0.95), 0).when((jaccard >= 0.70) | (sequence >= 0.85), 1).otherwise(2)
+    author = F.when(authors >= 0.70, 0).when(authors >= 0.30, 1).otherwise(2)
+    year = F.when(years <= 1, 0).when(years <= 2, 1).otherwise(2)
+    told = F.array(*[F.lit("|".join(t for t in tags if t)) for tags in product(*TAGS)])
+    return F.get(told, ((title * 3 + author) * 3 + year) * 2 + F.when(relation == "one_arxiv_one_publisher", 1).otherwise(0))
 
 
-def _fields(papers: DataFrame) -> DataFrame:
+def _all_fields(papers: DataFrame) -> DataFrame:
     key = norm.strict_title_key(F.col("title"))
     return papers.select(
         "pos",
@@ -225,7 +233,11 @@ def _fields(papers: DataFrame) -> DataFrame:
         key.alias("title"),
         norm.title_tokens(key).alias("tokens"),
         norm.surnames(F.col("authors")).alias("surnames"),
-    ).where("title <> ''")
+    )
+
+
+def _fields(papers: DataFrame) -> DataFrame:
+    return _all_fields(papers).where("title <> ''")
 
 
 @F.pandas_udf(DoubleType())
@@ -256,11 +268,17 @@ def _shared(a: Column, b: Column) -> Column:
     return F.coalesce(F.try_divide(both.cast("double"), F.size(a) + F.size(b) - both), F.lit(0.0))
 
 
+def _mark(names: Column) -> Column:
+    """64 bits, of which each name sets one: names are in common only where bits are."""
+    return F.aggregate(names, F.lit(0).cast("long"), lambda t, v: t.bitwiseOR(F.call_function("shiftleft", F.lit(1).cast("long"), F.pmod(F.xxhash64(v), F.lit(64)).cast("int"))))
+
+
 def _may_pair(x: Callable[[str], Column], y: Callable[[str], Column]) -> Column:
     """The rules on ids, DOIs and years."""
     same_id = (x("oid") != "") & (x("oid") == y("oid"))
     dois = (x("doi") == "") | (y("doi") == "") | (x("doi") == y("doi"))
-    return ~same_id & dois & (x("year").isNull() | y("year").isNull() | (F.abs(x("year") - y("year")) <= YEARS_APART))
+    # Numbers first, as they cost least.
+    return (x("year").isNull() | y("year").isNull() | (F.abs(x("year") - y("year")) <= YEARS_APART)) & dois & ~same_id
 
 
 def characters_in_common(a: Column, b: Column) -> Column:
@@ -324,18 +342,19 @@ def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_leas
 
     Nothing is dropped for a frequent title, surname or token.
     """
-    # Written, as the key of a title is several regular expressions, which both readers would work out again.
-    f = cut(_fields(papers).select(*SHOWN, "title", F.array_distinct("surnames").alias("names")), "fields").withColumn("digest", F.substring(F.unhex(F.sha2("title", 256)), 1, 16))
+    # Written, as the key of a title is several regular expressions, which both readers and a test for blank ones would work out again.
+    f = cut(_all_fields(papers).select(*SHOWN, "title", F.array_distinct("surnames").alias("names")), "fields").where("title <> ''").withColumn("digest", F.substring(F.unhex(F.sha2("title", 256)), 1, 16))
     titles = f.groupBy("digest").agg(F.first("title").alias("title"), F.count("*").alias("copies")).withColumn("tid", F.monotonically_increasing_id())
     titles = cut(titles, "titles")
     of_title = titles.select("digest", "tid", "copies", (F.size(norm.title_tokens(F.col("title"))) > 0).alias("told"))
-    records = cut(_dealt(f.select(*SHOWN, "names", "digest").join(of_title, "digest").drop("digest"), "copies"), "records")
+    records = cut(_dealt(f.select(*SHOWN, "names", _mark(F.col("names")).alias("mark"), "digest").join(of_title, "digest").drop("digest"), "copies"), "records")
     titles = titles.select("tid", "title", "copies")
     prefixes = cut(_with_rare(titles), "rare")
     anything = jaccard_least <= 0 or sequence_least <= 0
     texts = sequence_least <= 1 or anything
     x, y = (lambda c: F.col(f"a.{c}")), (lambda c: F.col(f"b.{c}"))
-    other, authors = _may_pair(x, y), _shared(x("names"), y("names"))
+    other = _may_pair(x, y)
+    authors = F.when(x("mark").bitwiseAND(y("mark")) == 0, 0.0).otherwise(_shared(x("names"), y("names")))
 
     # One title: its tokens are in common, or it has none and the ratio of 1 decides, which asks for authors.
     wordless = (authors >= AUTHOR_LEAST) if texts else F.lit(False)
@@ -389,11 +408,11 @@ def candidate_pairs(papers: DataFrame, jaccard_least: float = 0.5, sequence_leas
         token_sets = met.select("ta", "tb").distinct().join(full("a"), "ta").join(full("b"), "tb").withColumn("jaccard", token_overlap).where((F.col("jaccard") >= jaccard_least) & (F.col("jaccard") < TITLE_SURE))
         sequence = sequence_similarity("title_a", "title_b", _asked(jaccard_least, sequence_least)) if texts else F.lit(0.0)
         token_sets = cut(token_sets.withColumn("sequence", sequence).select("ta", "tb", "jaccard", "sequence"), "token_sets")
-        side = lambda p: records.select(F.col("pos").alias(f"p{p}"), F.struct(*SHOWN, "names").alias(p))
+        side = lambda p: records.select(F.col("pos").alias(f"p{p}"), F.struct(*SHOWN, "names", "mark").alias(p))
         both = met.join(token_sets, ["ta", "tb"]).join(side("a"), "pa").join(side("b"), "pb")
         known.append(both.where(other & (authors >= AUTHOR_LEAST)).select(*_told(F.col("jaccard"), authors, F.col("sequence"))))
     if texts:
-        rows = records.select(*SHOWN, "tid", "names", F.explode("names").alias("surname")).join(titles.select("tid", "title"), "tid").withColumn("n", F.length("title"))
+        rows = records.select(*SHOWN, "tid", "names", "mark", F.explode("names").alias("surname")).join(titles.select("tid", "title"), "tid").withColumn("n", F.length("title"))
         sizes = cut(rows.groupBy(F.col("surname").alias("s")).agg(F.count("*").alias("rows")), "surnames")
         rows = cut(_dealt(rows.join(small(sizes), F.col("surname") == F.col("s")), "rows").drop("s", "rows"), "named")
         fits = F.lit(True) if anything else 2.0 * F.least(x("n"), y("n")) / (x("n") + y("n")) >= sequence_least
