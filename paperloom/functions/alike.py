@@ -118,14 +118,25 @@ def ratios(left: pd.Series, right: pd.Series, least: pd.Series) -> np.ndarray:
     """The ratio of (left, right), which isn't symmetric, where it is ``least`` at least; else 0. ``least`` from 1 on asks for equal texts only.
 
     Matching blocks are a common subsequence, so the ratio is worked out only where characters in common, and then the longest common
-    subsequence, may reach ``least``; both are found for all pairs together.
+    subsequence, may reach ``least``; both are found for all pairs together, and once for pairs that come again.
     """
+    if not len(left):
+        return np.zeros(0)
     least = least.to_numpy(dtype=np.float64)
     codes, texts = pd.factorize(pd.concat([left, right], ignore_index=True))
     a, b = codes[: len(left)], codes[len(left) :]
+    _, first, back = np.unique(a * len(texts) + b, return_index=True, return_inverse=True)
+    lowest = np.full(len(first), np.inf)
+    np.minimum.at(lowest, back, least)
+    out = _ratios(texts, a[first], b[first], lowest)[back]
+    return np.where((a == b) | ((least < 1) & (out >= least)), out, 0.0)
+
+
+def _ratios(texts: np.ndarray, a: np.ndarray, b: np.ndarray, least: np.ndarray) -> np.ndarray:
+    """The ratios of the texts a[i] and b[i], where they are ``least[i]`` at least; else 0."""
     sizes = np.array([len(t) for t in texts], dtype=np.int64)
-    out = np.where((a == b) & (sizes[a] > 0), 1.0, 0.0) if len(a) else np.zeros(0)
-    keep = np.flatnonzero((a != b) & (sizes[a] > 0) & (sizes[b] > 0) & (least < 1)) if len(a) else np.zeros(0, dtype=np.int64)
+    out = np.where((a == b) & (sizes[a] > 0), 1.0, 0.0)
+    keep = np.flatnonzero((a != b) & (sizes[a] > 0) & (sizes[b] > 0) & (least < 1))
     if not len(keep):
         return out
     used = np.unique(np.concatenate([a[keep], b[keep]]))

@@ -240,6 +240,14 @@ def test_ratios_of_many_pairs_are_difflibs():
     assert alike.ratios(*[pd.Series([], dtype=t) for t in ("str", "str", "float64")]).tolist() == []
 
 
+def test_a_pair_of_titles_that_comes_again_is_matched_once(monkeypatch):
+    a, b, asked = "deep sea fish " * 20, "deep sea fish " * 19 + "star", []
+    true, matched = SequenceMatcher(None, a, b).ratio(), alike.matched
+    monkeypatch.setattr(alike, "matched", lambda *x: asked.append(x) or matched(*x))
+    got = alike.ratios(pd.Series([a, a, b] * 50), pd.Series([b, b, b] * 50), pd.Series([0.01, true + 1e-6, 0.5] * 50))
+    assert true > 0.01 and got.tolist() == [true, 0.0, 1.0] * 50 and len(asked) == 1
+
+
 def test_ratios_that_no_record_needs_are_not_asked_for(spark, monkeypatch):
     """Alike titles, of which only neighbours have records that may meet: before, each pair of titles was matched in both orders."""
     matched = spark.sparkContext.accumulator(0)
